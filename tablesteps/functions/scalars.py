@@ -34,9 +34,14 @@ def _c(c: Column | str) -> Column:
 
 # --- conversions -----------------------------------------------------------------------------
 
+# Fixed value: shape of a plain number (a cast alone would also take Java suffixes such as ``1d``).
+NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def to_num(c: Column | str) -> Column:
     """``INPUT(x, best.)``: number, or missing when the text is not one."""
-    return F.trim(_c(c)).try_cast("double")
+    text = F.trim(_c(c).cast("string"))
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
 def to_dmy(c: Column | str, pattern: str = "dd-MM-yyyy") -> Column:
@@ -228,6 +233,13 @@ def norm_block(c: Column | str) -> Column:
     return F.upper(F.trim(F.regexp_replace(bare, r"(?U)\s+", " ")))
 
 
+def repair_text(c: Column | str) -> Column:
+    """UTF-8 text that was once read as latin-1 (mojibake) put right; other text unchanged."""
+    c = _c(c)
+    narrow = F.when(c.rlike(r"^[\x00-\xFF]*$"), c)
+    return F.coalesce(F.try_validate_utf8(F.encode(narrow, "ISO-8859-1").cast("string")), c)
+
+
 # --- hashes ----------------------------------------------------------------------------------
 
 def sha12(c: Column | str) -> Column:

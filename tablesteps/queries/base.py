@@ -16,14 +16,14 @@ PROGRAM_COLUMNS = {
     "pos": "o_orderkey",
     "label": "concat(CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN 'Check ' WHEN 1 THEN 'Carga ' ELSE 'Paso ' END, o_orderpriority)",
     "code": """CASE CAST(o_orderkey % 8 AS INT)
- WHEN 0 THEN concat('LIBNAME GG ODBC DSN=DWH; /* base; load */ DATA WORK.T', CAST(o_orderkey AS STRING), '; SET GG.BASE; IF MONTO > 5601; RUN;')
+ WHEN 0 THEN concat('LIBNAME GG ODBC DSN=DWH; /* base; load */', chr(10), 'DATA WORK.T', CAST(o_orderkey AS STRING), '; SET GG.BASE; IF MONTO > 5601; RUN;')
  WHEN 1 THEN concat('PROC SQL; CREATE TABLE GG.R', CAST(o_orderkey % 50 AS STRING), ' AS SELECT T1.ID, SUM(T1.MONTO) AS TOTAL FROM WORK.T', CAST(o_orderkey - 1 AS STRING), ' T1 LEFT JOIN GG.SUCURSALES T2 ON T1.SUC = T2.SUC WHERE PERIODO = &PERIODO GROUP BY T1.ID; QUIT;')
  WHEN 2 THEN concat('PROC SORT DATA=GG.R', CAST((o_orderkey - 1) % 50 AS STRING), ' OUT=WORK.S', CAST(o_orderkey AS STRING), '; BY DESCENDING TOTAL; RUN;')
  WHEN 3 THEN concat('DATA WORK.U', CAST(o_orderkey AS STRING), '; SET WORK.S', CAST(o_orderkey - 1 AS STRING), '; BY ID; * keep; the total; RETAIN ACUM 0; IF FIRST.ID THEN ACUM = 0; ACUM + TOTAL; RUN;')
  WHEN 4 THEN concat('PROC EXPORT DATA=WORK.U', CAST(o_orderkey - 1 AS STRING), ' OUTFILE=''C:/out/u;v.csv'' DBMS=CSV REPLACE; RUN;')
  WHEN 5 THEN 'PROC DATASETS; APPEND BASE=GG.HIST DATA=WORK.DELTA FORCE; QUIT;'
  WHEN 6 THEN concat('FILENAME RESP TEMP; PROC HTTP URL="https://', CASE CAST(o_custkey % 3 AS INT) WHEN 0 THEN 'api.example.com' WHEN 1 THEN 'usr@ws.example.org:8443' ELSE '&base' END, '/ws?user=&user" METHOD="get" OUT=RESP; RUN;')
- ELSE concat('PROC SQL; SELECT * FROM A, B; QUIT; %LET password = abc123; X = CASE WHEN MONTO > 5601 THEN ', CAST(o_custkey % 4 AS STRING), ' ELSE 0 END; Y = MONTO * TASA / 100;')
+ ELSE concat('PROC SQL; SELECT * FROM A, B; QUIT;', chr(10), 'DATA OUT1; SET A (KEEP=ID MONTO) GG.BASE; TOTAL = LAG(MONTO); RUN;', chr(10), '%LET password = abc123; X = CASE WHEN MONTO > 5601 THEN ', CAST(o_custkey % 4 AS STRING), ' ELSE 0 END; Y = MONTO * TASA / 100;')
 END""",
     "node_type": """CASE CAST(o_orderkey % 8 AS INT)
  WHEN 0 THEN 'DATA_STEP' WHEN 1 THEN 'PROC_SQL' WHEN 2 THEN 'PROC_SORT' WHEN 3 THEN 'DATA_STEP'

@@ -1 +1,260 @@
-"""Queries."""
+"""Queries for the reconciliation and the profiles."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tablesteps.operators import profile as Q
+from tablesteps.operators import reconcile as R
+from tablesteps.operators.steps import stack
+from tablesteps.queries.base import query
+
+_REF = "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders"
+_MOVED = "SELECT o_orderkey, lower(o_orderstatus) || ' ' AS o_orderstatus, o_totalprice + 0.01 AS o_totalprice, o_orderpriority FROM orders"
+_HOLES = """SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice,
+ CASE WHEN o_orderkey % 89 = 0 THEN 'X' ELSE o_orderpriority END AS o_orderpriority FROM orders"""
+_LESS = "SELECT o_orderkey, o_orderstatus, o_totalprice + 0.000000001 AS o_totalprice, o_orderpriority FROM orders WHERE o_orderkey % 2000 <> 7"
+
+
+def _sides(t, text):
+    return t.sql(_REF), t.sql(text)
+
+
+@query("r1_compare_schema")
+def _(t):
+    ref, gen = t.orders, t.orders.drop("o_custkey").withColumn("extra", F.lit(1))
+    return R.compare_schema(ref.withColumnRenamed("o_totalprice", "﻿o_totalprice"), gen)
+
+
+@query(
+    "r2_compare_counts",
+    """WITH c AS (SELECT (SELECT count(*) FROM orders) AS reference_rows, (SELECT count(*) FROM orders WHERE o_orderkey % 2000 <> 7) AS generated_rows)
+SELECT 'row_count' AS test, 2 AS level, abs(reference_rows - generated_rows) <= floor(reference_rows * 0.001) AS passed,
+ reference_rows, generated_rows, abs(reference_rows - generated_rows) AS difference FROM c""",
+)
+def _(t):
+    return R.compare_counts(*_sides(t, _LESS))
+
+
+def _agg_sql(ref, gen):
+    rows = []
+    for col in ("o_orderkey", "o_totalprice"):
+        for name, fn in (("sum", "sum"), ("mean", "avg"), ("min", "min"), ("max", "max")):
+            rows.append(
+                f"SELECT '{col}' AS \"column\", '{name}' AS aggregate, CAST((SELECT {fn}({col}) FROM r) AS DOUBLE) AS reference,"
+                f" CAST((SELECT {fn}({col}) FROM g) AS DOUBLE) AS generated"
+            )
+    body = "\nUNION ALL ".join(rows)
+    return f"""WITH r AS ({ref}), g AS ({gen}), x AS ({body})
+SELECT "column", aggregate, round(reference, 2) AS reference, round(generated, 2) AS generated,
+ round(abs(reference - generated) / greatest(abs(reference), 1e-15), 9) AS relative_diff,
+ abs(reference - generated) / greatest(abs(reference), 1e-15) <= 1e-6 AS passed FROM x"""
+
+
+@query("r3_compare_aggregates", _agg_sql(_REF, _HOLES))
+def _(t):
+    out = R.compare_aggregates(*_sides(t, _HOLES))
+    return out.withColumns(
+        {"reference": F.round("reference", 2), "generated": F.round("generated", 2), "relative_diff": F.round("relative_diff", 9)}
+    )
+
+
+_MIXED = """SELECT event_id, CAST(value AS VARCHAR(30)) AS amount, CASE WHEN event_id % 3 = 0 THEN 'n.d.' ELSE '12' END AS mostly,
+ event_type FROM events"""
+
+
+@query(
+    "r4_classify_columns",
+    f"""WITH s AS ({_MIXED}), n AS (SELECT count(*) AS n FROM s), b AS (SELECT count(*) AS b FROM s WHERE mostly = 'n.d.')
+SELECT 'event_id' AS "column", true AS is_numeric, CAST(0 AS BIGINT) AS lost_in_ref, CAST(0 AS BIGINT) AS lost_in_gen
+UNION ALL SELECT 'amount', true, 0, 0
+UNION ALL SELECT 'mostly', (SELECT b FROM b) < 0.5 * (SELECT n FROM n), (SELECT b FROM b), (SELECT b FROM b)
+UNION ALL SELECT 'event_type', false, 0, 0""",
+)
+def _(t):
+    src = t.sql(_MIXED.replace("VARCHAR(30)", "STRING"))
+    return R.classify_columns(src, src)
+
+
+@query(
+    "r5_sort_keys",
+    """SELECT k AS "column" FROM (SELECT 'o_orderpriority' AS k, 0 AS n UNION ALL SELECT 'o_orderstatus', 0
+ UNION ALL SELECT 'o_custkey', count(DISTINCT o_custkey) FROM orders UNION ALL SELECT 'o_orderkey', count(DISTINCT o_orderkey) FROM orders) WHERE n < 1000""",
+)
+def _(t):
+    src = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    types = {"o_orderkey": True, "o_custkey": True, "o_orderstatus": False, "o_orderpriority": False}
+    return t.spark.createDataFrame([(c,) for c in R.sort_keys(src, types)], "column STRING")
+
+
+def _values_sql(gen, keyed):
+    """Pairs rows like the operator: text keys first, the other columns break ties."""
+    order = "p, s, k, v NULLS LAST"
+    norm = (
+        "SELECT CAST(o_orderkey AS DOUBLE) AS k, lower(trim(o_orderstatus)) AS s, CAST(o_totalprice AS DOUBLE) AS v,"
+        " lower(trim(o_orderpriority)) AS p FROM ({})"
+    )
+    join = "r.k = g.k" if keyed else "r.i = g.i"
+    tests = [
+        ("o_totalprice", "numeric", "max(abs(r.v - g.v))", "avg(abs(r.v - g.v))", "count(*) FILTER (abs(r.v - g.v) > 1e-6)"),
+        ("o_totalprice", "null_pattern", "NULL", "NULL", "count(*) FILTER ((r.v IS NULL) <> (g.v IS NULL))"),
+        ("o_orderstatus", "string", "NULL", "NULL", "count(*) FILTER (r.s <> g.s)"),
+        ("o_orderpriority", "string", "NULL", "NULL", "count(*) FILTER (r.p <> g.p)"),
+    ]
+    if not keyed:
+        tests.append(("o_orderkey", "numeric", "max(abs(r.k - g.k))", "avg(abs(r.k - g.k))", "count(*) FILTER (abs(r.k - g.k) > 1e-6)"))
+    rows = "\nUNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", '{k}' AS kind, round(CAST({mx} AS DOUBLE), 6) AS max_diff,"
+        f" round(CAST({mean} AS DOUBLE), 4) AS mean_diff, {n} AS rows_affected FROM r JOIN g ON {join}"
+        for c, k, mx, mean, n in tests
+    )
+    keys = (
+        "\nUNION ALL SELECT NULL, 'missing_keys', NULL, NULL, (SELECT count(*) FROM (SELECT k FROM r EXCEPT SELECT k FROM g))"
+        "\nUNION ALL SELECT NULL, 'extra_keys', NULL, NULL, (SELECT count(*) FROM (SELECT k FROM g EXCEPT SELECT k FROM r))"
+        if keyed
+        else ""
+    )
+    return f"""WITH r0 AS ({norm.format(_REF)}), g0 AS ({norm.format(gen)}),
+ r AS (SELECT *, row_number() OVER (ORDER BY {order}) AS i FROM r0), g AS (SELECT *, row_number() OVER (ORDER BY {order}) AS i FROM g0)
+SELECT * FROM ({rows}{keys}) WHERE rows_affected > 0"""
+
+
+def _rounded(out):
+    return out.withColumns({"max_diff": F.round("max_diff", 6), "mean_diff": F.round("mean_diff", 4)})
+
+
+@query("r6_values_positional", _values_sql(_MOVED, False))
+def _(t):
+    return _rounded(R.compare_values(*_sides(t, _MOVED)))
+
+
+@query("r6_values_positional_holes", _values_sql(_HOLES, False))
+def _(t):
+    return _rounded(R.compare_values(*_sides(t, _HOLES)))
+
+
+@query("r6_values_keyed", _values_sql(_HOLES, True))
+def _(t):
+    return _rounded(R.compare_values(*_sides(t, _HOLES), keys=["o_orderkey"]))
+
+
+@query("r9_proc_compare", _values_sql(_LESS, True))
+def _(t):
+    return _rounded(R.proc_compare(*_sides(t, _LESS), id=["o_orderkey"]))
+
+
+@query("r7_reconcile")
+def _(t):
+    return R.reconcile(*_sides(t, _HOLES), keys=["o_orderkey"])
+
+
+@query("r7_reconcile_pass")
+def _(t):
+    return R.reconcile(*_sides(t, _LESS.replace(" WHERE o_orderkey % 2000 <> 7", "")))
+
+
+@query("r8_reconcile_all")
+def _(t):
+    targets = {"ORDERS": t.sql(_HOLES), "CUSTOMER": t.customer}
+    refs = {"orders": t.sql(_REF), "customer": t.customer, "lone": t.region}
+    results, summary = R.reconcile_all(
+        t.spark, refs, ["lib.ORDERS", "lib.CUSTOMER", "lib.ABSENT"], lambda name: targets[name]
+    )
+    return stack(results, summary.select(F.lit("(all)").alias("target_table"), F.col("validation_mode").alias("message")))
+
+
+@query("r8_reconcile_summary")
+def _(t):
+    refs = {"customer": t.customer, "lone": t.region}
+    return R.reconcile_all(t.spark, refs, ["lib.CUSTOMER", "lib.ABSENT"], lambda name: t.customer)[1]
+
+
+_DIAG = """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN lower(o_orderstatus) ELSE o_orderstatus END AS o_orderstatus,
+ o_totalprice + 0.004 AS o_totalprice, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority
+FROM orders WHERE o_orderkey % 50 <> 3"""
+
+
+@query(
+    "r10_diagnose",
+    f"""WITH r AS ({_REF}), g AS ({_DIAG}), j AS (SELECT r.*, g.o_orderstatus AS gs, g.o_orderpriority AS gp FROM r JOIN g USING (o_orderkey))
+SELECT 'o_orderstatus' AS "column", 'collation' AS cause, count(*) FILTER (o_orderstatus <> gs) AS rows_affected FROM j
+UNION ALL SELECT 'o_totalprice', 'rounding', count(*) FROM j
+UNION ALL SELECT 'o_orderpriority', 'null_semantics', count(*) FILTER (gp IS NULL) FROM j
+UNION ALL SELECT NULL, 'missing_transform', (SELECT count(*) FROM r WHERE o_orderkey % 50 = 3)""",
+)
+def _(t):
+    return R.diagnose(*_sides(t, _DIAG), keys=["o_orderkey"]).select("column", "cause", "rows_affected")
+
+
+@query("r11_verify_tables")
+def _(t):
+    conns = t.region.select(
+        F.concat(F.lit("c"), "r_regionkey").alias("alias"),
+        F.lit("default").alias("schema_name"),
+        F.when(F.col("r_regionkey") % 2 == 0, "target").otherwise("source").alias("role"),
+        F.array(F.lower("r_name")).alias("tables"),
+    )
+    return R.verify_tables(t.spark, conns)
+
+
+# --- profiles --------------------------------------------------------------------------------
+
+
+def _profile_sql(table, cols):
+    rows = []
+    for i, (col, dtype, num) in enumerate(cols):
+        stat = f"CAST(min({col}) AS VARCHAR), CAST(max({col}) AS VARCHAR), round(avg({col}), 4)" if num else "NULL, NULL, CAST(NULL AS DOUBLE)"
+        rows.append(
+            f"SELECT CAST({i} AS INT), '{col}', '{dtype}', count(*), count(*) - count({col}), round((count(*) - count({col})) / count(*), 4),"
+            f" round((count(*) - count({col})) * 100.0 / count(*), 2), count(DISTINCT {col}), {stat} FROM {table}"
+        )
+    body = "\nUNION ALL ".join(rows)
+    return f"""SELECT * FROM ({body}) AS p(position, "column", dtype, row_count, null_count, null_share, null_pct, unique_count, min_val, max_val, mean_val)"""
+
+
+@query(
+    "q1_profile",
+    _profile_sql(
+        "(SELECT event_id, user_id, event_type, CASE WHEN event_id % 7 = 0 THEN NULL ELSE round(value, 1) END AS value FROM events)",
+        [("event_id", "bigint", True), ("user_id", "bigint", True), ("event_type", "string", False), ("value", "double", True)],
+    ),
+)
+def _(t):
+    return Q.profile(t.events_gap.select("event_id", "user_id", "event_type", F.round("value", 1).alias("value")))
+
+
+@query(
+    "q2_samples",
+    """WITH u AS (SELECT DISTINCT 'o_orderstatus' AS "column", o_orderstatus AS value FROM orders
+ UNION SELECT 'o_custkey', CAST(o_custkey AS VARCHAR) FROM orders UNION SELECT 'o_orderpriority', o_orderpriority FROM orders)
+SELECT "column", string_agg(value, '|' ORDER BY value) AS sample_values FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY value) AS rn FROM u)
+WHERE rn <= 5 GROUP BY 1""",
+)
+def _(t):
+    out = Q.column_samples(t.orders.select("o_orderstatus", "o_custkey", "o_orderpriority"), 5)
+    return out.withColumn("sample_values", F.array_join("sample_values", "|"))
+
+
+_SENT = """SELECT event_id, CASE CAST(event_id % 50 AS INT) WHEN 1 THEN 'N/A' WHEN 2 THEN 'S/I' WHEN 3 THEN '-999' ELSE event_type END AS event_type,
+ CASE WHEN event_id % 60 = 0 THEN '...' ELSE props END AS props, 1 AS ene, 2 AS feb, 3 AS "2024", 4 AS q1 FROM events"""
+
+
+@query(
+    "q3_find_artifacts",
+    """SELECT 'sentinel_values' AS artifact_type, 'event_type' AS location, '-999|N/A|S/I' AS found
+UNION ALL SELECT 'sentinel_values', 'props', min('...') FROM events WHERE event_id % 60 = 0
+UNION ALL SELECT 'pivoted_layout', 'column headers', 'ene|feb|2024|q1'""",
+)
+def _(t):
+    out = Q.find_artifacts(t.sql(_SENT.replace('"2024"', "`2024`")))
+    return out.withColumn("found", F.array_join("found", "|"))
+
+
+@query("q5_profile_tables")
+def _(t):
+    tables = {
+        "db:dwh/orders": lambda: t.orders,
+        "db:dwh/customer": lambda: t.customer,
+        "file:absent": lambda: t.spark.read.parquet(f"{t.sf_dir}/absent.parquet"),
+    }
+    return Q.profile_tables(t.spark, tables)
