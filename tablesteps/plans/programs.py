@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tablesteps.operators.ordered import pick_rows, retain_last
+from tablesteps.operators.ordered import lag_n, pick_rows, retain_last
 
 # Library engines that are databases.
 DB_ENGINES = (
@@ -43,7 +43,7 @@ _CUT = "\u0001"
 _STRING = r""""[^"]*+"?|'[^']*+'?"""
 _COMMENT = r"/\*(?s:.*?)(?:\*/|\z)"
 _TOKEN = rf"""{_STRING}|{_COMMENT}|;|[^;"'/]++|/"""
-_MASK_TOKEN = rf"""(?:\A|;)\s*+%?+\*[^;]*+|{_STRING}|{_COMMENT}|;|[^;"'/]++|/"""
+_MASK_TOKEN = rf"""(?:\A|;)(?:\s++|/\*(?s:.*?)\*/)*+%?+\*[^;]*+|{_STRING}|{_COMMENT}|;|[^;"'/]++|/"""
 _OPTIONS = r"\((?:[^()]++|\([^()]*+\))*+\)"
 _BLOCK_START = r"(?imU)^(?=[ \t]*(?:PROC|DATA)\b)"
 
@@ -80,10 +80,14 @@ def _masked(code: Column) -> Column:
         return F.regexp_replace(t, r"[^\n]", " ")
 
     tokens = F.regexp_extract_all(code, F.lit(_MASK_TOKEN), F.lit(0))
+    opening = r"^(?:\s|/\*(?s:.*?)\*/)*%?\*"  # a comment statement at the very start has no ``;`` before it
     shown = F.transform(
         tokens,
-        lambda t: F.when(t.rlike(r"^(?U);\s*%?\*"), F.concat(F.lit(";"), blank(F.substring(t, F.lit(2), F.length(t)))))
-        .when(t.rlike(r"""^(?U)(?:["']|/\*|\s*%?\*)"""), blank(t))
+        lambda t, i: F.when(
+            (F.length(t) > 1) & F.startswith(t, F.lit(";")),
+            F.concat(F.lit(";"), blank(F.substring(t, F.lit(2), F.length(t)))),
+        )
+        .when(t.rlike(r"""^(?:["']|/\*)""") | ((i == 0) & t.rlike(opening)), blank(t))
         .otherwise(t),
     )
     return F.array_join(shown, "")
@@ -461,6 +465,14 @@ def place(
     return rows.select(*keys, verdict.alias("placement"), reasons.alias("reasons"), "unknown_libs", "touches_db")
 
 
+def place_blocks(programs: DataFrame, libs: DataFrame, sql_first: bool = False) -> DataFrame:
+    """``place`` for every block; libraries declared in one block count for the whole program."""
+    keys = ["id", "block"]
+    refs, facts = place_facts(blocks(programs), keys)
+    shared = facts.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("own_libs"))).alias("own_libs"))
+    return place(refs, facts.drop("own_libs").join(shared, "id"), libs, sql_first, keys)
+
+
 def rollup_verdict(placed: DataFrame, by: Sequence[str] = ("id",)) -> DataFrame:
     """Program placement from its blocks -> (by..., placement).
 
@@ -543,19 +555,25 @@ def run_log_lines(lines: DataFrame, log: str = "log_id", line_no: str = "line_no
 
 
 def from_run_logs(lines: DataFrame, log: str = "log_id", line_no: str = "line_no", line: str = "line") -> DataFrame:
-    """Query text recovered from run logs -> (log, block, code): every ``PROC SQL; ... QUIT;``."""
+    """Query text recovered from run logs -> (log, block, code): every ``PROC SQL; ... QUIT;``.
+
+    ``block`` is the line the block starts on; a block that never reaches QUIT is left out.
+    """
     text = run_log_lines(lines, log, line_no, line)
-    starts, ends = F.col("text").rlike(r"(?i)^\s*PROC SQL;"), F.col("text").rlike(r"(?i)^\s*QUIT;")
-    text = text.withColumn("_open", F.when(starts, F.struct(F.lit(True).alias("on"), F.col(line_no).alias("at"))).when(ends, F.struct(F.lit(False).alias("on"), F.col(line_no).alias("at"))))
-    state = retain_last(text, [log], "_open", [line_no], name="_now")
-    # a QUIT line closes the block opened by the marker before it
-    before = F.when(F.col("_open").isNotNull() & ~F.col("_open.on"), F.lit(None)).otherwise(F.col("_open"))
-    state = state.withColumn("_start", before)
-    state = retain_last(state, [log], "_start", [line_no], name="_block")
-    inside = F.col("_block").isNotNull() & (F.col("_now.on") | (F.col("_open").isNotNull() & ~F.col("_open.on")))
-    body = state.filter(inside).select(log, F.col("_block.at").alias("_at"), line_no, "text")
+    quit_ = F.regexp_extract("text", r"(?i)^\s*QUIT;", 0)
+    text = text.withColumns({"_start": F.col("text").rlike(r"(?i)^\s*PROC SQL;"), "_end": quit_ != ""})
+    text = text.withColumn("_mark", F.when(F.col("_start"), F.lit(True)).when(F.col("_end"), F.lit(False)))
+    state = retain_last(text, [log], "_mark", [line_no], name="_on")
+    state = lag_n(state, [log], "_on", [line_no], name="_was_on")
+    state = state.withColumn("_was_on", F.coalesce("_was_on", F.lit(False)))
+    begin = F.when(F.col("_start") & ~F.col("_was_on"), F.col(line_no))
+    state = retain_last(state.withColumn("_begin", begin), [log], "_begin", [line_no], name="block")
+    body = state.filter(F.col("_on") | (F.col("_end") & F.col("_was_on"))).withColumn(
+        "text", F.when(F.col("_end"), quit_).otherwise(F.col("text"))
+    )
     return (
-        body.groupBy(log, "_at")  # one block of one log: a single query text
-        .agg(F.sort_array(F.collect_list(F.struct(line_no, "text"))).alias("_l"))
-        .select(log, F.col("_at").alias("block"), F.trim(F.array_join(F.transform("_l", lambda x: x["text"]), "\n")).alias("code"))
+        body.groupBy(log, "block")  # one block of one log: a single query text
+        .agg(F.bool_or("_end").alias("_done"), F.sort_array(F.collect_list(F.struct(line_no, "text"))).alias("_l"))
+        .filter("_done")
+        .select(log, "block", F.trim(F.array_join(F.transform("_l", lambda x: x["text"]), "\n")).alias("code"))
     )

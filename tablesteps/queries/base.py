@@ -120,7 +120,12 @@ def query(name: str, sql: str | None = None, uses: tuple[str, ...] = ()):
         if text is not None and uses:
             views = ",\n".join(f"{n} AS (\n{DERIVED[n]}\n)" for n in uses)
             body = text.strip()
-            text = f"WITH {views},\n{body[5:]}" if body.upper().startswith("WITH ") else f"WITH {views}\n{body}"
+            for lead in ("WITH RECURSIVE ", "WITH "):
+                if body.startswith(lead):
+                    text = f"{lead}{views},\n{body[len(lead):]}"
+                    break
+            else:
+                text = f"WITH {views}\n{body}"
         if name in REGISTRY:
             raise ValueError(f"query {name!r} is registered twice")
         REGISTRY[name] = Query(lambda spark, sf_dir: fn(Tables(spark, sf_dir)), text)

@@ -1 +1,402 @@
-"""Queries."""
+"""Queries over the program graph, lineage, plan and audit tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tablesteps.operators import joins as J
+from tablesteps.plans import audit as U
+from tablesteps.plans import corpus as C
+from tablesteps.plans import lineage as G
+from tablesteps.plans import plan as L
+from tablesteps.plans import programs as P
+from tablesteps.queries.base import query
+
+
+@query("g1_sinks", "SELECT id FROM programs WHERE id NOT IN (SELECT source FROM edges)", uses=("programs", "edges"))
+def _(t):
+    return G.sinks(t.programs.select("id"), t.edges)
+
+
+@query(
+    "g2_orphans",
+    "SELECT id FROM programs WHERE id NOT IN (SELECT source FROM edges UNION SELECT target FROM edges) AND pos % 3 <> 0",
+    uses=("programs", "edges"),
+)
+def _(t):
+    nodes = t.programs.select("id", (F.col("pos") % 3 == 0).alias("native"))
+    return G.orphans(nodes, t.edges, native="native").select("id")
+
+
+@query(
+    "g3_validate_edges",
+    """WITH e AS (SELECT DISTINCT source, target FROM (SELECT * FROM edges UNION ALL SELECT target, 'X' || (length(source) % 3) FROM edges)),
+ n AS (SELECT id FROM programs WHERE pos % 11 <> 0), x AS (SELECT source, target, source IN (SELECT id FROM n) AS s, target IN (SELECT id FROM n) AS d,
+ source IN (SELECT id FROM programs) AND target IN (SELECT id FROM programs UNION ALL SELECT 'X1') AS known FROM e)
+SELECT source, target, s AND d AS kept, CASE WHEN s AND d THEN '' WHEN NOT known THEN 'endpoint_unknown' ELSE 'endpoint_not_node' END AS reason FROM x""",
+    uses=("programs", "edges"),
+)
+def _(t):
+    extra = t.edges.select(F.col("target").alias("source"), F.concat(F.lit("X"), (F.length("source") % 3).cast("string")).alias("target"))
+    elements = t.programs.select("id").union(t.region.filter("r_regionkey = 1").select(F.lit("X1")))
+    return G.validate_edges(t.edges.unionByName(extra).unionByName(t.edges), t.programs.filter("pos % 11 <> 0").select("id"), elements)
+
+
+@query(
+    "g4_topo_order",
+    """WITH RECURSIVE l AS (SELECT id, 0 AS level FROM programs WHERE id NOT IN (SELECT target FROM edges WHERE source IN (SELECT id FROM programs))
+ UNION ALL SELECT e.target, l.level + 1 FROM l JOIN edges e ON e.source = l.id WHERE e.target IN (SELECT id FROM programs)),
+ m AS (SELECT id, max(level) AS level FROM l GROUP BY 1)
+SELECT m.id, CAST(level AS BIGINT) AS level, row_number() OVER (ORDER BY level, pos, m.id) - 1 AS topo_order FROM m JOIN programs p ON p.id = m.id""",
+    uses=("programs", "edges"),
+)
+def _(t):
+    return G.topo_order(t.programs, t.edges)
+
+
+@query(
+    "g5_predecessors",
+    """SELECT target AS id, source AS predecessor FROM edges WHERE target IN (SELECT id FROM programs) AND source IN (SELECT id FROM programs)
+ AND target NOT IN (SELECT id FROM ignored) AND source NOT IN (SELECT id FROM ignored)""",
+    uses=("programs", "edges", "ignored"),
+)
+def _(t):
+    return G.predecessors(t.edges, J.out_of_scope(t.programs.select("id"), t.ignored, "id"))
+
+
+@query(
+    "g6_lineage",
+    """WITH f AS (SELECT e.source, e.target, o.dataset AS s, i.dataset AS d FROM edges e JOIN node_outputs o ON o.id = e.source JOIN node_inputs i ON i.id = e.target),
+ x AS (SELECT source, target, s, d FROM f WHERE s = d UNION
+  SELECT f.source, f.target, f.s, f.d FROM f WHERE split_part(f.s, '.', -1) = split_part(f.d, '.', -1)
+  AND NOT EXISTS (SELECT 1 FROM f g WHERE g.source = f.source AND g.target = f.target AND g.s = g.d AND (g.s = f.s OR g.d = f.d)))
+SELECT target AS node_id, s AS source_dataset, min(d) AS target_dataset, CASE WHEN p.node_type = 'PROC_SORT' THEN 'reshape'
+ WHEN contains(upper(code), 'JOIN') THEN 'join' WHEN p.node_type = 'DATA_STEP' THEN 'derive' ELSE 'pass_through' END AS transformation
+FROM x JOIN programs p ON p.id = x.target GROUP BY ALL""",
+    uses=("programs", "edges", "node_outputs", "node_inputs"),
+)
+def _(t):
+    lists = [
+        d.groupBy("id").agg(F.collect_list("dataset").alias(n)) for d, n in ((t.node_inputs, "inputs"), (t.node_outputs, "outputs"))
+    ]
+    nodes = t.programs.join(lists[0], "id", "left").join(lists[1], "id", "left")
+    return G.lineage(nodes, t.edges)
+
+
+@query(
+    "g6_lineage_from_text",
+    """SELECT target AS node_id, CASE CAST(substr(target, 2) AS BIGINT) % 8 WHEN 1 THEN 'WORK.T' || substr(source, 2)
+ WHEN 2 THEN 'GG.R' || (CAST(substr(source, 2) AS BIGINT) % 50) WHEN 3 THEN 'WORK.S' || substr(source, 2) ELSE 'WORK.U' || substr(source, 2) END AS source_dataset,
+ CASE CAST(substr(target, 2) AS BIGINT) % 8 WHEN 1 THEN 'join' WHEN 2 THEN 'reshape' WHEN 3 THEN 'derive' ELSE 'pass_through' END AS transformation
+FROM edges WHERE source IN (SELECT id FROM programs)""",
+    uses=("programs", "edges"),
+)
+def _(t):
+    out = G.lineage(program_nodes(t), t.edges)
+    return out.select("node_id", "source_dataset", "transformation")
+
+
+@query(
+    "g6_lineage_coverage",
+    """SELECT (SELECT count(*) FROM programs) AS nodes, count(*) AS entries, count(DISTINCT target) AS covered_nodes,
+ round(count(DISTINCT target) / (SELECT count(*) FROM programs), 4) AS share FROM edges WHERE source IN (SELECT id FROM programs)""",
+    uses=("programs", "edges"),
+)
+def _(t):
+    nodes = program_nodes(t)
+    return G.lineage_coverage(nodes, G.lineage(nodes, t.edges))
+
+
+def program_nodes(t):
+    return G.program_io(t.programs)
+
+
+@query(
+    "g8_preview_steps",
+    """SELECT 'N' || o_orderkey AS id FROM orders WHERE o_orderkey % 4 = 0 AND o_orderkey % 12 <> 0""",
+)
+def _(t):
+    name = F.concat(F.lit("WORK.QUERY_FOR_"), F.col("o_orderkey").cast("string"))
+    nodes = t.orders.select(
+        F.concat(F.lit("N"), F.col("o_orderkey").cast("string")).alias("id"),
+        F.when(F.col("o_orderkey") % 2 == 0, "QUERY").otherwise("DATA_STEP").alias("node_type"),
+        F.array(F.when(F.col("o_orderkey") % 4 == 0, name).otherwise("GG.OUT")).alias("outputs"),
+        F.array(F.when(F.col("o_orderkey") % 12 == 0, name).otherwise("GG.BASE")).alias("inputs"),
+    )
+    return G.preview_steps(nodes)
+
+
+@query(
+    "g9_residue",
+    """WITH el AS (SELECT id, CASE WHEN pos % 4 = 0 THEN 'DATA' ELSE 'TASK' END AS type, pos FROM programs), nd AS (SELECT * FROM el WHERE pos % 4 <> 0 AND pos % 13 <> 0)
+SELECT (SELECT count(*) FROM el) AS total_elements, (SELECT count(*) FROM nd) AS materialized_nodes, (SELECT count(*) FROM nd WHERE pos % 5 = 0) AS tasks_without_code,
+ (SELECT count(*) FROM el WHERE type = 'TASK' AND pos % 13 = 0) AS unmaterialized_tasks, (SELECT count(*) FROM el WHERE type <> 'TASK') AS expected_non_nodes,
+ (SELECT count(*) FROM region) AS orphan_code_entries, (SELECT count(*) FROM nation) AS dropped_edges,
+ (SELECT count(*) FROM el WHERE type = 'TASK' AND pos % 13 = 0) + (SELECT count(*) FROM region) + (SELECT count(*) FROM nation WHERE n_regionkey = 1) AS unexplained_count""",
+    uses=("programs",),
+)
+def _(t):
+    el = t.programs.select("id", F.when(F.col("pos") % 4 == 0, "DATA").otherwise("TASK").alias("type"), "pos", "code")
+    nodes = el.filter("pos % 4 <> 0 AND pos % 13 <> 0").select("id", F.when(F.col("pos") % 5 != 0, F.col("code")).alias("code"))
+    dropped = t.nation.select(F.when(F.col("n_regionkey") == 1, "endpoint_unknown").otherwise("endpoint_not_node").alias("reason"))
+    return G.residue(el, nodes, dropped, t.region.select(F.col("r_name").alias("entry")))
+
+
+@query(
+    "g10_dep_context",
+    """WITH p AS (SELECT DISTINCT l_orderkey % 50 AS id, l_partkey AS predecessor FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY predecessor) AS rn FROM p)
+SELECT id, count(*) AS n_deps, greatest(count(*) - 12, 0) AS omitted, string_agg(CASE WHEN rn <= 12 THEN predecessor || '=' || p_brand END, ',' ORDER BY predecessor) AS context
+FROM r JOIN part ON p_partkey = predecessor GROUP BY 1""",
+)
+def _(t):
+    deps = t.lineitem.select((F.col("l_orderkey") % 50).alias("id"), F.col("l_partkey").alias("predecessor"))
+    targets = t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("label"), F.array(F.lit("WORK.X"), F.lit("GG.Y")).alias("outputs"))
+    out = G.dep_context(deps, targets)
+    return out.withColumn("context", F.array_join(F.transform("context", lambda c: F.concat_ws("=", c["predecessor"].cast("string"), c["label"])), ","))
+
+
+@query(
+    "a11_flow_summary",
+    """WITH n AS (SELECT pfd_id, pos % 8 AS f, node_type, pos FROM programs), c AS (SELECT pfd_id, count(*) AS node_count,
+ count(DISTINCT node_type) AS n_types FROM n GROUP BY 1)
+SELECT pfd_id, 'PFD' AS container_type, node_count, n_types, true AS migratable, lower(regexp_replace(pfd_id, '[^A-Za-z0-9]+', '_', 'g')) AS slug FROM c""",
+    uses=("programs",),
+)
+def _(t):
+    flows = t.programs.select("pfd_id", F.col("pfd_id").alias("pfd_label")).distinct()
+    out = G.flow_summary(program_nodes(t), flows)
+    return out.select("pfd_id", "container_type", "node_count", F.size("node_types").cast("long").alias("n_types"), "migratable", "slug")
+
+
+@query(
+    "a11_flow_datasets",
+    """WITH n AS (SELECT pfd_id, pos % 8 AS f, pos AS o FROM programs), d AS (
+ SELECT pfd_id, 'input' AS direction, unnest(CASE f WHEN 0 THEN ['GG.BASE'] WHEN 1 THEN ['WORK.T' || (o - 1), 'GG.SUCURSALES'] WHEN 2 THEN ['GG.R' || ((o - 1) % 50)]
+  WHEN 3 THEN ['WORK.S' || (o - 1)] WHEN 4 THEN ['WORK.U' || (o - 1)] WHEN 5 THEN ['WORK.DELTA'] WHEN 6 THEN [] ELSE ['WORK.A', 'GG.BASE'] END) AS dataset FROM n
+ UNION SELECT pfd_id, 'output', unnest(CASE f WHEN 0 THEN ['WORK.T' || o] WHEN 1 THEN ['GG.R' || (o % 50)] WHEN 2 THEN ['WORK.S' || o] WHEN 3 THEN ['WORK.U' || o]
+  WHEN 4 THEN [] WHEN 5 THEN ['GG.HIST'] WHEN 6 THEN ['WORK.RESP'] ELSE ['WORK.OUT1'] END) FROM n)
+SELECT * FROM d UNION SELECT DISTINCT pfd_id, 'library', split_part(dataset, '.', 1) FROM d""",
+    uses=("programs",),
+)
+def _(t):
+    return G.flow_datasets(program_nodes(t))
+
+
+# --- matching and plan -----------------------------------------------------------------------
+
+
+@query(
+    "j13_match_references",
+    """WITH f AS (SELECT 'ref/' || CASE WHEN pos % 2 = 0 THEN 'r' || (pos % 70) ELSE 'hist_' || pos END || CASE WHEN pos % 3 = 0 THEN '.csv' ELSE '.txt' END AS path FROM programs WHERE pos % 5 = 0),
+ s AS (SELECT path, upper(regexp_extract(path, 'ref/(.*)\\.[a-z]+$', 1)) AS stem, min(path) OVER (PARTITION BY upper(regexp_extract(path, 'ref/(.*)\\.[a-z]+$', 1))) AS first FROM (SELECT DISTINCT path FROM f)),
+ w AS (SELECT DISTINCT split_part(dataset, '.', -1) AS stem FROM node_outputs WHERE dataset LIKE 'GG.%')
+SELECT w.stem AS table_name, path, CASE WHEN path IS NULL THEN 'unmatched_table' WHEN w.stem IS NULL THEN 'unmatched_file' WHEN path = first THEN 'matched' ELSE 'duplicate' END AS status
+FROM w FULL JOIN s USING (stem)""".replace("\\\\", "\\"),
+    uses=("programs", "node_outputs"),
+)
+def _(t):
+    stem = F.when(F.col("pos") % 2 == 0, F.concat(F.lit("r"), (F.col("pos") % 70).cast("string"))).otherwise(F.concat(F.lit("hist_"), F.col("pos").cast("string")))
+    ext = F.when(F.col("pos") % 3 == 0, ".csv").otherwise(".txt")
+    files = t.programs.filter("pos % 5 = 0").select(F.concat(F.lit("ref/"), stem, ext).alias("path")).distinct()
+    tables = t.node_outputs.filter("dataset LIKE 'GG.%'").select(F.col("dataset").alias("table_name"))
+    return L.match_references(files, tables)
+
+
+@query(
+    "j14_match_files",
+    """WITH d AS (SELECT min(struct_pack(dataset := dataset, id := id)) AS m FROM node_outputs WHERE dataset LIKE 'GG.HIST')
+SELECT 'in/' || o_orderkey || '/' || CASE o_orderkey % 4 WHEN 0 THEN 'hist.csv' WHEN 1 THEN 'hist_202401.csv' WHEN 2 THEN 'old hist copy.csv' ELSE 'zz.csv' END AS path,
+ CASE WHEN o_orderkey % 4 < 3 THEN (SELECT m.id FROM d) END AS id, CASE WHEN o_orderkey % 4 < 3 THEN (SELECT m.dataset FROM d) END AS dataset,
+ CASE WHEN o_orderkey % 4 < 3 THEN 'output' ELSE 'unknown' END AS role, CASE o_orderkey % 4 WHEN 0 THEN 0.95 WHEN 1 THEN 0.8 WHEN 2 THEN 0.45 ELSE 0.0 END::DOUBLE AS confidence,
+ CASE o_orderkey % 4 WHEN 0 THEN 'same name' WHEN 1 THEN 'same name without digits and symbols' WHEN 2 THEN 'rarest shared word' ELSE 'no candidate' END AS reason,
+ o_orderkey % 4 >= 2 AS needs_confirmation FROM orders""",
+    uses=("node_outputs",),
+)
+def _(t):
+    key = F.col("o_orderkey")
+    name = F.when(key % 4 == 0, "hist.csv").when(key % 4 == 1, "hist_202401.csv").when(key % 4 == 2, "old hist copy.csv").otherwise("zz.csv")
+    files = t.orders.select(
+        F.concat(F.lit("in/"), key.cast("string"), F.lit("/"), name).alias("path"), F.array(F.lit("ID"), F.lit("MONTO")).alias("columns")
+    )
+    steps = t.node_outputs.filter("dataset = 'GG.HIST'").select("id", "dataset", F.lit("output").alias("role"), F.array(F.lit("ID")).alias("columns"))
+    return L.match_files(files, steps)
+
+
+def _plan(t):
+    refs, facts = P.place_facts(t.programs)
+    placed = P.place(refs, facts, C.project_db_libs(C.librefs(t.programs))).select("id", "placement")
+    nodes = program_nodes(t).join(placed, "id")
+    order = t.programs.select("id", (F.col("pos") - 1).alias("topo_order"))
+    flows = t.programs.select("pfd_id").distinct().select(
+        "pfd_id", F.lower("pfd_id").alias("pfd_label"), (F.col("pfd_id") != "PFD-3").alias("migratable"), F.lower("pfd_id").alias("slug"), F.lit(0).alias("position")
+    )
+    over = t.programs.filter("pos % 16 = 0").select("id", F.lit("sql_pushdown").alias("placement"))
+    deps = G.predecessors(t.edges)
+    params = t.programs.select("id", F.explode(F.array_distinct(F.regexp_extract_all("code", F.lit(C.PARAMETER), F.lit(1)))).alias("variable"))
+    files = t.programs.filter("pos % 10 = 0").select("id", F.concat(F.lit("in/"), "id").alias("path"), F.when(F.col("pos") % 20 == 0, "input").otherwise("output").alias("role"))
+    better = t.programs.filter("pos % 6 = 0").select("id", F.lit("M-001").alias("improvement"), F.when(F.col("pos") % 12 == 0, "approved").otherwise("rejected").alias("status"))
+    return L.build_plan(nodes, order, flows, t.ignored, deps, over, {"parameters": params, "files": files, "improvements": better})
+
+
+_SCOPE = "k AS (SELECT * FROM programs WHERE id NOT IN (SELECT id FROM ignored) AND pfd_id <> 'PFD-3')"
+
+
+@query(
+    "l1_plan_targets",
+    f"""WITH {_SCOPE}, n AS (SELECT pfd_id, 'NB-' || lpad(CAST(row_number() OVER (ORDER BY pfd_id) AS VARCHAR), 2, '0') AS number FROM (SELECT DISTINCT pfd_id FROM k)),
+ p AS (SELECT *, CASE WHEN pos % 16 = 0 THEN 'sql_pushdown' WHEN pos % 8 IN (3, 4, 6) THEN 'pandas' ELSE 'hybrid' END AS place FROM k)
+SELECT id, node_type, pfd_id, pos - 1 AS topo_order, place AS placement, place AS strategy, 'output/' || number || '_' || lower(pfd_id) || '.ipynb' AS notebook_path,
+ CASE pos % 8 WHEN 1 THEN 'GG.R' || (pos % 50) WHEN 5 THEN 'GG.HIST' ELSE '' END AS output_tables, '' AS assumption FROM p JOIN n USING (pfd_id)""",
+    uses=("programs", "ignored"),
+)
+def _(t):
+    targets, _ = _plan(t)
+    out = targets.withColumn("output_tables", F.array_join("output_tables", ","))
+    return out.select("id", "node_type", "pfd_id", "topo_order", "placement", "strategy", "notebook_path", "output_tables", "assumption")
+
+
+@query(
+    "l1_plan_items",
+    f"""WITH {_SCOPE} SELECT target AS id, 'dependency' AS kind, source AS value FROM edges WHERE target IN (SELECT id FROM k) AND source IN (SELECT id FROM k)
+UNION ALL SELECT id, 'parameter', 'PERIODO' FROM k WHERE pos % 8 = 1
+UNION ALL SELECT id, 'parameter', 'base' FROM k WHERE contains(code, '&base')
+UNION ALL SELECT id, CASE WHEN pos % 20 = 0 THEN 'input_file' ELSE 'reference_file' END, 'in/' || id FROM k WHERE pos % 10 = 0
+UNION ALL SELECT id, 'improvement', 'M-001' FROM k WHERE pos % 12 = 0""",
+    uses=("programs", "edges", "ignored"),
+)
+def _(t):
+    return _plan(t)[1]
+
+
+# --- audit -----------------------------------------------------------------------------------
+
+
+@query(
+    "u1_audit_coverage",
+    """SELECT id, 'missing_mapping' AS rule, 'high' AS severity, 'coverage' AS category FROM programs WHERE id NOT IN (SELECT id FROM mappings) AND id NOT IN (SELECT id FROM ignored)
+UNION ALL SELECT id, 'extra_mapping', 'medium', 'coverage' FROM mappings WHERE id NOT IN (SELECT id FROM programs)""",
+    uses=("programs", "mappings", "ignored"),
+)
+def _(t):
+    return U.audit_coverage(t.programs, t.mappings, t.ignored)
+
+
+_TARGET = {
+    0: "df = pd.read_sql('select * from base', con)",
+    1: "df.to_sql('r', con, if_exists='append')",
+    2: "x = 1",
+    3: "DELETE FROM hist; insert into hist select 1",
+    4: "requests.get('https://other.example.net')",
+    5: "con.execute('DELETE FROM GG.HIST')",
+    6: "pd.read_sql('select * from [dbo].hist', con)",
+    7: "df = df.merge(other); pd.read_sql(f\"select {x}\", con)",
+}
+
+
+def _target_code(t):
+    chain = F.when(F.lit(False), "")
+    for k, v in _TARGET.items():
+        chain = chain.when(F.col("pos") % 8 == k, v)
+    return t.programs.select("id", chain.alias("text"))
+
+
+@query(
+    "u2_audit_pairs",
+    """SELECT id, CASE pos % 8 WHEN 1 THEN 'replace_to_append' WHEN 5 THEN 'append_to_delete' ELSE 'http_missing' END AS rule,
+ CASE pos % 8 WHEN 1 THEN 'medium' ELSE 'high' END AS severity, 'semantic' AS category FROM programs WHERE pos % 8 IN (1, 5, 6)
+UNION ALL SELECT id, 'credential_handling', 'medium', 'security' FROM programs WHERE pos % 8 = 6""",
+    uses=("programs",),
+)
+def _(t):
+    return U.audit_pairs(C.features(t.programs, C.SOURCE_FEATURES), C.features(_target_code(t), C.TARGET_FEATURES, text="text"))
+
+
+@query(
+    "u2_audit_place",
+    """SELECT id, CASE pos % 8 WHEN 0 THEN 'extract_without_where' WHEN 6 THEN 'utility_with_io' ELSE 'dynamic_sql' END AS rule,
+ CASE pos % 8 WHEN 0 THEN 'medium' WHEN 6 THEN 'low' ELSE 'high' END AS severity, 'placement' AS category FROM programs WHERE pos % 8 IN (0, 6, 7)""",
+    uses=("programs",),
+)
+def _(t):
+    place = F.when(F.col("pos") % 8 == 7, "pandas").when(F.col("pos") % 8 == 6, "utility").otherwise("hybrid")
+    return U.audit_place(_target_code(t).join(t.programs.select("id", place.alias("placement")), "id"))
+
+
+@query(
+    "u3_audit_origin",
+    """WITH c AS (SELECT id, pos, o_custkey % 3 AS h FROM programs JOIN orders ON o_orderkey = pos)
+SELECT id, 'http_replaced_by_read' AS rule, 'high' AS severity, 'semantic' AS category FROM c WHERE pos % 8 = 6 AND pos % 16 = 6
+UNION ALL SELECT id, 'endpoint_changed', 'high', 'semantic' FROM c WHERE pos % 16 = 14 AND h < 2""",
+    uses=("programs",),
+)
+def _(t):
+    fills = t.programs.withColumn("code", F.when(F.col("pos") % 8 == 6, F.concat("code", F.lit(" PROC APPEND BASE=GG.HIST DATA=RESP; RUN;"))).otherwise(F.col("code")))
+    code = _target_code(t).join(t.programs.select("id", "pos"), "id")
+    code = code.withColumn("text", F.when(F.col("pos") % 16 == 14, "requests.get('https://other.example.net')").otherwise(F.col("text")))
+    return U.audit_origin(fills, code)
+
+
+@query(
+    "u7_audit_summary",
+    """WITH miss AS (SELECT count(*) AS n FROM programs WHERE id NOT IN (SELECT id FROM mappings) AND id NOT IN (SELECT id FROM ignored)),
+ extra AS (SELECT count(*) AS n FROM mappings WHERE id NOT IN (SELECT id FROM programs)), d AS (SELECT count(*) AS n FROM programs WHERE pos % 30 = 1),
+ v AS (SELECT count(*) AS n FROM programs WHERE pos % 40 = 2), ig AS (SELECT count(*) AS n FROM ignored WHERE id IN (SELECT id FROM programs))
+SELECT (SELECT count(*) FROM programs) AS nodes_total, (SELECT count(*) FROM programs) - ig.n AS nodes_in_scope, ig.n AS ignored, (SELECT count(DISTINCT id) FROM mappings) AS mappings_total,
+ miss.n + extra.n + d.n + v.n AS issues_total, miss.n + d.n AS issues_high, extra.n + v.n AS issues_medium, CAST(0 AS BIGINT) AS issues_low, miss.n AS missing_mapping, extra.n AS extra_mapping
+FROM miss, extra, d, v, ig""",
+    uses=("programs", "mappings", "ignored"),
+)
+def _(t):
+    maps = t.programs.select("id", (F.col("pos") % 30 == 1).alias("degraded"), F.lit(None).cast("string").alias("degraded_reason"))
+    reviews = t.programs.select(
+        "id", F.when(F.col("pos") % 40 == 2, "revise").otherwise("ok").alias("verdict"), F.array(*[F.lit(x) for x in "abcd"]).alias("issues")
+    )
+    issues = U.audit_issues(U.audit_coverage(t.programs, t.mappings, t.ignored), U.degraded_issues(maps), U.review_issues(reviews))
+    return U.audit_summary(issues, t.programs, t.mappings, t.ignored)
+
+
+@query(
+    "u7_issues_per_node",
+    """SELECT id, CAST(CASE pos % 8 WHEN 6 THEN 2 ELSE 1 END AS BIGINT) AS n_issues, CASE pos % 8 WHEN 1 THEN 'replace_to_append' WHEN 5 THEN 'append_to_delete'
+ ELSE 'credential_handling; http_missing' END AS rules FROM programs WHERE pos % 8 IN (1, 5, 6)""",
+    uses=("programs",),
+)
+def _(t):
+    return U.issues_per_node(U.audit_pairs(C.features(t.programs, C.SOURCE_FEATURES), C.features(_target_code(t), C.TARGET_FEATURES, text="text")))
+
+
+@query(
+    "u8_check_gates",
+    """WITH d AS (SELECT id FROM programs EXCEPT SELECT id FROM mappings UNION ALL (SELECT id FROM mappings EXCEPT SELECT id FROM programs)),
+ p AS (SELECT id FROM programs WHERE pos % 500 = 3), n AS (SELECT count(*) AS t, count(DISTINCT trim(text)) AS u FROM conversations WHERE trim(text) <> '')
+SELECT 'same_ids' AS gate, count(*) = 0 AS passed, count(*) AS n_bad, 'e.g. ' || (SELECT string_agg(id, ', ' ORDER BY id) FROM (SELECT id FROM d ORDER BY id LIMIT 10)) AS error FROM d
+UNION ALL SELECT 'pending', count(*) = 0, count(*), 'e.g. ' || (SELECT string_agg(id, ', ' ORDER BY id) FROM (SELECT id FROM p ORDER BY id LIMIT 5)) FROM p
+UNION ALL SELECT 'classified', true, 0, ''
+UNION ALL SELECT 'notes', u / t >= 0.5, CASE WHEN u / t >= 0.5 THEN 0 ELSE t - u END, CASE WHEN u / t >= 0.5 THEN '' ELSE u || ' distinct of ' || t END FROM n
+UNION ALL SELECT 'contradiction', false, 1, 'e.g. performance'""",
+    uses=("programs", "mappings"),
+)
+def _(t):
+    progs = t.programs.withColumn("status", F.when(F.col("pos") % 500 == 3, "pending").otherwise("reviewed"))
+    spark = t.spark
+    words = t.region.filter("r_regionkey < 2").select(F.when(F.col("r_regionkey") == 0, "Performance").otherwise("security").alias("category"), F.lit("No improvements found").alias("verdict"))
+    findings = C.scan_rules(t.programs).select("category").distinct()
+    cards = spark.createDataFrame([("security",)], "category STRING")
+    return U.check_gates(
+        U.gate_same_keys(t.programs, t.mappings, "same_ids"),
+        U.gate_none(progs, "pending", "status <> 'reviewed'", "id"),
+        U.gate_none(C.classify_step(t.programs), "classified", "classification IS NULL", "id"),
+        U.gate_distinct_notes(t.conversations, "notes", "text"),
+        U.gate_contradictions(words, findings, cards, "contradiction"),
+    )
+
+
+@query(
+    "u9_validate_rows",
+    """WITH e AS (SELECT count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) + count(*) FILTER (o_orderkey % 50 = 0) AS n FROM orders)
+SELECT (SELECT count(*) FROM orders) AS n_checked, n AS n_errors FROM e""",
+)
+def _(t):
+    rows = t.orders.withColumn("o_custkey", F.when(F.col("o_orderkey") % 50 != 0, F.col("o_custkey")))
+    contract = {"o_custkey": {"required": True, "type": "bigint"}, "o_orderstatus": {"required": True, "enum": ["F", "O"]}, "o_orderdate": {"type": "timestamp"}}
+    return U.validate_rows(rows, contract, "o_orderkey").drop("errors")

@@ -1 +1,327 @@
-"""Queries."""
+"""Queries for readers, writers, archives and streams."""
+
+from __future__ import annotations
+
+import io
+import uuid
+import zipfile
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from tablesteps.plans import ledger as K
+from tablesteps.plans.programs import from_run_logs
+from tablesteps.queries.base import query
+from tablesteps.queries.ledgers import _previous, _reviews
+from tablesteps.session import scratch_dir
+from tablesteps.sources import archives as Z
+from tablesteps.sources import readers as S
+from tablesteps.sources import sinks as W
+from tablesteps.streaming import streams as T
+
+
+def _place(t, label):
+    return f"{scratch_dir(t.spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _table(t, df, label, partition_by=()):
+    """A new catalog table with its files in the scratch folder."""
+    name = f"{label}_{uuid.uuid4().hex[:12]}"
+    W.create_as(df, name, path=_place(t, label), partition_by=partition_by)
+    return name
+
+
+# --- readers ---------------------------------------------------------------------------------
+
+
+@query("s1_read_delimited", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_acctbal AS DOUBLE) AS c_acctbal FROM customer")
+def _(t):
+    path = _place(t, "csv")
+    W.export_csv(t.customer.select("c_custkey", "c_name", "c_acctbal"), path, sep=";")
+    return S.read_delimited(t.spark, path, sep=";", schema="c_custkey STRING, c_name STRING, c_acctbal DOUBLE")
+
+
+@query("s2_detect_encoding", "SELECT doc_id, lang, length(text) AS n FROM documents WHERE lang IN ('es', 'fr')")
+def _(t):
+    path = _place(t, "latin")
+    latin = F.regexp_replace(F.regexp_replace("text", r"[^\x00-\xFF]", "?"), "[\r\n]", " ")
+    rows = t.documents.filter("lang IN ('es', 'fr')").select("doc_id", "lang", latin.alias("text"))
+    rows.write.option("header", True).option("encoding", "ISO-8859-1").option("escape", '"').option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False
+    ).csv(path)
+    back = S.read_delimited(t.spark, path, schema="doc_id BIGINT, lang STRING, text STRING")
+    return back.select("doc_id", "lang", F.length("text").cast("long").alias("n"))
+
+
+@query("s3_read_table", "SELECT n_nationkey, n_name FROM nation")
+def _(t):
+    return S.read_table(t.spark, f"{t.sf_dir}/nation.parquet").select("n_nationkey", "n_name")
+
+
+@query("s4_read_qualified", "SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_acctbal > 0")
+def _(t):
+    name = _table(t, t.supplier, "supplier")
+    return S.read_table(t.spark, f"default.{name}").filter("s_acctbal > 0").select("s_suppkey", "s_name", "s_acctbal")
+
+
+@query("s5_read_where", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice >= 150000")
+def _(t):
+    out = S.read_where(t.spark, t.orders, "o_orderstatus = :status AND o_totalprice >= :price", {"status": "F", "price": "150000"})
+    return out.select("o_orderkey", "o_totalprice")
+
+
+@query("s6_read_table_named", "SELECT * FROM region")
+def _(t):
+    name = _table(t, t.region, "bd_r2024")
+    return S.read_table_named(t.spark, "bd_r&ANIO&TRIM", {"ANIO": "2024", "TRIM": name.removeprefix("bd_r2024")})
+
+
+@query(
+    "s8_json_flatten",
+    """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""",
+)
+def _(t):
+    return S.json_flatten(t.events.select("event_id", "props"), "props", "k BIGINT")
+
+
+@query(
+    "s8_json_series",
+    """SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS d, CASE WHEN event_id % 9 <> 0 THEN round(value, 2) END AS value FROM events WHERE event_id % 4 <> 0
+UNION ALL SELECT event_id, NULL, NULL FROM events WHERE event_id % 4 = 0""",
+)
+def _(t):
+    from tablesteps.functions.scalars import to_dmy, to_num
+
+    obs = F.struct(
+        F.date_format("ts", "dd-MM-yyyy").alias("indexDateString"),
+        F.when(F.col("event_id") % 9 == 0, "NeuN").otherwise(F.round("value", 2).cast("string")).alias("value"),
+    )
+    series = F.struct(F.struct(F.when(F.col("event_id") % 4 != 0, F.array(obs)).otherwise(F.array_remove(F.array(obs), obs)).alias("Obs")).alias("Series"))
+    raw = t.events.select("event_id", F.to_json(series).alias("body"))
+    flat = S.json_flatten(raw, "body", "Series STRUCT<Obs: ARRAY<STRUCT<indexDateString: STRING, value: STRING>>>", path="Series.Obs")
+    return flat.select("event_id", to_dmy("indexDateString").cast("string").alias("d"), to_num("value").alias("value"))
+
+
+@query("s9_file_catalog")
+def _(t):
+    return S.file_catalog(t.spark, t.sf_dir).select("name", "stem", "type", "bytes")
+
+
+def _trace_files(t):
+    """The trace as JSON lines, one of them torn."""
+    usage = F.struct(
+        "input_tokens", "output_tokens", F.col("cache_read_tokens").alias("cache_read_input_tokens"), F.col("cache_write_tokens").alias("cache_creation_input_tokens")
+    )
+    line = F.to_json(F.struct(F.date_format(F.col("at").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("at"), "task", "model", "outcome", "duration_ms", usage.alias("usage")))
+    path = _place(t, "trace")
+    torn = t.region.filter("r_regionkey = 0").select(F.lit('{"at": "2024-01-01T00:00:00Z", "task": "x", "usa').alias("value"))
+    t.trace.select(line.alias("value")).union(torn).write.text(path)
+    return path
+
+
+@query("s10_read_trace", "SELECT event_type AS task, count(*) AS calls, sum(event_id % 300)::BIGINT AS output_tokens FROM events GROUP BY 1")
+def _(t):
+    rows = S.read_trace(t.spark, _trace_files(t))
+    return rows.groupBy("task").agg(F.count(F.lit(1)).alias("calls"), F.sum("usage.output_tokens").alias("output_tokens"))
+
+
+def _zip_projects(batches):
+    """One small project archive per program, as bytes."""
+    for batch in batches:
+        out = []
+        for pid, code in zip(batch["id"], batch["code"], strict=True):
+            task, query_ = f"CodeTask-{pid}", f"Query-{pid}"
+            element = "<w><Element><ID>{0}</ID><Type>{1}</Type><Label>{0}</Label><Container>PFD-1</Container></Element></w>"
+            xml = (
+                "<P><Element><Label>demo</Label></Element><Elements>"
+                + element.format(task, "TASK") + element.format(query_, "TASK") + element.format("ImportTask-" + pid, "TASK")
+                + "<w><Element><ID>PFD-1</ID><Type>CONTAINER</Type><Label>Flow</Label></Element><PFD><Process>"
+                + f"<Element><ID>{query_}</ID></Element><Dependencies><D>{task}</D></Dependencies></Process></PFD></w></Elements></P>"
+            )
+            log = f"n note\ns  2    PROC SQL;\ns  3      SELECT '{pid}' FROM T;\ns  4    QUIT;\n"
+            buffer = io.BytesIO()
+            with zipfile.ZipFile(buffer, "w") as z:
+                z.writestr("project.xml", xml.encode("utf-16"))
+                z.writestr(f"{task}/code.sas", code)
+                z.writestr(f"old/PFD-1/{task}/code.sas", "old version")
+                z.writestr("old/PFD-1/CodeTask-gone/code.sas", "lost")
+                z.writestr(f"{query_}/Log-1/result.log", "n short")
+                z.writestr(f"{query_}/Log-2/result.log", log)
+            out.append((f"{pid}.egp", buffer.getvalue()))
+        yield pd.DataFrame(out, columns=["path", "content"])
+
+
+def _archives(t):
+    files = t.programs.select("id", "code").repartition(8, "id").mapInPandas(_zip_projects, "path STRING, content BINARY")
+    return Z.parse_archives(files)
+
+
+@query(
+    "s11_archive_nodes",
+    """SELECT id || '.egp' AS archive, 'CodeTask-' || id AS id, 'CodeTask' AS task_kind, code, false AS native FROM programs
+UNION ALL SELECT id || '.egp', 'Query-' || id, 'Query', '', false FROM programs
+UNION ALL SELECT id || '.egp', 'ImportTask-' || id, 'ImportTask', '', true FROM programs""",
+    uses=("programs",),
+)
+def _(t):
+    return _archives(t).nodes().select("archive", "id", "task_kind", "code", "native")
+
+
+@query(
+    "s11_archive_deps",
+    "SELECT id || '.egp' AS archive, 'CodeTask-' || id AS source, 'Query-' || id AS target FROM programs",
+    uses=("programs",),
+)
+def _(t):
+    return _archives(t).deps
+
+
+@query(
+    "s11_archive_orphans",
+    "SELECT id || '.egp' AS archive, 'CodeTask-gone' AS id, 'old/PFD-1/CodeTask-gone/code.sas' AS entry, 'snapshot' AS place FROM programs",
+    uses=("programs",),
+)
+def _(t):
+    return _archives(t).orphans
+
+
+@query(
+    "s11_archive_query_code",
+    "SELECT id || '.egp|Query-' || id AS log_id, 'PROC SQL;' || chr(10) || '  SELECT ''' || id || ''' FROM T;' || chr(10) || 'QUIT;' AS code FROM programs",
+    uses=("programs",),
+)
+def _(t):
+    return from_run_logs(Z.log_lines(_archives(t).logs)).select("log_id", "code")
+
+
+# --- writers ---------------------------------------------------------------------------------
+
+
+@query("k1_export_csv", "SELECT r_regionkey, r_name FROM region")
+def _(t):
+    path = _place(t, "export")
+    W.export_csv(t.nation, path)
+    W.export_csv(t.region, path, bom=True)
+    return S.read_delimited(t.spark, path, schema="r_regionkey INT, r_name STRING")
+
+
+@query("k2_write_replace", "SELECT n_nationkey, n_name, CAST(NULL AS INT) AS n_regionkey FROM nation WHERE n_nationkey > 5")
+def _(t):
+    name = _table(t, t.nation, "replace")
+    kept = t.spark.table(name).filter("n_nationkey > 5").select("n_name", "n_nationkey")
+    W.write_replace(kept, name, reads_target=True)
+    W.write_replace(t.spark.table(name), name, reads_target=True)
+    return t.spark.table(name)
+
+
+@query("k3_write_append", "SELECT * FROM region UNION ALL SELECT * FROM region UNION ALL SELECT r_regionkey + 10, 'X' FROM region")
+def _(t):
+    name = _table(t, t.region, "append")
+    W.write_append(t.region, name)
+    W.write_append(t.region.select(F.lit("X").alias("r_name"), (F.col("r_regionkey") + 10).alias("r_regionkey")), name)
+    return t.spark.table(name)
+
+
+@query("k4_create_as", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
+def _(t):
+    return t.spark.table(_table(t, t.orders.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")), "create"))
+
+
+@query(
+    "k5_write_period",
+    """SELECT o_orderkey, o_totalprice + CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS o_totalprice, o_orderstatus FROM orders WHERE o_orderstatus <> 'P'""",
+)
+def _(t):
+    base = t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus")
+    name = _table(t, base, "period", partition_by=["o_orderstatus"])
+    again = base.withColumn("o_totalprice", F.col("o_totalprice") + 1).filter("o_orderstatus = 'F'")
+    W.write_period(again, name, "o_orderstatus")
+    W.write_period(again, name, "o_orderstatus", periods=["F", "P"])
+    return t.spark.table(name)
+
+
+@query("k6_delete_from_table", "SELECT c_custkey, c_acctbal FROM customer WHERE NOT coalesce(c_acctbal < 1000, false)")
+def _(t):
+    name = _table(t, t.customer.select("c_custkey", "c_acctbal"), "delete")
+    W.delete_where(t.spark, name, "c_acctbal < :limit", {"limit": 1000})
+    return t.spark.table(name)
+
+
+@query("k10_observe_step", "SELECT 'orders' AS label, count(*) AS n_rows, CAST(6 AS BIGINT) AS n_columns, count(*) AS written_rows, true AS passed FROM orders WHERE o_orderstatus = 'O'")
+def _(t):
+    df, seen = W.observe_step(t.orders.filter("o_orderstatus = 'O'"), "orders")
+    path = _place(t, "observed")
+    df.write.parquet(path)
+    return W.check_written(seen, t.spark.read.parquet(path), "orders")
+
+
+# --- streams ---------------------------------------------------------------------------------
+
+
+@query(
+    "t1_trace_stream",
+    """WITH x AS (SELECT date_trunc('hour', ts) AS w, event_type AS task, event_id FROM events), c AS (SELECT max(date_trunc('millisecond', ts)) - INTERVAL 10 MINUTE AS cut FROM events)
+SELECT strftime(w, '%Y-%m-%d %H') AS window_start, task, count(*) AS calls, count(*) FILTER (event_id % 10 NOT IN (0, 5)) AS ok, count(*) FILTER (event_id % 10 = 0) AS needs_human,
+ count(*) FILTER (event_id % 10 = 5) AS errors, sum(event_id % 300)::BIGINT AS output_tokens FROM x, c WHERE w + INTERVAL 1 HOUR <= cut GROUP BY 1, 2""",
+)
+def _(t):
+    out, check = _place(t, "rollup"), _place(t, "rollup-check")
+    rolled = T.trace_stream(T.trace_source(t.spark, _trace_files(t)))
+    run = rolled.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start()
+    run.awaitTermination()
+    done = t.spark.read.parquet(out)
+    return done.select(F.date_format("window_start", "yyyy-MM-dd HH").alias("window_start"), "task", "calls", "ok", "needs_human", "errors", "output_tokens")
+
+
+def _stream_of(t, df, label):
+    path = _place(t, label)
+    df.write.parquet(path)
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
+
+
+@query(
+    "t2_ledger_stream",
+    """WITH r AS (SELECT DISTINCT 'N' || (event_id % 3000 * 7) AS id FROM events)
+SELECT l.id, pfd_id AS batch, CASE WHEN pos % 4 = 0 OR l.id IN (SELECT id FROM r) THEN 'reviewed' ELSE 'pending' END AS status FROM programs l""",
+    uses=("programs",),
+)
+def _(t):
+    ledger = K.ledger_init(t.programs, _previous(t))
+    path = _place(t, "ledger")
+    run = T.ledger_stream(_stream_of(t, _reviews(t).repartition(4), "reviews"), ledger, path, _place(t, "ledger-check"))
+    run.awaitTermination()
+    return T.latest_version(t.spark, path, run).select("id", "batch", "status")
+
+
+@query(
+    "t2_queue_stream",
+    """SELECT 'N' || (event_id % 90) AS node_id, max(event_id % 7) AS attempts FROM events GROUP BY 1""",
+)
+def _(t):
+    failures = t.events.select(
+        F.lit(6).alias("phase"), F.lit("translate").alias("task"), F.concat(F.lit("N"), (F.col("event_id") % 90).cast("string")).alias("node_id"),
+        F.lit("refusal").alias("reason"), F.lit("d").alias("detail"), (F.col("event_id") % 7).alias("attempts"), F.col("ts").cast("timestamp").alias("at"),
+    )
+    empty = t.spark.createDataFrame([], "id STRING, phase INT, task STRING, node_id STRING, reason STRING, detail STRING, attempts BIGINT, resolved BOOLEAN, resolution STRING")
+    path = _place(t, "queue")
+    run = T.queue_stream(_stream_of(t, failures.repartition(4), "failures"), empty, path, _place(t, "queue-check"))
+    run.awaitTermination()
+    return T.latest_version(t.spark, path, run).select("node_id", "attempts")
+
+
+@query(
+    "t3_reconcile_stream",
+    """SELECT o_orderstatus AS period, CASE WHEN o_orderstatus = 'O' THEN 'FAIL' ELSE 'PASS' END AS status FROM orders GROUP BY 1""",
+)
+def _(t):
+    ref = t.orders.select("o_orderkey", "o_totalprice", F.col("o_orderstatus").alias("period"))
+    gen = ref.withColumn("o_totalprice", F.when(F.col("period") == "O", F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    path = _place(t, "progress")
+    run = T.reconcile_stream(
+        _stream_of(t, gen.select("period").repartition(3), "arrivals"),
+        lambda p: ref.filter(F.col("period") == p).drop("period"),
+        lambda p: gen.filter(F.col("period") == p).drop("period"),
+        "period", path, _place(t, "progress-check"), ["o_orderkey"],
+    )
+    run.awaitTermination()
+    return T.latest_version(t.spark, path, run).select("period", "status")
