@@ -493,8 +493,7 @@ def http_evidence(programs: DataFrame, max_ids: int = MAX_IDS, samples: int = 3)
     calls = programs.select("id", methods.alias("_m"), sources.alias("_s"), F.explode(urls).alias("url")).withColumn("host", url_host("url"))
 
     def words(col: str, name: str) -> DataFrame:
-        few = calls.select("host", F.explode(col).alias("_x")).distinct()
-        return few.groupBy("host").agg(F.sort_array(F.collect_list("_x")).alias(name))
+        return _first_ids(calls.select("host", F.explode(col).alias("_x")), ["host"], "_x", 100, name)
 
     out = calls.select("host", "id").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_ids"))
     out = out.join(_first_ids(calls, ["host"], "id", max_ids), "host", "left")
@@ -516,18 +515,12 @@ def name_coverage(
     """Share of expected names that occur as whole identifiers in the texts of their id.
 
     -> (id, n_names, n_found, coverage, passed, missing). The gate speaks from ``min_names`` names
-    on. Texts meet their names in one join; each text's words are intersected with them in its row.
+    on. Distinct words meet the names by equality on (id, word); no pattern per name.
     """
     names = expected.select(F.col(id).alias("id"), base_name(name).alias("_name")).filter("_name <> ''").distinct()
-    wanted = names.groupBy("id").agg(F.collect_list("_name").alias("_names"))  # the names one id declares
-    words = F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(r"(?U)\w+"), F.lit(0)))
-    cells = texts.select(F.col(id).alias("id"), F.col(text).alias("_text"))
-    found = (
-        cells.join(wanted, "id")
-        .select("id", F.explode(F.array_intersect("_names", words)).alias("_name"))
-        .distinct()
-        .withColumn("_hit", F.lit(1))
-    )
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?U)\w+"), F.lit(0)))
+    said = texts.select(F.col(id).alias("id"), F.explode(words).alias("_name"))
+    found = names.join(said, ["id", "_name"], "left_semi").withColumn("_hit", F.lit(1))
     per_name = names.join(found, ["id", "_name"], "left")
     counts = per_name.groupBy("id").agg(F.count(F.lit(1)).alias("n_names"), F.count("_hit").alias("n_found"))
     lacking = _first_ids(per_name.filter("_hit IS NULL"), ["id"], "_name", listed, "missing")

@@ -1,8 +1,8 @@
 """Program texts to rows: statements, blocks, dataset references, step logic, execution place.
 
 Input is ``programs(id, code, ...)``. A text is cut with regular expressions inside its own row (no
-Python, no shuffle); state that runs along the statements of one text (inside PROC SQL, inside a
-DATA step) is a window over (id, pos). ``keys`` lets the same functions work per program or per
+Python, no shuffle), and so is the state that runs along its statements (inside PROC SQL, inside a
+DATA step). ``keys`` lets the same functions work per program or per
 block. All patterns start with ``(?U)``: names like ``AÑO`` are words.
 """
 
@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablesteps.operators.ordered import lag_n, pick_rows, retain_last
@@ -45,6 +44,7 @@ _COMMENT = r"/\*(?s:.*?)(?:\*/|\z)"
 _TOKEN = rf"""{_STRING}|{_COMMENT}|;|[^;"'/]++|/"""
 _MASK_TOKEN = rf"""(?:\A|;)(?:\s++|/\*(?s:.*?)\*/)*+%?+\*[^;]*+|{_STRING}|{_COMMENT}|;|[^;"'/]++|/"""
 _OPTIONS = r"\((?:[^()]++|\([^()]*+\))*+\)"
+_IDENTIFIER = r"^[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)?$"
 _BLOCK_START = r"(?imU)^(?=[ \t]*(?:PROC|DATA)\b)"
 
 
@@ -169,24 +169,62 @@ def pack_blocks(programs: DataFrame, limit: int = 40_000, code: str = "code") ->
 
 # --- statement facts -------------------------------------------------------------------------
 
-def tag_statements(stmts: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame:
-    """Statements with their words and state: + (toks, head, proc, in_sql, in_data)."""
-    w = W.partitionBy(*keys).orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    out = stmts.withColumn("toks", _words(F.col("stmt"))).filter(F.size("toks") > 0)
-    out = out.withColumns({"head": F.lower(F.get("toks", F.lit(0))), "_second": F.lower(F.get("toks", F.lit(1)))})
-    is_proc = (F.col("head") == "proc") & F.col("_second").isNotNull()
-    mark = F.when(is_proc, F.concat(F.lit("proc "), "_second")).when(F.col("head").isin("quit", "run"), "end")
-    out = out.withColumn("_mark", mark).withColumn(
-        "in_sql",
-        F.col("_mark").isNull() & F.coalesce(F.last("_mark", ignorenulls=True).over(w) == "proc sql", F.lit(False)),
-    )
-    opens = F.when(F.col("_mark").isNotNull(), "none").when((F.col("head") == "data") & ~F.col("in_sql"), "data")
-    return (
-        out.withColumn("_open", opens)
-        .withColumn("in_data", F.coalesce(F.last("_open", ignorenulls=True).over(w) == "data", F.lit(False)))
-        .withColumn("proc", F.when(is_proc, F.col("_second")))
-        .drop("_second", "_mark", "_open")
+_MARKS = "SPE"  # a PROC SQL, another PROC, RUN or QUIT; D is a DATA head
+
+
+def _heads(pieces: Column) -> Column:
+    """Per statement one letter: S (PROC SQL), P (other PROC), E (RUN/QUIT), D (DATA), ``-``."""
+    word = r"(?U)[^\w.&%\"']*([\w.&%]+)"
+
+    def letter(stmt: Column) -> Column:
+        first = F.lower(F.regexp_extract(stmt, f"^{word}", 1))
+        second = F.lower(F.regexp_extract(stmt, f"^{word}{word}", 2))
+        return (
+            F.when((first == "proc") & (second == "sql"), "S")
+            .when((first == "proc") & (second != ""), "P")
+            .when(first.isin("run", "quit"), "E")
+            .when(first == "data", "D")
+            .otherwise("-")
+        )
+
+    return F.array_join(F.transform(pieces, letter), "")
+
+
+def _states(pieces: Column) -> Column:
+    """Per statement the state it runs in: ``s`` inside PROC SQL, ``d`` inside a DATA step, else other.
+
+    The letters are cut before each mark; what follows S is SQL, what follows the first D of any
+    other stretch is a DATA step. Linear in the text, and all in the row of the program.
+    """
+
+    def fill(part: Column) -> Column:
+        at = F.when(part.startswith("S"), 1).otherwise(F.instr(part, "D"))
+        state = F.when(part.startswith("S"), "s").otherwise("d")
+        return F.when(at == 0, part).otherwise(
+            F.concat(F.substring(part, F.lit(1), at), F.repeat(state, F.length(part) - at))
+        )
+
+    parts = F.split(_heads(pieces), f"(?=[{_MARKS}])")
+    return F.regexp_extract_all(F.array_join(F.transform(parts, fill), ""), F.lit("."), F.lit(0))
+
+
+def tag_statements(programs: DataFrame, keys: Sequence[str] = ("id",), code: str = "code") -> DataFrame:
+    """Statements with their words and state -> (keys..., pos, stmt, toks, head, proc, in_sql, in_data)."""
+    pieces = programs.select(*keys, _pieces(F.col(code)).alias("_p"))
+    both = F.arrays_zip(F.col("_p").alias("stmt"), _states(F.col("_p")).alias("state"))
+    rows = pieces.select(*keys, F.posexplode(both).alias("pos", "_s")).select(
+        *keys, "pos", F.col("_s.stmt").alias("stmt"), F.col("_s.state").alias("_state")
     )
+    out = rows.withColumn("toks", _words(F.col("stmt")))  # no words: no head, and every rule below is silent
+    head, second = F.lower(F.get("toks", F.lit(0))), F.lower(F.get("toks", F.lit(1)))
+    return out.withColumns(
+        {
+            "head": head,
+            "proc": F.when((head == "proc") & second.isNotNull(), second),
+            "in_sql": F.col("_state") == "s",
+            "in_data": F.col("_state") == "d",
+        }
+    ).drop("_state")
 
 
 def _hits(text: Column, pattern: str, direction: str | Column, kind: str | Column, group: int = 1) -> Column:
@@ -246,14 +284,13 @@ def dataset_refs(programs: DataFrame, keys: Sequence[str] = ("id",), tagged: Dat
     """
     keys = list(keys)
     if tagged is None:
-        tagged = tag_statements(statements(programs, keys), keys)
+        tagged = tag_statements(programs, keys)
     rows = tagged.select(*keys, "pos", F.posexplode(_statement_refs()).alias("_seq", "_r")).select(*keys, "pos", "_seq", "_r.*")
-    name = F.regexp_replace(F.trim(F.regexp_replace("token", _OPTIONS, "")), ",+$", "")
-    rows = rows.withColumn("_name", name).filter(
+    rows = rows.withColumn("_name", _name_of(F.col("token"))).filter(
         (F.col("_name") != "") & ~F.col("_name").startswith("<") & (F.upper("_name") != "_NULL_")
     )
     macro = F.col("_name").rlike(r"(?U)&\w+")
-    plain = F.col("_name").rlike(r"^[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)?$")
+    plain = F.col("_name").rlike(_IDENTIFIER)
     dotted = F.instr("_name", ".") > 0
     rows = rows.filter(macro | plain).select(
         *keys,
@@ -270,50 +307,62 @@ def dataset_refs(programs: DataFrame, keys: Sequence[str] = ("id",), tagged: Dat
     return pick_rows(rows, [*keys, "direction", "libref", "table"], ["pos", "_seq"]).drop("_seq")
 
 
-def file_refs(programs: DataFrame, keys: Sequence[str] = ("id",), tagged: DataFrame | None = None) -> DataFrame:
-    """Data files read or written -> (keys..., mode, path, pos): quoted data sets, IMPORT/EXPORT, INFILE/FILE."""
-    keys = list(keys)
-    if tagged is None:
-        tagged = tag_statements(statements(programs, keys), keys)
+def _statement_files() -> Column:
+    """Array of (mode, path) a tagged statement names: quoted data sets, IMPORT/EXPORT, INFILE/FILE."""
     stmt = F.col("stmt")
     writes = (F.col("head") == "data") | stmt.rlike(r"""(?i)create\s+table\s*['"]""")
     quoted = F.filter(
-        F.flatten(F.transform(F.array(F.lit(1), F.lit(2)), lambda g: F.regexp_extract_all(stmt, F.lit(DATA_FILE), g))),
-        lambda p: p != "",
+        F.concat(*[F.regexp_extract_all(stmt, F.lit(DATA_FILE), F.lit(g)) for g in (1, 2)]), lambda p: p != ""
     )
 
     def one(pattern: str) -> Column:
         return F.regexp_replace(F.regexp_extract(stmt, pattern, 1), """^["']+|["']+$""", "")
 
     named = r"""("[^"]+"|'[^']+'|\S+)"""
+    sql = F.col("in_sql")
     single = (
         F.when(F.col("proc").isin("import", "export"), one(rf"(?i)(?:datafile|outfile)\s*=\s*{named}"))
-        .when(F.col("head") == "infile", F.when(~F.col("in_sql"), one(rf"(?i)infile\s+{named}")))
-        .when((F.col("head") == "file") & F.col("in_data") & ~F.col("in_sql"), one(rf"(?i)file\s+{named}"))
-    )
-    mode = F.when(F.col("proc") == "import", "read").when(F.col("proc") == "export", "write").when(
-        F.col("head") == "infile", "read"
-    ).otherwise("write")
-    found = F.concat(
-        F.transform(quoted, lambda p: F.struct(F.when(writes, "write").otherwise("read").alias("mode"), p.alias("path"))),
-        F.when(F.coalesce(single, F.lit("")) != "", F.array(F.struct(mode.alias("mode"), single.alias("path")))).otherwise(
-            F.array().cast("array<struct<mode:string,path:string>>")
-        ),
+        .when((F.col("head") == "infile") & ~sql, one(rf"(?i)infile\s+{named}"))
+        .when((F.col("head") == "file") & F.col("in_data"), one(rf"(?i)file\s+{named}"))
     )
-    rows = tagged.select(*keys, "pos", F.inline(found))
+    reads = (F.col("proc") == "import") | (F.col("head") == "infile")
+    mode = F.when(F.coalesce(reads, F.lit(False)), "read").otherwise("write")
+    first = F.transform(quoted, lambda p: F.struct(F.when(writes, "write").otherwise("read").alias("mode"), p.alias("path")))
+    then = F.when(F.coalesce(single, F.lit("")) != "", F.array(F.struct(mode.alias("mode"), single.alias("path"))))
+    return F.concat(first, F.coalesce(then, F.array().cast("array<struct<mode:string,path:string>>")))
+
+
+def file_refs(programs: DataFrame, keys: Sequence[str] = ("id",), tagged: DataFrame | None = None) -> DataFrame:
+    """Data files read or written -> (keys..., mode, path, pos), the first mention of each."""
+    keys = list(keys)
+    if tagged is None:
+        tagged = tag_statements(programs, keys)
+    rows = tagged.select(*keys, "pos", F.inline(_statement_files()))
     return pick_rows(rows, [*keys, "mode", "path"], ["pos"]).select(*keys, "mode", "path", "pos")
 
 
+def _squeezed() -> Column:
+    return F.lower(F.trim(F.regexp_replace("stmt", r"(?U)\s+", " ")))
+
+
+def _through() -> Column:
+    """Does a tagged statement hand SQL to a database as it is."""
+    low = _squeezed()
+    return F.col("in_sql") & (
+        low.contains("connect to") | low.contains("connection to") | low.rlike(r"(?sU)\bexecute\b.*\bby\b")
+    )
+
+
 def passthrough(programs: DataFrame, keys: Sequence[str] = ("id",), tagged: DataFrame | None = None) -> DataFrame:
     """Statements that already ran in a database -> (keys..., pos, alias); alias only for CONNECT TO."""
     keys = list(keys)
     if tagged is None:
-        tagged = tag_statements(statements(programs, keys), keys)
-    low = F.lower(F.trim(F.regexp_replace("stmt", r"(?U)\s+", " ")))
-    hit = F.col("in_sql") & (low.contains("connect to") | low.contains("connection to") | low.rlike(r"(?sU)\bexecute\b.*\bby\b"))
+        tagged = tag_statements(programs, keys)
+    low = _squeezed()
     as_name = F.regexp_extract(low, r"(?U)connect to (\w+)(?: as (\w+))?", 2)
     name = F.regexp_extract(low, r"(?U)connect to (\w+)", 1)
-    return tagged.filter(hit).select(*keys, "pos", F.upper(F.when(as_name != "", as_name).otherwise(name)).alias("alias"))
+    alias = F.upper(F.when(as_name != "", as_name).otherwise(name))
+    return tagged.filter(_through()).select(*keys, "pos", alias.alias("alias"))
 
 
 def _logic() -> tuple[Column, Column]:
@@ -333,7 +382,7 @@ def step_logic(programs: DataFrame, keys: Sequence[str] = ("id",), tagged: DataF
     """Does a DATA step need row state, or could SQL say it -> flags and up to 20 evidence lines."""
     keys = list(keys)
     if tagged is None:
-        tagged = tag_statements(statements(programs, keys), keys)
+        tagged = tag_statements(programs, keys)
     logic, procedural = _logic()
     line = F.substring(F.regexp_replace("stmt", r"(?U)\s+", " "), 1, 100)
     rows = tagged.filter(logic).select(*keys, "pos", procedural.alias("_procedural"), line.alias("_line"))
@@ -352,96 +401,102 @@ def step_logic(programs: DataFrame, keys: Sequence[str] = ("id",), tagged: DataF
 
 # --- execution place -------------------------------------------------------------------------
 
-def place_facts(programs: DataFrame, keys: Sequence[str] = ("id",)) -> tuple[DataFrame, DataFrame]:
-    """(references, flags per key) that ``place`` decides on."""
+def _name_of(token: Column) -> Column:
+    return F.regexp_replace(F.trim(F.regexp_replace(token, _OPTIONS, "")), ",+$", "")
+
+
+def place_facts(programs: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame:
+    """What ``place`` decides on, one row per key; one pass over the statements, folded map-side.
+
+    (keys..., libs: libraries referred to, has_macro, has_passthrough, touches_files, has_logic,
+    has_procedural, order_procs, own_libs: database libraries the text declares)
+    """
     keys = list(keys)
-    tagged = tag_statements(statements(programs, keys), keys)
-    refs = dataset_refs(programs, keys, tagged)
+    tagged = tag_statements(programs, keys)
     logic, procedural = _logic()
-    low = F.lower(F.regexp_replace("stmt", r"(?U)\s+", " "))
-    through = F.col("in_sql") & (
-        low.contains("connect to") | low.contains("connection to") | low.rlike(r"(?sU)\bexecute\b.*\bby\b")
-    )
     engine = F.upper(F.get("toks", F.lit(2)))
     own = (F.col("head") == "libname") & ~F.col("in_sql") & engine.isin(*DB_ENGINES)
-    flags = tagged.groupBy(*keys).agg(
-        F.bool_or(through).alias("has_passthrough"),
-        F.bool_or(logic).alias("has_logic"),
-        F.bool_or(procedural).alias("has_procedural"),
-        F.sort_array(F.collect_set(F.when(F.col("proc").isin(*ORDER_PROCS), F.col("proc")))).alias("order_procs"),
-        F.collect_set(F.when(own, F.upper(F.get("toks", F.lit(1))))).alias("own_libs"),
-    )
-    files = file_refs(programs, keys, tagged).select(*keys).distinct().withColumn("touches_files", F.lit(True))
-    flags = programs.select(*keys).join(flags, keys, "left").join(files, keys, "left")
-    filled = {c: F.coalesce(c, F.lit(False)) for c in ("has_passthrough", "has_logic", "has_procedural", "touches_files")}
-    filled |= {c: F.coalesce(c, F.array().cast("array<string>")) for c in ("order_procs", "own_libs")}
-    return refs, flags.withColumns(filled)
-
-
-def place(
-    refs: DataFrame,
-    facts: DataFrame,
-    libs: DataFrame,
-    sql_first: bool = False,
-    keys: Sequence[str] = ("id",),
-) -> DataFrame:
+    named = F.filter(
+        F.transform(_statement_refs(), lambda r: _name_of(r["token"])),
+        lambda n: (n != "") & ~n.startswith("<") & (F.upper(n) != "_NULL_"),
+    )
+    tagged = tagged.withColumn("_names", named)
+    names = F.col("_names")
+    plain = F.filter(names, lambda n: n.rlike(_IDENTIFIER))
+    libs = F.transform(plain, lambda n: F.when(F.instr(n, ".") > 0, F.upper(F.substring_index(n, ".", 1))).otherwise("WORK"))
+    rows = tagged.select(
+        *keys,
+        F.array_distinct(libs).alias("_libs"),
+        F.exists(names, lambda n: n.rlike(r"(?U)&\w+")).alias("_macro"),
+        _through().alias("_through"),
+        (F.size(_statement_files()) > 0).alias("_files"),
+        logic.alias("_logic"),
+        procedural.alias("_procedural"),
+        F.when(F.col("proc").isin(*ORDER_PROCS), F.col("proc")).alias("_order"),
+        F.when(own, F.upper(F.get("toks", F.lit(1)))).alias("_own"),
+    )
+    flags = rows.groupBy(*keys).agg(  # lists of one text's library and procedure names
+        F.array_distinct(F.flatten(F.collect_set("_libs"))).alias("libs"),
+        F.bool_or("_macro").alias("has_macro"),
+        F.bool_or("_through").alias("has_passthrough"),
+        F.bool_or("_files").alias("touches_files"),
+        F.bool_or("_logic").alias("has_logic"),
+        F.bool_or("_procedural").alias("has_procedural"),
+        F.sort_array(F.collect_set("_order")).alias("order_procs"),
+        F.collect_set("_own").alias("own_libs"),
+    )
+    flags = programs.select(*keys).join(flags, keys, "left")
+    filled = {
+        c: F.coalesce(c, F.lit(False))
+        for c in ("has_macro", "has_passthrough", "touches_files", "has_logic", "has_procedural")
+    }
+    none = F.array().cast("array<string>")
+    return flags.withColumns(filled | {c: F.coalesce(c, none) for c in ("libs", "order_procs", "own_libs")})
+
+
+def place(facts: DataFrame, db_libs: DataFrame, sql_first: bool = False, keys: Sequence[str] = ("id",)) -> DataFrame:
     """Where does a block or program run -> (keys..., placement, reasons, unknown_libs, touches_db).
 
-    ``libs(libref)`` are the project's database libraries; ``facts.own_libs`` are added to them.
+    ``db_libs(libref)`` are the project's database libraries; ``facts.own_libs`` are added to them.
     Placements: sql_passthrough, sql_pushdown, hybrid, pandas, ambiguous, utility. ``sql_first``
     takes WORK for a temporary schema of the server (if there is one) and lets only row-state
     logic and order-dependent procedures keep a step out of SQL.
     """
     keys = list(keys)
-    known = libs.select(F.upper("libref").alias("libref")).distinct().withColumn("_db", F.lit(True))
+    known = db_libs.select(F.upper("libref").alias("_lib")).distinct().withColumn("_db", F.lit(True))
     server = known.agg((F.count(F.lit(1)) > 0).alias("x")).scalar()
-    own = facts.select(*keys, "own_libs")
-    origins = (
-        refs.filter("direction <> 'macro'")
-        .select(*keys, "libref")
-        .distinct()
-        .join(own, keys, "inner")
-        .join(known, "libref", "left")
-        .withColumn("_db", F.col("_db").isNotNull() | F.array_contains("own_libs", F.col("libref")))
-    )
-    work = F.col("libref") == "WORK"
-    per_key = origins.groupBy(*keys).agg(
-        F.bool_or(F.col("_db") & ~work).alias("_named_db"),
-        F.bool_or(work).alias("_work"),
-        F.sort_array(F.collect_set(F.when(~work & ~F.col("_db"), F.col("libref")))).alias("_unknown"),
-    )
-    macros = refs.filter("direction = 'macro'").select(*keys).distinct().withColumn("_macro", F.lit(True))
-    rows = facts.join(per_key, keys, "left").join(macros, keys, "left")
-    no_text = F.array().cast("array<string>")
-    rows = rows.withColumns(
-        {
-            "_refs": F.col("_work").isNotNull(),
-            "_macro": F.col("_macro").isNotNull(),
-            "_named_db": F.coalesce("_named_db", F.lit(False)),
-            "_work": F.coalesce("_work", F.lit(False)),
-            "unknown_libs": F.coalesce("_unknown", no_text),
-            "_work_db": F.lit(sql_first) & (server | (F.size("own_libs") > 0)),
-        }
+    outside = F.array_except(F.array_except("libs", "own_libs"), F.array(F.lit("WORK")))
+    judged = (
+        facts.select(*keys, F.explode(outside).alias("_lib"))
+        .join(known, "_lib", "left")
+        .groupBy(*keys)
+        .agg(
+            F.bool_or(F.col("_db").isNotNull()).alias("_named_db"),
+            F.sort_array(F.collect_set(F.when(F.col("_db").isNull(), F.col("_lib")))).alias("unknown_libs"),
+        )
     )
+    rows = facts.join(judged, keys, "left")
+    work = F.array_contains("libs", F.lit("WORK"))
+    own_db = F.size(F.array_intersect("libs", "own_libs")) > 0
     order = F.size("order_procs") > 0
-    heavy = (F.col("has_procedural") | order) if sql_first else F.col("has_logic")
+    work_db = F.lit(sql_first) & (server | (F.size("own_libs") > 0))
     rows = rows.withColumns(
         {
-            "touches_db": F.col("_named_db") | (F.col("_work") & F.col("_work_db")),
-            "_in_work": F.col("_work") & ~F.col("_work_db"),
-            "_heavy": heavy,
+            "unknown_libs": F.coalesce("unknown_libs", F.array().cast("array<string>")),
+            "touches_db": F.coalesce("_named_db", F.lit(False)) | own_db | (work & work_db),
+            "_in_work": work & ~work_db,
+            "_heavy": (F.col("has_procedural") | order) if sql_first else F.col("has_logic"),
         }
     )
-    files, db = F.col("touches_files"), F.col("touches_db")
+    files, db, refs = F.col("touches_files"), F.col("touches_db"), F.size("libs") > 0
     open_libs = F.size("unknown_libs") > 0
     verdict = (
         F.when(F.col("has_passthrough"), "sql_passthrough")
-        .when(F.col("_macro") & ~F.col("_refs"), "ambiguous")
+        .when(F.col("has_macro") & ~refs, "ambiguous")
         .when(open_libs, "ambiguous")
         .when(db & ~files & ~F.col("_in_work") & ~F.col("_heavy"), "sql_pushdown")
         .when(db, "hybrid")
-        .when(F.col("_refs") | files | F.col("_heavy"), "pandas")
-        .when(F.col("_macro"), "ambiguous")
+        .when(refs | files | F.col("_heavy"), "pandas")
         .otherwise("utility")
     )
     procs = F.concat(F.lit("order-dependent procedure: "), F.array_join("order_procs", ", "))
@@ -452,9 +507,10 @@ def place(
         F.when(F.lit(sql_first) & F.col("has_procedural"), F.lit("DATA step logic with row state")),
         F.when(F.lit(sql_first) & order, procs),
     ]
+    unconfirmed = F.concat(F.lit("unconfirmed libraries: "), F.array_join("unknown_libs", ", "))
     reasons = (
         F.when(verdict == "sql_passthrough", F.array(F.lit("runs in the database already")))
-        .when(open_libs & (verdict == "ambiguous"), F.array(F.concat(F.lit("unconfirmed libraries: "), F.array_join("unknown_libs", ", "))))
+        .when(open_libs & (verdict == "ambiguous"), F.array(unconfirmed))
         .when(verdict == "ambiguous", F.array(F.lit("only names built from parameters")))
         .when(verdict == "sql_pushdown", F.array(F.lit("inputs and outputs in the database, logic fits SQL")))
         .when(verdict == "hybrid", F.array_compact(F.array(*hybrid)))
@@ -465,12 +521,12 @@ def place(
     return rows.select(*keys, verdict.alias("placement"), reasons.alias("reasons"), "unknown_libs", "touches_db")
 
 
-def place_blocks(programs: DataFrame, libs: DataFrame, sql_first: bool = False) -> DataFrame:
+def place_blocks(programs: DataFrame, db_libs: DataFrame, sql_first: bool = False) -> DataFrame:
     """``place`` for every block; libraries declared in one block count for the whole program."""
     keys = ["id", "block"]
-    refs, facts = place_facts(blocks(programs), keys)
-    shared = facts.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("own_libs"))).alias("own_libs"))
-    return place(refs, facts.drop("own_libs").join(shared, "id"), libs, sql_first, keys)
+    facts = place_facts(blocks(programs), keys)
+    shared = facts.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("own_libs"))).alias("own_libs"))
+    return place(facts.drop("own_libs").join(shared, "id"), db_libs, sql_first, keys)
 
 
 def rollup_verdict(placed: DataFrame, by: Sequence[str] = ("id",)) -> DataFrame:
@@ -502,10 +558,9 @@ def rollup_verdict(placed: DataFrame, by: Sequence[str] = ("id",)) -> DataFrame:
 
 
 def rejudge(
-    refs: DataFrame,
     facts: DataFrame,
     placed: DataFrame,
-    libs: DataFrame,
+    db_libs: DataFrame,
     confirmed: DataFrame,
     noise: DataFrame,
     keys: Sequence[str] = ("id",),
@@ -516,8 +571,8 @@ def rejudge(
     """
     keys = list(keys)
     open_ = placed.filter("placement = 'ambiguous'").select(*keys)
-    wider = libs.select("libref").unionByName(confirmed.select("libref")).distinct()
-    again = place(refs.join(open_, keys, "left_semi"), facts.join(open_, keys, "left_semi"), wider, keys=keys)
+    wider = db_libs.select("libref").unionByName(confirmed.select("libref")).distinct()
+    again = place(facts.join(open_, keys, "left_semi"), wider, keys=keys)
     settled = again.filter("placement <> 'ambiguous'").select(
         *keys, "placement", F.lit("library confirmed as database").alias("reason")
     )

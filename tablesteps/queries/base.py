@@ -77,6 +77,9 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
+        if name == "programs":
+            # the texts are made from one small file; spread them before text work starts
+            return self.sql(DERIVED[name]).repartition(self.spark.sparkContext.defaultParallelism, "id")
         if name in DERIVED:
             return self.sql(DERIVED[name])
         if name in BASE_TABLES:

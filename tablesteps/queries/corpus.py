@@ -510,8 +510,7 @@ def _(t):
     uses=("programs",),
 )
 def _(t):
-    refs, facts = P.place_facts(t.programs)
-    return P.place(refs, facts, C.project_db_libs(C.librefs(t.programs))).select("id", "placement")
+    return P.place(P.place_facts(t.programs), C.project_db_libs(C.librefs(t.programs))).select("id", "placement")
 
 
 @query(
@@ -543,10 +542,10 @@ def _(t):
 def _(t):
     bare = t.programs.withColumn("code", F.regexp_replace("code", "LIBNAME GG ODBC DSN=DWH;", ""))
     none = t.spark.createDataFrame([], "libref STRING")
-    refs, facts = P.place_facts(bare)
-    placed = P.place(refs, facts, none)
+    facts = P.place_facts(bare)
+    placed = P.place(facts, none)
     libs = C.qualified_refs(bare).select("libref").distinct()
-    return P.rejudge(refs, facts, placed, none, libs, none)
+    return P.rejudge(facts, placed, none, libs, none)
 
 
 @query(

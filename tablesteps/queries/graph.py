@@ -223,8 +223,7 @@ def _(t):
 
 
 def _plan(t):
-    refs, facts = P.place_facts(t.programs)
-    placed = P.place(refs, facts, C.project_db_libs(C.librefs(t.programs))).select("id", "placement")
+    placed = P.place(P.place_facts(t.programs), C.project_db_libs(C.librefs(t.programs))).select("id", "placement")
     nodes = program_nodes(t).join(placed, "id")
     order = t.programs.select("id", (F.col("pos") - 1).alias("topo_order"))
     flows = t.programs.select("pfd_id").distinct().select(
