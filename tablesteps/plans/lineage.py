@@ -173,11 +173,13 @@ def preview_steps(nodes: DataFrame) -> DataFrame:
 
 def flow_datasets(nodes: DataFrame, group: str = "pfd_id") -> DataFrame:
     """(group, direction, dataset) rows: the distinct datasets and libraries of each flow."""
-    ins = nodes.select(group, F.lit("input").alias("direction"), F.explode("inputs").alias("dataset"))
-    outs = nodes.select(group, F.lit("output").alias("direction"), F.explode("outputs").alias("dataset"))
-    both = ins.union(outs).distinct()
-    libs = both.select(group, F.lit("library").alias("direction"), F.substring_index("dataset", ".", 1).alias("dataset"))
-    return both.union(libs.distinct())
+
+    def tagged(names: Column, direction: str) -> Column:
+        return F.transform(names, lambda d: F.struct(F.lit(direction).alias("direction"), d.alias("dataset")))
+
+    libs = F.array_distinct(F.transform(F.concat("inputs", "outputs"), lambda d: F.substring_index(d, ".", 1)))
+    every = F.concat(tagged(F.col("inputs"), "input"), tagged(F.col("outputs"), "output"), tagged(libs, "library"))
+    return nodes.select(group, F.inline(every)).distinct()
 
 
 def flow_summary(nodes: DataFrame, flows: DataFrame, group: str = "pfd_id") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tablesteps.functions.scalars import is_credential_name
 from tablesteps.operators.joins import in_scope, out_of_scope
 from tablesteps.operators.ordered import row_counter
+from tablesteps.session import stage
 
 # Place of execution -> translation strategy.
 STRATEGY = {
@@ -209,8 +210,11 @@ def build_plan(
     extras: Mapping[str, DataFrame] | None = None,
     single: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """(targets, items): the flat plan with the number of items per kind, and the items as rows."""
-    targets = plan_targets(nodes, order, flows, ignored, overrides, single)
+    """(targets, items): the flat plan with the number of items per kind, and the items as rows.
+
+    The flat plan is staged: every kind of item is filtered by it.
+    """
+    targets = stage(plan_targets(nodes, order, flows, ignored, overrides, single), "plan")
     items = plan_items(targets, deps, **(extras or {}))
     kinds = ("dependency", "input_file", "reference_file", "improvement", "parameter", "preprocess")
     counts = items.groupBy("id").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds])

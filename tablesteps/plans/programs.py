@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablesteps.operators.ordered import lag_n, pick_rows, retain_last
@@ -39,6 +40,7 @@ SQL_STOPWORDS = ("connection", "select", "where", "on", "as", "dual")
 DATA_FILE = r"""(?i)(?:"([^'"]*\.(?:sas7bdat|sas7bvew|sd2|sd7|xpt))"|'([^'"]*\.(?:sas7bdat|sas7bvew|sd2|sd7|xpt))')"""
 
 _CUT = "\u0001"
+_BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 _STRING = r""""[^"]*+"?|'[^']*+'?"""
 _COMMENT = r"/\*(?s:.*?)(?:\*/|\z)"
 _TOKEN = rf"""{_STRING}|{_COMMENT}|;|[^;"'/]++|/"""
@@ -60,7 +62,7 @@ def _pieces(code: Column) -> Column:
         tokens, lambda t: F.when(t == ";", _CUT).when(F.startswith(t, F.lit("/*")), " ").otherwise(t)
     )
     parts = F.split(F.array_join(marked, ""), _CUT)
-    bare = F.transform(parts, lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
+    bare = F.transform(parts, lambda s: F.btrim(s, F.lit(_BLANKS)))
     return F.filter(bare, lambda s: (s != "") & ~s.rlike(r"^%?\*"))
 
 
@@ -93,21 +95,28 @@ def _masked(code: Column) -> Column:
     return F.array_join(shown, "")
 
 
-def _block_array(code: Column) -> Column:
-    """Texts between block starts (the part before the first start may be empty)."""
+def _block_sizes(code: Column) -> Column:
+    """Lengths of the texts between block starts (the part before the first start may be empty)."""
     marks = F.split(F.regexp_replace(_masked(code), _BLOCK_START, _CUT), _CUT)
-    sizes = F.transform(marks, lambda m: F.length(m))
-    ends = F.transform(
-        F.sequence(F.lit(1), F.size(sizes)),
-        lambda i: F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, x: a + x),
-    )
-    return F.zip_with(
-        ends,
+    return F.transform(marks, lambda m: F.length(m))
+
+
+def _running(sizes: Column) -> Column:
+    """Offsets of consecutive pieces from their sizes."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(
         sizes,
-        lambda end, size: F.struct((end - size).alias("offset"), F.substring(code, end - size + 1, size).alias("text")),
+        start,
+        lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["out"], s["at"]).alias("out")),
+        lambda s: s["out"],
     )
 
 
+def _sized(programs: DataFrame, code: str) -> DataFrame:
+    base = programs.select("id", F.translate(F.coalesce(F.col(code), F.lit("")), _CUT, " ").alias("_code"))
+    return base.withColumn("_sizes", _block_sizes(F.col("_code")))
+
+
 def _words(text: Column) -> Column:
     bare = F.regexp_replace(text, _STRING, " <str> ")
     return F.regexp_extract_all(bare, F.lit(r"(?U)<str>|[\w.&%]+"), F.lit(0))
@@ -118,9 +127,16 @@ def blocks(programs: DataFrame, code: str = "code") -> DataFrame:
 
     What comes before the first one is block 0 of kind ``preambulo``; blank parts are left out.
     """
-    base = programs.select("id", F.translate(F.coalesce(F.col(code), F.lit("")), _CUT, " ").alias("_code"))
-    kept = F.filter(_block_array(F.col("_code")), lambda b: F.regexp_replace(b["text"], r"(?U)\s+", "") != "")
-    rows = base.select("id", F.posexplode(kept).alias("block", "_b")).select(
+    parts = F.zip_with(_running(F.col("_sizes")), "_sizes", lambda at, n: F.struct(at.alias("offset"), n.alias("size")))
+    every = _sized(programs, code).select("id", "_code", parts.alias("_parts"))
+    texts = F.transform(
+        "_parts",
+        lambda b: F.struct(
+            b["offset"].alias("offset"), F.substring(F.col("_code"), b["offset"] + 1, b["size"]).alias("text")
+        ),
+    )
+    kept = F.filter(texts, lambda b: F.btrim(b["text"], F.lit(_BLANKS)) != "")
+    rows = every.select("id", F.posexplode(kept).alias("block", "_b")).select(
         "id", "block", F.col("_b.offset").alias("offset"), F.col("_b.text").alias("code")
     )
     words = rows.withColumn("_w", F.transform(_words(F.col("code")), lambda w: F.lower(w)))
@@ -139,9 +155,8 @@ def pack_blocks(programs: DataFrame, limit: int = 40_000, code: str = "code") ->
 
     A program with a block above the limit gives no rows.
     """
-    base = programs.select("id", F.translate(F.coalesce(F.col(code), F.lit("")), _CUT, " ").alias("_code"))
-    text = F.col("_code")
-    sizes = F.filter(F.transform(_block_array(text), lambda b: F.length(b["text"])), lambda n: n > 0)
+    base = _sized(programs, code).withColumn("_sizes", F.filter("_sizes", lambda n: n > 0))
+    text, sizes = F.col("_code"), F.col("_sizes")
     start = F.struct(F.lit(0).alias("filled"), F.array().cast("array<int>").alias("cuts"))
 
     def step(state: Column, size: Column) -> Column:
@@ -162,9 +177,9 @@ def pack_blocks(programs: DataFrame, limit: int = 40_000, code: str = "code") ->
         .otherwise(packed)
         .alias("_sizes"),
     )
-    rows = sized.select("id", "_code", "_sizes", F.posexplode("_sizes").alias("chunk", "_size"))
-    before = F.aggregate(F.slice("_sizes", F.lit(1), F.col("chunk")), F.lit(0), lambda a, x: a + x)
-    return rows.select("id", "chunk", F.substring(F.col("_code"), before + 1, F.col("_size")).alias("text"))
+    parts = F.zip_with(_running(F.col("_sizes")), "_sizes", lambda at, n: F.struct(at.alias("at"), n.alias("n")))
+    rows = sized.select("id", "_code", F.posexplode(parts).alias("chunk", "_c"))
+    return rows.select("id", "chunk", F.substring(F.col("_code"), F.col("_c.at") + 1, F.col("_c.n")).alias("text"))
 
 
 # --- statement facts -------------------------------------------------------------------------
@@ -174,20 +189,19 @@ _MARKS = "SPE"  # a PROC SQL, another PROC, RUN or QUIT; D is a DATA head
 
 def _heads(pieces: Column) -> Column:
     """Per statement one letter: S (PROC SQL), P (other PROC), E (RUN/QUIT), D (DATA), ``-``."""
-    word = r"(?U)[^\w.&%\"']*([\w.&%]+)"
-
-    def letter(stmt: Column) -> Column:
-        first = F.lower(F.regexp_extract(stmt, f"^{word}", 1))
-        second = F.lower(F.regexp_extract(stmt, f"^{word}{word}", 2))
-        return (
-            F.when((first == "proc") & (second == "sql"), "S")
-            .when((first == "proc") & (second != ""), "P")
-            .when(first.isin("run", "quit"), "E")
-            .when(first == "data", "D")
-            .otherwise("-")
-        )
-
-    return F.array_join(F.transform(pieces, letter), "")
+    two = r"""^(?U)[^\w.&%"']*([\w.&%]+)(?:[^\w.&%"']+([\w.&%]+|["']))?"""
+    heads = F.transform(
+        pieces, lambda s: F.lower(F.concat_ws(" ", F.regexp_extract(s, two, 1), F.regexp_extract(s, two, 2)))
+    )
+    letters = F.transform(
+        heads,
+        lambda h: F.when(h == "proc sql", "S")
+        .when(h.startswith("proc ") & (h != "proc "), "P")
+        .when(h.startswith("run ") | h.startswith("quit "), "E")
+        .when(h.startswith("data "), "D")
+        .otherwise("-"),
+    )
+    return F.array_join(letters, "")
 
 
 def _states(pieces: Column) -> Column:
@@ -208,11 +222,17 @@ def _states(pieces: Column) -> Column:
     return F.regexp_extract_all(F.array_join(F.transform(parts, fill), ""), F.lit("."), F.lit(0))
 
 
-def tag_statements(programs: DataFrame, keys: Sequence[str] = ("id",), code: str = "code") -> DataFrame:
-    """Statements with their words and state -> (keys..., pos, stmt, toks, head, proc, in_sql, in_data)."""
+def tag_statements(
+    programs: DataFrame, keys: Sequence[str] = ("id",), code: str = "code", outer: bool = False
+) -> DataFrame:
+    """Statements with their words and state -> (keys..., pos, stmt, toks, head, proc, in_sql, in_data).
+
+    ``outer`` keeps a program without statements as one row of missing values.
+    """
     pieces = programs.select(*keys, _pieces(F.col(code)).alias("_p"))
     both = F.arrays_zip(F.col("_p").alias("stmt"), _states(F.col("_p")).alias("state"))
-    rows = pieces.select(*keys, F.posexplode(both).alias("pos", "_s")).select(
+    explode = F.posexplode_outer if outer else F.posexplode
+    rows = pieces.select(*keys, explode(both).alias("pos", "_s")).select(
         *keys, "pos", F.col("_s.stmt").alias("stmt"), F.col("_s.state").alias("_state")
     )
     out = rows.withColumn("toks", _words(F.col("stmt")))  # no words: no head, and every rule below is silent
@@ -412,7 +432,7 @@ def place_facts(programs: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame
     has_procedural, order_procs, own_libs: database libraries the text declares)
     """
     keys = list(keys)
-    tagged = tag_statements(programs, keys)
+    tagged = tag_statements(programs, keys, outer=True)
     logic, procedural = _logic()
     engine = F.upper(F.get("toks", F.lit(2)))
     own = (F.col("head") == "libname") & ~F.col("in_sql") & engine.isin(*DB_ENGINES)
@@ -445,7 +465,6 @@ def place_facts(programs: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame
         F.sort_array(F.collect_set("_order")).alias("order_procs"),
         F.collect_set("_own").alias("own_libs"),
     )
-    flags = programs.select(*keys).join(flags, keys, "left")
     filled = {
         c: F.coalesce(c, F.lit(False))
         for c in ("has_macro", "has_passthrough", "touches_files", "has_logic", "has_procedural")
@@ -466,24 +485,26 @@ def place(facts: DataFrame, db_libs: DataFrame, sql_first: bool = False, keys: S
     known = db_libs.select(F.upper("libref").alias("_lib")).distinct().withColumn("_db", F.lit(True))
     server = known.agg((F.count(F.lit(1)) > 0).alias("x")).scalar()
     outside = F.array_except(F.array_except("libs", "own_libs"), F.array(F.lit("WORK")))
-    judged = (
-        facts.select(*keys, F.explode(outside).alias("_lib"))
+    # the facts travel along (flags and names, no text), so the statements are read only once
+    rest = [c for c in facts.columns if c not in keys]
+    rows = (
+        facts.select(*keys, F.struct(*rest).alias("_f"), F.explode_outer(outside).alias("_lib"))
         .join(known, "_lib", "left")
         .groupBy(*keys)
         .agg(
+            F.first("_f").alias("_f"),
             F.bool_or(F.col("_db").isNotNull()).alias("_named_db"),
             F.sort_array(F.collect_set(F.when(F.col("_db").isNull(), F.col("_lib")))).alias("unknown_libs"),
         )
+        .select(*keys, "_f.*", "_named_db", "unknown_libs")
     )
-    rows = facts.join(judged, keys, "left")
     work = F.array_contains("libs", F.lit("WORK"))
     own_db = F.size(F.array_intersect("libs", "own_libs")) > 0
     order = F.size("order_procs") > 0
     work_db = F.lit(sql_first) & (server | (F.size("own_libs") > 0))
     rows = rows.withColumns(
         {
-            "unknown_libs": F.coalesce("unknown_libs", F.array().cast("array<string>")),
-            "touches_db": F.coalesce("_named_db", F.lit(False)) | own_db | (work & work_db),
+            "touches_db": F.col("_named_db") | own_db | (work & work_db),
             "_in_work": work & ~work_db,
             "_heavy": (F.col("has_procedural") | order) if sql_first else F.col("has_logic"),
         }
@@ -525,8 +546,8 @@ def place_blocks(programs: DataFrame, db_libs: DataFrame, sql_first: bool = Fals
     """``place`` for every block; libraries declared in one block count for the whole program."""
     keys = ["id", "block"]
     facts = place_facts(blocks(programs), keys)
-    shared = facts.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("own_libs"))).alias("own_libs"))
-    return place(facts.drop("own_libs").join(shared, "id"), db_libs, sql_first, keys)
+    shared = F.flatten(F.collect_set("own_libs").over(W.partitionBy("id")))  # the blocks of one text
+    return place(facts.withColumn("own_libs", F.array_distinct(shared)), db_libs, sql_first, keys)
 
 
 def rollup_verdict(placed: DataFrame, by: Sequence[str] = ("id",)) -> DataFrame:

@@ -11,6 +11,7 @@ from tablesteps.plans import lineage as G
 from tablesteps.plans import plan as L
 from tablesteps.plans import programs as P
 from tablesteps.queries.base import query
+from tablesteps.session import stage
 
 
 @query("g1_sinks", "SELECT id FROM programs WHERE id NOT IN (SELECT source FROM edges)", uses=("programs", "edges"))
@@ -108,7 +109,8 @@ def _(t):
 
 
 def program_nodes(t):
-    return G.program_io(t.programs)
+    """Programs with their datasets, staged like the table a user would keep."""
+    return stage(G.program_io(t.programs), "nodes")
 
 
 @query(

@@ -126,72 +126,65 @@ def _(t):
 
 
 def _zip_projects(batches):
-    """One small project archive per program, as bytes."""
+    """Project archives of up to 100 programs each, as bytes."""
+    element = "<w><Element><ID>{0}</ID><Type>{1}</Type><Label>{0}</Label><Container>PFD-1</Container></Element></w>"
     for batch in batches:
         out = []
-        for pid, code in zip(batch["id"], batch["code"], strict=True):
-            task, query_ = f"CodeTask-{pid}", f"Query-{pid}"
-            element = "<w><Element><ID>{0}</ID><Type>{1}</Type><Label>{0}</Label><Container>PFD-1</Container></Element></w>"
-            xml = (
-                "<P><Element><Label>demo</Label></Element><Elements>"
-                + element.format(task, "TASK") + element.format(query_, "TASK") + element.format("ImportTask-" + pid, "TASK")
-                + "<w><Element><ID>PFD-1</ID><Type>CONTAINER</Type><Label>Flow</Label></Element><PFD><Process>"
-                + f"<Element><ID>{query_}</ID></Element><Dependencies><D>{task}</D></Dependencies></Process></PFD></w></Elements></P>"
-            )
-            log = f"n note\ns  2    PROC SQL;\ns  3      SELECT '{pid}' FROM T;\ns  4    QUIT;\n"
-            buffer = io.BytesIO()
+        for lo in range(0, len(batch), 100):
+            part = batch.iloc[lo : lo + 100]
+            xml, flow, buffer = [], [], io.BytesIO()
             with zipfile.ZipFile(buffer, "w") as z:
-                z.writestr("project.xml", xml.encode("utf-16"))
-                z.writestr(f"{task}/code.sas", code)
-                z.writestr(f"old/PFD-1/{task}/code.sas", "old version")
-                z.writestr("old/PFD-1/CodeTask-gone/code.sas", "lost")
-                z.writestr(f"{query_}/Log-1/result.log", "n short")
-                z.writestr(f"{query_}/Log-2/result.log", log)
-            out.append((f"{pid}.egp", buffer.getvalue()))
+                for pid, code in zip(part["id"], part["code"], strict=True):
+                    xml += [element.format(f"{k}-{pid}", "TASK") for k in ("CodeTask", "Query", "ImportTask")]
+                    flow.append(f"<Process><Element><ID>Query-{pid}</ID></Element><Dependencies><D>CodeTask-{pid}</D></Dependencies></Process>")
+                    log = f"n note\ns  2    PROC SQL;\ns  3      SELECT '{pid}' FROM T;\ns  4    QUIT;\n"
+                    z.writestr(f"CodeTask-{pid}/code.sas", code)
+                    z.writestr(f"old/PFD-1/CodeTask-{pid}/code.sas", "old version")
+                    z.writestr(f"old/PFD-1/CodeTask-gone{pid}/code.sas", "lost")
+                    z.writestr(f"Query-{pid}/Log-1/result.log", "n short")
+                    z.writestr(f"Query-{pid}/Log-2/result.log", log)
+                flows = "<w><Element><ID>PFD-1</ID><Type>CONTAINER</Type></Element><PFD>" + "".join(flow) + "</PFD></w>"
+                z.writestr("project.xml", ("<P><Elements>" + "".join(xml) + flows + "</Elements></P>").encode("utf-16"))
+            out.append((f"{part['id'].iloc[0]}.egp", buffer.getvalue()))
         yield pd.DataFrame(out, columns=["path", "content"])
 
 
 def _archives(t):
-    files = t.programs.select("id", "code").repartition(8, "id").mapInPandas(_zip_projects, "path STRING, content BINARY")
-    return Z.parse_archives(files)
+    return Z.parse_archives(t.programs.select("id", "code").mapInPandas(_zip_projects, "path STRING, content BINARY"))
 
 
 @query(
     "s11_archive_nodes",
-    """SELECT id || '.egp' AS archive, 'CodeTask-' || id AS id, 'CodeTask' AS task_kind, code, false AS native FROM programs
-UNION ALL SELECT id || '.egp', 'Query-' || id, 'Query', '', false FROM programs
-UNION ALL SELECT id || '.egp', 'ImportTask-' || id, 'ImportTask', '', true FROM programs""",
+    """SELECT 'CodeTask-' || id AS id, 'CodeTask' AS task_kind, code, false AS native FROM programs
+UNION ALL SELECT 'Query-' || id, 'Query', '', false FROM programs UNION ALL SELECT 'ImportTask-' || id, 'ImportTask', '', true FROM programs""",
     uses=("programs",),
 )
 def _(t):
-    return _archives(t).nodes().select("archive", "id", "task_kind", "code", "native")
+    return _archives(t).nodes().select("id", "task_kind", "code", "native")
 
 
-@query(
-    "s11_archive_deps",
-    "SELECT id || '.egp' AS archive, 'CodeTask-' || id AS source, 'Query-' || id AS target FROM programs",
-    uses=("programs",),
-)
+@query("s11_archive_deps", "SELECT 'CodeTask-' || id AS source, 'Query-' || id AS target FROM programs", uses=("programs",))
 def _(t):
-    return _archives(t).deps
+    return _archives(t).deps.select("source", "target")
 
 
 @query(
     "s11_archive_orphans",
-    "SELECT id || '.egp' AS archive, 'CodeTask-gone' AS id, 'old/PFD-1/CodeTask-gone/code.sas' AS entry, 'snapshot' AS place FROM programs",
+    "SELECT 'CodeTask-gone' || id AS id, 'old/PFD-1/CodeTask-gone' || id || '/code.sas' AS entry, 'snapshot' AS place FROM programs",
     uses=("programs",),
 )
 def _(t):
-    return _archives(t).orphans
+    return _archives(t).orphans.select("id", "entry", "place")
 
 
 @query(
     "s11_archive_query_code",
-    "SELECT id || '.egp|Query-' || id AS log_id, 'PROC SQL;' || chr(10) || '  SELECT ''' || id || ''' FROM T;' || chr(10) || 'QUIT;' AS code FROM programs",
+    "SELECT 'Query-' || id AS id, 'PROC SQL;' || chr(10) || '  SELECT ''' || id || ''' FROM T;' || chr(10) || 'QUIT;' AS code FROM programs",
     uses=("programs",),
 )
 def _(t):
-    return from_run_logs(Z.log_lines(_archives(t).logs)).select("log_id", "code")
+    lines = Z.log_lines(_archives(t).logs)
+    return from_run_logs(lines).select(F.substring_index("log_id", "|", -1).alias("id"), "code")
 
 
 # --- writers ---------------------------------------------------------------------------------
