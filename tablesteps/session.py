@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 HOT_ROWS_CONF = "tablesteps.hotRows"
 HOT_ROWS_DEFAULT = 5_000_000
 _SAMPLE_AT_LIMIT = 50_000
+_LOCAL_SCRATCH: dict[str, str] = {}
 
 
 def build_session(master: str | None = None, app: str = "tablesteps", **conf: str) -> SparkSession:
@@ -43,9 +44,10 @@ def scratch_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_SCRATCH:
+        _LOCAL_SCRATCH[app] = tempfile.mkdtemp(prefix="spark-")
+    return _LOCAL_SCRATCH[app]
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,10 +55,13 @@ def _open(archive: str, content: bytes) -> Iterator[dict]:
         yield row("error", text=f"{type(exc).__name__}: {exc}")
 
 
-def _open_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _open_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([(name, pa.string()) for name in _FIELDS])
     for batch in batches:
-        for path, content in zip(batch["path"], batch["content"], strict=True):
-            yield pd.DataFrame(list(_open(path, content)), columns=_FIELDS)
+        paths, contents = batch.column("path"), batch.column("content")
+        for k in range(batch.num_rows):  # one archive at a time in memory
+            rows = [{f: r.get(f) for f in _FIELDS} for r in _open(paths[k].as_py(), contents[k].as_py())]
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
 
 @dataclass(frozen=True)
@@ -87,7 +90,7 @@ def parse_archives(files: DataFrame) -> Archives:
 
     Archives are opened once; their rows are staged, since several tables come from them.
     """
-    rows = stage(files.select("path", "content").mapInPandas(_open_all, _ROWS), "archives")
+    rows = stage(files.select("path", "content").mapInArrow(_open_all, _ROWS), "archives")
     depth = F.size(F.split("entry", "/"))
     elements = rows.filter("kind = 'element'").select("archive", "id", "type", "label", "container").dropDuplicates(["archive", "id"])
     deps = rows.filter("kind = 'dep' AND id <> '' AND target <> ''").select("archive", F.col("id").alias("source"), "target").distinct()

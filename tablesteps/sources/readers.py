@@ -20,10 +20,10 @@ TRACE_SCHEMA = (
 def detect_encoding(spark: SparkSession, path: str) -> str:
     """``UTF-8``, or ``ISO-8859-1`` when some line is not valid UTF-8.
 
-    Bad bytes decode to U+FFFD; the scan stops at the first such line.
+    The text source keeps bytes as they are; the scan stops at the first bad line.
     """
-    bad = spark.read.text(path).filter(F.col("value").contains("\ufffd")).limit(1).count()
-    return "ISO-8859-1" if bad else "UTF-8"
+    bad = spark.read.text(path).filter(~F.is_valid_utf8("value"))
+    return "UTF-8" if bad.isEmpty() else "ISO-8859-1"
 
 
 def read_delimited(
