@@ -79,8 +79,8 @@ def queue_stream(events: DataFrame, queue: DataFrame, path: str, checkpoint: str
 
 def reconcile_stream(
     arrivals: DataFrame,
-    read_ref: Callable[[object], DataFrame],
-    read_gen: Callable[[object], DataFrame],
+    read_ref: Callable[[str], DataFrame],
+    read_gen: Callable[[str], DataFrame],
     period: str,
     path: str,
     checkpoint: str,
@@ -97,18 +97,22 @@ def reconcile_stream(
 
     def apply(state: DataFrame, batch: DataFrame) -> DataFrame:
         session = batch.sparkSession
-        before = {r[period]: r for r in state.collect()}  # one row per period
-        for (p,) in batch.select(period).distinct().collect():
+        arrived = [str(r[0]) for r in batch.select(period).distinct().collect()]
+        named = F.col(period).isin(arrived)
+        before = {r[period]: r for r in state.filter(named).collect()}  # one row per period of the batch
+        news = []
+        for p in arrived:
             gen = read_gen(p)
             text = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("<null>")) for c in gen.columns])
-            rows = gen.select(F.lit(str(p)).alias("_p"), *keys, text.alias("_text"))
+            rows = gen.select(F.lit(p).alias("_p"), *keys, text.alias("_text"))
             hashed = content_hash(rows, "_p", [*keys, "_text"], "_text").first()
             digest = hashed["content_hash"] if hashed else ""
-            old = before.get(str(p))
+            old = before.get(p)
             if old is not None and old["hash"] == digest and old["status"] == "PASS":
+                news.append((p, digest, "PASS"))
                 continue
             status = overall_status(reconcile(read_ref(p), gen, keys=keys)).first()["overall_status"]
-            before[str(p)] = (str(p), digest, status)
-        return session.createDataFrame([tuple(r) for r in before.values()], schema)
+            news.append((p, digest, status))
+        return state.filter(~named).unionByName(session.createDataFrame(news, schema))
 
     return versioned_stream(arrivals, start, path, apply, checkpoint)
