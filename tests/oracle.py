@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import decimal
 import math
+import os
 import sys
 import time
 
@@ -12,6 +13,8 @@ import duckdb
 
 from tablesteps.queries.base import BASE_TABLES
 
+EXACT = bool(os.environ.get("ORACLE_EXACT"))  # compare doubles bit by bit
+
 FAMILY = {
     "TINYINT": "int", "SMALLINT": "int", "INTEGER": "int", "BIGINT": "int", "HUGEINT": "huge",
     "DOUBLE": "float", "FLOAT": "float", "VARCHAR": "str", "BOOLEAN": "bool", "DATE": "date",
@@ -34,7 +37,7 @@ def _cell(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return float(f"{v:.9g}")
+        return v if EXACT else float(f"{v:.9g}")
     if isinstance(v, decimal.Decimal):
         return float(f"{float(v):.9g}")
     if isinstance(v, dt.datetime):

@@ -1,5 +1,3 @@
-import pytest
-
 from tablesteps.plans import corpus as C
 from tablesteps.plans import lineage as G
 from tablesteps.plans import programs as P
