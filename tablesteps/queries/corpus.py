@@ -21,7 +21,12 @@ def _(t):
     return P.statements(t.programs)
 
 
-@query("c1_statements_documents")
+@query(
+    "c1_statements_documents",
+    "WITH "
+    + _STMTS.replace("SELECT id, regexp_extract_all(code", "SELECT doc_id AS id, regexp_extract_all(text").replace("FROM programs", "FROM documents")
+    + " SELECT id AS doc_id, count(*) AS n_statements FROM stmts GROUP BY 1",
+)
 def _(t):
     return P.statements(t.documents, keys=["doc_id"], code="text").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_statements"))
 
@@ -54,7 +59,11 @@ def _(t):
     return P.file_refs(t.programs)
 
 
-@query("c2_passthrough")
+@query(
+    "c2_passthrough",
+    """SELECT id, CAST(1 AS INT) AS pos, 'DW' AS alias FROM programs UNION ALL SELECT id, 2, '' FROM programs WHERE pos % 2 = 0""",
+    uses=("programs",),
+)
 def _(t):
     wrapped = t.programs.withColumn(
         "code", F.concat(F.lit("PROC SQL; CONNECT TO ODBC AS DW (DSN=X); "), F.when(F.col("pos") % 2 == 0, F.lit("EXECUTE (DROP TABLE T) BY DW; ")).otherwise(F.lit("")), F.lit("QUIT; "), "code")

@@ -20,10 +20,15 @@ def _sides(t, text):
     return t.sql(_REF), t.sql(text)
 
 
-@query("r1_compare_schema")
+@query(
+    "r1_compare_schema",
+    """SELECT 'schema' AS test, 1 AS level, count(*) FILTER (c.column_name = 'o_custkey') = 0 AS passed, 'o_custkey' AS missing_columns, 'extra' AS extra_columns
+FROM (DESCRIBE SELECT * FROM orders) AS c""",
+)
 def _(t):
     ref, gen = t.orders, t.orders.drop("o_custkey").withColumn("extra", F.lit(1))
-    return R.compare_schema(ref.withColumnRenamed("o_totalprice", "﻿o_totalprice"), gen)
+    out = R.compare_schema(ref.withColumnRenamed("o_totalprice", "﻿o_totalprice"), gen)
+    return out.withColumns({c: F.array_join(c, ",") for c in ("missing_columns", "extra_columns")})
 
 
 @query(
