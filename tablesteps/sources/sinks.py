@@ -80,12 +80,13 @@ def write_period(df: DataFrame, table: str, period_col: str, periods: Sequence[o
     parts = {c.name for c in spark.catalog.listColumns(table) if c.isPartition}
     if period_col not in parts:
         raise ValueError(f"{table} is not partitioned by {period_col!r}")
+    out = _aligned(df, table)
     if periods is not None:
-        df = df.filter(F.col(period_col).isin(*periods))
+        # the new rows exist before the old ones go
+        out = stage(out.filter(F.col(period_col).isin(*periods)), "period")
         for p in periods:
-            literal = f"'{p}'" if isinstance(p, str) else str(p)
+            literal = "'" + p.replace("'", "''") + "'" if isinstance(p, str) else str(p)
             spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({period_col} = {literal})")
-    out = _aligned(df, table)
     conf = "spark.sql.sources.partitionOverwriteMode"
     before = spark.conf.get(conf)
     spark.conf.set(conf, "dynamic")
