@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tablesteps.llm import bpe, exact_dedup
+from tablesteps.llm import bpe, exact_dedup, mixing, simhash_dedup
 from tablesteps.llm.common import documents
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.round_trip(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
@@ -18,7 +22,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_byte_bpe, op5_exact_dedup)}
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(documents(spark, sf_dir), weights=(3, 1, 2), share=1.5, most=2.0)
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_byte_bpe, op5_exact_dedup, op8_mixing)}
 
 SQL = {
     "op5_exact_dedup": r"""
