@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesteps.llm import bpe, exact_dedup, mixing, quality_classifier, quality_rules, secrets, simhash_dedup, toxicity
+from tablesteps.llm import bpe, exact_dedup, lm, mixing, quality_classifier, quality_rules, secrets, simhash_dedup, toxicity
 from tablesteps.llm.common import WORD, documents
 
 
@@ -31,6 +31,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(documents(spark, sf_dir), weights=(3, 1, 2), share=1.5, most=2.0)
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir), toxicity.fold(F.col("doc_id"), 7) == 2)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir))
 
@@ -53,7 +57,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_simhash, op3_byte_bpe, op4_secret_scan, op5_exact_dedup, op7_quality_rules, op8_mixing, op9_toxicity, op10_quality_classifier,
+    op2_simhash, op3_byte_bpe, op4_secret_scan, op5_exact_dedup, op6_lm_score, op7_quality_rules, op8_mixing, op9_toxicity, op10_quality_classifier,
 )}
 
 

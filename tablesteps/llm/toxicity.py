@@ -1,7 +1,7 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Words are lower-cased and stripped of marks at both ends; a text's features are its distinct words,
-pairs of neighbours and pairs with one word between, hashed. The labelled rows train on a sample of at most about
+Words are lower-cased and stripped of marks at both ends; a text's features are its distinct words and their
+stems, pairs of neighbours and pairs with one word between, hashed. The labelled rows train on a sample of at most about
 ``max_rows`` rows chosen by a hash of the id. Each coordinate has its own rate; the L1 term keeps
 most weights at zero, so what is sent to the tasks are the non-zero weights alone, at most ``2**bits``.
 
@@ -23,7 +23,9 @@ from tablesteps.llm.common import named, texts
 BITS = 22
 #: Bound of the training sample.
 MAX_ROWS = 12_000
-_REMEMBERED = 500_000
+_REMEMBERED = 300_000
+#: Bytes of the stems by which inflected words share features.
+_STEMS = (5, 7)
 _MARKS = bytes(range(33)) + b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\xc2\xab\xbb"
 
 
@@ -33,20 +35,24 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 
 class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
+    """Hash of each word as it stands in a text, and of its stems."""
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) > _REMEMBERED:
             self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word.strip(_MARKS))
+        bare = word.strip(_MARKS)
+        self[word] = value = (xxhash.xxh64_intdigest(bare), *[xxhash.xxh64_intdigest(bare[:k], k) for k in _STEMS])
         return value
 
 
 def features(text: str | None, hashes: dict, bits: int = BITS) -> np.ndarray:
     """Hashed features of a text, repeats included."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    each = np.array(list(map(hashes.__getitem__, words)), np.uint64).reshape(len(words), 1 + len(_STEMS))
+    h = each[:, 0]
     pairs = h[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ h[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
     skips = h[:-2] * np.uint64(0x165667B19E3779F9) ^ h[2:] * np.uint64(0xD6E8FEB86659FD93)
-    return (np.concatenate([h, pairs, skips]) >> np.uint64(64 - bits)).astype(np.int32)
+    return (np.concatenate([each.ravel(), pairs, skips]) >> np.uint64(64 - bits)).astype(np.int32)
 
 
 def train(rows: list[tuple[np.ndarray, int]], bits: int, alpha: float, beta: float, l1: float, l2: float, epochs: int) -> tuple[np.ndarray, float]:
@@ -75,7 +81,7 @@ def train(rows: list[tuple[np.ndarray, int]], bits: int, alpha: float, beta: flo
 
 def fit(
     docs: DataFrame, labels: DataFrame, training: Column, label_col: str, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS,
-    max_rows: int = MAX_ROWS, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.5, l2: float = 1.0, epochs: int = 3,
+    max_rows: int = MAX_ROWS, alpha: float = 1.0, beta: float = 1.0, l1: float = 12.0, l2: float = 0.0, epochs: int = 8,
 ) -> tuple[np.ndarray, np.ndarray, float]:
     """Non-zero coordinates, their weights, and the intercept. ``training`` is a condition on ``doc_id``."""
     known = labels.select(named(labels, id_col).alias("doc_id"), named(labels, label_col).cast("int").alias("label"))
