@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesteps.llm import bpe, exact_dedup, lm, mixing, quality_classifier, quality_rules, secrets, simhash_dedup, toxicity
+from tablesteps.llm import bpe, exact_dedup, lm, mixing, quality_classifier, quality_rules, secrets, simhash_dedup, suffix_dedup, toxicity
 from tablesteps.llm.common import WORD, documents
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated(documents(spark, sf_dir))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(documents(spark, sf_dir))
 
@@ -57,7 +61,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_simhash, op3_byte_bpe, op4_secret_scan, op5_exact_dedup, op6_lm_score, op7_quality_rules, op8_mixing, op9_toxicity, op10_quality_classifier,
+    op1_suffix_dedup, op2_simhash, op3_byte_bpe, op4_secret_scan, op5_exact_dedup, op6_lm_score, op7_quality_rules, op8_mixing, op9_toxicity, op10_quality_classifier,
 )}
 
 
