@@ -235,4 +235,4 @@ def mix(
 
 def words_cut(text: Column, words: Column) -> Column:
     """The text up to the end of its first ``words`` words."""
-    return F.regexp_extract(text, F.concat(F.lit(f"^(?:{BLANK}*+{WORD}+){{"), words.cast("string"), F.lit("}+")), 0)
+    return F.call_function("regexp_extract", text, F.concat(F.lit(f"^(?:{BLANK}*+{WORD}+){{"), words.cast("string"), F.lit("}+")), F.lit(0))
