@@ -111,11 +111,20 @@ def cross(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.crossJoin(b)
 
 
-def update_by(master: DataFrame, trans: DataFrame, by: Sequence[str]) -> DataFrame:
+def update_by(master: DataFrame, trans: DataFrame, by: Sequence[str], order_by: Sequence[str] = ()) -> DataFrame:
     """``UPDATE master trans; BY k;``: values present in the transaction win, missing ones do not.
 
-    Transaction keys must be unique; keys absent from the master are added.
+    Transactions of one key apply in the order of ``order_by``: of each column the last value present counts.
+    Without ``order_by`` a repeated transaction key is an error. Keys absent from the master are added.
     """
+    values = [c for c in trans.columns if c not in by]
+    if order_by:
+        at = F.struct(*[F.col(c) for c in [*order_by, *[c for c in values if c not in order_by]]])
+        trans = trans.groupBy(*by).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in values])
+    else:
+        once = trans.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in values])
+        repeated = F.raise_error(F.lit("a transaction key is repeated: order_by must say which comes last")).cast("bigint")
+        trans = once.filter(F.when(F.col("_n") > 1, repeated).otherwise(F.col("_n")) > 0).drop("_n")
     both = merge_by(master, trans, by, suffixes=("__m", "__t"))
     cols = [F.col(k) for k in by]
     for c in [c for c in master.columns if c not in by]:

@@ -1,6 +1,6 @@
 """Operators that depend on row order: FIRST./LAST., RETAIN, LAG, counters.
 
-Every call names its order. Small groups run as one window per group. When some group is hot (or
+Every call names its order; ties fall to the other columns, so only identical rows tie. Small groups run as one window per group. When some group is hot (or
 there is no group at all) the rows are range-partitioned on (group, order), staged once, scanned
 chunk by chunk, and the state at each chunk boundary is carried over from a summary. A range
 partition boundary is crossed by at most one group, so that summary has at most two rows per
@@ -86,7 +86,7 @@ def row_counter(
 ) -> DataFrame:
     """``_N_``: row number in ``order_by`` order, per group or over the whole table."""
     by = list(by or [])
-    order = order_columns(order_by, desc, nulls)
+    order = order_columns(total_order(df, order_by, skip=by), desc, nulls)
     if not _use_chunks(df, by):
         return df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("long"))
     rows = _chunked(df, by, order)
@@ -142,7 +142,7 @@ def retain_sum(
     """
     by = list(by or [])
     addend = F.coalesce(F.col(var) if isinstance(var, str) else var, F.lit(0))
-    order = order_columns(order_by, desc)
+    order = order_columns(total_order(df, order_by, skip=by), desc)
     end = -1 if exclusive else 0
     if not _use_chunks(df, by):
         w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, end)
@@ -160,7 +160,7 @@ def retain_last(
 ) -> DataFrame:
     """``RETAIN`` of the last non-missing value."""
     by = list(by or [])
-    order = order_columns(order_by)
+    order = order_columns(total_order(df, order_by, skip=by))
     if not _use_chunks(df, by):
         w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
         return df.withColumn(name, F.last(var, ignorenulls=True).over(w))
@@ -182,7 +182,7 @@ def lag_n(
 ) -> DataFrame:
     """``LAGn(v)`` within a group (the unconditional form)."""
     by, name = list(by or []), name or f"lag{n}"
-    order = order_columns(order_by)
+    order = order_columns(total_order(df, order_by, skip=by))
     if not _use_chunks(df, by):
         return df.withColumn(name, F.lag(var, n).over(W.partitionBy(*by).orderBy(*order)))
     rows = _chunked(df, by, order)
@@ -196,7 +196,7 @@ def lag_n(
         {"_skip": F.coalesce(F.sum("_rows").over(_before(by)), F.lit(0))},
     )
     # Sources outside the chunk lie in the last n rows of an earlier chunk of a spanning group:
-    # at most 2n rows per range partition, so the side table is broadcast.
+    # at most 2n rows per range partition; Spark chooses the join by the size it measures.
     keys = [f"_k{i}" for i in range(len(by))]
     tails = rows.filter(F.col("_skip").isNotNull() & (F.col("_size") - F.col("_rn") < n)).select(
         *[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)],
@@ -206,7 +206,7 @@ def lag_n(
     on = (rows["_rn"] <= n) & (rows["_skip"] + rows["_rn"] == tails["_target"])
     if by:
         on = on & same_keys([rows[b] for b in by], [tails[k] for k in keys])
-    joined = rows.join(F.broadcast(tails), on, "left")
+    joined = rows.join(tails, on, "left")
     value = F.when(F.col("_rn") <= n, F.col("_value")).otherwise(F.col(name))
     return joined.withColumn(name, value).drop(_CHUNK, "_rn", "_size", "_skip", "_target", "_value", *keys)
 

@@ -140,9 +140,12 @@ def proc_timeseries(
     """``PROC TIMESERIES``: one row per key and calendar period between the key's first and last.
 
     ``fill``: None leaves empty periods missing, ``"zero"`` puts 0, ``"previous"`` carries forward.
+    Periods of a day or more are dates, shorter ones timestamps.
     """
     by = list(by)
-    period = F.date_trunc(interval, F.col(ts).cast("timestamp")).cast("date")
+    period = F.date_trunc(interval, F.col(ts).cast("timestamp"))
+    if interval.lower() not in ("hour", "minute", "second"):
+        period = period.cast("date")
     cells = df.groupBy(*by, period.alias("period")).agg(_STATS[acc](var).alias(var))
     step = F.expr(f"interval 1 {interval}")
     grid = (

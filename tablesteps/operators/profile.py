@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablesteps.operators.ordered import pick_rows
+from tablesteps.session import stage
 
 # Placeholder texts for "no value", and period-like column names.
 SENTINELS = ("-999", "N/A", "ND", "S/I", "#N/A", "...", "-", "n/a", "NA")
@@ -30,21 +31,21 @@ def _profiled(df: DataFrame) -> list[T.StructField]:
     return [f for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))]
 
 
-def profile(df: DataFrame, samples: int = 0, exact: bool = True, limit_rows: int | None = None) -> DataFrame:
+def profile(df: DataFrame, samples: int = 0, exact: bool = True) -> DataFrame:
     """One row per column: type, missing count and share, distinct values, min/max text, mean.
 
     Min, max and mean are for numbers. ``null_share`` is a fraction (4 digits), ``null_pct`` a
-    percentage. All rows are read unless ``limit_rows``. ``exact=False`` uses a distinct sketch.
+    percentage. NaN is a missing value. All rows are read. ``exact=False`` uses a distinct sketch.
     ``samples`` adds that many distinct values per column, smallest text first.
     """
-    if limit_rows is not None:
-        df = df.limit(limit_rows)
     fields = _profiled(df)
     parts = []
     for lo in range(0, len(fields), _WIDTH):
         aggs, entries = [F.count(F.lit(1)).alias("_rows")], []
         for i, f in enumerate(fields[lo : lo + _WIDTH]):
             c, number = F.col(f"`{f.name}`"), isinstance(f.dataType, T.NumericType)
+            if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+                c = F.when(~F.isnan(c), c)
             distinct = F.count_distinct(c) if exact else F.approx_count_distinct(c)
             aggs += [F.count(c).alias(f"{i}_n"), distinct.alias(f"{i}_d")]
             if number:
@@ -100,7 +101,7 @@ def find_artifacts(df: DataFrame) -> DataFrame:
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     schema = "artifact_type STRING, location STRING, found ARRAY<STRING>"
     period = [c for c in df.columns if PERIOD_NAME.match(c)]
-    layout = [("pivoted_layout", "column headers", period[:5])] if len(period) > PERIOD_COLUMNS else []
+    layout = [("pivoted_layout", "column headers", period)] if len(period) > PERIOD_COLUMNS else []
     out = spark.createDataFrame(layout, schema)
     if text:
         hits = _unpivot(df, text).filter(F.col("value").isin(*SENTINELS)).groupBy("column")
@@ -125,11 +126,11 @@ def profile_tables(
     parts = []
     for source, read in tables.items():
         try:
-            rows = profile(read(), samples=samples)
-            rows.schema  # noqa: B018  resolves the plan, so an unreadable source fails here
+            # a profile has a row per column; writing it here turns a failure while reading into an error row
+            rows = stage(profile(read(), samples=samples), "profile")
             parts.append(rows.withColumns({"source": F.lit(source), "error": F.lit(None).cast("string")}))
         except Exception as exc:  # noqa: BLE001
-            parts.append(spark.createDataFrame([(source, str(exc)[:500])], "source STRING, error STRING"))
+            parts.append(spark.createDataFrame([(source, str(exc))], "source STRING, error STRING"))
     if prior is not None:
         parts.append(prior.filter(~F.col("source").startswith("db:")))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

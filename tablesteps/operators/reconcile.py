@@ -1,8 +1,9 @@
 """Reconciliation of a migrated table with its reference: schema, counts, aggregates, values, causes.
 
 Reports are DataFrames. A value comparison pairs rows either by position after a sort (parity mode)
-or by key. When counts differ inside the tolerance the position mode compares the rows both sides
-have after sorting; cutting before sorting, as one might on files, has no meaning on a cluster.
+or by key. When counts differ inside the tolerance, the rows that one side has beyond the other are
+reported as ``surplus_rows``. Whole numbers and decimals are compared exactly, never through doubles, and
+NaN is a missing value everywhere.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 from tablesteps.functions.scalars import fold_accents, repair_text, to_num
 from tablesteps.operators.joins import key_diff
 from tablesteps.operators.ordered import row_counter
-from tablesteps.session import same_keys
+from tablesteps.session import same_keys, stage
 
 # Default tolerances and the distinct-count edge for sort keys.
 ROW_TOLERANCE = 0.001
@@ -83,8 +84,26 @@ def _shared(ref: DataFrame, gen: DataFrame) -> list[str]:
     return sorted(set(ref.columns) & set(gen.columns))
 
 
+def _is_float(f: T.StructField) -> bool:
+    return isinstance(f.dataType, (T.FloatType, T.DoubleType))
+
+
+def _present(df: DataFrame, c: str) -> Column:
+    """A numeric column with NaN as missing."""
+    col = F.col(c)
+    return F.when(~F.isnan(col), col) if _is_float(df.schema[c]) else col
+
+
 def _long_aggregates(df: DataFrame, cols: Sequence[str], value: str) -> DataFrame:
-    fns = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max}
+    def total(c: str) -> Column:
+        kind = df.schema[c].dataType
+        if isinstance(kind, T.IntegralType):
+            return F.sum(F.col(c).cast("decimal(38,0)"))  # a sum of BIGINT may not fit a BIGINT
+        if isinstance(kind, T.DecimalType):
+            return F.sum(F.col(c).cast(T.DecimalType(38, kind.scale)))
+        return F.sum(_present(df, c))
+
+    fns = {"sum": total, "mean": lambda c: F.avg(_present(df, c)), "min": lambda c: F.min(_present(df, c)), "max": lambda c: F.max(_present(df, c))}
     aggs = [fn(c).cast("double").alias(f"{i}_{n}") for i, c in enumerate(cols) for n, fn in fns.items()]
     entries = [
         F.struct(F.lit(c).alias("column"), F.lit(n).alias("aggregate"), F.col(f"{i}_{n}").alias(value))
@@ -113,15 +132,20 @@ def compare_aggregates(ref: DataFrame, gen: DataFrame, tol: float = VALUE_TOLERA
 # --- level 4: values -------------------------------------------------------------------------
 
 def _type_facts(df: DataFrame, cols: Sequence[str], side: str) -> DataFrame:
+    numeric = _numeric(df)
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(cols):
-        aggs += [F.count(c).alias(f"{i}_filled"), F.count(to_num(F.col(c).cast("string"))).alias(f"{i}_numbers")]
+        # what is a number by schema is one whatever its values; only text is parsed
+        number = _present(df, c) if c in numeric else to_num(F.col(c).cast("string"))
+        filled = _present(df, c) if c in numeric else F.col(c)
+        aggs += [F.count(filled).alias(f"{i}_filled"), F.count(number).alias(f"{i}_numbers")]
     entries = [
         F.struct(
             F.lit(c).alias("column"),
             F.col("_rows").alias(f"{side}_rows"),
             F.col(f"{i}_filled").alias(f"{side}_filled"),
             F.col(f"{i}_numbers").alias(f"{side}_numbers"),
+            F.lit(c in numeric).alias(f"{side}_schema"),
         )
         for i, c in enumerate(cols)
     ]
@@ -131,8 +155,9 @@ def _type_facts(df: DataFrame, cols: Sequence[str], side: str) -> DataFrame:
 def classify_columns(ref: DataFrame, gen: DataFrame) -> DataFrame:
     """Is each shared column numeric or text on both sides -> (column, is_numeric, lost cells).
 
-    Numeric if every value present parses on both sides, or if more than half of the rows do; in
-    the second case the cells that do not parse become missing and are counted as lost.
+    Numeric if both sides say so in their schema, if every value present parses on both sides, or if more
+    than half of the rows do; in the last case the cells that do not parse are counted as lost, and a
+    value comparison compares them as text.
     """
     ref, gen = repair_names(ref), repair_names(gen)
     cols = _shared(ref, gen)
@@ -140,7 +165,7 @@ def classify_columns(ref: DataFrame, gen: DataFrame) -> DataFrame:
     every = (F.col("ref_filled") == F.col("ref_numbers")) & (F.col("gen_filled") == F.col("gen_numbers"))
     some = (F.col("ref_numbers") > 0) | (F.col("gen_numbers") > 0)
     most = (F.col("ref_numbers") > 0.5 * F.col("ref_rows")) & (F.col("gen_numbers") > 0.5 * F.col("gen_rows"))
-    numeric = (every & some) | most
+    numeric = (F.col("ref_schema") & F.col("gen_schema")) | (every & some) | most
     lost = {s: F.when(numeric, F.col(f"{s}_filled") - F.col(f"{s}_numbers")).otherwise(0) for s in ("ref", "gen")}
     return facts.select(
         "column", numeric.alias("is_numeric"), lost["ref"].alias("lost_in_ref"), lost["gen"].alias("lost_in_gen")
@@ -148,67 +173,96 @@ def classify_columns(ref: DataFrame, gen: DataFrame) -> DataFrame:
 
 
 def _numeric_flags(ref: DataFrame, gen: DataFrame) -> dict[str, bool]:
-    """The classification as a small driver value: one entry per column name."""
-    return {r["column"]: r["is_numeric"] for r in classify_columns(ref, gen).collect()}
+    """The classification as a small driver value: one entry per column name.
+
+    Columns that are numbers on both sides by schema need no look at the data.
+    """
+    both = _numeric(ref) & _numeric(gen)
+    rest = [c for c in _shared(ref, gen) if c not in both]
+    flags = {c: True for c in both}
+    if rest:
+        flags |= {r["column"]: r["is_numeric"] for r in classify_columns(ref.select(*rest), gen.select(*rest)).collect()}
+    return flags
 
 
 def sort_keys(ref: DataFrame, types: Mapping[str, bool], limit: int = KEY_DISTINCT_LIMIT) -> list[str]:
     """Text columns plus numeric columns with fewer than ``limit`` distinct values; else all.
 
-    One sketch pass settles the clear cases; only columns near the limit are counted exactly.
+    A report for people who choose an order; no comparison depends on it.
     """
     cols = sorted(types)
     numeric = [c for c in cols if types[c]]
     few: set[str] = set()
     if numeric:
-        sketch = ref.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in numeric]).first()
-        few = {c for c in numeric if sketch[c] < limit / 2}
-        close = [c for c in numeric if limit / 2 <= sketch[c] <= limit * 2]
-        if close:
-            exact = ref.agg(*[F.count_distinct(c).alias(c) for c in close]).first()
-            few |= {c for c in close if exact[c] < limit}
+        exact = ref.agg(*[F.count_distinct(c).alias(c) for c in numeric]).first()
+        few = {c for c in numeric if exact[c] < limit}
     chosen = [c for c in cols if not types[c] or c in few]
     return chosen or cols
 
 
-def _normal(df: DataFrame, types: Mapping[str, bool]) -> DataFrame:
+def _lost(c: str) -> str:
+    return f"{c}\u0001text"
+
+
+def _normal(df: DataFrame, types: Mapping[str, bool], exact: Mapping[str, int], mixed: set[str]) -> DataFrame:
+    """Comparable values: exact decimals, doubles without NaN, folded text, and the text of lost cells."""
     cols = []
     for c in sorted(types):
-        if types[c]:
-            cols.append(to_num(F.col(c).cast("string")).alias(c) if c not in _numeric(df) else F.col(c).cast("double").alias(c))
-        else:
-            cols.append(F.coalesce(F.lower(F.trim(F.col(c).cast("string"))), F.lit(NULL_TEXT)).alias(c))
+        folded = F.lower(F.trim(F.col(c).cast("string")))
+        if not types[c]:
+            cols.append(F.coalesce(folded, F.lit(NULL_TEXT)).alias(c))
+            continue
+        number = _present(df, c) if c in _numeric(df) else to_num(F.col(c).cast("string"))
+        cols.append((F.col(c).cast(T.DecimalType(38, exact[c])) if c in exact else number.cast("double")).alias(c))
+        if c in mixed:
+            cols.append((F.lit(None).cast("string") if c in _numeric(df) else F.when(number.isNull(), folded)).alias(_lost(c)))
     return df.select(*cols)
 
 
-def _paired(ref: DataFrame, gen: DataFrame, types: Mapping[str, bool], keys: Sequence[str] | None) -> DataFrame:
-    """Rows of both sides next to each other: columns ``r_<c>`` and ``g_<c>``."""
-    cols = sorted(types)
+def _exact_scales(ref: DataFrame, gen: DataFrame, types: Mapping[str, bool]) -> dict[str, int]:
+    """Scale of each column that is a whole number or a decimal on both sides."""
+    scales = {}
+    for c in types:
+        kinds = [d.schema[c].dataType for d in (ref, gen)]
+        if all(isinstance(k, (T.IntegralType, T.DecimalType)) for k in kinds):
+            scales[c] = max(k.scale if isinstance(k, T.DecimalType) else 0 for k in kinds)
+    return scales
+
+
+def _paired(
+    ref: DataFrame, gen: DataFrame, types: Mapping[str, bool], keys: Sequence[str] | None, order: Sequence[str] | None = None, how: str = "inner"
+) -> DataFrame:
+    """Rows of both sides next to each other: ``_i``, ``_j`` and the columns ``r_<c>`` and ``g_<c>``.
+
+    With ``keys`` the rows of one key are numbered in the order of the other columns; without, all rows are
+    numbered after a sort on ``order``, by default the text columns and then the numbers.
+    """
+    cols = ref.columns
     if keys:
-        keys = list(keys)
-        rest = [c for c in cols if c not in keys]
-        left = row_counter(ref, rest or keys, by=keys, name="_i", nulls="last")
-        right = row_counter(gen, rest or keys, by=keys, name="_i", nulls="last")
+        rest = [c for c in cols if c not in keys] or list(keys)
+        left = row_counter(ref, rest, by=list(keys), name="_i", nulls="last")
+        right = row_counter(gen, rest, by=list(keys), name="_i", nulls="last")
     else:
-        first = sort_keys(ref, types)
-        order = [*first, *[c for c in cols if c not in first]]
-        left = row_counter(ref, order, name="_i", nulls="last")
-        right = row_counter(gen, order, name="_i", nulls="last")
+        first = list(order) if order else [c for c in cols if not types.get(c, False)]
+        every = [*first, *[c for c in cols if c not in first]]
+        left = row_counter(ref, every, name="_i", nulls="last")
+        right = row_counter(gen, every, name="_i", nulls="last")
     left = left.select("_i", *[F.col(c).alias(f"r_{c}") for c in cols])
     right = right.select(F.col("_i").alias("_j"), *[F.col(c).alias(f"g_{c}") for c in cols])
     on = left["_i"] == right["_j"]
     if keys:
         on = on & same_keys([left[f"r_{k}"] for k in keys], [right[f"g_{k}"] for k in keys])
-    return left.join(right, on, "inner")
+    return left.join(right, on, how)
 
 
-def _cell_tests(types: Mapping[str, bool], tol: float, keys: Sequence[str]) -> tuple[list[Column], list[Column]]:
+def _cell_tests(types: Mapping[str, bool], tol: float, keys: Sequence[str], mixed: set[str]) -> tuple[list[Column], list[Column]]:
     aggs: list[Column] = []
     entries: list[Column] = []
+    pair = F.col("_i").isNotNull() & F.col("_j").isNotNull()
 
-    def entry(c: str, kind: str, rows: Column, worst: Column, mean: Column) -> Column:
+    def entry(c: str | None, kind: str, rows: Column, worst: Column, mean: Column) -> Column:
         return F.struct(
-            F.lit(c).alias("column"),
+            F.lit(c).cast("string").alias("column"),
             F.lit(kind).alias("kind"),
             worst.cast("double").alias("max_diff"),
             mean.cast("double").alias("mean_diff"),
@@ -221,18 +275,31 @@ def _cell_tests(types: Mapping[str, bool], tol: float, keys: Sequence[str]) -> t
             continue
         r, g = F.col(f"r_{c}"), F.col(f"g_{c}")
         if types[c]:
-            diff = F.abs(r - g)
+            diff = F.when(pair, F.abs(r - g))
             aggs += [
                 F.max(diff).alias(f"{i}_max"),
-                F.avg(diff).alias(f"{i}_mean"),
+                F.avg(diff.cast("double")).alias(f"{i}_mean"),
                 F.count_if(diff > tol).alias(f"{i}_rows"),
-                F.count_if(r.isNull() != g.isNull()).alias(f"{i}_null"),
+                F.count_if(pair & (r.isNull() != g.isNull())).alias(f"{i}_null"),
             ]
             entries.append(entry(c, "numeric", F.col(f"{i}_rows"), F.col(f"{i}_max"), F.col(f"{i}_mean")))
             entries.append(entry(c, "null_pattern", F.col(f"{i}_null"), none, none))
+            if c in mixed:
+                rt, gt = F.col(f"r_{_lost(c)}"), F.col(f"g_{_lost(c)}")
+                aggs.append(F.count_if(pair & ~rt.eqNullSafe(gt)).alias(f"{i}_lost"))
+                entries.append(entry(c, "lost_cells", F.col(f"{i}_lost"), none, none))
         else:
-            aggs.append(F.count_if(r != g).alias(f"{i}_rows"))
+            aggs.append(F.count_if(pair & (r != g)).alias(f"{i}_rows"))
             entries.append(entry(c, "string", F.col(f"{i}_rows"), none, none))
+    if keys:
+        alone = {"missing_keys": F.col("_j").isNull(), "extra_keys": F.col("_i").isNull()}
+    else:
+        alone = {"surplus_rows": ~pair}
+    for kind, what in alone.items():
+        aggs.append(F.count_if(what).alias(kind))
+        entries.append(entry(None, kind, F.col(kind), none, none))
+    if not set(types) - set(keys):
+        entries.append(entry(None, "no_shared_columns", F.lit(1), none, none))
     return aggs, entries
 
 
@@ -241,35 +308,28 @@ def compare_values(
     gen: DataFrame,
     tol: float = VALUE_TOLERANCE,
     keys: Sequence[str] | None = None,
+    order: Sequence[str] | None = None,
 ) -> DataFrame:
     """Cell by cell -> one row per column and kind of difference; no rows when all cells agree.
 
-    Kinds: ``numeric``, ``null_pattern``, ``string``, with ``keys`` also ``missing_keys`` and
-    ``extra_keys``. Text is compared trimmed and lower-cased. Without ``keys`` rows pair by
-    position after a sort on text and low-cardinality columns, ties broken by the other columns.
+    Kinds: ``numeric``, ``null_pattern``, ``string``, ``lost_cells`` (cells of a mostly numeric text column
+    that are no numbers and differ as text), ``missing_keys`` and ``extra_keys`` with ``keys``, without them
+    ``surplus_rows``, and ``no_shared_columns`` when there is nothing to compare. Text is compared
+    trimmed and lower-cased. Without ``keys`` rows pair by position after a sort on ``order``
+    (default: text columns, then numbers), ties broken by the other columns.
     """
     ref, gen = repair_names(ref), repair_names(gen)
     types = _numeric_flags(ref, gen)
-    ref, gen = _normal(ref, types), _normal(gen, types)
-    aggs, entries = _cell_tests(types, tol, keys or ())
-    parts = []
-    if aggs:
-        parts.append(_paired(ref, gen, types, keys).agg(*aggs).select(F.inline(F.array(*entries))).filter("rows_affected > 0"))
-    if keys:
-        sides = [row_counter(d, sorted(types), by=list(keys), name="_i", nulls="last") for d in (ref, gen)]
-        diff = key_diff(*sides, [*keys, "_i"])
-        parts.append(
-            diff.groupBy("side")
-            .agg(F.count(F.lit(1)).alias("rows_affected"))
-            .select(
-                F.lit(None).cast("string").alias("column"),
-                F.when(F.col("side") == "missing_in_b", "missing_keys").otherwise("extra_keys").alias("kind"),
-                F.lit(None).cast("double").alias("max_diff"),
-                F.lit(None).cast("double").alias("mean_diff"),
-                "rows_affected",
-            )
-        )
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    keys = list(keys or ())
+    if not types:
+        schema = "column STRING, kind STRING, max_diff DOUBLE, mean_diff DOUBLE, rows_affected BIGINT"
+        return ref.sparkSession.createDataFrame([(None, "no_shared_columns", None, None, 1)], schema)
+    exact = _exact_scales(ref, gen, types)
+    mixed = {c for c in types if types[c] and c not in keys and not {c} <= _numeric(ref) & _numeric(gen)}
+    sides = [_normal(d, types, exact, mixed) for d in (ref, gen)]
+    aggs, entries = _cell_tests(types, tol, keys, mixed)
+    paired = _paired(*sides, types, keys, order, "full")
+    return paired.agg(*aggs).select(F.inline(F.array(*entries))).filter("rows_affected > 0")
 
 
 def proc_compare(base: DataFrame, compare: DataFrame, id: Sequence[str], tol: float = VALUE_TOLERANCE) -> DataFrame:
@@ -315,17 +375,20 @@ def reconcile(
     )
     if not gate["passed"]:
         return out
-    aggregates = compare_aggregates(ref, gen, value_tol)
-    values = compare_values(ref, gen, value_tol, keys)
+    # each report has a row per column and kind at most; it is made once and read for summary and detail
+    aggregates = stage(compare_aggregates(ref, gen, value_tol), "aggregates")
+    values = stage(compare_values(ref, gen, value_tol, keys), "values")
     for test, level, report, bad in (
         ("aggregate_comparison", 5, aggregates, ~F.col("passed")),
         ("value_comparison", 4, values, F.lit(True)),
     ):
         failed = report.filter(bad)
+        # surplus rows lie within the count tolerance, which has passed: they are shown, but do not fail
+        fails = failed if test == "aggregate_comparison" else failed.filter("kind <> 'surplus_rows'")
         n = F.count(F.lit(1))
         out = out.unionByName(
             _test_rows(
-                failed.agg(n.alias("n")), test=F.lit(test), level=F.lit(level), passed=F.col("n") == 0,
+                fails.agg(n.alias("n")), test=F.lit(test), level=F.lit(level), passed=F.col("n") == 0,
                 kind=F.lit("summary"), rows_affected=F.col("n"),
             )
         )
@@ -338,6 +401,7 @@ def reconcile(
         else:
             detail |= {
                 "kind": F.col("kind"), "difference": F.col("max_diff"), "rows_affected": F.col("rows_affected"),
+                "passed": F.col("kind") == "surplus_rows",
             }
         out = out.unionByName(_test_rows(failed, **detail))
     return out
@@ -375,7 +439,7 @@ def reconcile_all(
             gen = read_target(table)
         except Exception as exc:  # noqa: BLE001  one table must not stop the others
             unreachable += 1
-            states.append((table, "ERROR", str(exc)[:500]))
+            states.append((table, "ERROR", str(exc)))
             continue
         try:
             if where:
@@ -385,7 +449,7 @@ def reconcile_all(
             results.append(spark.createDataFrame(rows, _EMPTY_TESTS).withColumn("target_table", F.lit(table)))
             states.append((table, "PASS" if all(r["passed"] for r in rows) else "FAIL", ""))
         except Exception as exc:  # noqa: BLE001
-            states.append((table, "ERROR", str(exc)[:500]))
+            states.append((table, "ERROR", str(exc)))
     mode = "not_applicable" if not have else "blocked" if matched and unreachable == len(matched) else "full"
     by = {s: sum(1 for x in states if x[1] == s) for s in ("PASS", "FAIL", "ERROR")}
     summary = spark.createDataFrame(
@@ -423,10 +487,14 @@ def diagnose(
     types = _numeric_flags(ref, gen)
     cols = [c for c in sorted(types) if c not in keys]
     plain = {c: types[c] and c in _numeric(ref) and c in _numeric(gen) for c in types}
-    ref_n, gen_n = [
-        d.select(*[F.col(c).cast("double").alias(c) if plain[c] else F.col(c).cast("string").alias(c) for c in sorted(types)])
-        for d in (ref, gen)
-    ]
+    exact = _exact_scales(ref, gen, types)
+
+    def cell(d: DataFrame, c: str) -> Column:
+        if c in exact:
+            return F.col(c).cast(T.DecimalType(38, exact[c]))
+        return _present(d, c).cast("double") if plain[c] else F.col(c).cast("string")
+
+    ref_n, gen_n = [d.select(*[cell(d, c).alias(c) for c in sorted(types)]) for d in (ref, gen)]
     paired = _paired(ref_n, gen_n, types, keys)
     aggs, entries = [], []
     for i, c in enumerate(cols):

@@ -151,9 +151,9 @@ def blocks(programs: DataFrame, code: str = "code") -> DataFrame:
 
 
 def pack_blocks(programs: DataFrame, limit: int = 40_000, code: str = "code") -> DataFrame:
-    """Greedy chunks of at most ``limit`` characters -> (id, chunk, text), never cut inside a block.
+    """Greedy chunks of at most ``limit`` characters -> (id, chunk, text, oversize), never cut inside a block.
 
-    A program with a block above the limit gives no rows.
+    A block above the limit is a chunk of its own with ``oversize`` true.
     """
     base = _sized(programs, code).withColumn("_sizes", F.filter("_sizes", lambda n: n > 0))
     text, sizes = F.col("_code"), F.col("_sizes")
@@ -173,13 +173,12 @@ def pack_blocks(programs: DataFrame, limit: int = 40_000, code: str = "code") ->
         text.alias("_code"),
         F.when(F.length(text) == 0, F.array().cast("array<int>"))
         .when(whole, F.array(F.length(text)))
-        .when(F.exists(sizes, lambda n: n > limit), F.array().cast("array<int>"))
         .otherwise(packed)
         .alias("_sizes"),
     )
     parts = F.zip_with(_running(F.col("_sizes")), "_sizes", lambda at, n: F.struct(at.alias("at"), n.alias("n")))
     rows = sized.select("id", "_code", F.posexplode(parts).alias("chunk", "_c"))
-    return rows.select("id", "chunk", F.substring(F.col("_code"), F.col("_c.at") + 1, F.col("_c.n")).alias("text"))
+    return rows.select("id", "chunk", F.substring(F.col("_code"), F.col("_c.at") + 1, F.col("_c.n")).alias("text"), (F.col("_c.n") > limit).alias("oversize"))
 
 
 # --- statement facts -------------------------------------------------------------------------

@@ -480,9 +480,9 @@ def _(t):
 
 @query(
     "c25_pack_blocks",
-    """SELECT id, CAST(0 AS INT) AS chunk, CASE WHEN length(code) > 130 AND pos % 8 IN (0, 7) THEN substr(code, 1, strpos(code, chr(10) || 'DATA')) ELSE code END AS text FROM programs
- WHERE length(code) <= 130 OR (pos % 8 = 0 AND length(code) > 130)
-UNION ALL SELECT id, 1, substr(code, strpos(code, chr(10) || 'DATA') + 1) FROM programs WHERE pos % 8 = 0 AND length(code) > 130""",
+    """SELECT id, CAST(0 AS INT) AS chunk, CASE WHEN length(code) > 130 AND pos % 8 = 7 THEN substr(code, 1, strpos(code, chr(10) || 'DATA')) ELSE code END AS text,
+ length(code) > 130 AND pos % 8 <> 7 AS oversize FROM programs
+UNION ALL SELECT id, 1, substr(code, strpos(code, chr(10) || 'DATA') + 1), length(code) - strpos(code, chr(10) || 'DATA') > 130 FROM programs WHERE pos % 8 = 7 AND length(code) > 130""",
     uses=("programs",),
 )
 def _(t):

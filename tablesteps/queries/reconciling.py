@@ -148,18 +148,111 @@ def _(t):
     return _rounded(R.proc_compare(*_sides(t, _LESS), id=["o_orderkey"]))
 
 
-@query("r7_reconcile")
+_BIG = "SELECT o_orderkey, 9007199254740992 + o_orderkey{} AS big, CAST(9007199254740992 + o_orderkey{} AS DECIMAL(38, 0)) AS wide FROM orders"
+_TENTH = " + CASE WHEN o_orderkey % 10 = 0 THEN 1 ELSE 0 END"
+
+
+@query(
+    "r6_values_bigint",
+    """SELECT c AS "column", 'numeric' AS kind, CAST(1 AS DOUBLE) AS max_diff, round(count(*) FILTER (o_orderkey % 10 = 0) / count(*), 4) AS mean_diff,
+ count(*) FILTER (o_orderkey % 10 = 0) AS rows_affected FROM orders, (VALUES ('big'), ('wide')) AS v(c) GROUP BY c""",
+)
+def _(t):
+    return _rounded(R.compare_values(t.sql(_BIG.format("", "")), t.sql(_BIG.format(_TENTH, _TENTH)), keys=["o_orderkey"]))
+
+
+@query(
+    "r6_values_nan",
+    """SELECT 'value' AS "column", 'null_pattern' AS kind, CAST(NULL AS DOUBLE) AS max_diff, CAST(NULL AS DOUBLE) AS mean_diff,
+ count(*) AS rows_affected FROM events WHERE event_id % 14 = 0""",
+)
+def _(t):
+    """NaN on one side and NULL on the other are both missing."""
+    ref = t.sql("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN CAST('NaN' AS DOUBLE) ELSE value END AS value FROM events")
+    gen = t.sql("SELECT event_id, CASE WHEN event_id % 14 = 0 THEN 0.5 WHEN event_id % 7 = 0 THEN NULL ELSE value END AS value FROM events")
+    return _rounded(R.compare_values(ref, gen, keys=["event_id"]))
+
+
+@query(
+    "r6_values_mixed_text",
+    """SELECT 'code' AS "column", 'lost_cells' AS kind, CAST(NULL AS DOUBLE) AS max_diff, CAST(NULL AS DOUBLE) AS mean_diff,
+ count(*) AS rows_affected FROM orders WHERE o_orderkey % 9 = 0""",
+)
 def _(t):
-    return R.reconcile(*_sides(t, _HOLES), keys=["o_orderkey"])
+    text = "SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN '{}' WHEN o_orderkey % 3 = 0 THEN 'zz' ELSE CAST(o_orderkey AS STRING) END AS code FROM orders"
+    return _rounded(R.compare_values(t.sql(text.format("zz")), t.sql(text.format("QQ")), keys=["o_orderkey"]))
 
 
-@query("r7_reconcile_pass")
+@query(
+    "r6_values_surplus",
+    """SELECT CAST(NULL AS VARCHAR) AS "column", 'surplus_rows' AS kind, CAST(NULL AS DOUBLE) AS max_diff, CAST(NULL AS DOUBLE) AS mean_diff,
+ count(*) AS rows_affected FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders)""",
+)
 def _(t):
-    return R.reconcile(*_sides(t, _LESS.replace(" WHERE o_orderkey % 2000 <> 7", "")))
+    ref = t.sql("SELECT o_orderkey FROM orders")
+    return _rounded(R.compare_values(ref, t.sql("SELECT o_orderkey FROM orders WHERE o_orderkey < (SELECT max(o_orderkey) FROM orders)")))
+
+
+_TWINS = "SELECT o_orderstatus AS s, CASE WHEN o_orderkey % 100 = {} THEN 'zz' ELSE o_orderpriority END AS p FROM orders"
 
 
-@query("r8_reconcile_all")
+@query(
+    "r6_values_duplicate_rows",
+    f"""WITH r AS (SELECT *, row_number() OVER (ORDER BY p, s) AS i FROM (SELECT lower(trim(s)) AS s, lower(trim(p)) AS p FROM ({_TWINS.format(-1)}))),
+ g AS (SELECT *, row_number() OVER (ORDER BY p, s) AS i FROM (SELECT lower(trim(s)) AS s, lower(trim(p)) AS p FROM ({_TWINS.format(0)})))
+SELECT * FROM (SELECT 'p' AS "column", 'string' AS kind, CAST(NULL AS DOUBLE) AS max_diff, CAST(NULL AS DOUBLE) AS mean_diff,
+ count(*) FILTER (r.p <> g.p) AS rows_affected FROM r JOIN g USING (i)
+UNION ALL SELECT 's', 'string', NULL, NULL, count(*) FILTER (r.s <> g.s) FROM r JOIN g USING (i)) WHERE rows_affected > 0""",
+)
 def _(t):
+    return _rounded(R.compare_values(t.sql(_TWINS.format(-1)), t.sql(_TWINS.format(0))))
+
+
+def _tests_sql(gen, keyed):
+    """Test rows of a cascade over orders whose schema and counts agree."""
+    nothing = "CAST(NULL AS VARCHAR)"
+    return f"""WITH a AS ({_agg_sql(_REF, gen)}), v AS ({_values_sql(gen, keyed)}), n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM orders)
+SELECT 'schema' AS test, 1 AS level, true AS passed, {nothing} AS "column", 'summary' AS kind, CAST(NULL AS DOUBLE) AS reference,
+ CAST(NULL AS DOUBLE) AS generated, CAST(NULL AS DOUBLE) AS difference, CAST(NULL AS BIGINT) AS rows_affected, 'missing: ; extra: ' AS detail
+UNION ALL SELECT 'row_count', 2, true, NULL, 'summary', n, n, 0, NULL, NULL FROM n
+UNION ALL SELECT 'aggregate_comparison', 5, count(*) = 0, NULL, 'summary', NULL, NULL, NULL, count(*), NULL FROM a WHERE NOT passed
+UNION ALL SELECT 'aggregate_comparison', 5, false, "column", aggregate, reference, generated, relative_diff, NULL, NULL FROM a WHERE NOT passed
+UNION ALL SELECT 'value_comparison', 4, count(*) = 0, NULL, 'summary', NULL, NULL, NULL, count(*), NULL FROM v
+UNION ALL SELECT 'value_comparison', 4, false, "column", kind, NULL, NULL, max_diff, rows_affected, NULL FROM v"""
+
+
+def _rounded_tests(out):
+    return out.withColumns({"reference": F.round("reference", 2), "generated": F.round("generated", 2), "difference": F.round("difference", 9)})
+
+
+_SAME = _LESS.replace(" WHERE o_orderkey % 2000 <> 7", "")
+
+
+@query("r7_reconcile", _tests_sql(_HOLES, True))
+def _(t):
+    return _rounded_tests(R.reconcile(*_sides(t, _HOLES), keys=["o_orderkey"]))
+
+
+@query("r7_reconcile_pass", _tests_sql(_SAME, False))
+def _(t):
+    return _rounded_tests(R.reconcile(*_sides(t, _SAME)))
+
+
+@query(
+    "r8_reconcile_all",
+    f"""WITH o AS ({_tests_sql(_HOLES, False)}), c AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM customer)
+SELECT 'ORDERS' AS target_table, 'FAIL' AS overall_status, '' AS message, * FROM o
+UNION ALL SELECT 'CUSTOMER', 'PASS', '', 'schema', 1, true, NULL, 'summary', NULL, NULL, NULL, NULL, 'missing: ; extra: '
+UNION ALL SELECT 'CUSTOMER', 'PASS', '', 'row_count', 2, true, NULL, 'summary', n, n, 0, NULL, NULL FROM c
+UNION ALL SELECT 'CUSTOMER', 'PASS', '', test, level, true, NULL, 'summary', NULL, NULL, NULL, 0, NULL
+ FROM (VALUES ('aggregate_comparison', 5), ('value_comparison', 4)) AS t(test, level)
+UNION ALL SELECT '(all)', NULL, 'full', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL""",
+)
+def _(t):
+    return _rounded_tests(_reconcile_all(t))
+
+
+def _reconcile_all(t):
     targets = {"ORDERS": t.sql(_HOLES), "CUSTOMER": t.customer}
     refs = {"orders": t.sql(_REF), "customer": t.customer, "lone": t.region}
     results, summary = R.reconcile_all(
@@ -168,10 +261,15 @@ def _(t):
     return stack(results, summary.select(F.lit("(all)").alias("target_table"), F.col("validation_mode").alias("message")))
 
 
-@query("r8_reconcile_summary")
+@query(
+    "r8_reconcile_summary",
+    """SELECT 'full' AS validation_mode, CAST(1 AS INT) AS total_tables, CAST(count(*) > 0 AS INT) AS passed, CAST(count(*) = 0 AS INT) AS failed,
+ CAST(0 AS INT) AS errors, CAST(1 AS DOUBLE) AS pass_rate, 'ABSENT' AS unvalidated_targets, 'LONE' AS unmatched_references FROM customer""",
+)
 def _(t):
     refs = {"customer": t.customer, "lone": t.region}
-    return R.reconcile_all(t.spark, refs, ["lib.CUSTOMER", "lib.ABSENT"], lambda name: t.customer)[1]
+    out = R.reconcile_all(t.spark, refs, ["lib.CUSTOMER", "lib.ABSENT"], lambda name: t.customer)[1]
+    return out.withColumns({c: F.array_join(c, ",") for c in ("unvalidated_targets", "unmatched_references")})
 
 
 _DIAG = """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN lower(o_orderstatus) ELSE o_orderstatus END AS o_orderstatus,
@@ -191,7 +289,11 @@ def _(t):
     return R.diagnose(*_sides(t, _DIAG), keys=["o_orderkey"]).select("column", "cause", "rows_affected")
 
 
-@query("r11_verify_tables")
+@query(
+    "r11_verify_tables",
+    """SELECT 'default.' || lower(r_name) AS qualified_name, 'c' || r_regionkey AS alias, CASE WHEN r_regionkey % 2 = 0 THEN 'target' ELSE 'source' END AS role,
+ false AS "exists", CASE WHEN r_regionkey % 2 = 0 THEN 'missing_target' ELSE 'missing_source' END AS problem FROM region""",
+)
 def _(t):
     conns = t.region.select(
         F.concat(F.lit("c"), "r_regionkey").alias("alias"),
@@ -255,11 +357,23 @@ def _(t):
     return out.withColumn("found", F.array_join("found", "|"))
 
 
-@query("q5_profile_tables")
+def _q5_sql():
+    tables = {
+        "db:dwh/orders": ("orders", [("o_orderkey", "bigint", True), ("o_custkey", "bigint", True), ("o_orderstatus", "string", False)]),
+        "db:dwh/customer": ("customer", [("c_custkey", "bigint", True), ("c_mktsegment", "string", False)]),
+    }
+    parts = [f"SELECT *, '{source}' AS source, false AS failed FROM ({_profile_sql(table, cols)})" for source, (table, cols) in tables.items()]
+    return "\nUNION ALL ".join(parts) + "\nUNION ALL SELECT " + "NULL, " * 11 + "'file:absent', true\nUNION ALL SELECT " + "NULL, " * 11 + "'db:dwh/failing', true"
+
+
+@query("q5_profile_tables", _q5_sql())
 def _(t):
+    """Two sources that can be read, one that is absent, one that fails while it is read."""
     tables = {
-        "db:dwh/orders": lambda: t.orders,
-        "db:dwh/customer": lambda: t.customer,
+        "db:dwh/orders": lambda: t.orders.select("o_orderkey", "o_custkey", "o_orderstatus"),
+        "db:dwh/customer": lambda: t.customer.select("c_custkey", "c_mktsegment"),
         "file:absent": lambda: t.spark.read.parquet(f"{t.sf_dir}/absent.parquet"),
+        "db:dwh/failing": lambda: t.orders.select(F.raise_error(F.concat(F.lit("no "), "o_orderstatus")).cast("bigint").alias("x")),
     }
-    return Q.profile_tables(t.spark, tables)
+    out = Q.profile_tables(t.spark, tables)
+    return out.withColumn("failed", F.col("error").isNotNull()).drop("error")

@@ -339,6 +339,35 @@ def _(t):
     return J.update_by(t.left_k.dropna(subset=["k"]), trans, ["k"])
 
 
+@query(
+    "j12_update_repeated",
+    """WITH m AS (SELECT c_custkey AS k, c_acctbal AS bal, CAST(NULL AS VARCHAR) AS status FROM customer),
+t AS (SELECT o_custkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS bal,
+ CASE WHEN o_orderkey % 5 = 0 THEN o_orderstatus END AS status, o_orderkey AS seq FROM orders),
+last AS (SELECT k, arg_max(bal, seq) FILTER (bal IS NOT NULL) AS bal, arg_max(status, seq) FILTER (status IS NOT NULL) AS status, max(seq) AS seq FROM t GROUP BY k)
+SELECT coalesce(m.k, last.k) AS k, coalesce(last.bal, m.bal) AS bal, coalesce(last.status, m.status) AS status, seq FROM m FULL JOIN last ON m.k = last.k""",
+)
+def _(t):
+    master = t.sql("SELECT c_custkey AS k, c_acctbal AS bal, CAST(NULL AS STRING) AS status FROM customer")
+    trans = t.sql(
+        "SELECT o_custkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS bal,"
+        " CASE WHEN o_orderkey % 5 = 0 THEN o_orderstatus END AS status, o_orderkey AS seq FROM orders"
+    )
+    return J.update_by(master, trans, ["k"], order_by=["seq"])
+
+
+@query(
+    "w8_hourly",
+    """WITH c AS (SELECT event_type, date_trunc('hour', CAST(ts AS TIMESTAMP)) AS period, count(*) AS n FROM events GROUP BY 1, 2),
+g AS (SELECT event_type, unnest(generate_series(min(period), max(period), INTERVAL 1 HOUR)) AS period FROM c GROUP BY 1)
+SELECT event_type, CAST(epoch(g.period) AS BIGINT) AS period, coalesce(n, 0) AS n FROM g LEFT JOIN c USING (event_type, period)""",
+)
+def _(t):
+    counted = t.events.withColumn("n", F.lit(1))
+    out = P.proc_timeseries(counted, ["event_type"], "ts", interval="hour", acc="sum", var="n", fill="zero")
+    return out.select("event_type", F.unix_timestamp("period").alias("period"), "n")
+
+
 @query(
     "w12_pick_best",
     """SELECT o_custkey, o_orderkey, o_totalprice FROM orders

@@ -33,10 +33,13 @@ def read_delimited(
     schema: T.StructType | str | None = None,
     encoding: str | None = None,
     infer: bool = False,
+    multiline: bool = False,
 ) -> DataFrame:
     """CSV/TXT with ``,`` and TSV with a tab unless ``sep`` says otherwise; header row.
 
     Without a schema every column is text (``infer`` scans for types). A byte-order mark is dropped.
+    ``multiline`` keeps line breaks inside quoted cells; such files do not split over tasks. Without it a
+    line break ends the row even inside quotes.
     """
     if sep is None:
         sep = "\t" if path.rstrip("/").lower().endswith(".tsv") else ","
@@ -46,12 +49,18 @@ def read_delimited(
         .option("encoding", encoding or detect_encoding(spark, path))
         .option("quote", '"')
         .option("escape", '"')
+        .option("multiLine", multiline)
     )
     if schema is not None:
         return reader.schema(schema).csv(path)
     return reader.option("inferSchema", infer).csv(path)
 
 
+def read_reference(spark: SparkSession, path: str, sep: str = ";", **options) -> DataFrame:
+    """A reference file for a reconciliation: ``;`` between cells unless said otherwise."""
+    return read_delimited(spark, path, sep=sep, **options)
+
+
 def read_table(spark: SparkSession, name: str, conn: Mapping[str, str] | None = None) -> DataFrame:
     """A parquet path, a catalog table ``schema.table``, or a JDBC table when ``conn`` has a url."""
     if conn and conn.get("url"):

@@ -71,8 +71,8 @@ def create_as(df: DataFrame, table: str, path: str | None = None, partition_by:
 def write_period(df: DataFrame, table: str, period_col: str, periods: Sequence[object] | None = None) -> None:
     """Reload whole periods: the partitions present in ``df`` are replaced, the others stay.
 
-    ``periods`` names the periods being reloaded; one of them without rows ends up empty. Running
-    twice gives the same table.
+    ``periods`` names the periods being reloaded; one of them without rows ends up empty, and rows of any
+    other period (or none) are an error before anything is written. Running twice gives the same table.
     """
     spark = df.sparkSession
     if period_col not in df.columns:
@@ -82,11 +82,11 @@ def write_period(df: DataFrame, table: str, period_col: str, periods: Sequence[o
         raise ValueError(f"{table} is not partitioned by {period_col!r}")
     out = _aligned(df, table)
     if periods is not None:
-        # the new rows exist before the old ones go
-        out = stage(out.filter(F.col(period_col).isin(*periods)), "period")
-        for p in periods:
-            literal = "'" + p.replace("'", "''") + "'" if isinstance(p, str) else str(p)
-            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({period_col} = {literal})")
+        out = stage(out, "period")
+        listed = F.col(period_col).isin(*periods)
+        other = [r[0] for r in out.filter(~F.coalesce(listed, F.lit(False))).select(period_col).distinct().limit(10).collect()]
+        if other:
+            raise ValueError(f"the data has rows of periods that are not being reloaded: {other}")
     conf = "spark.sql.sources.partitionOverwriteMode"
     before = spark.conf.get(conf)
     spark.conf.set(conf, "dynamic")
@@ -94,6 +94,13 @@ def write_period(df: DataFrame, table: str, period_col: str, periods: Sequence[o
         out.write.insertInto(table, overwrite=True)
     finally:
         spark.conf.set(conf, before)
+    if periods is not None:
+        # the new rows are in place; only listed periods without rows are left to empty
+        filled = {r[0] for r in out.select(period_col).distinct().collect()}
+        for p in periods:
+            if p not in filled:
+                literal = "'" + p.replace("'", "''") + "'" if isinstance(p, str) else str(p)
+                spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({period_col} = {literal})")
 
 
 def delete_where(spark: SparkSession, table: str, cond: str, params: Mapping[str, object] | None = None) -> None:

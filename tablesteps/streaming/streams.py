@@ -61,10 +61,28 @@ def versioned_stream(
     return writer.start()
 
 
-def latest_version(spark: SparkSession, path: str, query: StreamingQuery) -> DataFrame:
-    """The state after the last finished batch of ``query``."""
-    done = [p["batchId"] for p in query.recentProgress if "batchId" in p]
-    return spark.read.parquet(_version(path, max(done, default=-1)))
+def latest_version(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version that was written whole; a restarted stream needs no progress of its own for it."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [
+        entry.getPath().getName()
+        for entry in fs.listStatus(folder)
+        if entry.isDirectory() and fs.exists(jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS"))
+    ]
+    numbered = sorted(n for n in done if n != "version-start")
+    return spark.read.parquet(f"{path}/{numbered[-1] if numbered else 'version-start'}")
+
+
+def purge_versions(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Removes all but the newest ``keep`` versions; call it while the stream stands still."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(e.getPath().getName() for e in fs.listStatus(folder) if e.getPath().getName() != "version-start")
+    for name in names[: max(0, len(names) - max(1, keep))]:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(folder, name), True)
 
 
 def ledger_stream(events: DataFrame, ledger: DataFrame, path: str, checkpoint: str, key: str = "id") -> StreamingQuery:

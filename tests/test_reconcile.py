@@ -121,3 +121,53 @@ def test_profile_tables_replaces_db_rows(spark):
     prior = table(spark, [("db:x", "old"), ("file:y", "kept")], "source STRING, column STRING")
     out = Q.profile_tables(spark, {"db:x": lambda: spark.range(3)}, prior)
     assert sorted((r["source"], r["column"]) for r in out.collect()) == [("db:x", "id"), ("file:y", "kept")]
+
+
+def kinds(ref, gen, **kw):
+    return {(r["column"], r["kind"]): r["rows_affected"] for r in R.compare_values(ref, gen, **kw).collect()}
+
+
+def test_large_integers_are_exact(spark):
+    ref = table(spark, [(9007199254740993, 1), (9007199254740992, 2)], "K BIGINT, V BIGINT")
+    gen = table(spark, [(9007199254740993, 1), (9007199254740992, 3)], "K BIGINT, V BIGINT")
+    assert kinds(ref, gen, keys=["K"]) == {("V", "numeric"): 1}
+    assert kinds(ref.select("K"), ref.select((ref.K + 1).alias("K"))) == {("K", "numeric"): 2}
+    top = table(spark, [(2**63 - 1,), (2**63 - 1,)], "V BIGINT")
+    assert status(top, top) == "PASS"
+
+
+def test_nan_is_missing(spark):
+    nan = table(spark, [("a", float("nan")), ("b", 1.0), ("c", None)], "K STRING, V DOUBLE")
+    assert status(nan, nan) == "PASS" and status(nan, nan, keys=["K"]) == "PASS"
+    assert kinds(nan, table(spark, [("a", None), ("b", 1.0), ("c", None)], "K STRING, V DOUBLE")) == {}
+    most = table(spark, [(float("nan"),), (float("nan"),), (1.0,)], "V DOUBLE")
+    assert {r["column"]: r["is_numeric"] for r in R.classify_columns(most, most).collect()} == {"V": True}
+    assert Q.profile(nan).filter("column = 'V'").first()["null_count"] == 2
+
+
+def test_lost_cells_are_compared(spark):
+    ref = table(spark, [("1",), ("2",), ("zz",)], "V STRING")
+    assert kinds(ref, table(spark, [("1",), ("2",), ("QQ",)], "V STRING")) == {("V", "lost_cells"): 1}
+    assert kinds(ref, table(spark, [("1",), ("2",), (" ZZ",)], "V STRING")) == {}
+
+
+def test_surplus_and_nothing_shared(spark):
+    assert kinds(spark.range(5), spark.range(4)) == {(None, "surplus_rows"): 1}
+    many = spark.range(5000)
+    assert status(many, spark.range(4999)) == "FAIL"  # the sums differ, the surplus row alone would pass
+    a, b = table(spark, [(1,)], "A INT"), table(spark, [(1,)], "B INT")
+    assert kinds(a, b) == {(None, "no_shared_columns"): 1}
+    assert kinds(a, a, keys=["A"]) == {(None, "no_shared_columns"): 1}
+
+
+def test_ties_do_not_depend_on_input_order(spark):
+    from tablesteps.operators import ordered as O
+
+    data = [("g", 1, v) for v in range(40)]
+    a = table(spark, data, "k STRING, t INT, v INT")
+    b = table(spark, data[::-1], "k STRING, t INT, v INT").repartition(5)
+    for fn in (
+        lambda d: O.row_counter(d, ["t"], by=["k"]), lambda d: O.row_counter(d, ["t"]), lambda d: O.lag_n(d, ["k"], "v", ["t"]),
+        lambda d: O.retain_sum(d, ["k"], "v", ["t"]), lambda d: O.retain_last(d, ["k"], "v", ["t"]),
+    ):
+        assert sorted(map(str, fn(a).collect())) == sorted(map(str, fn(b).collect()))

@@ -54,9 +54,37 @@ def test_write_rules(spark, tmp_path):
     assert rows(spark.table("w_period")) == [(1, "2024", "x"), (9, "2025", "z")]
     W.write_period(new, "w_period", "p", periods=["2024", "2025"])
     assert rows(spark.table("w_period")) == [(9, "2025", "z")]
+    before = rows(spark.table("w_period"))
+    strange = spark.createDataFrame([(3, "q", "2026"), (4, "q", None)], "id INT, v STRING, p STRING")
+    with pytest.raises(ValueError, match="not being reloaded"):
+        W.write_period(strange.unionByName(new), "w_period", "p", periods=["2025"])
+    assert rows(spark.table("w_period")) == before
     assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
 
 
+def test_quoted_line_breaks_and_reference_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id;v\n1;"x\ny"\n2;z\n', encoding="utf-8")
+    got = S.read_reference(spark, str(tmp_path / "a.csv"), multiline=True)
+    assert rows(got) == [("1", "x\ny"), ("2", "z")]
+
+
+def test_stream_restarts(spark, tmp_path):
+    events = spark.createDataFrame([(6, "t", "a", "r", "d", 2, None)], FAIL)
+    events.write.parquet(str(tmp_path / "in"))
+    state = str(tmp_path / "state")
+
+    def run():
+        stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+        T.queue_stream(stream, spark.createDataFrame([], QUEUE), state, str(tmp_path / "check")).awaitTermination()
+        return rows(T.latest_version(spark, state).select("node_id", "attempts"))
+
+    assert run() == run() == [(2, "a")]  # a restart without new files
+    events.withColumn("attempts", F.lit(5).cast("int")).write.mode("append").parquet(str(tmp_path / "in"))
+    assert run() == [(5, "a")]
+    T.purge_versions(spark, state, keep=1)
+    assert run() == [(5, "a")]
+
+
 def test_replace_is_idempotent_and_append_doubles(spark, tmp_path):
     df = spark.range(3)
     W.create_as(df, "w_plain", path=str(tmp_path / "p"))
@@ -99,7 +127,7 @@ def test_stream_replay_changes_nothing(spark, tmp_path):
         stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
         q = T.queue_stream(stream, empty, state, str(tmp_path / check))
         q.awaitTermination()
-        return rows(T.latest_version(spark, state, q).select("node_id", "attempts"))
+        return rows(T.latest_version(spark, state).select("node_id", "attempts"))
 
     first = run("check")
     assert first == [(2, "a"), (1, "b")] or first == [(1, "b"), (2, "a")]
