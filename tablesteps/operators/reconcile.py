@@ -407,6 +407,32 @@ def reconcile(
     return out
 
 
+def reconcile_periods(ref: DataFrame, gen: DataFrame, period: str, keys: Sequence[str], tol: float = VALUE_TOLERANCE) -> DataFrame:
+    """(period, status) of all periods in one keyed comparison: FAIL on any differing cell, missing or extra key."""
+    ref, gen = repair_names(ref), repair_names(gen)
+    types = _numeric_flags(ref, gen)
+    exact = _exact_scales(ref, gen, types)
+    types[period] = False
+    exact.pop(period, None)
+    every = [period, *[k for k in keys if k != period]]
+    mixed = {c for c in types if types[c] and c not in every and not {c} <= _numeric(ref) & _numeric(gen)}
+    sides = [_normal(d, types, exact, mixed) for d in (ref, gen)]
+    paired = _paired(*sides, types, every, how="full")
+    bad = F.col("_i").isNull() | F.col("_j").isNull()
+    for c in sorted(types):
+        if c in every:
+            continue
+        r, g = F.col(f"r_{c}"), F.col(f"g_{c}")
+        bad = bad | (F.coalesce(F.abs(r - g) > tol, F.lit(False)) | (r.isNull() != g.isNull()) if types[c] else ~r.eqNullSafe(g))
+        if c in mixed:
+            bad = bad | ~F.col(f"r_{_lost(c)}").eqNullSafe(F.col(f"g_{_lost(c)}"))
+    at = F.coalesce(f"r_{period}", f"g_{period}")
+    status = paired.groupBy(at.alias("_folded")).agg(F.when(F.bool_or(bad), "FAIL").otherwise("PASS").alias("status"))
+    folded = F.coalesce(F.lower(F.trim(F.col(period).cast("string"))), F.lit(NULL_TEXT))
+    names = ref.select(F.col(period).cast("string").alias(period)).union(gen.select(F.col(period).cast("string"))).distinct()
+    return names.join(status, folded == F.col("_folded")).select(period, "status")
+
+
 def overall_status(tests: DataFrame) -> DataFrame:
     """One row: PASS when every test passed."""
     return tests.agg(F.when(F.bool_and("passed"), "PASS").otherwise("FAIL").alias("overall_status"))

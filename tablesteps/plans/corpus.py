@@ -442,7 +442,7 @@ def repeated_numbers(df: DataFrame, min_ids: int = 3, text: str = "code", id: st
 
 
 def duplicate_blocks(
-    df: DataFrame, min_len: int = 60, min_ids: int = 3, top: int | None = 25, text: str = "code", id: str = "id", sep: str = ";"
+    df: DataFrame, min_len: int = 60, min_ids: int = 3, top: int | None = None, text: str = "code", id: str = "id", sep: str = ";"
 ) -> DataFrame:
     """Statements (pieces between ``sep``) whose normal form repeats -> (term, n_ids, ids, fragment).
 
@@ -454,7 +454,7 @@ def duplicate_blocks(
     return out.withColumn("fragment", F.substring("term", 1, 200))
 
 
-def repeated_exprs(df: DataFrame, min_ids: int = 5, top: int | None = 25, text: str = "code", id: str = "id") -> DataFrame:
+def repeated_exprs(df: DataFrame, min_ids: int = 5, top: int | None = None, text: str = "code", id: str = "id") -> DataFrame:
     """Repeated CASE expressions and products -> (term, n_ids, ids)."""
     c = F.col(text)
     every = F.concat(*[F.regexp_extract_all(c, F.lit(p), F.lit(0)) for p in (CASE_EXPR, PRODUCT_EXPR)])
@@ -462,7 +462,7 @@ def repeated_exprs(df: DataFrame, min_ids: int = 5, top: int | None = 25, text:
     return term_fan_in(rows, "expr", "id", min_ids, top)
 
 
-def param_usage(df: DataFrame, top: int | None = 20, text: str = "code", id: str = "id") -> DataFrame:
+def param_usage(df: DataFrame, top: int | None = None, text: str = "code", id: str = "id") -> DataFrame:
     """Parameters ``&x`` by the number of programs that use them -> (term, n_ids, ids)."""
     names = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(PARAMETER), F.lit(1)))
     return term_fan_in(df.select(F.col(id).alias("id"), F.explode(names).alias("var")), "var", "id", 1, top)
@@ -492,13 +492,14 @@ def http_evidence(programs: DataFrame, max_ids: int = MAX_IDS, samples: int = 3)
     )
     calls = programs.select("id", methods.alias("_m"), sources.alias("_s"), F.explode(urls).alias("url")).withColumn("host", url_host("url"))
 
-    def words(col: str, name: str) -> DataFrame:
-        return _first_ids(calls.select("host", F.explode(col).alias("_x")), ["host"], "_x", 100, name)
-
-    out = calls.select("host", "id").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_ids"))
+    per_id = calls.groupBy("host", "id").agg(F.first("_m").alias("_m"), F.first("_s").alias("_s"))
+    named = {n: F.sort_array(F.array_distinct(F.flatten(F.collect_set(c)))).alias(n) for c, n in (("_m", "methods"), ("_s", "sources"))}
+    out = per_id.groupBy("host").agg(F.count(F.lit(1)).alias("n_ids"), *named.values())
+    out = out.select("host", "n_ids", *[F.when(F.size(n) > 0, F.col(n)).alias(n) for n in named])
     out = out.join(_first_ids(calls, ["host"], "id", max_ids), "host", "left")
-    out = out.join(words("_m", "methods"), "host", "left").join(words("_s", "sources"), "host", "left")
-    return out.join(_first_ids(calls, ["host"], "url", samples, "sample_urls"), "host", "left")
+    return out.join(_first_ids(calls, ["host"], "url", samples, "sample_urls"), "host", "left").select(
+        "host", "n_ids", "ids", "methods", "sources", "sample_urls"
+    )
 
 
 # --- features, coverage, packs ---------------------------------------------------------------
@@ -510,39 +511,46 @@ def features(df: DataFrame, rules: Mapping[str, str], text: str = "code", id: st
 
 def name_coverage(
     expected: DataFrame, texts: DataFrame, id: str = "id", name: str = "name", text: str = "text",
-    min_names: int = 5, min_share: float = 0.70, listed: int = 15,
+    min_names: int = 5, min_share: float = 0.70, listed: int | None = None,
 ) -> DataFrame:
     """Share of expected names that occur as whole identifiers in the texts of their id.
 
     -> (id, n_names, n_found, coverage, passed, missing). The gate speaks from ``min_names`` names
-    on. Distinct words meet the names by equality on (id, word); no pattern per name.
+    on. ``missing`` holds all names that were not found, or the first ``listed``.
     """
-    names = expected.select(F.col(id).alias("id"), base_name(name).alias("_name")).filter("_name <> ''").distinct()
+    names = expected.select(F.col(id).alias("id"), base_name(name).alias("_name")).filter("_name <> ''")
+    # the names one id expects, met inside the row by the words of each of its texts: no word leaves its row
+    wanted = names.groupBy("id").agg(F.sort_array(F.collect_set("_name")).alias("_names"))
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?U)\w+"), F.lit(0)))
-    said = texts.select(F.col(id).alias("id"), F.explode(words).alias("_name"))
-    found = names.join(said, ["id", "_name"], "left_semi").withColumn("_hit", F.lit(1))
-    per_name = names.join(found, ["id", "_name"], "left")
-    counts = per_name.groupBy("id").agg(F.count(F.lit(1)).alias("n_names"), F.count("_hit").alias("n_found"))
-    lacking = _first_ids(per_name.filter("_hit IS NULL"), ["id"], "_name", listed, "missing")
+    said = texts.select(F.col(id).alias("_id"), words.alias("_words"))
+    met = said.join(wanted, F.col("_id") == F.col("id")).select("id", F.array_intersect("_names", "_words").alias("_met"))
+    found = met.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("_met"))).alias("_found"))
+    both = wanted.join(found, "id", "left").withColumn("_found", F.coalesce("_found", F.array().cast("array<string>")))
+    lacking = F.array_except("_names", "_found")
+    both = both.select("id", F.size("_names").cast("long").alias("n_names"), F.size("_found").cast("long").alias("n_found"), lacking.alias("_lacking"))
     share = F.col("n_found") / F.col("n_names")
-    return counts.join(lacking, "id", "left").select(
+    return both.select(
         "id",
         "n_names",
         "n_found",
         share.alias("coverage"),
         ((F.col("n_names") < min_names) | (share >= min_share)).alias("passed"),
-        F.coalesce("missing", F.array().cast("array<string>")).alias("missing"),
+        (F.col("_lacking") if listed is None else F.slice("_lacking", 1, listed)).alias("missing"),
     )
 
 
 def scan_pack(df: DataFrame, text: str, pack: str | Sequence[tuple[str, str]], id: str = "id", cut: int = 30) -> DataFrame:
-    """Every hit of a rule pack in a text column -> (id, rule, hit), shown hits cut to ``cut``."""
+    """Every hit of a rule pack in a text column -> (id, rule, hit, number, length).
+
+    ``hit`` shows the first ``cut`` characters; ``number`` counts a rule's hits in the text and ``length`` is
+    the whole hit's, so that hits that look alike stay apart.
+    """
     rules = RULE_PACKS[pack] if isinstance(pack, str) else pack
 
     def hits(rule: str, pattern: str) -> Column:
         return F.transform(
             F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)),
-            lambda h: F.struct(F.lit(rule).alias("rule"), F.substring(h, 1, cut).alias("hit")),
+            lambda h, i: F.struct(F.lit(rule).alias("rule"), F.substring(h, 1, cut).alias("hit"), i.alias("number"), F.length(h).alias("length")),
         )
 
     found = [hits(rule, pattern) for rule, pattern in rules]

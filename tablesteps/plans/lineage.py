@@ -54,35 +54,70 @@ def validate_edges(edges: DataFrame, nodes: DataFrame, elements: DataFrame) -> D
     )
 
 
+def _chains(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes with one predecessor and one successor -> (id, head, dist), and those on a ring of only such nodes.
+
+    ``head`` is the first node before the chain, ``dist`` the steps to it. Every round doubles the reach, so
+    a chain of n nodes takes about log2(n) rounds.
+    """
+    ends = links.select(F.col("source").alias("id"), F.lit(0).alias("_in"), F.lit(1).alias("_out"))
+    ends = ends.unionByName(links.select(F.col("target").alias("id"), F.lit(1).alias("_in"), F.lit(0).alias("_out")))
+    inner = ends.groupBy("id").agg(F.sum("_in").alias("_in"), F.sum("_out").alias("_out")).filter("_in = 1 AND _out = 1").select("id")
+    reach = links.join(inner, links["target"] == inner["id"], "left_semi")
+    reach = stage(reach.select(F.col("target").alias("id"), F.col("source").alias("head"), F.lit(1).cast("long").alias("dist")), "chain")
+    rounds = max(1, reach.count()).bit_length() + 1
+    for _ in range(rounds):
+        onward = reach.select(F.col("id").alias("_h"), F.col("head").alias("_head"), F.col("dist").alias("_dist"))
+        joined = reach.join(onward, F.col("head") == F.col("_h"), "left")
+        if joined.filter("_h IS NOT NULL").isEmpty():
+            return reach, reach.limit(0)
+        reach = stage(
+            joined.select("id", F.coalesce("_head", "head").alias("head"), (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist")), "chain"
+        )
+    ring = reach.join(reach.select(F.col("id").alias("head")), "head", "left_semi")
+    return reach.join(ring.select("id"), "id", "left_anti"), ring
+
+
 def topo_order(nodes: DataFrame, edges: DataFrame, position: str = "pos") -> DataFrame:
     """Execution order -> (id, level, topo_order from 0).
 
-    Nodes are taken off layer by layer (a layer: nodes without open predecessors), ordered by
-    (layer, position, id); nodes on or behind a cycle come last by position with no level. Any such
-    order is valid; within a layer it may differ from a queue-driven one. One round per layer, each
-    on what is left, staged so that the plan does not grow with the depth.
+    A node's level is the longest way to it from a node without predecessors. Nodes are ordered by (level,
+    position, id); nodes on or behind a cycle come last by position with no level. Any such order is valid;
+    within a level it may differ from a queue-driven one. Chains are contracted first; what is left is
+    taken off layer by layer, one staged round per layer, so the plan does not grow with the depth.
     """
     nodes = nodes.select("id", F.col(position).alias("_pos"))
     ids = nodes.select("id")
-    left = edges.select("source", "target").distinct()
-    left = left.join(ids.withColumnRenamed("id", "source"), "source", "left_semi")
-    left = stage(left.join(ids.withColumnRenamed("id", "target"), "target", "left_semi"), "edges")
-    linked = left.select(F.col("source").alias("id")).union(left.select("target")).distinct()
-    layers = [nodes.join(linked, "id", "left_anti").withColumn("level", F.lit(0).cast("long"))]
-    open_ = stage(nodes.join(linked, "id", "left_semi"), "nodes")
-    level = 0
+    links = edges.select("source", "target").distinct()
+    links = links.join(ids.withColumnRenamed("id", "source"), "source", "left_semi")
+    links = stage(links.join(ids.withColumnRenamed("id", "target"), "target", "left_semi"), "edges")
+    chain, _ = _chains(links)
+    inner = links.groupBy("target").count().filter("count = 1").join(
+        links.groupBy("source").count().filter("count = 1").select(F.col("source").alias("target")), "target", "left_semi"
+    )
+    far = links.join(inner, "target", "left_anti").join(chain.select(F.col("id").alias("source"), "head", "dist"), "source", "left")
+    # edges between the nodes outside chains; base is the level an edge asks for once its source has one
+    waiting = stage(
+        far.select(F.coalesce("head", "source").alias("source"), "target", (F.coalesce("dist", F.lit(0)) + 1).alias("steps"), F.lit(None).cast("long").alias("base")),
+        "waiting",
+    )
+    targets = links.select(F.col("target").alias("id")).distinct()
+    layers = [stage(ids.distinct().join(targets, "id", "left_anti").select("id", F.lit(0).cast("long").alias("level")), "layer")]
     while True:
-        waiting = left.select(F.col("target").alias("id")).distinct()
-        layer = stage(open_.join(waiting, "id", "left_anti"), "layer")
+        fresh = layers[-1].select(F.col("id").alias("source"), "level")
+        waiting = waiting.join(fresh, "source", "left").select(
+            "source", "target", "steps", F.coalesce("base", F.col("level") + F.col("steps")).alias("base")
+        )
+        waiting = stage(waiting, "waiting")
+        layer = waiting.groupBy("target").agg(F.max("base").alias("level"), F.count_if(F.col("base").isNull()).alias("_open"))
+        layer = stage(layer.filter("_open = 0").select(F.col("target").alias("id"), "level"), "layer")
         if layer.isEmpty():
             break
-        layers.append(layer.withColumn("level", F.lit(level).cast("long")))
-        done = layer.select("id")
-        open_ = stage(open_.join(done, "id", "left_anti"), "nodes")
-        left = stage(left.join(done.withColumnRenamed("id", "source"), "source", "left_anti"), "edges")
-        level += 1
-    layers.append(open_.withColumn("level", F.lit(None).cast("long")))
-    every = reduce(lambda a, b: a.unionByName(b), layers)
+        layers.append(layer)
+        waiting = waiting.join(layer.select(F.col("id").alias("target")), "target", "left_anti")
+    levels = reduce(lambda a, b: a.unionByName(b), layers)
+    inside = chain.join(levels.select(F.col("id").alias("head"), "level"), "head").select("id", (F.col("level") + F.col("dist")).alias("level"))
+    every = nodes.join(levels.unionByName(inside), "id", "left")
     ranked = row_counter(every, ["level", "_pos", "id"], name="_n", nulls="last")
     return ranked.select("id", "level", (F.col("_n") - 1).alias("topo_order"))
 

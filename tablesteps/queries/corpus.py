@@ -303,7 +303,7 @@ def _(t):
     uses=("programs",),
 )
 def _(t):
-    return C.duplicate_blocks(t.programs, min_len=40).withColumn("ids", F.array_join("ids", ",")).drop("fragment")
+    return C.duplicate_blocks(t.programs, min_len=40, top=25).withColumn("ids", F.array_join("ids", ",")).drop("fragment")
 
 
 @query(
@@ -336,7 +336,7 @@ def _(t):
     uses=("programs",),
 )
 def _(t):
-    return C.repeated_exprs(t.programs).withColumn("ids", F.array_join("ids", ","))
+    return C.repeated_exprs(t.programs, top=25).withColumn("ids", F.array_join("ids", ","))
 
 
 @query(
@@ -347,7 +347,7 @@ def _(t):
     uses=("programs",),
 )
 def _(t):
-    return C.param_usage(t.programs).withColumn("ids", F.array_join("ids", ","))
+    return C.param_usage(t.programs, top=20).withColumn("ids", F.array_join("ids", ","))
 
 
 @query(
@@ -415,17 +415,17 @@ def _(t):
 @query(
     "c21_name_coverage",
     r"""WITH e AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(lower(b.text), '[a-z]+')) AS name FROM (SELECT text, CAST(regexp_extract(item_id::VARCHAR, '[0-9]+$') AS BIGINT) AS k FROM benchmark) b
- JOIN documents d ON d.doc_id % 40 = b.k % 40), w AS (SELECT doc_id AS id, list_distinct(regexp_extract_all(lower(text), '[\pL\pM\pN_]+')) AS ws FROM documents),
+ JOIN documents d ON b.k = d.doc_id % (SELECT count(*) FROM benchmark)), w AS (SELECT doc_id AS id, list_distinct(regexp_extract_all(lower(text), '[\pL\pM\pN_]+')) AS ws FROM documents),
  x AS (SELECT e.id, name, list_contains(ws, name) AS hit FROM e JOIN w USING (id))
 SELECT id, count(*) AS n_names, count(*) FILTER (hit) AS n_found, round(count(*) FILTER (hit) / count(*), 6) AS coverage,
  count(*) < 5 OR count(*) FILTER (hit) / count(*) >= 0.7 AS passed, coalesce(array_to_string(list_slice(list(name ORDER BY name) FILTER (NOT hit), 1, 15), ','), '') AS missing FROM x GROUP BY 1""",
 )
 def _(t):
     b = t.benchmark.select("text", F.regexp_extract(F.col("item_id").cast("string"), "[0-9]+$", 0).cast("long").alias("k"))
-    d = t.documents.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 40).alias("m"))
-    names = d.join(b.withColumn("m", F.col("k") % 40), "m").select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("name"))
+    d = t.documents.select(F.col("doc_id").alias("id"), (F.col("doc_id") % t.benchmark.count()).alias("k"))
+    names = d.join(b, "k").select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("name"))
     texts = t.documents.select(F.col("doc_id").alias("id"), "text")
-    out = C.name_coverage(names, texts)
+    out = C.name_coverage(names, texts, listed=15)
     return out.withColumns({"coverage": F.round("coverage", 6), "missing": F.array_join("missing", ",")})
 
 
@@ -439,7 +439,7 @@ def _pack_sql(pack, table, text, key):
 
 @query("c22_secrets_wide", _pack_sql(C.RULE_PACKS["secrets_wide"], "documents", "text", "doc_id"))
 def _(t):
-    return C.scan_pack(t.documents, "text", "secrets_wide", id="doc_id")
+    return C.scan_pack(t.documents, "text", "secrets_wide", id="doc_id").select("id", "rule", "hit")
 
 
 @query(
@@ -448,7 +448,7 @@ def _(t):
     uses=("programs",),
 )
 def _(t):
-    return C.scan_pack(t.programs.withColumn("code", F.replace("code", F.lit("abc123"), F.lit("'abc123'"))), "code", "secrets")
+    return C.scan_pack(t.programs.withColumn("code", F.replace("code", F.lit("abc123"), F.lit("'abc123'"))), "code", "secrets").select("id", "rule", "hit")
 
 
 @query(
@@ -457,7 +457,7 @@ def _(t):
 )
 def _(t):
     text = F.concat("text", F.when(F.col("doc_id") % 3 == 0, " Placeholder: por ahora se deja.").otherwise(""))
-    return C.scan_pack(t.documents.withColumn("text", text), "text", "placeholders", id="doc_id")
+    return C.scan_pack(t.documents.withColumn("text", text), "text", "placeholders", id="doc_id").select("id", "rule", "hit")
 
 
 @query(
@@ -466,7 +466,7 @@ def _(t):
 )
 def _(t):
     sql = F.when(F.col("o_orderkey") % 6 == 0, "SELECT * FROM T WHERE 1 = 1").otherwise("SELECT * FROM T WHERE 1=1 AND X > 2")
-    return C.scan_pack(t.orders.select("o_orderkey", sql.alias("code")), "code", "lone_where", id="o_orderkey")
+    return C.scan_pack(t.orders.select("o_orderkey", sql.alias("code")), "code", "lone_where", id="o_orderkey").select("id", "rule", "hit")
 
 
 @query(

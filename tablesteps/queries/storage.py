@@ -312,8 +312,8 @@ def _(t):
     path = _place(t, "progress")
     run = T.reconcile_stream(
         _stream_of(t, gen.select("period").repartition(3), "arrivals"),
-        lambda p: ref.filter(F.col("period") == p).drop("period"),
-        lambda p: gen.filter(F.col("period") == p).drop("period"),
+        lambda periods: ref.join(periods, "period", "left_semi"),
+        lambda periods: gen.join(periods, "period", "left_semi"),
         "period", path, _place(t, "progress-check"), ["o_orderkey"],
     )
     run.awaitTermination()

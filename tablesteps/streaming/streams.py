@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tablesteps.functions.scalars import content_hash
-from tablesteps.operators.reconcile import overall_status, reconcile
+from tablesteps.operators.reconcile import reconcile_periods
 from tablesteps.plans.ledger import ledger_sync, queue_upsert
 from tablesteps.plans.trace import flatten_usage, outcome_columns
+from tablesteps.session import stage
 from tablesteps.sources.readers import TRACE_SCHEMA
 
 
@@ -95,10 +95,18 @@ def queue_stream(events: DataFrame, queue: DataFrame, path: str, checkpoint: str
     return versioned_stream(events, queue, path, queue_upsert, checkpoint)
 
 
+def period_hashes(rows: DataFrame, period: str) -> DataFrame:
+    """(period, hash) over all rows of each period, whatever their order: digests are added up in four lanes."""
+    text = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("<null>")) for c in sorted(rows.columns)])
+    digest = rows.select(F.col(period).cast("string").alias(period), F.sha2(text, 256).alias("_d"))
+    lanes = [F.sum(F.conv(F.substring("_d", 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")).cast("string") for k in range(4)]
+    return digest.groupBy(period).agg(F.sha2(F.concat_ws("-", F.count(F.lit(1)).cast("string"), *lanes), 256).alias("hash"))
+
+
 def reconcile_stream(
     arrivals: DataFrame,
-    read_ref: Callable[[str], DataFrame],
-    read_gen: Callable[[str], DataFrame],
+    read_ref: Callable[[DataFrame], DataFrame],
+    read_gen: Callable[[DataFrame], DataFrame],
     period: str,
     path: str,
     checkpoint: str,
@@ -106,31 +114,25 @@ def reconcile_stream(
 ) -> StreamingQuery:
     """Reconcile the periods that arrive -> versions of progress (period, hash, status).
 
-    A period whose rows hash to what passed before is not compared again. ``arrivals`` needs the
-    period column only; a batch names few periods.
+    ``read_ref`` and ``read_gen`` get a table of distinct periods and return the rows of those periods, the
+    period column included. All periods of a batch are hashed in one aggregate, and those whose hash is
+    not what passed before are compared in one keyed job, however many they are.
     """
-    spark = arrivals.sparkSession
     schema = f"{period} STRING, hash STRING, status STRING"
-    start = spark.createDataFrame([], schema)
+    start = arrivals.sparkSession.createDataFrame([], schema)
 
     def apply(state: DataFrame, batch: DataFrame) -> DataFrame:
-        session = batch.sparkSession
-        arrived = [str(r[0]) for r in batch.select(period).distinct().collect()]
-        named = F.col(period).isin(arrived)
-        before = {r[period]: r for r in state.filter(named).collect()}  # one row per period of the batch
-        news = []
-        for p in arrived:
-            gen = read_gen(p)
-            text = F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("<null>")) for c in gen.columns])
-            rows = gen.select(F.lit(p).alias("_p"), *keys, text.alias("_text"))
-            hashed = content_hash(rows, "_p", [*keys, "_text"], "_text").first()
-            digest = hashed["content_hash"] if hashed else ""
-            old = before.get(p)
-            if old is not None and old["hash"] == digest and old["status"] == "PASS":
-                news.append((p, digest, "PASS"))
-                continue
-            status = overall_status(reconcile(read_ref(p), gen, keys=keys)).first()["overall_status"]
-            news.append((p, digest, status))
-        return state.filter(~named).unionByName(session.createDataFrame(news, schema))
+        arrived = stage(batch.select(F.col(period).cast("string").alias(period)).distinct(), "arrived")
+        gen = read_gen(arrived)
+        hashes = arrived.join(period_hashes(gen, period), period, "left").withColumn("hash", F.coalesce("hash", F.lit("")))
+        before = state.select(F.col(period).alias("_p"), F.col("hash").alias("_h"), F.col("status").alias("_s"))
+        same = F.coalesce((F.col("hash") == F.col("_h")) & (F.col("_s") == "PASS"), F.lit(False))
+        told = stage(hashes.join(before, F.col(period) == F.col("_p"), "left").select(period, "hash", same.alias("_same")), "hashes")
+        changed = told.filter("NOT _same").select(period)
+        status = reconcile_periods(read_ref(changed), read_gen(changed).join(changed, period, "left_semi"), period, keys)
+        news = told.join(status, period, "left").select(
+            period, "hash", F.when(F.col("_same"), "PASS").otherwise(F.coalesce("status", F.lit("PASS"))).alias("status")
+        )
+        return state.join(arrived, period, "left_anti").unionByName(news)
 
     return versioned_stream(arrivals, start, path, apply, checkpoint)

@@ -154,3 +154,18 @@ def test_broken_archive_is_a_row(spark):
     files = spark.createDataFrame([("x.egp", bytearray(b"no zip"))], "path STRING, content BINARY")
     out = parse_archives(files)
     assert out.errors.count() == 1 and out.nodes().count() == 0
+
+
+def test_long_chain_and_ring_in_topo_order(spark):
+    from tablesteps.plans import lineage as L
+
+    n = 5000
+    edges = [(k, k + 1) for k in range(n)] + [(n, n + 1), (n - 3, n + 1), (9001, 9002), (9002, 9003), (9003, 9001), (9003, 9010), (8000, 8001), (8001, 8000), (8001, 8002)]
+    ids = sorted({x for e in edges for x in e} | {7777})
+    nodes = spark.createDataFrame([(str(i), i) for i in ids], "id STRING, pos LONG")
+    links = spark.createDataFrame([(str(a), str(b)) for a, b in edges], "source STRING, target STRING")
+    got = {int(r["id"]): (r["level"], r["topo_order"]) for r in L.topo_order(nodes, links).collect()}
+    assert all(got[k][0] == k for k in range(n + 2)) and got[7777][0] == 0
+    assert all(got[k][0] is None for k in (9001, 9002, 9003, 9010, 8000, 8001, 8002))
+    assert sorted(o for _, o in got.values()) == list(range(len(ids)))
+    assert max(got[k][1] for k in range(n + 2)) < min(got[k][1] for k in (9001, 8000))
