@@ -68,13 +68,19 @@ def match_files(profiles: DataFrame, steps: DataFrame) -> DataFrame:
     """Files to steps -> (path, id, dataset, role, confidence, reason, needs_confirmation).
 
     ``profiles(path, columns array)``, ``steps(id, dataset, role, columns array)``. A file meets the
-    datasets by equality on ever looser forms of its name, last on its rarest shared word; each form
-    has one representative dataset, so no pairs are enumerated. Shared columns add up to 0.1. A file
-    without a candidate keeps a missing id and confidence 0; nothing is forced.
+    datasets by equality on ever looser forms of its name, last on its rarest shared word. Of the datasets
+    that share the strictest form, the one with the largest overlap of columns is taken, then the one with
+    the nearest name. Overlap adds up to 0.1; where several datasets share the form the confidence stays
+    below the limit for confirmation. A file without a candidate keeps a missing id and confidence 0;
+    nothing is forced. A form that many files and many datasets share makes as many pairs.
     """
     stem = F.regexp_extract(F.element_at(F.split("path", "/"), -1), r"^(.*?)(?:\.[^.]*)?$", 1)
     files = profiles.select("path", F.col("columns").alias("_fc"), stem.alias("_stem"))
     data = steps.select("id", "dataset", "role", "columns", F.element_at(F.split("dataset", "[.]"), -1).alias("_base"))
+    # a dataset that several steps name is one candidate
+    one = F.min(F.struct("id", "role", "columns", "_base")).alias("d")
+    data = data.groupBy("dataset").agg(one).select("dataset", "d.*")
+    theirs = ["id", "dataset", "role", "columns", "_base"]
 
     def keyed(df: DataFrame, name: str, keep: list[str]) -> DataFrame:
         forms = [
@@ -87,33 +93,29 @@ def match_files(profiles: DataFrame, steps: DataFrame) -> DataFrame:
         parts = F.array_distinct(F.filter(F.split(F.upper(name), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3))
         return df.select(*keep, F.explode(parts).alias("key"))
 
-    pick = F.min(F.struct("dataset", "id", "role", "columns")).alias("d")
-    best = keyed(data, "_base", ["id", "dataset", "role", "columns"]).groupBy("tier", "key").agg(pick)
-    strict = keyed(files, "_stem", ["path", "_fc"]).join(best, ["tier", "key"])
-    common = words(data, "_base", ["id", "dataset", "role", "columns"]).groupBy("key").agg(
-        F.count(F.lit(1)).alias("_df"), pick
-    )
-    loose = (
-        words(files, "_stem", ["path", "_fc"])
-        .join(common, "key")
-        .groupBy("path")
-        .agg(F.min(F.struct("_df", "key", "d", "_fc")).alias("m"))
-        .select(
-            "path", F.col("m._fc").alias("_fc"), F.lit(9).alias("tier"), F.lit("rarest shared word").alias("reason"),
-            F.lit(0.4).alias("base"), F.col("m.d").alias("d"),
-        )
-    )
-    found = strict.select("path", "_fc", "tier", "reason", "base", "d").unionByName(loose)
-    top = found.groupBy("path").agg(F.min(F.struct("tier", "reason", "base", "d", "_fc")).alias("m"))
-    shared = F.size(F.array_intersect("m.d.columns", "m._fc"))
-    wide = F.greatest(F.size("m.d.columns"), F.size("m._fc"))
-    bonus = F.when(wide > 0, 0.1 * shared / wide).otherwise(0.0)
+    forms = keyed(data, "_base", theirs).drop("reason", "base")
+    rivals = forms.groupBy("tier", "key").agg(F.count(F.lit(1)).alias("_rivals"))
+    asked = keyed(files, "_stem", ["path", "_fc", "_stem"]).join(rivals, ["tier", "key"])
+    first = F.min(F.struct("tier", "key", "reason", "base", "_rivals", "_fc", "_stem")).alias("m")
+    strict = asked.groupBy("path").agg(first).select("path", "m.*").join(forms, ["tier", "key"])
+    said = words(data, "_base", theirs)
+    common = said.groupBy("key").agg(F.count(F.lit(1)).alias("_rivals"))
+    rest = files.join(strict.select("path").distinct(), "path", "left_anti")
+    rarest = words(rest, "_stem", ["path", "_fc", "_stem"]).join(common, "key").groupBy("path").agg(F.min(F.struct("_rivals", "key", "_fc", "_stem")).alias("m"))
+    loose = rarest.select("path", "m.*").join(said, "key").withColumns({"reason": F.lit("rarest shared word"), "base": F.lit(0.4)})
+    pairs = strict.drop("tier").unionByName(loose)
+    wide = F.greatest(F.size("columns"), F.size("_fc"))
+    overlap = F.when(wide > 0, F.size(F.array_intersect("columns", "_fc")) / wide).otherwise(0.0)
+    far = F.levenshtein(F.upper("_stem"), F.upper("_base"))
+    ranked = pairs.withColumn("_overlap", F.coalesce(overlap, F.lit(0.0)))
+    top = ranked.groupBy("path").agg(F.min(F.struct(-F.col("_overlap"), far.alias("far"), "dataset", "id", "role", "reason", "base", "_rivals", "_overlap")).alias("m"))
+    sure = F.col("m.base") + 0.1 * F.col("m._overlap")
     rated = top.select(
         "path",
-        F.col("m.d.id").alias("id"),
-        F.col("m.d.dataset").alias("dataset"),
-        F.col("m.d.role").alias("role"),
-        F.round(F.col("m.base") + F.coalesce(bonus, F.lit(0.0)), 4).alias("confidence"),
+        F.col("m.id").alias("id"),
+        F.col("m.dataset").alias("dataset"),
+        F.col("m.role").alias("role"),
+        F.round(F.when(F.col("m._rivals") > 1, F.least(sure, F.lit(CONFIRM_BELOW - 0.01))).otherwise(sure), 4).alias("confidence"),
         F.col("m.reason").alias("reason"),
     )
     confidence = F.coalesce("confidence", F.lit(0.0))

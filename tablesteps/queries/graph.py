@@ -204,24 +204,37 @@ def _(t):
     return L.match_references(files, tables)
 
 
+# files named after the 50 datasets GG.R<n>, each with the columns of one of them, after GG.HIST, or after nothing
+_FILES = """SELECT concat('in/', CAST(o_orderkey AS STRING), '/', CASE CAST(o_orderkey % 6 AS INT) WHEN 0 THEN 'hist.csv' WHEN 1 THEN 'hist_202401.csv'
+ WHEN 2 THEN 'old hist copy.csv' WHEN 3 THEN 'zz.csv' WHEN 4 THEN concat('r_', CAST(o_orderkey % 50 AS STRING), '.csv') ELSE concat('r', CAST(o_orderkey % 50 AS STRING), '.csv') END) AS path,
+ CASE WHEN o_orderkey % 6 = 4 THEN o_custkey % 50 WHEN o_orderkey % 6 = 5 THEN o_orderkey % 50 ELSE -1 END AS n, o_orderkey % 6 AS m FROM orders"""
+
+
 @query(
     "j14_match_files",
-    """WITH d AS (SELECT min(struct_pack(dataset := dataset, id := id)) AS m FROM node_outputs WHERE dataset LIKE 'GG.HIST')
-SELECT 'in/' || o_orderkey || '/' || CASE o_orderkey % 4 WHEN 0 THEN 'hist.csv' WHEN 1 THEN 'hist_202401.csv' WHEN 2 THEN 'old hist copy.csv' ELSE 'zz.csv' END AS path,
- CASE WHEN o_orderkey % 4 < 3 THEN (SELECT m.id FROM d) END AS id, CASE WHEN o_orderkey % 4 < 3 THEN (SELECT m.dataset FROM d) END AS dataset,
- CASE WHEN o_orderkey % 4 < 3 THEN 'output' ELSE 'unknown' END AS role, CASE o_orderkey % 4 WHEN 0 THEN 0.95 WHEN 1 THEN 0.8 WHEN 2 THEN 0.45 ELSE 0.0 END::DOUBLE AS confidence,
- CASE o_orderkey % 4 WHEN 0 THEN 'same name' WHEN 1 THEN 'same name without digits and symbols' WHEN 2 THEN 'rarest shared word' ELSE 'no candidate' END AS reason,
- o_orderkey % 4 >= 2 AS needs_confirmation FROM orders""",
+    f"""WITH f AS ({_FILES.replace("STRING", "VARCHAR")}), d AS (SELECT dataset, min(id) AS id FROM node_outputs GROUP BY 1),
+ r AS (SELECT dataset, id, CAST(substr(dataset, 5) AS BIGINT) AS n FROM d WHERE dataset LIKE 'GG.R%'), h AS (SELECT * FROM d WHERE dataset = 'GG.HIST'),
+ pairs AS (SELECT path, r.dataset, r.id, f.n = r.n AS same, levenshtein(upper(regexp_extract(path, '([^/]*)[.]csv$', 1)), substr(r.dataset, 4)) AS far FROM f, r WHERE m = 4),
+ best AS (SELECT path, arg_min(dataset, x) AS dataset, arg_min(id, x) AS id, bool_or(same) AS same FROM (
+  SELECT *, CASE WHEN same THEN 0 ELSE 1 END * 1000000 + far * 10000 + rank() OVER (PARTITION BY path ORDER BY dataset) AS x FROM pairs) GROUP BY path)
+SELECT path, h.id, h.dataset, 'output' AS role, CAST(CASE m WHEN 0 THEN 0.95 WHEN 1 THEN 0.8 ELSE 0.45 END AS DOUBLE) AS confidence,
+ CASE m WHEN 0 THEN 'same name' WHEN 1 THEN 'same name without digits and symbols' ELSE 'rarest shared word' END AS reason, m = 2 AS needs_confirmation FROM f, h WHERE m < 3
+UNION ALL SELECT path, NULL, NULL, 'unknown', 0, 'no candidate', true FROM f WHERE m = 3
+UNION ALL SELECT path, id, dataset, 'output', 0.69, 'same name without digits and symbols', true FROM best
+UNION ALL SELECT path, r.id, r.dataset, 'output', 1.0, 'same name', false FROM f JOIN r USING (n) WHERE m = 5
+UNION ALL SELECT path, x.id, x.dataset, 'output', 0.69, 'same name without digits and symbols', true FROM (
+  SELECT path, arg_min(r.dataset, levenshtein(upper(regexp_extract(path, '([^/]*)[.]csv$', 1)), substr(r.dataset, 4)) * 10000 + k) AS dataset,
+   arg_min(r.id, levenshtein(upper(regexp_extract(path, '([^/]*)[.]csv$', 1)), substr(r.dataset, 4)) * 10000 + k) AS id
+  FROM f, (SELECT *, row_number() OVER (ORDER BY dataset) AS k FROM r) r WHERE m = 5 AND f.n NOT IN (SELECT n FROM r) GROUP BY path) x""",
     uses=("node_outputs",),
 )
 def _(t):
-    key = F.col("o_orderkey")
-    name = F.when(key % 4 == 0, "hist.csv").when(key % 4 == 1, "hist_202401.csv").when(key % 4 == 2, "old hist copy.csv").otherwise("zz.csv")
-    files = t.orders.select(
-        F.concat(F.lit("in/"), key.cast("string"), F.lit("/"), name).alias("path"), F.array(F.lit("ID"), F.lit("MONTO")).alias("columns")
+    files = t.sql(_FILES).select(
+        "path", F.when(F.col("n") < 0, F.array(F.lit("ID"), F.lit("MONTO"))).otherwise(F.array(F.lit("ID"), F.concat(F.lit("C"), F.col("n").cast("string")))).alias("columns")
     )
-    steps = t.node_outputs.filter("dataset = 'GG.HIST'").select("id", "dataset", F.lit("output").alias("role"), F.array(F.lit("ID")).alias("columns"))
-    return L.match_files(files, steps)
+    number = F.substring("dataset", 5, 9)
+    columns = F.when(F.col("dataset").startswith("GG.R"), F.array(F.lit("ID"), F.concat(F.lit("C"), number))).otherwise(F.array(F.lit("ID")))
+    return L.match_files(files, t.node_outputs.select("id", "dataset", F.lit("output").alias("role"), columns.alias("columns")))
 
 
 def _plan(t):

@@ -246,12 +246,10 @@ def _(t):
 
 @query(
     "j5_sql_join",
-    """SELECT o_orderkey, c_custkey, c_mktsegment FROM orders LEFT JOIN
- (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey""",
+    """SELECT o_orderkey, c_custkey, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey * 2""",
 )
 def _(t):
-    c = t.customer.filter("c_acctbal > 0")
-    out = J.sql_join(t.orders, c, F.col("o_custkey") == F.col("c_custkey"), "left")
+    out = J.sql_join(t.orders, t.customer, F.col("o_custkey") == F.col("c_custkey") * 2, "left")
     return out.select("o_orderkey", "c_custkey", "c_mktsegment")
 
 
