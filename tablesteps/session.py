@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 
 HOT_ROWS_CONF = "tablesteps.hotRows"
 HOT_ROWS_DEFAULT = 5_000_000
-_SAMPLE_AT_LIMIT = 50_000
 _LOCAL_SCRATCH: dict[str, str] = {}
+_SCOPES: list[list[str]] = []
 
 
 def build_session(master: str | None = None, app: str = "tablesteps", **conf: str) -> SparkSession:
@@ -50,14 +51,30 @@ def scratch_dir(spark: SparkSession) -> str:
     return _LOCAL_SCRATCH[app]
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``stage`` writes inside the block are removed at its end: write the result before."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for name in _SCOPES.pop():
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage and pins values that depend on task placement, so that a lost executor
-    cannot change them. Parquet rather than ``checkpoint()``: later stages prune columns.
+    cannot change them. Parquet rather than ``checkpoint()``: later stages prune columns. The table stays
+    until the enclosing ``scratch_scope`` ends.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -68,18 +85,13 @@ def hot_rows(spark: SparkSession) -> int:
 
 
 def has_hot_group(df: DataFrame, by: Sequence[str], limit: int | None = None) -> bool:
-    """True if some group of ``by`` holds (about) ``limit`` rows or more.
+    """True if some group of ``by`` holds more than ``limit`` rows.
 
-    Reads only the key columns and counts with map-side combine. Large limits count a row sample,
-    which only picks the plan; results never depend on it.
+    Counts all rows, reading only the key columns, with map-side combine. The answer only picks the plan.
     """
     limit = limit if limit is not None else hot_rows(df.sparkSession)
-    share = min(1.0, _SAMPLE_AT_LIMIT / limit)
-    keys = df.select(*by)
-    if share < 1.0:
-        keys = keys.sample(fraction=share, seed=11)
-    top = keys.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    return top > limit * share * 0.8
+    top = df.select(*by).groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    return top > limit
 
 
 def same_keys(left: Sequence[Column], right: Sequence[Column]) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tablesteps.operators.reconcile import reconcile_periods
 from tablesteps.plans.ledger import ledger_sync, queue_upsert
 from tablesteps.plans.trace import flatten_usage, outcome_columns
-from tablesteps.session import stage
+from tablesteps.session import scratch_scope, stage
 from tablesteps.sources.readers import TRACE_SCHEMA
 
 
@@ -53,7 +53,8 @@ def versioned_stream(
 
     def step(batch: DataFrame, n: int) -> None:
         state = batch.sparkSession.read.schema(schema).parquet(_version(path, n - 1))
-        apply(state, batch).select(*schema.names).write.mode("overwrite").parquet(_version(path, n))
+        with scratch_scope(batch.sparkSession):
+            apply(state, batch).select(*schema.names).write.mode("overwrite").parquet(_version(path, n))
 
     writer = events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     if available_now:

@@ -136,3 +136,16 @@ def test_empty_input(table, hot):
     for run, _ in CASES.values():
         assert run(none).count() == 0
     assert O.row_counter(none, ORDER).count() == 0
+
+
+def test_scratch_scope_removes_staged_tables(spark):
+    from pathlib import Path
+
+    from tablesteps.session import scratch_dir, scratch_scope
+
+    folder = Path(scratch_dir(spark).removeprefix("file://"))
+    before = {p.name for p in folder.iterdir()}
+    with scratch_scope(spark):
+        out = O.row_counter(spark.range(50).withColumnRenamed("id", "v"), ["v"]).count()
+        during = {p.name for p in folder.iterdir()} - before
+    assert out == 50 and during and {p.name for p in folder.iterdir()} == before
