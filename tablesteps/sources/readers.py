@@ -148,6 +148,13 @@ def file_catalog(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_trace(spark: SparkSession, path: str) -> DataFrame:
-    """Append-only JSON lines; a torn line is dropped, the rest is kept."""
+    """Append-only JSON lines; lines that do not parse are left to ``trace_rejects``, the rest is kept."""
     raw = spark.read.schema(TRACE_SCHEMA).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
     return raw.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record").withColumn("at", F.col("at").try_cast("timestamp"))
+
+
+def trace_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """The lines that ``read_trace`` leaves out -> (file, line). One torn last line is normal, more are not."""
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.col("value").alias("line")).filter("trim(line) <> ''")
+    parsed = F.from_json("line", TRACE_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt_record"})
+    return lines.withColumn("_bad", parsed["_corrupt_record"]).filter("_bad IS NOT NULL").select("file", "line")

@@ -1,3 +1,5 @@
+import tempfile
+
 import pytest
 
 from tablesteps.session import HOT_ROWS_CONF, build_session
@@ -13,6 +15,7 @@ def spark():
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "8g",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-"),
         },
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -139,3 +139,9 @@ def test_budget(spark):
     got = [r["allowed"] for r in K.budget_cut(calls, 100, "cost", ["i"]).orderBy("i").collect()]
     assert got == [True, True, True, False, False]
     assert K.budget_cut(calls, 0, "cost", ["i"]).filter("NOT allowed").count() == 0
+
+
+def test_trace_rejects(spark, tmp_path):
+    (tmp_path / "t.json").write_text('{"at": "2024-01-01T00:00:00Z", "task": "x"}\n\n{"at": "2024-01-0\nplain\n', encoding="utf-8")
+    assert S.read_trace(spark, str(tmp_path)).filter("task = 'x'").count() == 1
+    assert sorted(r["line"] for r in S.trace_rejects(spark, str(tmp_path)).collect()) == ['plain', '{"at": "2024-01-0']
