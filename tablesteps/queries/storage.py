@@ -100,9 +100,18 @@ def _(t):
     return flat.select("event_id", to_dmy("indexDateString").cast("string").alias("d"), to_num("value").alias("value"))
 
 
-@query("s9_file_catalog")
+@query(
+    "s9_file_catalog",
+    """SELECT 'r' || n_regionkey AS region, 'txt' AS type, CAST(count(*) AS BIGINT) AS n_lines, CAST(sum(strlen(n_name) + 1) AS BIGINT) AS bytes FROM nation GROUP BY 1""",
+)
 def _(t):
-    return S.file_catalog(t.spark, t.sf_dir).select("name", "stem", "type", "bytes")
+    """One file of names per region, catalogued and read back."""
+    path = _place(t, "catalog")
+    names = t.nation.select(F.concat(F.lit("r"), "n_regionkey").alias("region"), F.col("n_name").alias("value"))
+    names.coalesce(1).write.partitionBy("region").text(path)
+    files = S.file_catalog(t.spark, path).withColumn("region", F.regexp_extract("path", "region=([^/]+)", 1))
+    lines = t.spark.read.text(path).groupBy("region").agg(F.count(F.lit(1)).alias("n_lines"))
+    return files.join(lines, "region").select("region", "type", "n_lines", "bytes")
 
 
 def _trace_files(t):
