@@ -7,6 +7,8 @@ cannot clash. A NULL text is an empty text.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +40,19 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+_collecting: list[list[Scratch]] = []
+
+
+@contextmanager
+def collected() -> Iterator[list[Scratch]]:
+    """The scratch folders made inside the block, for a caller that knows when they may go."""
+    _collecting.append([])
+    try:
+        yield _collecting[-1]
+    finally:
+        _collecting.pop()
+
+
 class Scratch:
     """Tables of one run below ``spark.checkpoint.dir``, which all executors share.
 
@@ -46,10 +61,13 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root = spark, f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self.spark, self.name = spark, f"{label}-{uuid.uuid4().hex}"
+        self.root = f"{scratch_dir(spark)}/{self.name}"
+        if _collecting:
+            _collecting[-1].append(self)
 
     def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+        return f"{self.root}/{name}" if name else self.root
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(name))
@@ -61,6 +79,9 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def clear(self) -> None:
+        self.drop("")
+
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``(v, root)`` for every vertex of ``edges(a, b)``; ``root`` is the smallest vertex of its component.

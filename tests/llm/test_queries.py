@@ -72,3 +72,19 @@ def test_pipeline_empty(spark, none):
 
 def test_pipeline_run(spark):
     assert corpus_pipeline.run(spark, TABLES).count() > 100
+
+
+def test_pipeline_tidies_up_after_finished_stages(spark, docs, tmp_path):
+    from pathlib import Path
+
+    from tablesteps.session import scratch_dir
+
+    folder = Path(scratch_dir(spark).removeprefix("file://"))
+    corpus_pipeline.quality(spark, docs, "tidy")
+    before, frame, held = set(folder.iterdir()), docs, []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, frame, "tidy")
+        out.write.parquet(str(tmp_path / str(k)))
+        frame = spark.read.parquet(str(tmp_path / str(k)))
+        held.append(len(set(folder.iterdir()) - before))
+    assert max(held) == 1 and held[-1] == 0
