@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from tablesteps.llm.common import Scratch, texts
 
 #: Bytes of text in a block, bytes of an anchor, batches of a corpus that is indexed at once.
-BLOCK = 16_000_000
+BLOCK = 8_000_000
 LEAD = 100
 BATCHES = 4
 
