@@ -20,6 +20,7 @@ rows without ids has a NULL one; repeated rows share a component; an empty table
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -186,11 +187,11 @@ def _print_batches(batches, words: int, seed: int, text_at: int):
         yield batch, pa.array(fp), pa.array(uid)
 
 
-def _component_of(prints: DataFrame, scratch: Scratch, limit: int) -> DataFrame:
-    """``(fp, head)`` for each fingerprint: the component's first row by id, as a struct."""
+def component_heads(prints: DataFrame, scratch: Scratch, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``(fp, head)`` for each fingerprint: the component's first row by id, as a struct. ``links`` joins distinct fingerprints."""
     head = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id"), F.col("uid"))
     heads = scratch.put(prints.groupBy("fp").agg(F.min(head).alias("head")), "heads")
-    edges = scratch.put(near_links(heads.select("fp"), scratch, limit), "links")
+    edges = scratch.put(links(heads.select("fp")), "links")
     stars = components(edges, scratch).select(F.col("v").alias("fp"), "root")
     joined = heads.join(stars, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     low = joined.groupBy("root").agg(F.min("head").alias("head"))
@@ -210,7 +211,7 @@ def near_duplicates(
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     prints = scratch.put(rows.mapInArrow(run, f"doc_id {kind}, fp long, uid long"), "prints")
-    parts = _component_of(prints, scratch, limit).select("fp", F.col("head.doc_id").alias("component_id"))
+    parts = component_heads(prints, scratch, lambda fps: near_links(fps, scratch, limit)).select("fp", F.col("head.doc_id").alias("component_id"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(parts, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
@@ -229,6 +230,6 @@ def drop_near_duplicates(
     kinds = [rows.schema["row"], rows.schema["doc_id"], StructField("fp", LongType()), StructField("uid", LongType())]
     held = scratch.put(rows.mapInArrow(run, StructType(kinds)), "rows")
     prints = held.select("doc_id", "fp", "uid")
-    parts = _component_of(prints, scratch, limit)
+    parts = component_heads(prints, scratch, lambda fps: near_links(fps, scratch, limit))
     gone = prints.join(parts, "fp").where("uid <> head.uid").select("uid")
     return held.join(gone, "uid", "left_anti").select("row.*")
