@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesteps.llm import bpe, exact_dedup, lm, mixing, quality_classifier, quality_rules, secrets, simhash_dedup, suffix_dedup, toxicity
+from tablesteps.llm import bpe, exact_dedup, lm, mixing, quality_classifier, quality_rules, secrets, simhash_dedup, suffix_dedup, toxicity, whitening
 from tablesteps.llm.common import WORD, documents
 
 
@@ -60,8 +60,17 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality_classifier.classify(docs, labels, toxicity.fold(F.col("doc_id"), 4) != 2), 2, 4, 0.7)
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(embeddings(spark, sf_dir))
+    return white.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_suffix_dedup, op2_simhash, op3_byte_bpe, op4_secret_scan, op5_exact_dedup, op6_lm_score, op7_quality_rules, op8_mixing, op9_toxicity, op10_quality_classifier,
+    op1_suffix_dedup, op2_simhash, op3_byte_bpe, op4_secret_scan, op5_exact_dedup, op6_lm_score, op7_quality_rules, op8_mixing, op9_toxicity, op10_quality_classifier, op11_whitening,
 )}
 
 
