@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablesteps.llm import bpe, exact_dedup, lm, mixing, quality_classifier, quality_rules, secrets, simhash_dedup, spelling, suffix_dedup, toxicity, whitening
+from tablesteps.llm import bpe, embedding_dedup, exact_dedup, lm, mixing, quality_classifier, quality_rules, secrets, simhash_dedup, spelling, suffix_dedup, toxicity, whitening
 from tablesteps.llm.common import WORD, documents
 
 
@@ -69,12 +69,16 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return white.withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(embeddings(spark, sf_dir))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_suffix_dedup, op2_simhash, op3_byte_bpe, op4_secret_scan, op5_exact_dedup, op6_lm_score, op7_quality_rules, op8_mixing, op9_toxicity, op10_quality_classifier, op11_whitening, op13_spelling,
+    op1_suffix_dedup, op2_simhash, op3_byte_bpe, op4_secret_scan, op5_exact_dedup, op6_lm_score, op7_quality_rules, op8_mixing, op9_toxicity, op10_quality_classifier, op11_whitening, op12_embedding_dedup, op13_spelling,
 )}
 
 
