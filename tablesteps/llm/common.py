@@ -53,6 +53,18 @@ def collected() -> Iterator[list[Scratch]]:
         _collecting.pop()
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> Iterator[None]:
+    """Jobs started inside the block hand Python batches of about ``size`` bytes at most, however long the rows are."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class Scratch:
     """Tables of one run below ``spark.checkpoint.dir``, which all executors share.
 
