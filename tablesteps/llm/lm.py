@@ -29,10 +29,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesteps.llm.common import Scratch, named
+from tablesteps.llm.common import Scratch, named, small_batches
 
 #: Bytes of text in a block. More bytes make fewer requests and larger tasks.
-BLOCK = 16_000_000
+BLOCK = 8_000_000
 #: Marks that no word can equal, as words have no blanks.
 _BEGIN, _END = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b" begin ", b" end "))
 
@@ -66,11 +66,11 @@ class Block:
         self.words = np.append(words, (_END, _BEGIN))
         end, begin = len(words), len(words) + 1
         stops = np.cumsum(sizes + 1) - 1
-        self.token = np.full(int(sizes.sum()) + len(sizes), end, np.int64)
+        self.token = np.full(int(sizes.sum()) + len(sizes), end, np.uint32)
         inside = np.ones(len(self.token), bool)
         inside[stops] = False
         self.token[inside] = tokens
-        self.before = np.append(begin, self.token[:-1])
+        self.before = np.append(np.uint32(begin), self.token[:-1])
         self.before[self.before == end] = begin
         self.starts = stops - sizes
         self.training = np.repeat(trains, sizes + 1)
@@ -81,8 +81,8 @@ class Block:
         at = place[self.token]
         single = keys, at, np.bincount(at[self.training], minlength=len(keys))
         # bigrams of numbered words are made distinct before they are hashed
-        code, which = np.unique(self.before << 32 | self.token, return_inverse=True)
-        hashed = _mixed(self.words[code >> 32], self.words[code & 0xFFFFFFFF])
+        code, which = np.unique(self.before.astype(np.uint64) << np.uint64(32) | self.token, return_inverse=True)
+        hashed = _mixed(self.words[code >> np.uint64(32)], self.words[code & np.uint64(0xFFFFFFFF)])
         pairs, place = np.unique(hashed, return_inverse=True)
         at = place[which]
         return single, (pairs, at, np.bincount(at[self.training], minlength=len(pairs)))
@@ -123,7 +123,7 @@ def _encode(docs: DataFrame, kind: str) -> DataFrame:
                 rows.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in raw), np.uint32, len(raw)))
                 ids.append(doc_id)
                 trains.append(train)
-                held += len(text) + 32
+                held += sum(map(len, raw)) + len(raw) + 32
                 if held >= BLOCK:
                     yield close()
                     ids, trains, rows, numbers, held, seq = [], [], [], {}, 0, seq + 1
@@ -206,7 +206,8 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     scratch = Scratch(docs.sparkSession, "lm")
     rows = docs.select(named(docs, id_col).alias("doc_id"), (~F.coalesce(held_out, F.lit(False))).alias("train"), F.coalesce(named(docs, text_col), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    blocks = scratch.put(_encode(rows, kind), "blocks")
+    with small_batches(docs.sparkSession):
+        blocks = scratch.put(_encode(rows, kind), "blocks")
     # as many ranges of hashes as blocks, so that a range's task gets about what one block asks for
     bits = max(3, math.ceil(math.log2(max(1, blocks.count()))))
     answers = _requests(blocks, bits).groupBy("bucket").applyInArrow(
