@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from tablesteps.functions.scalars import fold_accents, repair_text, to_num
 from tablesteps.operators.joins import key_diff
 from tablesteps.operators.ordered import row_counter
+from tablesteps.operators.runs import face_to_face
 from tablesteps.session import same_keys, stage
 
 # Default tolerances and the distinct-count edge for sort keys.
@@ -229,36 +230,30 @@ def _exact_scales(ref: DataFrame, gen: DataFrame, types: Mapping[str, bool]) ->
     return scales
 
 
-def _paired(
-    ref: DataFrame, gen: DataFrame, types: Mapping[str, bool], keys: Sequence[str] | None, order: Sequence[str] | None = None, how: str = "inner"
-) -> DataFrame:
+def _paired(ref: DataFrame, gen: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Rows of both sides next to each other: ``_i``, ``_j`` and the columns ``r_<c>`` and ``g_<c>``.
 
-    With ``keys`` the rows of one key are numbered in the order of the other columns; without, all rows are
-    numbered after a sort on ``order``, by default the text columns and then the numbers.
+    The rows of one key are numbered in the order of the other columns.
     """
     cols = ref.columns
-    if keys:
-        rest = [c for c in cols if c not in keys] or list(keys)
-        left = row_counter(ref, rest, by=list(keys), name="_i", nulls="last")
-        right = row_counter(gen, rest, by=list(keys), name="_i", nulls="last")
-    else:
-        first = list(order) if order else [c for c in cols if not types.get(c, False)]
-        every = [*first, *[c for c in cols if c not in first]]
-        left = row_counter(ref, every, name="_i", nulls="last")
-        right = row_counter(gen, every, name="_i", nulls="last")
+    rest = [c for c in cols if c not in keys] or list(keys)
+    left = row_counter(ref, rest, by=list(keys), name="_i", nulls="last")
+    right = row_counter(gen, rest, by=list(keys), name="_i", nulls="last")
     left = left.select("_i", *[F.col(c).alias(f"r_{c}") for c in cols])
     right = right.select(F.col("_i").alias("_j"), *[F.col(c).alias(f"g_{c}") for c in cols])
-    on = left["_i"] == right["_j"]
-    if keys:
-        on = on & same_keys([left[f"r_{k}"] for k in keys], [right[f"g_{k}"] for k in keys])
+    on = (left["_i"] == right["_j"]) & same_keys([left[f"r_{k}"] for k in keys], [right[f"g_{k}"] for k in keys])
     return left.join(right, on, how)
 
 
 def _cell_tests(types: Mapping[str, bool], tol: float, keys: Sequence[str], mixed: set[str]) -> tuple[list[Column], list[Column]]:
+    """Aggregates and report entries over pairs; without ``keys`` a pair stands for ``_w`` rows."""
     aggs: list[Column] = []
     entries: list[Column] = []
-    pair = F.col("_i").isNotNull() & F.col("_j").isNotNull()
+    pair = F.col("_i").isNotNull() & F.col("_j").isNotNull() if keys else F.col("_both")
+    weight = F.lit(1) if keys else F.col("_w")
+
+    def rows_where(cond: Column) -> Column:
+        return F.coalesce(F.sum(F.when(cond, weight)), F.lit(0))
 
     def entry(c: str | None, kind: str, rows: Column, worst: Column, mean: Column) -> Column:
         return F.struct(
@@ -278,25 +273,25 @@ def _cell_tests(types: Mapping[str, bool], tol: float, keys: Sequence[str], mixe
             diff = F.when(pair, F.abs(r - g))
             aggs += [
                 F.max(diff).alias(f"{i}_max"),
-                F.avg(diff.cast("double")).alias(f"{i}_mean"),
-                F.count_if(diff > tol).alias(f"{i}_rows"),
-                F.count_if(pair & (r.isNull() != g.isNull())).alias(f"{i}_null"),
+                (F.sum(diff.cast("double") * weight) / F.sum(F.when(diff.isNotNull(), weight))).alias(f"{i}_mean"),
+                rows_where(diff > tol).alias(f"{i}_rows"),
+                rows_where(pair & (r.isNull() != g.isNull())).alias(f"{i}_null"),
             ]
             entries.append(entry(c, "numeric", F.col(f"{i}_rows"), F.col(f"{i}_max"), F.col(f"{i}_mean")))
             entries.append(entry(c, "null_pattern", F.col(f"{i}_null"), none, none))
             if c in mixed:
                 rt, gt = F.col(f"r_{_lost(c)}"), F.col(f"g_{_lost(c)}")
-                aggs.append(F.count_if(pair & ~rt.eqNullSafe(gt)).alias(f"{i}_lost"))
+                aggs.append(rows_where(pair & ~rt.eqNullSafe(gt)).alias(f"{i}_lost"))
                 entries.append(entry(c, "lost_cells", F.col(f"{i}_lost"), none, none))
         else:
-            aggs.append(F.count_if(pair & (r != g)).alias(f"{i}_rows"))
+            aggs.append(rows_where(pair & (r != g)).alias(f"{i}_rows"))
             entries.append(entry(c, "string", F.col(f"{i}_rows"), none, none))
     if keys:
         alone = {"missing_keys": F.col("_j").isNull(), "extra_keys": F.col("_i").isNull()}
     else:
         alone = {"surplus_rows": ~pair}
     for kind, what in alone.items():
-        aggs.append(F.count_if(what).alias(kind))
+        aggs.append(rows_where(what).alias(kind))
         entries.append(entry(None, kind, F.col(kind), none, none))
     if not set(types) - set(keys):
         entries.append(entry(None, "no_shared_columns", F.lit(1), none, none))
@@ -321,14 +316,20 @@ def compare_values(
     ref, gen = repair_names(ref), repair_names(gen)
     types = _numeric_flags(ref, gen)
     keys = list(keys or ())
+    schema = "column STRING, kind STRING, max_diff DOUBLE, mean_diff DOUBLE, rows_affected BIGINT"
     if not types:
-        schema = "column STRING, kind STRING, max_diff DOUBLE, mean_diff DOUBLE, rows_affected BIGINT"
         return ref.sparkSession.createDataFrame([(None, "no_shared_columns", None, None, 1)], schema)
     exact = _exact_scales(ref, gen, types)
     mixed = {c for c in types if types[c] and c not in keys and not {c} <= _numeric(ref) & _numeric(gen)}
     sides = [_normal(d, types, exact, mixed) for d in (ref, gen)]
     aggs, entries = _cell_tests(types, tol, keys, mixed)
-    paired = _paired(*sides, types, keys, order, "full")
+    if keys:
+        paired = _paired(*sides, keys, "full")
+    else:
+        first = list(order) if order else [c for c in sides[0].columns if not types.get(c, False)]
+        paired = face_to_face(*sides, [*first, *[c for c in sides[0].columns if c not in first]])
+        if paired is None:
+            return ref.sparkSession.createDataFrame([], schema)
     return paired.agg(*aggs).select(F.inline(F.array(*entries))).filter("rows_affected > 0")
 
 
@@ -417,7 +418,7 @@ def reconcile_periods(ref: DataFrame, gen: DataFrame, period: str, keys: Sequenc
     every = [period, *[k for k in keys if k != period]]
     mixed = {c for c in types if types[c] and c not in every and not {c} <= _numeric(ref) & _numeric(gen)}
     sides = [_normal(d, types, exact, mixed) for d in (ref, gen)]
-    paired = _paired(*sides, types, every, how="full")
+    paired = _paired(*sides, every, how="full")
     bad = F.col("_i").isNull() | F.col("_j").isNull()
     for c in sorted(types):
         if c in every:
@@ -521,7 +522,7 @@ def diagnose(
         return _present(d, c).cast("double") if plain[c] else F.col(c).cast("string")
 
     ref_n, gen_n = [d.select(*[cell(d, c).alias(c) for c in sorted(types)]) for d in (ref, gen)]
-    paired = _paired(ref_n, gen_n, types, keys)
+    paired = _paired(ref_n, gen_n, keys)
     aggs, entries = [], []
     for i, c in enumerate(cols):
         r, g = F.col(f"r_{c}"), F.col(f"g_{c}")
