@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablesteps.functions.scalars import fold_accents, repair_text, to_num
+from tablesteps.operators.hashtree import differing_rows
 from tablesteps.operators.joins import key_diff
 from tablesteps.operators.ordered import row_counter
 from tablesteps.operators.runs import face_to_face
@@ -205,19 +206,23 @@ def _lost(c: str) -> str:
     return f"{c}\u0001text"
 
 
-def _normal(df: DataFrame, types: Mapping[str, bool], exact: Mapping[str, int], mixed: set[str]) -> DataFrame:
+def _normal_columns(df: DataFrame, types: Mapping[str, bool], exact: Mapping[str, int], mixed: set[str]) -> dict[str, Column]:
     """Comparable values: exact decimals, doubles without NaN, folded text, and the text of lost cells."""
-    cols = []
+    cols = {}
     for c in sorted(types):
         folded = F.lower(F.trim(F.col(c).cast("string")))
         if not types[c]:
-            cols.append(F.coalesce(folded, F.lit(NULL_TEXT)).alias(c))
+            cols[c] = F.coalesce(folded, F.lit(NULL_TEXT))
             continue
         number = _present(df, c) if c in _numeric(df) else to_num(F.col(c).cast("string"))
-        cols.append((F.col(c).cast(T.DecimalType(38, exact[c])) if c in exact else number.cast("double")).alias(c))
+        cols[c] = F.col(c).cast(T.DecimalType(38, exact[c])) if c in exact else number.cast("double")
         if c in mixed:
-            cols.append((F.lit(None).cast("string") if c in _numeric(df) else F.when(number.isNull(), folded)).alias(_lost(c)))
-    return df.select(*cols)
+            cols[_lost(c)] = F.lit(None).cast("string") if c in _numeric(df) else F.when(number.isNull(), folded)
+    return cols
+
+
+def _normal(df: DataFrame, types: Mapping[str, bool], exact: Mapping[str, int], mixed: set[str]) -> DataFrame:
+    return df.select(*[col.alias(c) for c, col in _normal_columns(df, types, exact, mixed).items()])
 
 
 def _exact_scales(ref: DataFrame, gen: DataFrame, types: Mapping[str, bool]) -> dict[str, int]:
@@ -409,7 +414,11 @@ def reconcile(
 
 
 def reconcile_periods(ref: DataFrame, gen: DataFrame, period: str, keys: Sequence[str], tol: float = VALUE_TOLERANCE) -> DataFrame:
-    """(period, status) of all periods in one keyed comparison: FAIL on any differing cell, missing or extra key."""
+    """(period, status) of all periods in one keyed comparison: FAIL on any differing cell, missing or extra key.
+
+    Ranges of keys whose summed digests agree are equal; only the rows of the other ranges are joined. A missing
+    period is a period of its own.
+    """
     ref, gen = repair_names(ref), repair_names(gen)
     types = _numeric_flags(ref, gen)
     exact = _exact_scales(ref, gen, types)
@@ -417,8 +426,11 @@ def reconcile_periods(ref: DataFrame, gen: DataFrame, period: str, keys: Sequenc
     exact.pop(period, None)
     every = [period, *[k for k in keys if k != period]]
     mixed = {c for c in types if types[c] and c not in every and not {c} <= _numeric(ref) & _numeric(gen)}
-    sides = [_normal(d, types, exact, mixed) for d in (ref, gen)]
-    paired = _paired(*sides, every, how="full")
+    folded = F.coalesce(F.lower(F.trim(F.col(period).cast("string"))), F.lit(NULL_TEXT))
+    names = ref.select(F.col(period).cast("string").alias(period)).union(gen.select(F.col(period).cast("string"))).distinct()
+    values = [_normal_columns(d, types, exact, mixed) for d in (ref, gen)]
+    rest = differing_rows(ref, gen, folded, every[1:] or every, values)
+    paired = _paired(*[_normal(d, types, exact, mixed) for d in rest], every, how="full")
     bad = F.col("_i").isNull() | F.col("_j").isNull()
     for c in sorted(types):
         if c in every:
@@ -429,9 +441,7 @@ def reconcile_periods(ref: DataFrame, gen: DataFrame, period: str, keys: Sequenc
             bad = bad | ~F.col(f"r_{_lost(c)}").eqNullSafe(F.col(f"g_{_lost(c)}"))
     at = F.coalesce(f"r_{period}", f"g_{period}")
     status = paired.groupBy(at.alias("_folded")).agg(F.when(F.bool_or(bad), "FAIL").otherwise("PASS").alias("status"))
-    folded = F.coalesce(F.lower(F.trim(F.col(period).cast("string"))), F.lit(NULL_TEXT))
-    names = ref.select(F.col(period).cast("string").alias(period)).union(gen.select(F.col(period).cast("string"))).distinct()
-    return names.join(status, folded == F.col("_folded")).select(period, "status")
+    return names.join(status, folded == F.col("_folded"), "left").select(period, F.coalesce("status", F.lit("PASS")).alias("status"))
 
 
 def overall_status(tests: DataFrame) -> DataFrame:

@@ -107,13 +107,14 @@ QUEUE_KEY = ("phase", "task", "node_id", "reason")
 
 
 def queue_upsert(
-    queue: DataFrame, events: DataFrame, key: Sequence[str] = QUEUE_KEY, prefix: str = "NH-", order: str = "at"
+    queue: DataFrame, events: DataFrame, key: Sequence[str] = QUEUE_KEY, prefix: str = "NH-", order: str = "at", numbered_after: DataFrame | None = None
 ) -> DataFrame:
     """Upsert failures on the natural key among open items.
 
     queue(id, key..., detail, attempts, resolved, resolution), events(key..., detail, attempts, at).
     Attempts take the maximum, the latest non-blank detail wins, resolved items stay untouched and
-    a failure that comes back after being resolved is a new item numbered after the highest id.
+    a failure that comes back after being resolved is a new item numbered after the highest id, of
+    ``numbered_after`` where ``queue`` is only a part of that.
     """
     key = list(key)
     facts = events.groupBy(*key).agg(
@@ -141,7 +142,7 @@ def queue_upsert(
         F.lit(False).alias("resolved"),
         F.lit(None).cast("string").alias("resolution"),
     )
-    numbered = assign_ids(fresh, queue, "id", prefix, key)
+    numbered = assign_ids(fresh, queue if numbered_after is None else numbered_after, "id", prefix, key)
     cols = ["id", *key, "detail", "attempts", "resolved", "resolution"]
     return updated.select(*cols).unionByName(done.select(*cols)).unionByName(numbered.select(*cols))
 

@@ -290,7 +290,7 @@ def _(t):
     path = _place(t, "ledger")
     run = T.ledger_stream(_stream_of(t, _reviews(t).repartition(4), "reviews"), ledger, path, _place(t, "ledger-check"))
     run.awaitTermination()
-    return T.latest_version(t.spark, path).select("id", "batch", "status")
+    return T.latest_state(t.spark, path).select("id", "batch", "status")
 
 
 @query(
@@ -306,7 +306,7 @@ def _(t):
     path = _place(t, "queue")
     run = T.queue_stream(_stream_of(t, failures.repartition(4), "failures"), empty, path, _place(t, "queue-check"))
     run.awaitTermination()
-    return T.latest_version(t.spark, path).select("node_id", "attempts")
+    return T.latest_state(t.spark, path).select("node_id", "attempts")
 
 
 @query(
@@ -324,4 +324,4 @@ def _(t):
         "period", path, _place(t, "progress-check"), ["o_orderkey"],
     )
     run.awaitTermination()
-    return T.latest_version(t.spark, path).select("period", "status")
+    return T.latest_state(t.spark, path).select("period", "status")
