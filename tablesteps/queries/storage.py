@@ -247,6 +247,18 @@ def _(t):
     return t.spark.table(name)
 
 
+@query(
+    "k7_update_table",
+    """SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice,
+ CASE WHEN o_totalprice > 300000 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus FROM orders""",
+)
+def _(t):
+    """The new value of the partition column moves rows to a partition that did not exist."""
+    name = _table(t, t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus"), "update", partition_by=["o_orderstatus"])
+    W.update_table(t.spark, name, {"o_totalprice": "o_totalprice * 2", "o_orderstatus": "'Z'"}, "o_totalprice > :least", {"least": 300000})
+    return t.spark.table(name)
+
+
 @query("k10_observe_step", "SELECT 'orders' AS label, count(*) AS n_rows, CAST(6 AS BIGINT) AS n_columns, count(*) AS written_rows, true AS passed FROM orders")
 def _(t):
     df, seen = W.observe_step(t.orders, "orders")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tablesteps.operators.steps import keep_not
+from tablesteps.operators.steps import keep_not, update_where
 from tablesteps.session import stage
+from tablesteps.sources.rewrite import rewrite_where, rewrites_files
 
 
 def export_csv(df: DataFrame, path: str, bom: bool = False, sep: str = ",") -> None:
@@ -104,7 +105,13 @@ def write_period(df: DataFrame, table: str, period_col: str, periods: Sequence[o
 
 
 def delete_where(spark: SparkSession, table: str, cond: str, params: Mapping[str, object] | None = None) -> None:
-    """``DELETE FROM t WHERE cond`` on a table without row deletes: keep the rest and replace."""
+    """``DELETE FROM t WHERE cond`` on a table without row deletes.
+
+    Parquet and ORC tables are rewritten file by file, only where rows go; others keep the rest and are replaced.
+    """
+    if rewrites_files(spark, table):
+        rewrite_where(spark, table, cond, lambda rows, flag: rows.filter(f"NOT {flag}"), params)
+        return
     source = spark.table(table)
     if params:
         flagged = spark.sql(f"SELECT *, coalesce({cond}, false) AS _gone FROM {{source}}", args=dict(params), source=source)
@@ -114,6 +121,15 @@ def delete_where(spark: SparkSession, table: str, cond: str, params: Mapping[str
     write_replace(kept, table, reads_target=True)
 
 
+def update_table(spark: SparkSession, table: str, changes: Mapping[str, Column | str], cond: str, params: Mapping[str, object] | None = None) -> None:
+    """``UPDATE t SET c = e WHERE cond``: every expression sees the old row; untouched files stay."""
+    if rewrites_files(spark, table):
+        rewrite_where(spark, table, cond, lambda rows, flag: update_where(rows, changes, flag), params)
+        return
+    flagged = spark.sql(f"SELECT *, coalesce({cond}, false) AS _hit FROM {{source}}", args=dict(params or {}), source=spark.table(table))
+    write_replace(update_where(flagged, changes, "_hit").drop("_hit"), table, reads_target=True)
+
+
 def observe_step(df: DataFrame, label: str) -> tuple[DataFrame, Observation]:
     """Count rows and columns of a step while it is written; no extra job.
 
