@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablesteps.functions.scalars import slugify
 from tablesteps.operators.ordered import pick_rows, row_counter
+from tablesteps.plans.components import levels_by_part
 from tablesteps.plans.programs import dataset_refs
 from tablesteps.session import stage
 
@@ -78,19 +79,92 @@ def _chains(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reach.join(ring.select("id"), "id", "left_anti"), ring
 
 
+def _known_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Distinct edges between known nodes."""
+    ids = nodes.select("id").distinct()
+    links = edges.select("source", "target").distinct()
+    links = links.join(ids.withColumnRenamed("id", "source"), "source", "left_semi")
+    return stage(links.join(ids.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target"), "edges")
+
+
+def _levels(links: DataFrame) -> DataFrame:
+    """``(id, level, on_cycle)`` of every end of an edge."""
+    told, left = levels_by_part(links)
+    if left.isEmpty():
+        return told
+    left = stage(left, "large")
+    layered = stage(_layered_levels(left), "levels")
+    ends = left.select(F.col("source").alias("id")).union(left.select("target")).distinct()
+    stuck = ends.join(layered, "id", "left_anti")
+    cyclic = left.join(stuck.withColumnRenamed("id", "source"), "source", "left_semi").join(stuck.withColumnRenamed("id", "target"), "target", "left_semi")
+    on = cycle_members(cyclic).withColumn("on_cycle", F.lit(True))
+    large = ends.join(layered, "id", "left").join(on, "id", "left")
+    return told.unionByName(large.select("id", "level", F.coalesce("on_cycle", F.lit(False)).alias("on_cycle")))
+
+
+def cycle_members(links: DataFrame) -> DataFrame:
+    """``(id)`` on a cycle, by forward and backward colours: for parts that no task can hold.
+
+    Every vertex takes the greatest colour that reaches it; the vertices that reach the owner of their
+    colour within it are one strongly connected component, and are taken off. The rest goes round again.
+    """
+    owns = links.filter("source = target").select(F.col("source").alias("id"))
+    links = stage(links.filter("source <> target").distinct(), "cyclic")
+    found = [owns]
+    while not links.isEmpty():
+        ends = links.select(F.col("source").alias("id")).union(links.select("target")).distinct()
+        colour = _spread(ends.select("id", F.col("id").alias("colour")), links, "source", "target")
+        of = lambda c: colour.select(F.col("id").alias(c), F.col("colour").alias(f"_{c}"))
+        same = stage(links.join(of("source"), "source").join(of("target"), "target").filter("_source = _target").select("source", "target"), "same")
+        # back from the owners, inside their colours
+        back = _spread(ends.select("id", F.lit(False).alias("colour")).join(colour.filter("id = colour").select("id", F.lit(True).alias("_own")), "id", "left")
+                       .select("id", F.coalesce("_own", "colour").alias("colour")), same, "target", "source")
+        part = colour.join(back.filter("colour").select("id"), "id", "left_semi")
+        size = part.groupBy("colour").count().filter("count > 1")
+        found.append(stage(part.join(size, "colour", "left_semi").select("id"), "component"))
+        gone = stage(part.select("id"), "gone")
+        links = links.join(gone.withColumnRenamed("id", "source"), "source", "left_anti").join(gone.withColumnRenamed("id", "target"), "target", "left_anti")
+        links = stage(links.select("source", "target"), "cyclic")
+    return reduce(lambda a, b: a.union(b), found).distinct()
+
+
+def _spread(value: DataFrame, links: DataFrame, start: str, end: str) -> DataFrame:
+    """The greatest ``colour`` that reaches each id along the edges, in rounds until nothing changes."""
+    value = stage(value, "colour")
+    while True:
+        sent = links.join(value.select(F.col("id").alias(start), "colour"), start).groupBy(F.col(end).alias("id")).agg(F.max("colour").alias("_sent"))
+        new = stage(value.join(sent, "id", "left").select("id", F.greatest("colour", "_sent").alias("colour"), (F.col("_sent") > F.col("colour")).alias("_more")), "colour")
+        value = new.select("id", "colour")
+        if new.filter("_more").isEmpty():
+            return value
+
+
 def topo_order(nodes: DataFrame, edges: DataFrame, position: str = "pos") -> DataFrame:
     """Execution order -> (id, level, topo_order from 0).
 
     A node's level is the longest way to it from a node without predecessors. Nodes are ordered by (level,
-    position, id); nodes on or behind a cycle come last by position with no level. Any such order is valid;
-    within a level it may differ from a queue-driven one. Chains are contracted first; what is left is
-    taken off layer by layer, one staged round per layer, so the plan does not grow with the depth.
+    position, id); nodes on or behind a cycle come last by position with no level (``cycles`` tells them apart).
+    Any such order is valid; within a level it may differ from a queue-driven one.
     """
     nodes = nodes.select("id", F.col(position).alias("_pos"))
-    ids = nodes.select("id")
-    links = edges.select("source", "target").distinct()
-    links = links.join(ids.withColumnRenamed("id", "source"), "source", "left_semi")
-    links = stage(links.join(ids.withColumnRenamed("id", "target"), "target", "left_semi"), "edges")
+    levels = _levels(_known_links(nodes, edges)).withColumn("_met", F.lit(True))
+    every = nodes.join(levels, "id", "left").withColumn("level", F.when(F.col("_met"), F.col("level")).otherwise(F.lit(0).cast("long")))
+    ranked = row_counter(every.select("id", "_pos", "level"), ["level", "_pos", "id"], name="_n", nulls="last")
+    return ranked.select("id", "level", (F.col("_n") - 1).alias("topo_order"))
+
+
+def cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes that no order can place -> (id, place): ``on`` a cycle, or ``behind`` one (between two included)."""
+    stuck = _levels(_known_links(nodes, edges)).filter("level IS NULL")
+    return stuck.select("id", F.when(F.col("on_cycle"), "on").otherwise("behind").alias("place"))
+
+
+def _layered_levels(links: DataFrame) -> DataFrame:
+    """``(id, level)`` of the ends of ``links`` that are on or behind no cycle, for parts that no task can hold.
+
+    Chains are contracted first; what is left is taken off layer by layer, one staged round per layer, so the
+    plan does not grow with the depth.
+    """
     chain, _ = _chains(links)
     inner = links.groupBy("target").count().filter("count = 1").join(
         links.groupBy("source").count().filter("count = 1").select(F.col("source").alias("target")), "target", "left_semi"
@@ -102,7 +176,7 @@ def topo_order(nodes: DataFrame, edges: DataFrame, position: str = "pos") -> Dat
         "waiting",
     )
     targets = links.select(F.col("target").alias("id")).distinct()
-    layers = [stage(ids.distinct().join(targets, "id", "left_anti").select("id", F.lit(0).cast("long").alias("level")), "layer")]
+    layers = [stage(links.select(F.col("source").alias("id")).distinct().join(targets, "id", "left_anti").select("id", F.lit(0).cast("long").alias("level")), "layer")]
     while True:
         fresh = layers[-1].select(F.col("id").alias("source"), "level")
         waiting = waiting.join(fresh, "source", "left").select(
@@ -117,9 +191,7 @@ def topo_order(nodes: DataFrame, edges: DataFrame, position: str = "pos") -> Dat
         waiting = waiting.join(layer.select(F.col("id").alias("target")), "target", "left_anti")
     levels = reduce(lambda a, b: a.unionByName(b), layers)
     inside = chain.join(levels.select(F.col("id").alias("head"), "level"), "head").select("id", (F.col("level") + F.col("dist")).alias("level"))
-    every = nodes.join(levels.unionByName(inside), "id", "left")
-    ranked = row_counter(every, ["level", "_pos", "id"], name="_n", nulls="last")
-    return ranked.select("id", "level", (F.col("_n") - 1).alias("topo_order"))
+    return levels.unionByName(inside)
 
 
 def predecessors(edges: DataFrame, scope: DataFrame | None = None) -> DataFrame:

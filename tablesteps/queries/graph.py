@@ -55,6 +55,27 @@ def _(t):
     return G.topo_order(t.programs, t.edges)
 
 
+_RINGS = """SELECT source, target FROM edges UNION ALL
+ SELECT concat('N', CAST(o_orderkey AS STRING)), concat('N', CAST(o_orderkey - (o_orderkey // 8) % 3 AS STRING)) FROM orders
+ WHERE o_orderkey % 8 = 3 AND (o_orderkey // 8) % 5 = 2"""
+
+
+@query(
+    "g4_cycles",
+    f"""WITH RECURSIVE e AS ({_RINGS.replace(" AS STRING)", " AS VARCHAR)")}),
+ k AS (SELECT source, target FROM e WHERE source IN (SELECT id FROM programs) AND target IN (SELECT id FROM programs)),
+ r(a, b) AS (SELECT source, target FROM k UNION SELECT r.a, k.target FROM r JOIN k ON k.source = r.b)
+SELECT id, CASE WHEN id IN (SELECT a FROM r WHERE a = b) THEN 'on' ELSE 'behind' END AS place FROM (
+ SELECT a AS id FROM r WHERE a = b UNION SELECT y.b FROM r AS y JOIN r AS x ON x.a = y.a AND x.b = y.a)""",
+    uses=("programs", "edges"),
+)
+def _(t):
+    """Some families get an edge back: rings of one, two and three programs, with programs before and behind."""
+    back = t.orders.filter("o_orderkey % 8 = 3 AND (o_orderkey div 8) % 5 = 2")
+    back = back.selectExpr("concat('N', o_orderkey) AS source", "concat('N', o_orderkey - (o_orderkey div 8) % 3) AS target")
+    return G.cycles(t.programs, t.edges.unionByName(back))
+
+
 @query(
     "g5_predecessors",
     """SELECT target AS id, source AS predecessor FROM edges WHERE target IN (SELECT id FROM programs) AND source IN (SELECT id FROM programs)
