@@ -111,12 +111,12 @@ more AS ({_spans_sql(len(secrets.BASE), secrets.OWNED, secrets.CANDIDATE, 0, _MI
 outside AS (SELECT * FROM more WHERE NOT EXISTS (
  SELECT 1 FROM base b WHERE b.doc_id = more.doc_id AND b.a < more.a + more.size AND more.a < b.a + b.size)),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM outside),
-owners AS (SELECT value, count(DISTINCT source) AS owners FROM every JOIN d USING (doc_id) GROUP BY value),
+owners AS (SELECT value, count(DISTINCT source) AS owners, count(DISTINCT doc_id) AS repos FROM every JOIN d USING (doc_id) GROUP BY value),
 told AS (
- SELECT doc_id, string_agg(s, ',' ORDER BY a, k) FILTER (k < 3) AS base, string_agg(s, ',' ORDER BY a, k) FILTER (k < 3 OR owners <= {secrets.MAX_OWNERS}) AS spans,
+ SELECT doc_id, string_agg(s, ',' ORDER BY a, k) FILTER (k < 3) AS base, string_agg(s, ',' ORDER BY a, k) FILTER (k < 3 OR live) AS spans,
   count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
-  count(*) FILTER (owners <= {secrets.MAX_OWNERS}) AS n_live, count(*) FILTER (owners > {secrets.MAX_OWNERS}) AS n_copied
- FROM (SELECT e.*, owners, kind || ':' || a || ':' || (a + size) AS s FROM every e JOIN owners USING (value)) GROUP BY doc_id)
+  count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied
+ FROM (SELECT e.*, owners <= {secrets.MAX_OWNERS} AND repos <= {secrets.MAX_REPOS} AS live, kind || ':' || a || ':' || (a + size) AS s FROM every e JOIN owners USING (value)) GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
 FROM d LEFT JOIN told USING (doc_id)""",

@@ -34,6 +34,8 @@ FORMATS = r"gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-
 MIXED = r"[A-Za-z0-9+/_-]{20,}"
 CANDIDATE = f"{FORMATS}|{MIXED}"
 MAX_OWNERS = 1
+#: A value in more repositories than this is a copied example, whoever owns them.
+MAX_REPOS = 20
 
 
 def spans(text: Column, pattern: str, group: int) -> Column:
@@ -83,10 +85,12 @@ def _mixed(value: Column) -> Column:
 
 
 def scan(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = MAX_OWNERS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id",
+    max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS,
 ) -> DataFrame:
     """One row per row of ``docs``: counts per base kind, the base spans' digest, all spans, and how many
-    of the values look ``live`` or are ``copied`` by several owners."""
+    of the values look ``live`` or are ``copied``: held by more than ``max_owners`` owners, or in more than
+    ``max_repos`` repositories though one owner has them all."""
     scratch = Scratch(docs.sparkSession, "secrets")
     rows = docs.select(
         named(docs, id_col).alias("doc_id"), named(docs, owner_col).cast("string").alias("owner"), named(docs, repo_col).cast("string").alias("repo"),
@@ -113,7 +117,7 @@ def scan(
     held = each.select(F.col("s.key").alias("k"), "owner", "repo").groupBy("k", "owner", "repo").agg(F.count("*").alias("n"))
     held = held.groupBy("k", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
     owned = held.groupBy("k").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
-    live = F.col("owners") <= max_owners
+    live = (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)
     told = each.select("uid", "s", F.col("s.key").alias("key")).join(owned, F.col("key") == F.col("k"))
     told = told.groupBy(F.col("uid").alias("u")).agg(
         F.count_if(live).alias("n_live"), F.count_if(~live).alias("n_copied"),
