@@ -28,10 +28,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tablesteps.llm.common import BLANK, WORD, Scratch, named, word_count
+from tablesteps.llm.common import Scratch, named, word_count
 
 BLOCK_WORDS = 1 << 13
 SHARD_WORDS = 1 << 22
+#: Blocks get longer where there would be more than this many: draws stay exact, as the library's draw ends at 10^9.
+MOST_BLOCKS = 500_000_000
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
@@ -74,20 +76,12 @@ def split_quotas(quotas: np.ndarray, starts: np.ndarray, low: int, high: int, se
     for k, n in enumerate(quotas.tolist()):
         rest -= n
         if n and want:
-            left[k] = draw.hypergeometric(n, rest, want) if n + rest < 10**9 else _large_draw(draw, n, rest, want)
+            left[k] = draw.hypergeometric(n, rest, want)
             want -= int(left[k])
     yield from split_quotas(left, starts, low, middle, seed, stop)
     yield from split_quotas(quotas - left, starts + left, middle, high, seed, stop)
 
 
-def _large_draw(draw: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """A hypergeometric draw beyond the library's limit of 10^9, by its normal approximation."""
-    total = good + bad
-    mean = n * good / total
-    deviation = math.sqrt(max(0.0, mean * (bad / total) * (total - n) / max(1, total - 1)))
-    return int(min(max(round(draw.normal(mean, deviation)), n - bad, 0), good, n))
-
-
 def permuted(ranks: np.ndarray, n: int, seed: int) -> np.ndarray:
     """A pseudo-random permutation of 0..n-1 at ``ranks``: four Feistel rounds, walked back into range."""
     half = max(1, ((n - 1).bit_length() + 1) // 2)
@@ -194,6 +188,8 @@ def assign(
 ) -> tuple[DataFrame, DataFrame]:
     """The plan, one row per document, and the copies in the mix: ``uid, pass, size, words, shard``."""
     plan = scratch.put(_plan(rows, scratch, weights, share, most), "plan")
+    words = plan.groupBy("source").agg(F.first("goal").alias("goal")).agg(F.sum("goal")).first()[0] or 0
+    block_words = max(block_words, -(-int(words) // MOST_BLOCKS))
     shards = _shards(plan, scratch, seed, block_words, shard_words).select(F.col("source").alias("s"), F.col("block").alias("b"), "shard")
     each = plan.select("uid", "source", "size", "goal", F.explode("copies").alias("c"))
     last = _blocks(F.col("goal"), block_words)
@@ -221,18 +217,13 @@ def mix(
 ) -> DataFrame:
     """The mixed rows with the columns of ``docs``: a row per copy, by shard, shuffled inside each shard.
 
-    At most one copy per source is cut, after the word with which the source's target is reached.
+    Copies are whole: the copy of a source within which the target is reached is taken where that comes nearer to
+    the target than leaving it out.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     rows = _rows(docs, scratch, id_col, text_col, source_col, seed, True)
     _, mixed = assign(rows, scratch, weights, share, most, seed, block_words, shard_words)
+    mixed = mixed.where(2 * F.col("words") >= F.col("size"))
     joined = rows.select(F.col("uid").alias("u"), "row").join(mixed, F.col("u") == F.col("uid"))
-    whole = F.col("row").getField(text_col)
-    text = F.when(F.col("words") < F.col("size"), words_cut(whole, F.col("words"))).otherwise(whole)
     dealt = joined.repartition("shard").sortWithinPartitions("shard", F.xxhash64("uid", "pass", F.lit(seed)), "uid", "pass")
-    return dealt.select(*[(text if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns])
-
-
-def words_cut(text: Column, words: Column) -> Column:
-    """The text up to the end of its first ``words`` words."""
-    return F.call_function("regexp_extract", text, F.concat(F.lit(f"^(?:{BLANK}*+{WORD}+){{"), words.cast("string"), F.lit("}+")), F.lit(0))
+    return dealt.select("row.*")
