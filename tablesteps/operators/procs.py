@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablesteps.operators.ordered import retain_last, retain_sum
+from tablesteps.session import same_keys
 
 _STATS = {
     "n": F.count,
@@ -140,7 +141,7 @@ def proc_timeseries(
     """``PROC TIMESERIES``: one row per key and calendar period between the key's first and last.
 
     ``fill``: None leaves empty periods missing, ``"zero"`` puts 0, ``"previous"`` carries forward.
-    Periods of a day or more are dates, shorter ones timestamps.
+    Periods of a day or more are dates, shorter ones timestamps; a missing key is a series of its own.
     """
     by = list(by)
     period = F.date_trunc(interval, F.col(ts).cast("timestamp"))
@@ -153,7 +154,10 @@ def proc_timeseries(
         .agg(F.min("period").alias("_lo"), F.max("period").alias("_hi"))
         .select(*by, F.explode(F.sequence("_lo", "_hi", step)).alias("period"))
     )
-    out = grid.join(cells, [*by, "period"], "left")
+    keys = [*by, "period"]
+    found = cells.select(*[F.col(k).alias(f"_c{i}") for i, k in enumerate(keys)], var)
+    on = same_keys([grid[k] for k in keys], [found[f"_c{i}"] for i in range(len(keys))])  # a missing key is a key
+    out = grid.join(found, on, "left").select(*keys, var)
     if fill == "zero":
         return out.withColumn(var, F.coalesce(var, F.lit(0)))
     if fill == "previous":

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tablesteps.operators import profile as Q
 from tablesteps.operators import reconcile as R
 from tablesteps.operators.steps import stack
 from tablesteps.queries.base import query
+from tablesteps.session import scratch_dir
 
 _REF = "SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders"
 _MOVED = "SELECT o_orderkey, lower(o_orderstatus) || ' ' AS o_orderstatus, o_totalprice + 0.01 AS o_totalprice, o_orderpriority FROM orders"
@@ -327,7 +330,26 @@ def _profile_sql(table, cols):
     ),
 )
 def _(t):
-    return Q.profile(t.events_gap.select("event_id", "user_id", "event_type", F.round("value", 1).alias("value")))
+    return Q.profile(t.events_gap.select("event_id", "user_id", "event_type", F.round("value", 1).alias("value")), exact=True)
+
+
+@query(
+    "q1_profile_sketches",
+    """SELECT c AS "column", n AS row_count, n - filled AS null_count, lo AS min_val, hi AS max_val, true AS close FROM (
+ SELECT 'o_orderkey' AS c, count(*) AS n, count(o_orderkey) AS filled, CAST(min(o_orderkey) AS VARCHAR) AS lo, CAST(max(o_orderkey) AS VARCHAR) AS hi FROM orders
+ UNION ALL SELECT 'o_custkey', count(*), count(o_custkey), CAST(min(o_custkey) AS VARCHAR), CAST(max(o_custkey) AS VARCHAR) FROM orders
+ UNION ALL SELECT 'o_orderpriority', count(*), count(o_orderpriority), NULL, NULL FROM orders)""",
+)
+def _(t):
+    """Sketches of periods are stored, one period is loaded again, and the profile is merged from the store."""
+    rows = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority", F.year("o_orderdate").alias("period"))
+    path = f"{scratch_dir(t.spark)}/sketches-{uuid.uuid4().hex}"
+    Q.update_sketches(rows, path, "period")
+    Q.update_sketches(rows.filter("period = 1995"), path, "period")
+    merged = Q.sketch_profile(t.spark.read.parquet(path))
+    exact = Q.profile(rows.drop("period"), exact=True).select("column", F.col("unique_count").alias("exact"))
+    close = F.abs(F.col("unique_count") - F.col("exact")) <= 0.04 * F.col("exact")  # five standard errors
+    return merged.join(exact, "column").select("column", "row_count", "null_count", "min_val", "max_val", close.alias("close"))
 
 
 @query(
@@ -375,5 +397,5 @@ def _(t):
         "file:absent": lambda: t.spark.read.parquet(f"{t.sf_dir}/absent.parquet"),
         "db:dwh/failing": lambda: t.orders.select(F.raise_error(F.concat(F.lit("no "), "o_orderstatus")).cast("bigint").alias("x")),
     }
-    out = Q.profile_tables(t.spark, tables)
+    out = Q.profile_tables(t.spark, tables, exact=True)
     return out.withColumn("failed", F.col("error").isNotNull()).drop("error")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablesteps.functions import scalars as S
+from tablesteps.operators import expand as X
 from tablesteps.operators import joins as J
 from tablesteps.operators import ordered as O
 from tablesteps.operators import procs as P
@@ -566,6 +567,31 @@ def _(t):
     return out.withColumn("period", F.col("period").cast("string"))
 
 
+_GAPS = """WITH c AS (SELECT user_id, CAST(date_trunc('day', ts) AS DATE) AS period, max(value) AS value FROM events GROUP BY 1, 2),
+ g AS (SELECT user_id, CAST(unnest(generate_series(min(period), max(period), INTERVAL 1 DAY)) AS DATE) AS period FROM c GROUP BY 1),
+ k AS (SELECT g.user_id, g.period, epoch(g.period) / 86400 AS x, c.value FROM g LEFT JOIN c ON g.user_id = c.user_id AND g.period = c.period)"""
+
+
+@query(
+    "w8_expand_linear",
+    f"""{_GAPS},
+ w AS (SELECT *, CASE WHEN value IS NOT NULL THEN x END AS kx, user_id AS u FROM k),
+ n AS (SELECT *, last_value(value IGNORE NULLS) OVER a AS y0, last_value(kx IGNORE NULLS) OVER a AS x0,
+  first_value(value IGNORE NULLS) OVER b AS y1, first_value(kx IGNORE NULLS) OVER b AS x1 FROM w
+  WINDOW a AS (PARTITION BY u ORDER BY x ROWS UNBOUNDED PRECEDING), b AS (PARTITION BY u ORDER BY x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT user_id, CAST(period AS VARCHAR) AS period, round(CASE WHEN value IS NOT NULL THEN value ELSE y0 + (y1 - y0) * (x - x0) / (x1 - x0) END, 6) AS value FROM n""",
+)
+def _(t):
+    out = X.proc_expand(t.events, ["user_id"], "ts", "day", acc="max", method="linear")
+    return out.withColumns({"period": F.col("period").cast("string"), "value": F.round("value", 6)})
+
+
+@query("w8_expand_spline")
+def _(t):
+    out = X.proc_expand(t.events, ["user_id"], "ts", "day", acc="max", method="spline")
+    return out.withColumn("period", F.col("period").cast("string"))
+
+
 @query(
     "w9_budget_cut",
     """SELECT event_id, spent_before, spent_before < 100000 AS allowed FROM (SELECT event_id, coalesce(CAST(sum(output_tokens)

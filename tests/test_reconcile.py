@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tablesteps.operators import profile as Q
 from tablesteps.operators import reconcile as R
@@ -171,3 +172,31 @@ def test_ties_do_not_depend_on_input_order(spark):
         lambda d: O.retain_sum(d, ["k"], "v", ["t"]), lambda d: O.retain_last(d, ["k"], "v", ["t"]),
     ):
         assert sorted(map(str, fn(a).collect())) == sorted(map(str, fn(b).collect()))
+
+
+def test_sketches_merge_and_stay_within_their_error(spark, tmp_path):
+    rows = spark.range(200_000).select(
+        "id", (F.col("id") % 150_001).cast("string").alias("text"), F.when(F.col("id") % 4 > 0, F.col("id") * 0.5).alias("half"),
+        (F.lit(9_007_199_254_740_992) + F.col("id")).alias("big"), (F.col("id") % 5).alias("p"),
+    )
+    Q.update_sketches(rows, str(tmp_path / "s"), "p")
+    kept = {f.name: f.stat().st_mtime_ns for f in (tmp_path / "s").iterdir() if f.is_dir()}
+    Q.update_sketches(rows.filter("p = 3"), str(tmp_path / "s"), "p")
+    after = {f.name: f.stat().st_mtime_ns for f in (tmp_path / "s").iterdir() if f.is_dir()}
+    assert [n for n in kept if kept[n] != after[n]] == ["p=3"]
+    merged = {r.column: r for r in Q.sketch_profile(spark.read.parquet(str(tmp_path / "s"))).collect()}
+    once = {r.column: r for r in Q.profile(rows.drop("p"), exact=["id"]).collect()}
+    exact = {r.column: r for r in Q.profile(rows.drop("p"), exact=True).collect()}
+    for c, r in exact.items():
+        for other in (merged[c], once[c]):
+            assert other[:7] == r[:7] and (other.min_val, other.max_val) == (r.min_val, r.max_val)
+            assert other.mean_val == r.mean_val or other.mean_val == pytest.approx(r.mean_val, rel=1e-12)
+            assert abs(other.unique_count - r.unique_count) <= 0.04 * r.unique_count
+    assert once["id"].unique_count == 200_000 and exact["big"].max_val == "9007199254940991"
+    assert "Expand" not in Q.profile(rows)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_profile_of_nothing(spark):
+    empty = spark.createDataFrame([], "a INT, b STRING, c ARRAY<INT>")
+    assert [(r.column, r.row_count, r.unique_count, r.null_share, r.min_val) for r in Q.profile(empty).collect()] == [("a", 0, 0, 0.0, None), ("b", 0, 0, 0.0, None)]
+    assert Q.profile(empty.select("c")).count() == 0
