@@ -59,6 +59,24 @@ def compare_schema(ref: DataFrame, gen: DataFrame) -> DataFrame:
     )
 
 
+def hollow_columns(ref: DataFrame, gen: DataFrame) -> DataFrame:
+    """Shared columns that hold values in the reference and none at all in the migrated table -> (column, reference_values).
+
+    Such a column passes a comparison of names. One aggregate per side; NaN is missing.
+    """
+    ref, gen = repair_names(ref), repair_names(gen)
+    cols = _shared(ref, gen)
+
+    def filled(df: DataFrame, name: str) -> DataFrame:
+        counts = df.agg(*[F.count(_present(df, c)).alias(f"{i}_n") for i, c in enumerate(cols)])
+        return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{i}_n").alias(name)) for i, c in enumerate(cols)])))
+
+    if not cols:
+        return ref.sparkSession.createDataFrame([], "column STRING, reference_values BIGINT")
+    both = filled(ref, "reference_values").join(filled(gen, "_g"), "column")
+    return both.filter("reference_values > 0 AND _g = 0").select("column", "reference_values")
+
+
 # --- level 2: counts -------------------------------------------------------------------------
 
 def compare_counts(ref: DataFrame, gen: DataFrame, tol: float = ROW_TOLERANCE) -> DataFrame:
@@ -515,7 +533,8 @@ def diagnose(
 ) -> DataFrame:
     """Probable cause per differing column -> (column, cause, rows_affected, expected, actual).
 
-    Rules, first hit wins: missing rows or columns -> missing_transform; same values in another
+    Rules, first hit wins: missing rows or columns, and rows of a key that one side holds more often
+    -> missing_transform; same values in another
     order -> row_order; only the NULL pattern differs -> null_semantics; small numeric differences
     -> rounding; texts equal as numbers -> type_coercion, after mojibake repair -> encoding, after
     case and accent folding -> collation; else unknown. Text is compared as stored.
@@ -577,6 +596,15 @@ def diagnose(
             F.col("side").alias("expected"), none.alias("actual"),
         )
     )
+    # rows of a key that one side holds more often: no partner, so no cell tells a cause
+    sides = ref_n.select(*keys, F.lit(1).alias("_r"), F.lit(0).alias("_g")).unionByName(gen_n.select(*keys, F.lit(0).alias("_r"), F.lit(1).alias("_g")))
+    held = sides.groupBy(*keys).agg(F.sum("_r").alias("_r"), F.sum("_g").alias("_g")).filter("_r > 0 AND _g > 0 AND _r <> _g")
+    surplus = held.groupBy(F.when(F.col("_r") > F.col("_g"), "surplus_in_a").otherwise("surplus_in_b").alias("side")).agg(F.sum(F.abs(F.col("_r") - F.col("_g"))).alias("n"))
+    out = out.unionByName(
+        surplus.select(
+            none.alias("column"), F.lit("missing_transform").alias("cause"), F.col("n").alias("rows_affected"), F.col("side").alias("expected"), none.alias("actual")
+        )
+    )
     lacking = sorted(set(ref.columns) - set(gen.columns))
     if lacking:
         names = ref.sparkSession.createDataFrame([(c,) for c in lacking], "column STRING")

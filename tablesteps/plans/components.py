@@ -17,8 +17,8 @@ from tablesteps.session import stage
 
 #: Edges of a part that one task takes whole.
 PART = 2_000_000
-#: Edges of all parts that a task takes together, about.
-TASK = 50_000
+#: Edges of all parts that a task takes together, about. A graph with no more needs no search for its parts.
+TASK = 200_000
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -124,9 +124,11 @@ def levels_by_part(links: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     ``level`` is missing on and behind cycles.
     """
-    parts = connected(links)
-    tagged = stage(links.join(parts.withColumnRenamed("id", "source"), "source"), "parts")
-    total = tagged.count()
+    total = links.count()
+    if total <= min(TASK, PART):
+        tagged = links.withColumn("part", F.lit(0))
+    else:
+        tagged = stage(links.join(connected(links).withColumnRenamed("id", "source"), "source"), "parts")
     large = tagged.groupBy("part").count().filter(F.col("count") > PART).select("part")
     small = tagged.join(large, "part", "left_anti")
     tasks = max(1, -(-total // TASK))

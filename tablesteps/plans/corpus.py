@@ -195,7 +195,8 @@ def write_refs(programs: DataFrame) -> DataFrame:
     return programs.select("id", F.inline(_write_array(F.col("code"))))
 
 
-def _access_rows(programs: DataFrame) -> DataFrame:
+def table_programs(programs: DataFrame) -> DataFrame:
+    """Every program of every table -> (id, libref, table, writes): what ``table_access`` counts and shortens."""
     refs = programs.select("id", _reference_array(F.col("code")).alias("_r"), _write_array(F.col("code")).alias("_w"))
     marked = F.transform("_r", lambda r: F.struct(r["libref"], r["table"], F.array_contains("_w", r).alias("writes")))
     return refs.select("id", F.inline(marked)).toDF("id", "libref", "table", "writes")
@@ -205,9 +206,9 @@ def table_access(programs: DataFrame, max_ids: int = MAX_IDS) -> DataFrame:
     """Access per table -> (libref, table, access, n_ids, ids).
 
     Written only: write; written and elsewhere read: both; else read. The verdict does not depend
-    on the order in which programs are read.
+    on the order in which programs are read. ``ids`` holds the first ``max_ids``; ``table_programs`` has all.
     """
-    rows = _access_rows(programs)
+    rows = table_programs(programs)
     access = rows.groupBy("libref", "table").agg(
         F.when(F.bool_or("writes") & F.bool_or(~F.col("writes")), "both")
         .when(F.bool_or("writes"), "write")
@@ -224,7 +225,7 @@ def db_evidence(programs: DataFrame, inventory: DataFrame | None = None, declare
     ``source``: libname_statement, else flow_summary_library (``inventory(libref)``), else
     qualified_reference. Undeclared with at most two programs is unverified.
     """
-    rows = _access_rows(programs)
+    rows = table_programs(programs)
     per_lib = rows.groupBy("libref", "id").agg(F.bool_or("writes").alias("writes"))
     ids = per_lib.groupBy("libref").agg(F.count(F.lit(1)).alias("n_ids"), F.bool_or("writes").alias("writes"))
     tables = rows.groupBy("libref", "table").agg(F.lit(1).alias("_x")).groupBy("libref").agg(F.count(F.lit(1)).alias("n_tables"))
@@ -485,7 +486,10 @@ def http_calls(programs: DataFrame) -> DataFrame:
 
 
 def http_evidence(programs: DataFrame, max_ids: int = MAX_IDS, samples: int = 3) -> DataFrame:
-    """Evidence per host -> (host, n_ids, ids, methods, sources, sample_urls); host '' = dynamic URLs."""
+    """Evidence per host -> (host, n_ids, ids, methods, sources, sample_urls); host '' = dynamic URLs.
+
+    ``ids`` holds the first ``max_ids``; ``http_calls`` has all of them.
+    """
     urls = F.array_distinct(F.transform(F.regexp_extract_all("code", F.lit(URL_ARGUMENT), F.lit(2)), lambda u: F.trim(u)))
     methods = F.array_distinct(F.transform(F.regexp_extract_all("code", F.lit(METHOD_ARGUMENT), F.lit(2)), lambda m: F.upper(m)))
     sources = F.array_compact(
@@ -525,7 +529,8 @@ def name_coverage(
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(?U)\w+"), F.lit(0)))
     said = texts.select(F.col(id).alias("_id"), words.alias("_words"))
     met = said.join(wanted, F.col("_id") == F.col("id")).select("id", F.array_intersect("_names", "_words").alias("_met"))
-    found = met.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("_met"))).alias("_found"))
+    # a name that many texts of an id hold folds map-side; the set is no longer than the id's names
+    found = met.select("id", F.explode("_met").alias("_one")).groupBy("id").agg(F.collect_set("_one").alias("_found"))
     both = wanted.join(found, "id", "left").withColumn("_found", F.coalesce("_found", F.array().cast("array<string>")))
     lacking = F.array_except("_names", "_found")
     both = both.select("id", F.size("_names").cast("long").alias("n_names"), F.size("_found").cast("long").alias("n_found"), lacking.alias("_lacking"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tablesteps.functions.scalars import slugify
 from tablesteps.operators.ordered import pick_rows, row_counter
 from tablesteps.plans.components import levels_by_part
-from tablesteps.plans.programs import dataset_refs
+from tablesteps.plans.programs import program_datasets
 from tablesteps.session import stage
 
 
@@ -205,12 +205,7 @@ def predecessors(edges: DataFrame, scope: DataFrame | None = None) -> DataFrame:
 
 def program_io(programs: DataFrame) -> DataFrame:
     """Programs with the dataset names of their own text: + (inputs, outputs) sorted arrays."""
-    refs = dataset_refs(programs).filter("direction <> 'macro'")
-    name = F.concat_ws(".", "libref", "table")
-    lists = refs.groupBy("id").agg(  # the names one program text mentions
-        F.sort_array(F.collect_set(F.when(F.col("direction") == "in", name))).alias("inputs"),
-        F.sort_array(F.collect_set(F.when(F.col("direction") == "out", name))).alias("outputs"),
-    )
+    lists = program_datasets(programs)
     none = F.array().cast("array<string>")
     return programs.join(lists, "id", "left").withColumns({c: F.coalesce(c, none) for c in ("inputs", "outputs")})
 

@@ -424,29 +424,59 @@ def _name_of(token: Column) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(token, _OPTIONS, "")), ",+$", "")
 
 
+_MACRO = r"(?U)&\w+"
+
+
+def _named_refs() -> Column:
+    """References of a tagged statement as (direction, name), without what is no dataset."""
+    named = F.transform(_statement_refs(), lambda r: F.struct(r["direction"].alias("direction"), _name_of(r["token"]).alias("name")))
+    return F.filter(named, lambda n: (n["name"] != "") & ~n["name"].startswith("<") & (F.upper(n["name"]) != "_NULL_"))
+
+
+def _library(name: Column) -> Column:
+    return F.when(F.instr(name, ".") > 0, F.upper(F.substring_index(name, ".", 1))).otherwise("WORK")
+
+
+def _io(names: Column) -> list[Column]:
+    """Full names of the datasets that a statement reads and writes; names built from parameters are left out."""
+    plain = F.filter(names, lambda n: n["name"].rlike(_IDENTIFIER) & ~n["name"].rlike(_MACRO))
+
+    def of(direction: str) -> Column:
+        some = F.filter(plain, lambda n: n["direction"] == direction)
+        return F.array_distinct(F.transform(some, lambda n: F.concat_ws(".", _library(n["name"]), F.upper(F.substring_index(n["name"], ".", -1)))))
+
+    return [of("in").alias("_in"), of("out").alias("_out")]
+
+
+def _folded_io() -> list[Column]:
+    return [F.sort_array(F.array_distinct(F.flatten(F.collect_set(c)))).alias(n) for c, n in (("_in", "inputs"), ("_out", "outputs"))]
+
+
+def program_datasets(programs: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame:
+    """Sorted names of the datasets each text reads and writes -> (keys..., inputs, outputs), folded map-side."""
+    tagged = tag_statements(programs, list(keys)).withColumn("_names", _named_refs())
+    return tagged.select(*keys, *_io(F.col("_names"))).groupBy(*keys).agg(*_folded_io())
+
+
 def place_facts(programs: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame:
     """What ``place`` decides on, one row per key; one pass over the statements, folded map-side.
 
     (keys..., libs: libraries referred to, has_macro, has_passthrough, touches_files, has_logic,
-    has_procedural, order_procs, own_libs: database libraries the text declares)
+    has_procedural, order_procs, own_libs: database libraries the text declares, inputs and outputs: sorted
+    names of the datasets read and written)
     """
     keys = list(keys)
     tagged = tag_statements(programs, keys, outer=True)
     logic, procedural = _logic()
     engine = F.upper(F.get("toks", F.lit(2)))
     own = (F.col("head") == "libname") & ~F.col("in_sql") & engine.isin(*DB_ENGINES)
-    named = F.filter(
-        F.transform(_statement_refs(), lambda r: _name_of(r["token"])),
-        lambda n: (n != "") & ~n.startswith("<") & (F.upper(n) != "_NULL_"),
-    )
-    tagged = tagged.withColumn("_names", named)
-    names = F.col("_names")
-    plain = F.filter(names, lambda n: n.rlike(_IDENTIFIER))
-    libs = F.transform(plain, lambda n: F.when(F.instr(n, ".") > 0, F.upper(F.substring_index(n, ".", 1))).otherwise("WORK"))
+    tagged = tagged.withColumn("_names", _named_refs())
+    plain = F.filter("_names", lambda n: n["name"].rlike(_IDENTIFIER))
     rows = tagged.select(
         *keys,
-        F.array_distinct(libs).alias("_libs"),
-        F.exists(names, lambda n: n.rlike(r"(?U)&\w+")).alias("_macro"),
+        F.array_distinct(F.transform(plain, lambda n: _library(n["name"]))).alias("_libs"),
+        *_io(F.col("_names")),
+        F.exists("_names", lambda n: n["name"].rlike(_MACRO)).alias("_macro"),
         _through().alias("_through"),
         (F.size(_statement_files()) > 0).alias("_files"),
         logic.alias("_logic"),
@@ -456,6 +486,7 @@ def place_facts(programs: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame
     )
     flags = rows.groupBy(*keys).agg(  # lists of one text's library and procedure names
         F.array_distinct(F.flatten(F.collect_set("_libs"))).alias("libs"),
+        *_folded_io(),
         F.bool_or("_macro").alias("has_macro"),
         F.bool_or("_through").alias("has_passthrough"),
         F.bool_or("_files").alias("touches_files"),
@@ -469,7 +500,7 @@ def place_facts(programs: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame
         for c in ("has_macro", "has_passthrough", "touches_files", "has_logic", "has_procedural")
     }
     none = F.array().cast("array<string>")
-    return flags.withColumns(filled | {c: F.coalesce(c, none) for c in ("libs", "order_procs", "own_libs")})
+    return flags.withColumns(filled | {c: F.coalesce(c, none) for c in ("libs", "order_procs", "own_libs", "inputs", "outputs")})
 
 
 def place(facts: DataFrame, db_libs: DataFrame, sql_first: bool = False, keys: Sequence[str] = ("id",)) -> DataFrame:

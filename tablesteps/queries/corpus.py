@@ -138,6 +138,11 @@ def _(t):
     return C.table_access(t.programs).withColumn("ids", F.array_join("ids", ","))
 
 
+@query("c6_table_programs", f'''{_ACCESS} SELECT id, libref, "table", writes FROM x''', uses=("programs",))
+def _(t):
+    return C.table_programs(t.programs)
+
+
 _EVID = f"""{_ACCESS}, e AS (SELECT libref, CASE WHEN libref = 'GG' THEN 'libname_statement' ELSE 'qualified_reference' END AS source,
  CASE WHEN libref = 'GG' THEN 'ODBC' ELSE '' END AS engine_hint, count(DISTINCT id) AS n_ids, count(DISTINCT "table") AS n_tables, bool_or(writes) AS writes,
  libref <> 'GG' AND count(DISTINCT id) <= 2 AS unverified FROM x GROUP BY 1)"""
@@ -288,10 +293,10 @@ def _(t):
 @query(
     "c14_numbers_documents",
     _NUM.format(c="text", t="(SELECT text, doc_id AS id FROM documents)")
-    + _fan_in("SELECT * FROM d WHERE NOT (regexp_matches(term, '^(19|20)') AND length(term) IN (4, 8))", 3, 40, False),
+    + _fan_in("SELECT * FROM d WHERE NOT (regexp_matches(term, '^(19|20)') AND length(term) IN (4, 8))", 3, None, False),
 )
 def _(t):
-    return C.repeated_numbers(t.documents, 3, text="text", id="doc_id", top=40).select("term", "n_ids")
+    return C.repeated_numbers(t.documents, 3, text="text", id="doc_id").select("term", "n_ids")
 
 
 @query(

@@ -259,8 +259,9 @@ def _(t):
 
 
 def _plan(t):
-    placed = P.place(P.place_facts(t.programs), C.project_db_libs(C.librefs(t.programs))).select("id", "placement")
-    nodes = program_nodes(t).join(placed, "id")
+    facts = stage(P.place_facts(t.programs), "facts")  # the texts are read once, for places and for names
+    placed = P.place(facts, C.project_db_libs(C.librefs(t.programs))).select("id", "placement")
+    nodes = t.programs.select("id", "label", "node_type", "pfd_id").join(facts.select("id", "inputs", "outputs"), "id").join(placed, "id")
     order = t.programs.select("id", (F.col("pos") - 1).alias("topo_order"))
     flows = t.programs.select("pfd_id").distinct().select(
         "pfd_id", F.lower("pfd_id").alias("pfd_label"), (F.col("pfd_id") != "PFD-3").alias("migratable"), F.lower("pfd_id").alias("slug"), F.lit(0).alias("position")

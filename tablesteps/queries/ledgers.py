@@ -134,14 +134,11 @@ _QUEUE = """q AS (SELECT 'NH-' || lpad(CAST(o_orderkey // 10 AS VARCHAR), 5, '0'
  u AS (SELECT o.id, o.node_id, o.reason, coalesce(f.d, 'old') AS detail, greatest(attempts, coalesce(f.a, 0)) AS attempts, false AS resolved FROM o LEFT JOIN f ON f.node_id = o.node_id AND f.reason IS NOT DISTINCT FROM o.reason),
  s AS (SELECT f.* FROM f WHERE NOT EXISTS (SELECT 1 FROM o WHERE f.node_id = o.node_id AND f.reason IS NOT DISTINCT FROM o.reason))
 SELECT * FROM u UNION ALL SELECT id, node_id, reason, 'old', attempts, resolved FROM q WHERE resolved
-UNION ALL SELECT 'NH-' || (row_number() OVER (ORDER BY node_id, reason NULLS FIRST) + (SELECT max(CAST(substr(id, 4) AS BIGINT)) FROM q)), node_id, reason, coalesce(d, ''), a, false FROM s""",
+UNION ALL SELECT 'NH-' || lpad(n, CAST(greatest(3, length(n)) AS INTEGER), '0'), node_id, reason, coalesce(d, ''), a, false FROM (
+ SELECT *, CAST(row_number() OVER (ORDER BY node_id, reason NULLS FIRST) + (SELECT max(CAST(substr(id, 4) AS BIGINT)) FROM q) AS VARCHAR) AS n FROM s)""",
 )
 def _(t):
-    out = K.queue_upsert(_queue(t), _failures(t))
-    number = F.regexp_extract("id", "([0-9]+)$", 1)
-    fresh = F.col("detail") != "old"
-    out = out.withColumn("id", F.when(fresh & (F.length(number) < 5), F.concat(F.lit("NH-"), number)).otherwise(F.col("id")))
-    return out.select("id", "node_id", "reason", "detail", "attempts", "resolved")
+    return K.queue_upsert(_queue(t), _failures(t)).select("id", "node_id", "reason", "detail", "attempts", "resolved")
 
 
 @query(

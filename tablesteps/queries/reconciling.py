@@ -34,6 +34,16 @@ def _(t):
     return out.withColumns({c: F.array_join(c, ",") for c in ("missing_columns", "extra_columns")})
 
 
+@query(
+    "r1_hollow_columns",
+    """SELECT c AS "column", n AS reference_values FROM (SELECT 'value' AS c, count(value) AS n FROM events
+ UNION ALL SELECT 'props', count(props) FROM events) WHERE n > 0""",
+)
+def _(t):
+    gen = t.events.withColumns({"value": F.lit(float("nan")), "props": F.lit(None).cast("string")})
+    return R.hollow_columns(t.events, gen)
+
+
 @query(
     "r2_compare_counts",
     """WITH c AS (SELECT (SELECT count(*) FROM orders) AS reference_rows, (SELECT count(*) FROM orders WHERE o_orderkey % 2000 <> 7) AS generated_rows)
@@ -275,6 +285,18 @@ def _(t):
     return out.withColumns({c: F.array_join(c, ",") for c in ("unvalidated_targets", "unmatched_references")})
 
 
+@query(
+    "r10_diagnose_surplus",
+    """SELECT CAST(NULL AS VARCHAR) AS "column", 'missing_transform' AS cause, count(*) AS rows_affected, 'surplus_in_b' AS expected FROM orders WHERE o_orderkey % 40 = 1
+UNION ALL SELECT NULL, 'missing_transform', count(*), 'missing_in_b' FROM orders WHERE o_orderkey % 50 = 2 AND o_orderkey % 40 <> 1""",
+)
+def _(t):
+    """Some keys come twice in the migrated table and some not at all."""
+    ref = t.orders.select("o_orderkey", "o_totalprice")
+    gen = ref.filter("o_orderkey % 50 <> 2 OR o_orderkey % 40 = 1").unionByName(ref.filter("o_orderkey % 40 = 1"))
+    return R.diagnose(ref, gen, keys=["o_orderkey"]).select("column", "cause", "rows_affected", "expected")
+
+
 _DIAG = """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN lower(o_orderstatus) ELSE o_orderstatus END AS o_orderstatus,
  o_totalprice + 0.004 AS o_totalprice, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority
 FROM orders WHERE o_orderkey % 50 <> 3"""

@@ -45,9 +45,10 @@ def frames(spark, ids, edges):
     return nodes, spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in edges], "source STRING, target STRING").repartition(3)
 
 
-@pytest.mark.parametrize("part", [0, 40, 2_000_000])
-def test_small_and_large_parts_agree(spark, monkeypatch, part):
+@pytest.mark.parametrize("part, task", [(0, 20), (40, 20), (2_000_000, 20), (2_000_000, 200_000)])
+def test_small_and_large_parts_agree(spark, monkeypatch, part, task):
     monkeypatch.setattr(components, "PART", part)
+    monkeypatch.setattr(components, "TASK", task)
     rng = random.Random(1)
     edges = random_graph(rng, 40, 50) + [(100 + a, 100 + b) for a, b in random_graph(rng, 12, 9)] + [(200, 201), (201, 202), (202, 200), (202, 203)]
     ids = sorted({x for e in edges for x in e} | {999})
