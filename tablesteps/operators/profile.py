@@ -164,16 +164,36 @@ def profile_tables(
 ) -> DataFrame:
     """Profiles of many sources -> profile columns + (source, error); a failed source is an error row.
 
-    Earlier rows whose source starts with ``db:`` are replaced, rows of files are kept.
+    All sources run as one plan, so small tables share the cluster. Where that fails, each half runs on its own,
+    down to the sources that fail. Earlier rows whose source starts with ``db:`` are replaced, rows of files are kept.
     """
-    parts = []
+    parts, frames = [], []
+
+    def failed(source: str, exc: Exception) -> DataFrame:
+        return spark.createDataFrame([(source, str(exc))], "source STRING, error STRING")
+
     for source, read in tables.items():
+        try:
+            rows = profile(read(), samples, exact)
+            frames.append((source, rows.withColumns({"source": F.lit(source), "error": F.lit(None).cast("string")})))
+        except Exception as exc:  # noqa: BLE001  one source must not stop the others
+            parts.append(failed(source, exc))
+
+    def run(some: list[tuple[str, DataFrame]]) -> list[DataFrame]:
+        if not some:
+            return []
         try:
             # a profile has a row per column; writing it here turns a failure while reading into an error row
-            rows = stage(profile(read(), samples, exact), "profile")
-            parts.append(rows.withColumns({"source": F.lit(source), "error": F.lit(None).cast("string")}))
+            return [stage(reduce(lambda a, b: a.unionByName(b), [rows for _, rows in some]), "profile")]
         except Exception as exc:  # noqa: BLE001
-            parts.append(spark.createDataFrame([(source, str(exc))], "source STRING, error STRING"))
+            if len(some) == 1:
+                return [failed(some[0][0], exc)]
+            half = len(some) // 2
+            return run(some[:half]) + run(some[half:])
+
+    parts += run(frames)
     if prior is not None:
         parts.append(prior.filter(~F.col("source").startswith("db:")))
+    if not parts:
+        return spark.createDataFrame([], "source STRING, error STRING")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

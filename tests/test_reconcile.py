@@ -200,3 +200,18 @@ def test_profile_of_nothing(spark):
     empty = spark.createDataFrame([], "a INT, b STRING, c ARRAY<INT>")
     assert [(r.column, r.row_count, r.unique_count, r.null_share, r.min_val) for r in Q.profile(empty).collect()] == [("a", 0, 0, 0.0, None), ("b", 0, 0, 0.0, None)]
     assert Q.profile(empty.select("c")).count() == 0
+
+
+def test_many_tables_in_one_plan(spark, monkeypatch):
+    """Forty tables are written once; with two that fail while they are read, only halves with one of them run again."""
+    written = []
+    monkeypatch.setattr(Q, "stage", lambda df, label, keep=Q.stage: written.append(label) or keep(df, label))
+    tables = {f"file:{k}": lambda k=k: spark.range(k + 1).withColumn("b", F.lit("x")) for k in range(40)}
+    got = {(r.source, r.column): r for r in Q.profile_tables(spark, tables).collect()}
+    assert len(got) == 80 and got["file:7", "id"].row_count == 8 and len(written) == 1
+    written.clear()
+    for k in (3, 30):
+        tables[f"file:{k}"] = lambda: spark.range(5).select(F.raise_error(F.col("id").cast("string")).cast("int").alias("x"))
+    got = [(r.source, r.column, r.error is None) for r in Q.profile_tables(spark, tables).collect()]
+    assert {s for s, _, fine in got if not fine} == {"file:3", "file:30"} and len(got) == 78 and len(written) < 25
+    assert Q.profile_tables(spark, {}).count() == 0
