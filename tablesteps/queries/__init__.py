@@ -5,6 +5,6 @@ from tablesteps.queries.base import REGISTRY, Tables, query  # noqa: F401
 
 def load() -> dict:
     """Import every query module and return the registry."""
-    from tablesteps.queries import corpus, graph, ledgers, reconciling, scalars, storage, steps  # noqa: F401
+    from tablesteps.queries import corpus, families, graph, ledgers, reconciling, scalars, storage, steps  # noqa: F401
 
     return REGISTRY
