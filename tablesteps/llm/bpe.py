@@ -191,13 +191,13 @@ def _merges(path: str) -> Merges:
     return Merges(read_ranks(path))
 
 
-def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about BLOCK bytes of text; a longer text stands alone."""
+def _blocks(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``most`` bytes of text; a longer text stands alone."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
         start = total = 0
         for i, size in enumerate(sizes):
-            if total and total + size > BLOCK:
+            if total and total + size > most:
                 yield batch.slice(start, i - start)
                 start, total = i, 0
             total += size
@@ -208,10 +208,11 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids array<int>``, one row per row of ``docs``."""
     rows = texts(docs, id_col, text_col)
+    most = BLOCK
 
     def run(batches):
         encoder = Encoder(path, pattern)
-        for batch in _blocks(batches):
+        for batch in _blocks(batches, most):
             ids = encoder.block(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -234,17 +235,21 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None
+) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: digests of the ids and of what they decode to.
 
-    Encodes and decodes block by block in one task, so that ids are not sent between two Python stages.
+    Encodes and decodes block by block in one task, so that ids are not sent between two Python stages. Smaller
+    blocks (``block_bytes``, else ``BLOCK``) hold less memory and replay frequent words more often.
     """
     rows = texts(docs, id_col, text_col)
+    most = block_bytes or BLOCK
 
     def run(batches):
         encoder = Encoder(path, pattern)
         names = _Numbers()
-        for batch in _blocks(batches):
+        for batch in _blocks(batches, most):
             sizes, digests, decoded = [], [], []
             for ids in encoder.block(batch.column(1).to_pylist()):
                 ids = ids.tolist()

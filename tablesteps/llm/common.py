@@ -6,10 +6,12 @@ cannot clash. A NULL text is an empty text.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +67,14 @@ def small_batches(spark: SparkSession, size: int = 8 << 20) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+def give_back() -> None:
+    """Returns to the machine what a Python worker no longer uses: workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class Scratch:
     """Tables of one run below ``spark.checkpoint.dir``, which all executors share.
 
