@@ -11,7 +11,7 @@ from tablesteps.llm.common import WORD, documents
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeated(documents(spark, sf_dir))
+    return suffix_dedup.repeated(documents(spark, sf_dir)).withColumn("repeats", F.col("n_removed") > 0)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
