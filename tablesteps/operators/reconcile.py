@@ -9,8 +9,10 @@ NaN is a missing value everywhere.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +30,8 @@ VALUE_TOLERANCE = 1e-6
 KEY_DISTINCT_LIMIT = 1000
 
 NULL_TEXT = "<null>"
+#: Tables that are compared at the same time.
+TABLES_AT_ONCE = 8
 _EMPTY_TESTS = (
     "test STRING, level INT, passed BOOLEAN, column STRING, kind STRING, reference DOUBLE, generated DOUBLE, "
     "difference DOUBLE, rows_affected BIGINT, detail STRING"
@@ -488,23 +492,28 @@ def reconcile_all(
     wanted = sorted({t.split(".")[-1].upper() for t in targets})
     have = {n.upper(): d for n, d in refs.items()}
     matched = [t for t in wanted if t in have]
-    results, states, unreachable = [], [], 0
+    readers = {}
+    states, unreachable = [], 0
     for table in matched:
         try:
-            gen = read_target(table)
+            readers[table] = read_target(table)
         except Exception as exc:  # noqa: BLE001  one table must not stop the others
             unreachable += 1
             states.append((table, "ERROR", str(exc)))
-            continue
+
+    def compare(table: str) -> tuple[list, tuple[str, str, str]]:
         try:
-            if where:
-                gen = read_where(spark, gen, where, params or {})
-            tests = reconcile(have[table], gen, row_tol, value_tol)
-            rows = tests.collect()  # one row per test or differing column
-            results.append(spark.createDataFrame(rows, _EMPTY_TESTS).withColumn("target_table", F.lit(table)))
-            states.append((table, "PASS" if all(r["passed"] for r in rows) else "FAIL", ""))
+            gen = read_where(spark, readers[table], where, params or {}) if where else readers[table]
+            rows = reconcile(have[table], gen, row_tol, value_tol).collect()  # one row per test or differing column
+            return rows, (table, "PASS" if all(r["passed"] for r in rows) else "FAIL", "")
         except Exception as exc:  # noqa: BLE001
-            states.append((table, "ERROR", str(exc)))
+            return [], (table, "ERROR", str(exc))
+
+    # jobs of several tables share the cluster: a small table does not wait for a large one
+    with ThreadPoolExecutor(max_workers=TABLES_AT_ONCE) as pool:
+        done = list(pool.map(inheritable_thread_target(compare), readers))
+    states += [state for _, state in done]
+    results = [spark.createDataFrame(rows, _EMPTY_TESTS).withColumn("target_table", F.lit(state[0])) for rows, state in done if rows]
     mode = "not_applicable" if not have else "blocked" if matched and unreachable == len(matched) else "full"
     by = {s: sum(1 for x in states if x[1] == s) for s in ("PASS", "FAIL", "ERROR")}
     summary = spark.createDataFrame(
