@@ -511,7 +511,8 @@ def reconcile_all(
 
     # jobs of several tables share the cluster: a small table does not wait for a large one
     with ThreadPoolExecutor(max_workers=TABLES_AT_ONCE) as pool:
-        done = list(pool.map(inheritable_thread_target(compare), readers))
+        # wrapped once per table: each run gets local properties of its own
+        done = [f.result() for f in [pool.submit(inheritable_thread_target(spark)(compare), table) for table in readers]]
     states += [state for _, state in done]
     results = [spark.createDataFrame(rows, _EMPTY_TESTS).withColumn("target_table", F.lit(state[0])) for rows, state in done if rows]
     mode = "not_applicable" if not have else "blocked" if matched and unreachable == len(matched) else "full"
