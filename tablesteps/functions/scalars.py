@@ -227,10 +227,31 @@ def is_credential_name(c: Column | str) -> Column:
     return F.lower(F.trim(_c(c))).rlike("|".join(CREDENTIAL_HINTS))
 
 
+def _single_upper() -> tuple[str, str]:
+    """Letters whose upper case is several letters, and the one letter that stands for it (itself if there is none)."""
+    many = [c for c in map(chr, range(0x80, 0x10000)) if len(c.upper()) > 1]
+    return "".join(many), "".join("ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in many)
+
+
+EXPANDING, SINGLE = _single_upper()
+
+
+def upper_by_letter(c: Column | str) -> Column:
+    """Upper case of each letter on its own, as SQL has it: the length stays, and ``ß`` does not become ``SS``."""
+
+    def apart(text: Column) -> Column:
+        pieces = F.regexp_extract_all(text, F.lit(f"[{EXPANDING}]+|[^{EXPANDING}]+"), F.lit(0))
+        return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(f"^[{EXPANDING}]"), F.translate(p, EXPANDING, SINGLE)).otherwise(F.upper(p))), "")
+
+    # an array of one, so that the text is made once
+    one = F.transform(F.array(_c(c)), lambda text: F.when(text.rlike(f"[{EXPANDING}]"), apart(text)).otherwise(F.upper(text)))
+    return F.get(one, F.lit(0))
+
+
 def norm_block(c: Column | str) -> Column:
-    """Normal form of a piece of code: comments out, blanks squeezed, upper case."""
+    """Normal form of a piece of code: comments out, blanks squeezed, upper case letter by letter."""
     bare = F.regexp_replace(_c(c), r"(?s)/\*.*?\*/", "")
-    return F.upper(F.trim(F.regexp_replace(bare, r"(?U)\s+", " ")))
+    return upper_by_letter(F.trim(F.regexp_replace(bare, r"(?U)\s+", " ")))
 
 
 def repair_text(c: Column | str) -> Column:
