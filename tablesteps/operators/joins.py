@@ -75,17 +75,19 @@ def _on(left: DataFrame, right: DataFrame, by: Sequence[str]) -> Column:
 def _join(left: DataFrame, right: DataFrame, by: Sequence[str], how: str) -> DataFrame:
     """Join on NULL-safe keys.
 
-    Adaptive execution can split a hot key of both sides in an inner join and of the kept side in
-    an anti join, but never in a full outer join. With a hot key an outer join is therefore put
-    together from an inner join and the unmatched rows.
+    A full outer sort-merge join keeps all pairs of one key in memory until the key is done; a left one hands
+    them on. A full join is therefore a left join and the unmatched rows of the right side. Adaptive execution can split a
+    hot key of both sides in an inner join and of the kept side in an anti join. With a hot key an outer join is
+    put together from an inner join and the unmatched rows of each kept side.
     """
     if how == "inner":
         return left.join(right, _on(left, right, by), "inner")
     right_keys = right.select(*[F.col(f"_k_{k}").alias(k) for k in by])
-    if not (has_hot_group(left, by) or has_hot_group(right_keys, by)):
-        return left.join(right, _on(left, right, by), how)
-    out = left.join(right, _on(left, right, by), "inner")
-    if how in ("full", "left"):
+    hot = has_hot_group(left, by) or has_hot_group(right_keys, by)
+    if how == "right" and not hot:
+        return left.join(right, _on(left, right, by), "right")
+    out = left.join(right, _on(left, right, by), "inner" if hot else "left")
+    if hot and how in ("full", "left"):
         lone = left.join(
             right.select(*[f"_k_{k}" for k in by]).distinct(), _on(left, right, by), "left_anti"
         )
