@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tablesteps.functions.scalars import is_credential_name
 from tablesteps.operators.joins import in_scope, out_of_scope
 from tablesteps.operators.ordered import row_counter
-from tablesteps.session import stage
+from tablesteps.session import same_keys, stage
 
 # Place of execution -> translation strategy.
 STRATEGY = {
@@ -72,10 +72,18 @@ def match_files(profiles: DataFrame, steps: DataFrame) -> DataFrame:
     that share the strictest form, the one with the largest overlap of columns is taken, then the one with
     the nearest name. Overlap adds up to 0.1; where several datasets share the form the confidence stays
     below the limit for confirmation. A file without a candidate keeps a missing id and confidence 0;
-    nothing is forced. A form that many files and many datasets share makes as many pairs.
+    nothing is forced. Files of one name and the same columns are one question, asked once; a form that many
+    questions and many datasets share makes as many pairs.
     """
     stem = F.regexp_extract(F.element_at(F.split("path", "/"), -1), r"^(.*?)(?:\.[^.]*)?$", 1)
     files = profiles.select("path", F.col("columns").alias("_fc"), stem.alias("_stem"))
+    one_question = ["_stem", "_fc"]
+    asking = files.select(*one_question).distinct()
+
+    def answered(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        right = right.withColumnsRenamed({c: f"_of{c}" for c in one_question})
+        return left.join(right, same_keys([left[c] for c in one_question], [right[f"_of{c}"] for c in one_question]), how)
+
     data = steps.select("id", "dataset", "role", "columns", F.element_at(F.split("dataset", "[.]"), -1).alias("_base"))
     # a dataset that several steps name is one candidate
     one = F.min(F.struct("id", "role", "columns", "_base")).alias("d")
@@ -95,23 +103,23 @@ def match_files(profiles: DataFrame, steps: DataFrame) -> DataFrame:
 
     forms = keyed(data, "_base", theirs).drop("reason", "base")
     rivals = forms.groupBy("tier", "key").agg(F.count(F.lit(1)).alias("_rivals"))
-    asked = keyed(files, "_stem", ["path", "_fc", "_stem"]).join(rivals, ["tier", "key"])
-    first = F.min(F.struct("tier", "key", "reason", "base", "_rivals", "_fc", "_stem")).alias("m")
-    strict = asked.groupBy("path").agg(first).select("path", "m.*").join(forms, ["tier", "key"])
+    asked = keyed(asking, "_stem", one_question).join(rivals, ["tier", "key"])
+    first = F.min(F.struct("tier", "key", "reason", "base", "_rivals")).alias("m")
+    strict = asked.groupBy(*one_question).agg(first).select(*one_question, "m.*").join(forms, ["tier", "key"])
     said = words(data, "_base", theirs)
     common = said.groupBy("key").agg(F.count(F.lit(1)).alias("_rivals"))
-    rest = files.join(strict.select("path").distinct(), "path", "left_anti")
-    rarest = words(rest, "_stem", ["path", "_fc", "_stem"]).join(common, "key").groupBy("path").agg(F.min(F.struct("_rivals", "key", "_fc", "_stem")).alias("m"))
-    loose = rarest.select("path", "m.*").join(said, "key").withColumns({"reason": F.lit("rarest shared word"), "base": F.lit(0.4)})
+    rest = answered(asking, strict.select(*one_question).distinct(), "left_anti")
+    rarest = words(rest, "_stem", one_question).join(common, "key").groupBy(*one_question).agg(F.min(F.struct("_rivals", "key")).alias("m"))
+    loose = rarest.select(*one_question, "m.*").join(said, "key").withColumns({"reason": F.lit("rarest shared word"), "base": F.lit(0.4)})
     pairs = strict.drop("tier").unionByName(loose)
     wide = F.greatest(F.size("columns"), F.size("_fc"))
     overlap = F.when(wide > 0, F.size(F.array_intersect("columns", "_fc")) / wide).otherwise(0.0)
     far = F.levenshtein(F.upper("_stem"), F.upper("_base"))
     ranked = pairs.withColumn("_overlap", F.coalesce(overlap, F.lit(0.0)))
-    top = ranked.groupBy("path").agg(F.min(F.struct(-F.col("_overlap"), far.alias("far"), "dataset", "id", "role", "reason", "base", "_rivals", "_overlap")).alias("m"))
+    top = ranked.groupBy(*one_question).agg(F.min(F.struct(-F.col("_overlap"), far.alias("far"), "dataset", "id", "role", "reason", "base", "_rivals", "_overlap")).alias("m"))
     sure = F.col("m.base") + 0.1 * F.col("m._overlap")
     rated = top.select(
-        "path",
+        *one_question,
         F.col("m.id").alias("id"),
         F.col("m.dataset").alias("dataset"),
         F.col("m.role").alias("role"),
@@ -119,7 +127,7 @@ def match_files(profiles: DataFrame, steps: DataFrame) -> DataFrame:
         F.col("m.reason").alias("reason"),
     )
     confidence = F.coalesce("confidence", F.lit(0.0))
-    return files.select("path").join(rated, "path", "left").select(
+    return answered(files, rated, "left").select(
         "path",
         "id",
         "dataset",
