@@ -226,16 +226,22 @@ def db_evidence(programs: DataFrame, inventory: DataFrame | None = None, declare
     qualified_reference. Undeclared with at most two programs is unverified.
     """
     rows = table_programs(programs)
-    per_lib = rows.groupBy("libref", "id").agg(F.bool_or("writes").alias("writes"))
-    ids = per_lib.groupBy("libref").agg(F.count(F.lit(1)).alias("n_ids"), F.bool_or("writes").alias("writes"))
-    tables = rows.groupBy("libref", "table").agg(F.lit(1).alias("_x")).groupBy("libref").agg(F.count(F.lit(1)).alias("n_tables"))
+    # each reference counts for its program and for its table, so that the texts are read only once for both
+    both = F.array(
+        F.struct(F.lit(True).alias("_of_id"), F.col("id").alias("_id"), F.lit(None).cast("string").alias("_table"), "writes"),
+        F.struct(F.lit(False).alias("_of_id"), F.lit(None).cast(rows.schema["id"].dataType).alias("_id"), F.col("table").alias("_table"), "writes"),
+    )
+    once = rows.select("libref", F.inline(both)).groupBy("libref", "_of_id", "_id", "_table").agg(F.bool_or("writes").alias("writes"))
+    per_lib = once.groupBy("libref").agg(
+        F.count_if("_of_id").alias("n_ids"), F.bool_or("writes").alias("writes"), F.count_if(~F.col("_of_id")).alias("n_tables")
+    )
     engines = project_db_libs(declared if declared is not None else librefs(programs))
     known = (
         inventory.select(F.upper("libref").alias("libref")).distinct()
         if inventory is not None
         else programs.sparkSession.createDataFrame([], "libref STRING")
     ).withColumn("_listed", F.lit(True))
-    out = ids.join(tables, "libref").join(engines, "libref", "left").join(known, "libref", "left")
+    out = per_lib.join(engines, "libref", "left").join(known, "libref", "left")
     source = (
         F.when(F.col("engine").isNotNull(), "libname_statement")
         .when(F.col("_listed").isNotNull(), "flow_summary_library")

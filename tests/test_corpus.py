@@ -23,3 +23,13 @@ def test_duplicate_lines_keep_sharp_s_apart_and_count_letters_once(spark):
     rows += [(10 + k, f"{'y' * 58}ß") for k in range(3)]  # 59 letters, 60 were they spelled SS
     out = C.duplicate_blocks(spark.createDataFrame(rows, "id INT, text STRING"), 60, 3, None, text="text", sep="\n")
     assert [(r.term, r.n_ids) for r in out.select("term", F.col("n_ids")).collect()] == [(f"{'X' * 54} STRAẞE", 3)]
+
+
+def test_library_evidence_reads_the_texts_once(spark):
+    rows = [("A", "PROC SQL; CREATE TABLE GG.R AS SELECT * FROM GG.BASE; QUIT;"), ("B", "DATA GG.R; SET HR.P;"), ("C", "SET GG.BASE;")]
+    programs = spark.createDataFrame(rows, "id STRING, code STRING")
+    out = C.db_evidence(programs, declared=C.librefs(programs))
+    got = sorted((r.libref, r.n_ids, r.n_tables, r.writes, r.unverified) for r in out.collect())
+    assert got == [("GG", 3, 2, True, False), ("HR", 1, 1, False, True)]
+    told = lambda df: df._jdf.queryExecution().analyzed().toString().count("APPEND")
+    assert told(out) == told(C.table_programs(programs))
