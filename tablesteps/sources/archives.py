@@ -55,13 +55,26 @@ def _open(archive: str, content: bytes) -> Iterator[dict]:
         yield row("error", text=f"{type(exc).__name__}: {exc}")
 
 
+#: Characters of text that the rows of small archives may hold before they are handed on.
+_BATCH = 1 << 22
+
+
 def _open_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([(name, pa.string()) for name in _FIELDS])
+    columns: list[list[str | None]] = [[] for _ in _FIELDS]
+    held = 0
     for batch in batches:
         paths, contents = batch.column("path"), batch.column("content")
-        for k in range(batch.num_rows):  # one archive at a time in memory
-            rows = [{f: r.get(f) for f in _FIELDS} for r in _open(paths[k].as_py(), contents[k].as_py())]
-            yield pa.RecordBatch.from_pylist(rows, schema)
+        for k in range(batch.num_rows):  # one archive at a time in memory, and the rows of small ones together
+            for r in _open(paths[k].as_py(), contents[k].as_py()):
+                for column, name in zip(columns, _FIELDS):
+                    column.append(r.get(name))
+                held += 256 + len(r.get("text") or "")
+            if held >= _BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], schema=schema)
+                columns, held = [[] for _ in _FIELDS], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], schema=schema)
 
 
 @dataclass(frozen=True)
