@@ -1,4 +1,8 @@
-"""Near-duplicates by the Jaccard similarity of five-word shingles, found by a prefix filter.
+"""Near-duplicates by SimHash fingerprints of five-word shingles, made exact by their Jaccard similarity.
+
+First the SimHash operator's search: fingerprints within ``BITS`` bits meet through its Gray-order index, and texts that meet are
+linked if their sets are similar enough. A pair at the least similarity lies about ten bits apart, where no
+index of 64 bits can leave anything out, so the pairs that lie further apart than the index reaches follow by a prefix filter.
 
 Two sets of shingles whose similarity is at least ``least`` share a shingle among the first
 ``n - ceil(least * n) + 1`` of each, in whatever order all sets are sorted. So only those prefixes are
@@ -7,9 +11,9 @@ a radius or a sketch. The order puts shingles that a sample of the texts shows o
 keeps buckets small; it changes the cost, not the result.
 
 Each pair that meets is compared with all its shingles before it is linked. Texts of one set of shingles are
-one entry. Where buckets are large, each entry is first compared with one pivot of its bucket, and
-buckets that lie in one component by then are left out; pairs of different components that still
-meet are all compared. Components are those of ``simhash_dedup``.
+one entry. Buckets that lie in one component after the search are left out. Where buckets are still large, each entry is
+compared with one pivot of its bucket, and buckets that lie in one component by then are left out too; pairs of different
+components that still meet are all compared. Components are those of ``simhash_dedup``.
 
 Defined results: shingles are compared by their XXH64, and sets pass for equal by an XXH64 of those; a text of
 fewer than five words is one shingle; texts without words (NULL and empty included) are near to each other only; of a
@@ -29,11 +33,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from tablesteps.llm.common import Scratch, components, give_back, named, small_batches
-from tablesteps.llm.simhash_dedup import component_heads
+from tablesteps.llm.simhash_dedup import component_heads, majority, near_links
 
 WORDS = 5
 #: Least similarity, as a fraction.
 LEAST = (4, 5)
+#: Bits within which the index looks for fingerprints.
+BITS = 3
 #: One text of ``_SAMPLE`` is looked at for frequent shingles; those seen ``_OFTEN`` times there come last.
 _SAMPLE, _OFTEN, _MOST = 8, 8, 1 << 17
 #: Entries of a range of hashes, which one task gathers.
@@ -140,6 +146,22 @@ def _mixed(buckets: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame,
     return scratch.put(buckets.join(per.select("s"), "s"), f"buckets-{name}"), pairs or 0.0, int(rows or 0)
 
 
+def _met_by_print(held: DataFrame, scratch: Scratch, bits: int, least: tuple[int, int]) -> DataFrame:
+    """Distinct pairs (a, b) that the Gray-order index brings together, of sizes that allow the similarity.
+
+    Sets of one fingerprint meet the smallest of them, and those smallest ones meet along the links of the fingerprints.
+    """
+    sets = scratch.put(held.select("print", "fp", "n").distinct(), "prints")
+    heads = scratch.put(sets.groupBy("print").agg(F.min(F.struct("fp", "n")).alias("h")).select("print", "h.*"), "print-heads")
+    links = near_links(heads.select(F.col("print").alias("fp")), scratch, bits)
+    first, second = (heads.select(F.col("print").alias(k), F.struct("fp", "n").alias(f"of_{k}")) for k in "ab")
+    other = links.join(first, "a").join(second, "b").select(F.col("of_a").alias("l"), F.col("of_b").alias("r"))
+    same = sets.alias("s").join(heads.alias("h"), "print").where("s.fp <> h.fp").select(F.struct("s.fp", "s.n").alias("l"), F.struct("h.fp", "h.n").alias("r"))
+    low, high = F.least("l.n", "r.n"), F.greatest("l.n", "r.n")
+    both = same.unionByName(other).where(low * least[1] >= high * least[0])
+    return both.select(F.least("l.fp", "r.fp").alias("a"), F.greatest("l.fp", "r.fp").alias("b")).distinct()
+
+
 def _dealt(fp: np.ndarray, firsts: list[np.ndarray], n: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
     """A row per range of hashes: its shingles, and the places in ``fp`` and ``n`` of the texts that they are from."""
     s = np.concatenate([*firsts, np.zeros(0, np.uint64)])
@@ -176,8 +198,10 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.table({"s": pa.array(s[kept].view(np.int64)), "fp": pa.array(fp[kept]), "n": pa.array(n[kept])})
 
 
-def jaccard_links(held: DataFrame, scratch: Scratch, words: int = WORDS, seed: int = 42, least: tuple[int, int] = LEAST) -> DataFrame:
-    """``(a, b)``: links that join all of ``held(fp, uid, text)`` that are similar enough; each is a near pair."""
+def jaccard_links(held: DataFrame, scratch: Scratch, words: int = WORDS, seed: int = 42, least: tuple[int, int] = LEAST, bits: int = BITS) -> DataFrame:
+    """``(a, b)``: links that join all of ``held(fp, uid, n, print, text)`` that are similar enough; each is a near pair."""
+    done = scratch.put(_met_by_print(held, scratch, bits, least), "pairs-by-print")
+    scratch.drop("segments", "prints", "print-heads")
     often, seen = _frequent(held, words, seed)
 
     many = held.agg(F.sum("n")).first()[0] or 0
@@ -194,9 +218,8 @@ def jaccard_links(held: DataFrame, scratch: Scratch, words: int = WORDS, seed: i
     buckets = scratch.put(dealt.groupBy("part").applyInArrow(_shared, "s long, fp long, n int"), "entries").withColumn("c", F.col("fp"))
     buckets, left, size = _mixed(buckets, scratch, "start")
     scratch.drop("entries")
-    edges = held.sparkSession.createDataFrame([], "a long, b long")
     if not left:
-        return edges
+        return held.sparkSession.createDataFrame([], "a long, b long")
 
     def pack(batches):
         for batch in batches:
@@ -208,24 +231,38 @@ def jaccard_links(held: DataFrame, scratch: Scratch, words: int = WORDS, seed: i
     chosen = scratch.put(held.select("fp", "uid").join(asked, "fp", "left_semi").groupBy("fp").agg(F.min("uid").alias("uid")).select("uid"), "chosen")
     every = held.select("uid", "fp", "text").mapInArrow(pack, "uid long, fp long, text binary")
     packed = scratch.put(every.join(chosen, "uid", "left_semi").select("fp", "text"), "packed")
-    done, before = None, float("inf")
+    scratch.drop("chosen", "shared-start")
+
+    last = "start"
+
+    def joined(name: str) -> None:
+        """Components by the links so far, and what is left of the buckets."""
+        nonlocal buckets, left, size, last
+        stars = scratch.put(components(edges, scratch), f"roots-{name}")
+        told = buckets.join(stars, F.col("fp") == F.col("v"), "left").select("s", "fp", "n", F.coalesce("root", "fp").alias("c"))
+        buckets, left, size = _mixed(told, scratch, name)
+        scratch.drop(f"buckets-{last}", f"shared-{name}")
+        last = name
+
+    # sets that are similar enough share a bucket: what the index found outside the buckets has no packed text and falls away
+    edges = scratch.put(_verified(done, packed, words, seed, least), "edges-by-print")
+    joined("by-print")
+    before = float("inf")
     for turn in range(_ROUNDS):
         if left <= _PAIRS * size or left > before / 2:
             break
         before = left
         pivots = buckets.groupBy("s").agg(F.min_by(F.struct("fp", "n", "c"), F.xxhash64("fp", F.lit(turn))).alias("p")).select("s", "p.*")
         pairs = scratch.put(_new(_met(buckets, pivots, "l.c <> r.c", least), done), f"pairs-{turn}")
-        done = pairs if done is None else done.unionByName(pairs)
+        done = done.unionByName(pairs)
         edges = scratch.put(edges.unionByName(_verified(pairs, packed, words, seed, least)), f"edges-{turn}")
-        stars = scratch.put(components(edges, scratch), f"roots-{turn}")
-        told = buckets.join(stars, F.col("fp") == F.col("v"), "left").select("s", "fp", "n", F.coalesce("root", "fp").alias("c"))
-        buckets, left, size = _mixed(told, scratch, str(turn))
+        joined(str(turn))
     pairs = scratch.put(_new(_met(buckets, buckets, "l.c < r.c", least), done), "pairs")
     return edges.unionByName(_verified(pairs, packed, words, seed, least))
 
 
-def _new(pairs: DataFrame, done: DataFrame | None) -> DataFrame:
-    return pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
+def _new(pairs: DataFrame, done: DataFrame) -> DataFrame:
+    return pairs.join(done, ["a", "b"], "left_anti")
 
 
 def drop_near_duplicates(
@@ -243,14 +280,15 @@ def drop_near_duplicates(
             uid = (part << 40) + row + np.arange(batch.num_rows, dtype=np.int64)
             row += batch.num_rows
             size = pa.array([len(x) for x in found], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp), pa.array(uid), size], ["row", "doc_id", "fp", "uid", "n"])
+            print_ = np.array([majority(x) for x in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp), pa.array(uid), size, pa.array(print_)], ["row", "doc_id", "fp", "uid", "n", "print"])
         give_back()
 
-    kinds = [rows.schema["row"], rows.schema["doc_id"], StructField("fp", LongType()), StructField("uid", LongType()), StructField("n", IntegerType())]
+    kinds = [rows.schema["row"], rows.schema["doc_id"], StructField("fp", LongType()), StructField("uid", LongType()), StructField("n", IntegerType()), StructField("print", LongType())]
     with small_batches(docs.sparkSession):
         held = scratch.put(rows.mapInArrow(run, StructType(kinds)), "rows")
         prints = held.select("doc_id", "fp", "uid")
-        inner = held.select("fp", "uid", "n", F.col("row").getField(text_col).alias("text"))
+        inner = held.select("fp", "uid", "n", "print", F.col("row").getField(text_col).alias("text"))
         parts = component_heads(prints, scratch, lambda _: jaccard_links(inner, scratch, words, seed, least))
     gone = prints.join(parts, "fp").where("uid <> head.uid").select("uid")
     return held.join(gone, "uid", "left_anti").select("row.*")

@@ -45,10 +45,11 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
         return 0
     joined = [tokens] if len(tokens) < words else zip(*[tokens[k:] for k in range(words)])
     hashes = np.array([xxhash.xxh64_intdigest(b" ".join(x), seed) for x in joined], np.uint64)
-    return _majority(hashes)
+    return majority(hashes)
 
 
-def _majority(hashes: np.ndarray) -> int:
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of a text's shingle hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         some = hashes[at : at + (1 << 16)]

@@ -63,6 +63,26 @@ def test_near_stage_planted_edits(spark):
     check(spark.createDataFrame(rows, SCHEMA).repartition(4))
 
 
+def test_near_stage_searches_fingerprints_first(spark, monkeypatch):
+    """The SimHash operator's index brings near copies together before the prefix filter does."""
+    searched, linked = [], []
+    near_links, verified = jaccard_dedup.near_links, jaccard_dedup._verified
+
+    def search(prints, scratch, bits):
+        searched.append(prints.count())
+        return near_links(prints, scratch, bits)
+
+    def verify(pairs, *more):
+        found = verified(pairs, *more)
+        linked.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard_dedup, "near_links", search)
+    monkeypatch.setattr(jaccard_dedup, "_verified", verify)
+    check(spark.createDataFrame(planted(), SCHEMA).repartition(4))
+    assert searched[0] > 100 and linked[0] > 4
+
+
 @pytest.mark.parametrize("table", ["hard", "docs", "none"])
 def test_near_stage_tables(request, table):
     check(request.getfixturevalue(table))
