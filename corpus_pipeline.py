@@ -76,8 +76,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_tidy(4)
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of each row's ids and of what they decode to."""
-    # executors still hold what the stages before needed, so blocks are smaller than the operator's own
-    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, block_bytes=4_000_000)
+    # executors still hold what the stages before needed, so blocks are smaller than the operator's own and fewer words are remembered
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return bpe.round_trip(docs, path, pattern, block_bytes=2_000_000, remembered=250_000)
 
 
 STAGES = [("quality rules", quality), ("exact dedup", exact), ("near-dedup", near), ("mixing", mixed), ("byte-level BPE", encoded)]

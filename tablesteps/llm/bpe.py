@@ -20,7 +20,7 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from hashlib import sha256
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from tablesteps.llm.common import texts
+from tablesteps.llm.common import give_back, texts
 
 #: Words remembered by a task before its memory is emptied, and bytes of text in a block.
 REMEMBERED = 600_000
@@ -59,11 +59,11 @@ class Merges:
         # tokens with which a pair can make a token of lower rank than their own
         left, right = self.pair >> 32, self.pair & 0xFFFFFFFF
         self.turns_back = set(np.concatenate([left[self.made < left], right[self.made < right]]).tolist())
-        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the token that each pair of symbols makes, -1 if none."""
-        code = left << 32 | right
+        code = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self.pair, code), len(self.pair) - 1)
         return np.where(self.pair[at] == code, self.made[at], -1)
 
@@ -75,7 +75,7 @@ class Merges:
         whole = np.array([self.ranks.get(word, -1) for word in words], np.int64)
         sizes = np.array([len(word) for word in words], np.int64)
         symbols = self.single[np.frombuffer(b"".join(words), np.uint8)]
-        owner = np.repeat(np.arange(len(words)), sizes)
+        owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
         # a word that is a token itself is that token
         starts = np.cumsum(sizes) - sizes
         known = (whole >= 0) & (sizes > 0)
@@ -90,8 +90,8 @@ class Merges:
         n = len(symbols)
         if n < 2:
             return
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
-        inside = np.flatnonzero((owner[1:] == owner[:-1]) & (owner[1:] >= 0))
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        inside = np.flatnonzero((owner[1:] == owner[:-1]) & (owner[1:] >= 0)).astype(np.int32)
         index: dict[int, list[np.ndarray]] = {}
         queue: list[int] = []
         self._note(index, queue, self._rank(symbols[inside], symbols[inside + 1]), inside)
@@ -159,26 +159,26 @@ class Merges:
 class Encoder:
     """Encodes blocks of texts; lives in one task."""
 
-    def __init__(self, path: str, pattern: str):
-        self.merges, self.find = _merges(path), regex.compile(pattern).findall
+    def __init__(self, path: str, pattern: str, remembered: int = REMEMBERED):
+        self.merges, self.find, self.remembered = _merges(path), regex.compile(pattern).findall, remembered
         self._forget()
 
     def _forget(self) -> None:
         self.number: dict[str, int] = defaultdict(count().__next__)
-        self.flat, self.sizes, self.starts = (np.zeros(0, np.int64) for _ in range(3))
+        self.flat, self.sizes, self.starts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def block(self, block: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
-        if len(self.number) > REMEMBERED:
+    def block(self, block: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text; to be read before the next block."""
+        if len(self.number) > self.remembered:
             self._forget()
         number = self.number.__getitem__
         cut = [np.fromiter(map(number, self.find(text)), np.int32) for text in block]
-        new = list(self.number)[len(self.sizes) :]
+        new = list(islice(self.number, len(self.sizes), None))
         if new:
             flat, sizes = self.merges.encode([word.encode() for word in new])
             self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
             self.starts = np.cumsum(self.sizes) - self.sizes
-        return [self._spread(words) for words in cut]
+        return map(self._spread, cut)
 
     def _spread(self, words: np.ndarray) -> np.ndarray:
         sizes = self.sizes[words]
@@ -213,7 +213,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def run(batches):
         encoder = Encoder(path, pattern)
         for batch in _blocks(batches, most):
-            ids = encoder.block(batch.column(1).to_pylist())
+            ids = list(encoder.block(batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
@@ -236,18 +236,19 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 
 
 def round_trip(
-    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int | None = None,
+    remembered: int = REMEMBERED,
 ) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: digests of the ids and of what they decode to.
 
     Encodes and decodes block by block in one task, so that ids are not sent between two Python stages. Smaller
-    blocks (``block_bytes``, else ``BLOCK``) hold less memory and replay frequent words more often.
+    blocks (``block_bytes``, else ``BLOCK``) and fewer ``remembered`` words hold less memory and replay frequent words more often.
     """
     rows = texts(docs, id_col, text_col)
     most = block_bytes or BLOCK
 
     def run(batches):
-        encoder = Encoder(path, pattern)
+        encoder = Encoder(path, pattern, remembered)
         names = _Numbers()
         for batch in _blocks(batches, most):
             sizes, digests, decoded = [], [], []
@@ -260,6 +261,7 @@ def round_trip(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+            give_back()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

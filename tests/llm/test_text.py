@@ -214,6 +214,18 @@ def test_bpe_random_words(vocabulary):
         assert [x.tolist() for x in encoder.block(some)] == reference.encode_ordinary_batch(some)
 
 
+def test_bpe_small_blocks_and_memory(spark, vocabulary):
+    """What a task remembers and holds at once does not change the digests; it forgets beyond the bound."""
+    path, _ = vocabulary
+    df = spark.createDataFrame([(k, f"word{k % 40} other{k} again{k % 3}", "en", "a", 1) for k in range(300)], SCHEMA).repartition(2)
+    small = bpe.round_trip(df, path, public_tokenizers.PATTERN, block_bytes=200, remembered=50)
+    assert ordered(small.collect()) == ordered(bpe.round_trip(df, path, public_tokenizers.PATTERN).collect())
+    encoder = bpe.Encoder(path, public_tokenizers.PATTERN, 50)
+    for k in range(20):
+        list(encoder.block([f"u{k}x{j}" for j in range(20)]))
+        assert len(encoder.number) <= 50 + 80
+
+
 # language model
 
 
