@@ -64,6 +64,8 @@ FROM events""",
     "prices": """SELECT * FROM (VALUES ('alpha', 1.0, 5.0, 0.1, 1.25), ('alpha-large', 5.0, 25.0, 0.5, 6.25),
  ('alpha-large-2-mini', 2.0, 10.0, 0.2, 2.5)) AS p(prefix, input, output, cache_read, cache_write)""",
 }
+#: Programs of a task, about: what is grouped by program later stays in the task of its texts.
+PROGRAMS_PER_TASK = 50_000
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -75,11 +77,18 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._spread: int | None = None
+
+    def _tasks(self) -> int:
+        """Tasks for the program texts: a task's share does not grow with the table."""
+        if self._spread is None:
+            self._spread = max(self.spark.sparkContext.defaultParallelism, -(-self.orders.count() // PROGRAMS_PER_TASK))
+        return self._spread
 
     def __getattr__(self, name: str) -> DataFrame:
         if name == "programs":
             # the texts are made from one small file; spread them before text work starts
-            return self.sql(DERIVED[name]).repartition(self.spark.sparkContext.defaultParallelism, "id")
+            return self.sql(DERIVED[name]).repartition(self._tasks(), "id")
         if name in DERIVED:
             return self.sql(DERIVED[name])
         if name in BASE_TABLES:

@@ -169,3 +169,14 @@ def test_long_chain_and_ring_in_topo_order(spark):
     assert all(got[k][0] is None for k in (9001, 9002, 9003, 9010, 8000, 8001, 8002))
     assert sorted(o for _, o in got.values()) == list(range(len(ids)))
     assert max(got[k][1] for k in range(n + 2)) < min(got[k][1] for k in (9001, 8000))
+
+
+def test_a_task_of_program_texts_does_not_grow_with_the_table(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tablesteps.queries import base
+
+    monkeypatch.setattr(base, "PROGRAMS_PER_TASK", 60)
+    tables = base.Tables(spark, "/root/testdata/sf0.001")
+    counts = [r[0] for r in tables.programs.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(counts) >= 20 and max(counts) < 150 and sum(counts) == tables.orders.count()
