@@ -8,11 +8,14 @@ Two sets of shingles whose similarity is at least ``least`` share a shingle amon
 ``n - ceil(least * n) + 1`` of each, in whatever order all sets are sorted. So only those prefixes are
 shuffled, and every pair that is near enough meets in the bucket of some shingle: nothing is lost to
 a radius or a sketch. The order puts shingles that a sample of the texts shows often last, which
-keeps buckets small; it changes the cost, not the result.
+keeps buckets small; it changes the cost, not the result. The first shingle that two sets share also bounds what they can
+share: nothing before its place in either. Each entry of a bucket tells the largest set that can be near if its shingle is that first one,
+and two entries meet only if neither set is larger than the other allows. Copies that share all but their own few shingles,
+yet too few, so never become pairs.
 
 Each pair that meets is compared with all its shingles before it is linked. Texts of one set of shingles are
 one entry. Buckets that lie in one component after the search are left out. Where buckets are still large, each entry is
-compared with one pivot of its bucket, and buckets that lie in one component by then are left out too; pairs of different
+compared with one pivot of its bucket, at first the one with the fewest shingles of its own, and buckets that lie in one component by then are left out too; pairs of different
 components that still meet are all compared. Components are those of ``simhash_dedup``.
 
 Defined results: shingles are compared by their XXH64, and sets pass for equal by an XXH64 of those; a text of
@@ -129,10 +132,9 @@ def _verified(pairs: DataFrame, packed: DataFrame, words: int, seed: int, least:
     return pairs.join(first, "a").join(second, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
-def _met(left: DataFrame, right: DataFrame, differ: str, least: tuple[int, int]) -> DataFrame:
-    """Distinct pairs (a, b) in one bucket, of sizes that allow the similarity."""
-    low, high = F.least("l.n", "r.n"), F.greatest("l.n", "r.n")
-    both = left.alias("l").join(right.alias("r"), F.col("l.s") == F.col("r.s")).where(differ).where(low * least[1] >= high * least[0])
+def _met(left: DataFrame, right: DataFrame, differ: str) -> DataFrame:
+    """Distinct pairs (a, b) in one bucket, of sizes and places of the shingle that allow the similarity."""
+    both = left.alias("l").join(right.alias("r"), F.col("l.s") == F.col("r.s")).where(differ).where("l.n <= r.most and r.n <= l.most")
     return both.select(F.least("l.fp", "r.fp").alias("a"), F.greatest("l.fp", "r.fp").alias("b")).distinct()
 
 
@@ -163,14 +165,15 @@ def _met_by_print(held: DataFrame, scratch: Scratch, bits: int, least: tuple[int
 
 
 def _dealt(fp: np.ndarray, firsts: list[np.ndarray], n: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
-    """A row per range of hashes: its shingles, and the places in ``fp`` and ``n`` of the texts that they are from."""
+    """A row per range of hashes: its shingles, the places in ``fp`` and ``n`` of the texts that they are from, and 256ths of the prefix before them."""
     s = np.concatenate([*firsts, np.zeros(0, np.uint64)])
     of = np.repeat(np.arange(len(fp), dtype=np.uint32), [len(x) for x in firsts])
+    at = np.concatenate([*[np.arange(len(x)) * 256 // len(x) for x in firsts if len(x)], np.zeros(0, np.int64)]).astype(np.uint8)
     order = np.argsort(s, kind="stable")
     ends = np.searchsorted(s[order], cuts)
-    rows = [(k, s[x], *_from(of[x], fp, n)) for k, x in enumerate(np.split(order, ends)) if len(x)]
-    columns = [[r[k] if not k else r[k].tobytes() for r in rows] for k in range(5)]
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], ["part", "s", "of", "fp", "n"])
+    rows = [(k, s[x], *_from(of[x], fp, n), at[x]) for k, x in enumerate(np.split(order, ends)) if len(x)]
+    columns = [[r[k] if not k else r[k].tobytes() for r in rows] for k in range(6)]
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], ["part", "s", "of", "fp", "n", "at"])
 
 
 def _from(of: np.ndarray, fp: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,24 +181,39 @@ def _from(of: np.ndarray, fp: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np
     return place.astype(np.uint16 if len(used) <= 1 << 16 else np.uint32), fp[used], n[used].astype(np.int32)
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """The entries of one range whose shingle lies in the prefixes of several sets."""
-    all_s, all_fp, all_n = [], [], []
-    for s, of, fp, n in zip(*[table.column(c).to_pylist() for c in ("s", "of", "fp", "n")]):
+def largest(n: np.ndarray, at: np.ndarray, least: tuple[int, int] = LEAST) -> np.ndarray:
+    """The largest size of a set that can be near one of size ``n`` if a shingle with ``at`` 256ths of the prefix before it is the first they share."""
+    n = n.astype(np.int64)
+    before = -(-at.astype(np.int64) * (n - -(-n * least[0] // least[1]) + 1) // 256)
+    return ((sum(least) * (n - before)) // least[0] - n).astype(np.int32)
+
+
+def _shared(table: pa.Table, least: tuple[int, int] = LEAST) -> pa.Table:
+    """The entries of one range whose shingle lies in the prefixes of several sets, of sizes that can be near."""
+    all_s, all_fp, all_n, all_most = [], [], [], []
+    for s, of, fp, n, at in zip(*[table.column(c).to_pylist() for c in ("s", "of", "fp", "n", "at")]):
         s, fp, n = (np.frombuffer(x, t) for x, t in ((s, np.uint64), (fp, np.int64), (n, np.int32)))
         of = np.frombuffer(of, np.uint16 if len(fp) <= 1 << 16 else np.uint32)
         all_s.append(s)
         all_fp.append(fp[of])
         all_n.append(n[of])
-    s, fp, n = map(np.concatenate, (all_s, all_fp, all_n))
+        all_most.append(largest(all_n[-1], np.frombuffer(at, np.uint8), least))
+    s, fp, n, most = map(np.concatenate, (all_s, all_fp, all_n, all_most))
     order = np.lexsort((fp, s))
-    s, fp, n = s[order], fp[order], n[order]
+    s, fp, n, most = s[order], fp[order], n[order], most[order]
     new = np.append(True, (s[1:] != s[:-1]) | (fp[1:] != fp[:-1]))
-    s, fp, n = s[new], fp[new], n[new]
-    again = s[1:] == s[:-1]
-    kept = np.append(again, False) | np.append(False, again)
+    s, fp, n, most = s[new], fp[new], n[new], most[new]
+    size = 0
+    while size != len(s):  # an entry that allows no size of its bucket goes, and may take others along
+        size = len(s)
+        starts = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if size else np.zeros(0, np.int64)
+        many = np.diff(np.append(starts, size))
+        if size:
+            low, high = np.repeat(np.minimum.reduceat(n, starts), many), np.repeat(np.maximum.reduceat(most, starts), many)
+            kept = (np.repeat(many, many) > 1) & (low <= most) & (n <= high)
+            s, fp, n, most = s[kept], fp[kept], n[kept], most[kept]
     give_back()
-    return pa.table({"s": pa.array(s[kept].view(np.int64)), "fp": pa.array(fp[kept]), "n": pa.array(n[kept])})
+    return pa.table({"s": pa.array(s.view(np.int64)), "fp": pa.array(fp), "n": pa.array(n), "most": pa.array(most)})
 
 
 def jaccard_links(held: DataFrame, scratch: Scratch, words: int = WORDS, seed: int = 42, least: tuple[int, int] = LEAST, bits: int = BITS) -> DataFrame:
@@ -214,8 +232,9 @@ def jaccard_links(held: DataFrame, scratch: Scratch, words: int = WORDS, seed: i
             yield _dealt(batch.column(0).to_numpy(), firsts, batch.column(2).to_numpy(), cuts)
         give_back()
 
-    dealt = held.select("fp", "text", "n").mapInArrow(enter, "part int, s binary, of binary, fp binary, n binary")
-    buckets = scratch.put(dealt.groupBy("part").applyInArrow(_shared, "s long, fp long, n int"), "entries").withColumn("c", F.col("fp"))
+    dealt = held.select("fp", "text", "n").mapInArrow(enter, "part int, s binary, of binary, fp binary, n binary, at binary")
+    found = dealt.groupBy("part").applyInArrow(lambda table: _shared(table, least), "s long, fp long, n int, most int")
+    buckets = scratch.put(found, "entries").withColumn("c", F.col("fp"))
     buckets, left, size = _mixed(buckets, scratch, "start")
     scratch.drop("entries")
     if not left:
@@ -239,7 +258,7 @@ def jaccard_links(held: DataFrame, scratch: Scratch, words: int = WORDS, seed: i
         """Components by the links so far, and what is left of the buckets."""
         nonlocal buckets, left, size, last
         stars = scratch.put(components(edges, scratch), f"roots-{name}")
-        told = buckets.join(stars, F.col("fp") == F.col("v"), "left").select("s", "fp", "n", F.coalesce("root", "fp").alias("c"))
+        told = buckets.join(stars, F.col("fp") == F.col("v"), "left").select("s", "fp", "n", "most", F.coalesce("root", "fp").alias("c"))
         buckets, left, size = _mixed(told, scratch, name)
         scratch.drop(f"buckets-{last}", f"shared-{name}")
         last = name
@@ -252,12 +271,14 @@ def jaccard_links(held: DataFrame, scratch: Scratch, words: int = WORDS, seed: i
         if left <= _PAIRS * size or left > before / 2:
             break
         before = left
-        pivots = buckets.groupBy("s").agg(F.min_by(F.struct("fp", "n", "c"), F.xxhash64("fp", F.lit(turn))).alias("p")).select("s", "p.*")
-        pairs = scratch.put(_new(_met(buckets, pivots, "l.c <> r.c", least), done), f"pairs-{turn}")
+        # the entry whose shingle comes earliest: at first of the bucket, then of some component
+        order = F.struct(F.xxhash64("c", F.lit(turn)) if turn else F.lit(0), -F.col("most") / F.col("n"), F.col("fp"))
+        pivots = buckets.groupBy("s").agg(F.min_by(F.struct("fp", "n", "most", "c"), order).alias("p")).select("s", "p.*")
+        pairs = scratch.put(_new(_met(buckets, pivots, "l.c <> r.c"), done), f"pairs-{turn}")
         done = done.unionByName(pairs)
         edges = scratch.put(edges.unionByName(_verified(pairs, packed, words, seed, least)), f"edges-{turn}")
         joined(str(turn))
-    pairs = scratch.put(_new(_met(buckets, buckets, "l.c < r.c", least), done), "pairs")
+    pairs = scratch.put(_new(_met(buckets, buckets, "l.c < r.c"), done), "pairs")
     return edges.unionByName(_verified(pairs, packed, words, seed, least))
 
 

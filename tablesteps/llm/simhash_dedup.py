@@ -32,9 +32,10 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from tablesteps.llm.common import Scratch, components, named, texts
 
-#: Fingerprints of a segment, as far as the bound on the number of segments allows.
-SEGMENT = 2048
-SEGMENTS = 1 << 16
+#: Fingerprints of a segment, as far as the bounds on the number of segments allow. While there are ``FEWEST`` segments, which take
+#: at least ``_LEAST`` fingerprints each, the segments that a fingerprint visits do not grow with the table.
+SEGMENT, _LEAST = 1 << 17, 512
+FEWEST, SEGMENTS = 64, 1 << 16
 _FANOUT = 8
 
 
@@ -122,13 +123,18 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return kept
 
 
+def segments(total: int) -> int:
+    """Segments of so many fingerprints."""
+    return max(1, min(FEWEST, total // _LEAST), min(SEGMENTS, math.ceil(total / SEGMENT)))
+
+
 def near_links(prints: DataFrame, scratch: Scratch, limit: int = 2) -> DataFrame:
     """``(a, b)``: links that join all of ``prints(fp long)``, distinct values, within ``limit`` bits.
 
     Not every near pair is returned, but every pair is connected through those returned.
     """
     total = prints.count()
-    n = max(1, min(SEGMENTS, math.ceil(total / SEGMENT)))
+    n = segments(total)
 
     def rank(batches):
         for batch in batches:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tablesteps.llm import jaccard_dedup
+from tablesteps.llm import jaccard_dedup, simhash_dedup
 from tests.llm.conftest import SCHEMA, TABLES, pairs
 from tests.llm.test_dedup import brute_print
 
@@ -113,3 +113,44 @@ def test_prefixes_of_near_sets_meet():
         often = np.sort(rng.choice(a, max(1, n // 2), replace=False))
         if jaccard_dedup.near(a, b):
             assert np.intersect1d(*(jaccard_dedup.prefix(x, often, np.arange(len(often)), (4, 5)) for x in (a, b))).size
+
+
+def test_near_stage_copies_just_too_far_make_no_pairs(spark, monkeypatch):
+    """Copies with a sixth of shingles of their own all share a prefix shingle, but few may be near by its place."""
+    rng = np.random.default_rng(11)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 100)]
+    rows = []
+    for k in range(400):
+        copy = list(base)
+        for at in rng.choice(range(5, 95, 6), 3, replace=False):
+            copy[at] = f"new{rng.integers(0, 10**9)}"
+        rows.append((k, " ".join(copy), "en", "a", 1))
+    verified, compared = jaccard_dedup._verified, []
+
+    def verify(pairs, *more):
+        compared.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(jaccard_dedup, "_verified", verify)
+    check(spark.createDataFrame(rows, SCHEMA).repartition(4))
+    assert sum(compared) < 10 * len(rows)
+
+
+def test_first_shared_shingle_allows_near_sets():
+    rng = np.random.default_rng(2)
+    for n in range(1, 400, 3):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        gone, more = rng.integers(0, n // 8 + 1, 2)
+        b = np.unique(np.concatenate([a[gone:], rng.integers(0, 2**63, more).astype(np.uint64)]))
+        often = np.sort(rng.choice(a, max(1, n // 2), replace=False))
+        if jaccard_dedup.near(a, b):
+            first, second = (jaccard_dedup.prefix(x, often, np.arange(len(often))) for x in (a, b))
+            i = next(k for k, x in enumerate(first) if x in second)
+            j = list(second).index(first[i])
+            most = [jaccard_dedup.largest(np.array([len(x)]), np.array([k * 256 // len(y)]))[0] for x, y, k in ((a, first, i), (b, second, j))]
+            assert len(b) <= most[0] and len(a) <= most[1]
+
+
+def test_segments_stay_as_many_while_they_fit():
+    assert simhash_dedup.segments(40_000) == simhash_dedup.segments(200_000) == simhash_dedup.segments(8_000_000)
+    assert simhash_dedup.segments(0) == 1 and simhash_dedup.segments(10**12) == simhash_dedup.SEGMENTS
