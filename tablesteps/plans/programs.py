@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablesteps.operators.ordered import lag_n, pick_rows, retain_last
+from tablesteps.session import stage
 
 # Library engines that are databases.
 DB_ENGINES = (
@@ -330,9 +331,9 @@ def _statement_files() -> Column:
     """Array of (mode, path) a tagged statement names: quoted data sets, IMPORT/EXPORT, INFILE/FILE."""
     stmt = F.col("stmt")
     writes = (F.col("head") == "data") | stmt.rlike(r"""(?i)create\s+table\s*['"]""")
-    quoted = F.filter(
-        F.concat(*[F.regexp_extract_all(stmt, F.lit(DATA_FILE), F.lit(g)) for g in (1, 2)]), lambda p: p != ""
-    )
+    named_in_quotes = F.concat(*[F.regexp_extract_all(stmt, F.lit(DATA_FILE), F.lit(g)) for g in (1, 2)])
+    none = F.array().cast("array<string>")
+    quoted = F.when(stmt.contains("'") | stmt.contains('"'), F.filter(named_in_quotes, lambda p: p != "")).otherwise(none)
 
     def one(pattern: str) -> Column:
         return F.regexp_replace(F.regexp_extract(stmt, pattern, 1), """^["']+|["']+$""", "")
@@ -510,15 +511,29 @@ def place(facts: DataFrame, db_libs: DataFrame, sql_first: bool = False, keys: S
     Placements: sql_passthrough, sql_pushdown, hybrid, pandas, ambiguous, utility. ``sql_first``
     takes WORK for a temporary schema of the server (if there is one) and lets only row-state
     logic and order-dependent procedures keep a step out of SQL.
+
+    Facts and libraries are staged, so the texts behind them are read once each. A row that refers to one outside
+    library at most looks it up; only rows with several are exploded and grouped again.
     """
     keys = list(keys)
-    known = db_libs.select(F.upper("libref").alias("_lib")).distinct().withColumn("_db", F.lit(True))
+    facts = stage(facts, "place-facts")
+    known = stage(db_libs.select(F.upper("libref").alias("_lib")).distinct(), "place-libs").withColumn("_db", F.lit(True))
     server = known.agg((F.count(F.lit(1)) > 0).alias("x")).scalar()
     outside = F.array_except(F.array_except("libs", "own_libs"), F.array(F.lit("WORK")))
-    # the facts travel along (flags and names, no text), so the statements are read only once
+    # the facts travel along (flags and names, no text)
     rest = [c for c in facts.columns if c not in keys]
-    rows = (
-        facts.select(*keys, F.struct(*rest).alias("_f"), F.explode_outer(outside).alias("_lib"))
+    several = F.coalesce(F.size(outside) > 1, F.lit(False))
+    found = F.col("_db").isNotNull()
+    unknown = F.when(F.col("_lib").isNotNull() & ~found, F.array("_lib")).otherwise(F.array().cast("array<string>"))
+    single = (
+        facts.filter(~several)
+        .withColumn("_lib", F.get(outside, F.lit(0)))
+        .join(known, "_lib", "left")
+        .select(*keys, *rest, found.alias("_named_db"), unknown.alias("unknown_libs"))
+    )
+    many = (
+        facts.filter(several)
+        .select(*keys, F.struct(*rest).alias("_f"), F.explode(outside).alias("_lib"))
         .join(known, "_lib", "left")
         .groupBy(*keys)
         .agg(
@@ -528,6 +543,7 @@ def place(facts: DataFrame, db_libs: DataFrame, sql_first: bool = False, keys: S
         )
         .select(*keys, "_f.*", "_named_db", "unknown_libs")
     )
+    rows = single.unionByName(many)
     work = F.array_contains("libs", F.lit("WORK"))
     own_db = F.size(F.array_intersect("libs", "own_libs")) > 0
     order = F.size("order_procs") > 0
@@ -623,7 +639,7 @@ def rejudge(
     keys = list(keys)
     open_ = placed.filter("placement = 'ambiguous'").select(*keys)
     wider = db_libs.select("libref").unionByName(confirmed.select("libref")).distinct()
-    again = place(facts.join(open_, keys, "left_semi"), wider, keys=keys)
+    again = stage(place(facts.join(open_, keys, "left_semi"), wider, keys=keys), "again")
     settled = again.filter("placement <> 'ambiguous'").select(
         *keys, "placement", F.lit("library confirmed as database").alias("reason")
     )

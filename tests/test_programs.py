@@ -180,3 +180,16 @@ def test_a_task_of_program_texts_does_not_grow_with_the_table(spark, monkeypatch
     tables = base.Tables(spark, "/root/testdata/sf0.001")
     counts = [r[0] for r in tables.programs.groupBy(F.spark_partition_id()).count().select("count").collect()]
     assert len(counts) >= 20 and max(counts) < 150 and sum(counts) == tables.orders.count()
+
+
+def test_places_read_texts_once(spark):
+    """Rows with no, one and several outside libraries, known or not; the result no longer reads the texts."""
+    df = programs(spark, "data a; set b; run;", "data a; set db.b; run;", "data a; set no.b; run;", "data a; set db.b no.c; run;", "data a; set db.b db2.c; run;", "")
+    libs = spark.createDataFrame([("db",), ("DB2",), ("DB",)], "libref STRING")
+    out = P.place(P.place_facts(df), libs)
+    got = {r["id"]: (r["placement"], r["unknown_libs"], r["touches_db"]) for r in out.collect()}
+    assert got == {
+        "p0": ("pandas", [], False), "p1": ("hybrid", [], True), "p2": ("ambiguous", ["NO"], False),
+        "p3": ("ambiguous", ["NO"], True), "p4": ("hybrid", [], True), "p5": ("utility", [], False),
+    }
+    assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()
