@@ -8,6 +8,7 @@ from tablesteps.plans import corpus as C
 from tablesteps.plans import programs as P
 from tablesteps.plans.lineage import program_io
 from tablesteps.queries.base import query
+from tablesteps.session import stage
 
 # Statement cut in SQL: comments out, ';' in strings kept, comment statements dropped.
 _STMTS = r"""toks AS (SELECT id, regexp_extract_all(code, '"[^"]*"?|''[^'']*''?|/\*(?s:.*?)(?:\*/|\z)|;|[^;"''/]+|/', 0) AS t FROM programs),
@@ -556,7 +557,7 @@ def _(t):
 def _(t):
     bare = t.programs.withColumn("code", F.regexp_replace("code", "LIBNAME GG ODBC DSN=DWH;", ""))
     none = t.spark.createDataFrame([], "libref STRING")
-    facts = P.place_facts(bare)
+    facts = stage(P.place_facts(bare), "facts")  # judged twice
     placed = P.place(facts, none)
     libs = C.qualified_refs(bare).select("libref").distinct()
     return P.rejudge(facts, placed, none, libs, none)
