@@ -432,6 +432,23 @@ def scan_rules(programs: DataFrame, rules: Sequence[tuple[str, str, str, str]] =
     return numbered.select(smell.alias("smell_id"), "id", "rule", "severity", "category", "line_hint")
 
 
+def found_categories(
+    programs: DataFrame, rules: Sequence[tuple[str, str, str, str]] = SMELL_RULES, min_ids: int = 3
+) -> DataFrame:
+    """Distinct categories of the findings of ``scan_rules`` -> (category).
+
+    One aggregate over the texts and one over their numbers: no finding is shown, numbered or sorted.
+    """
+    tests: dict[str, list[Column]] = {"reproducibility": [F.col("code").rlike(PARAMETER)]}
+    for _, _, category, pattern in rules:
+        tests.setdefault(category, []).append(F.col("code").rlike(pattern))
+    found = programs.agg(*[F.bool_or(reduce(lambda a, b: a | b, t)).alias(c) for c, t in tests.items()])
+    names = F.array_compact(F.array(*[F.when(F.col(c), F.lit(c)) for c in tests]))
+    common = number_literals(programs).groupBy("number").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") >= min_ids)
+    magic = common.limit(1).select(F.lit("maintainability").alias("category"))
+    return found.select(F.explode(names).alias("category")).unionByName(magic).distinct()
+
+
 def scan_cartesian(df: DataFrame, text: str = "code", id: str = "id") -> DataFrame:
     """Comma joins -> (id, hint)."""
     hit, hint = _first_hit(F.col(text), SMELL_RULES[2][3])

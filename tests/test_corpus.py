@@ -33,3 +33,17 @@ def test_library_evidence_reads_the_texts_once(spark):
     assert got == [("GG", 3, 2, True, False), ("HR", 1, 1, False, True)]
     told = lambda df: df._jdf.queryExecution().analyzed().toString().count("APPEND")
     assert told(out) == told(C.table_programs(programs))
+
+
+def test_found_categories_are_those_of_the_findings(spark):
+    texts = {
+        "A": "SELECT * FROM A, B", "B": "password = abc123", "C": "IF X > 4711 THEN Y = 1; Z", "D": "K = 4711", "E": "K = 4711; L = 'C:/x'",
+        "F": "WHERE P = &P", "G": None, "H": "", "I": "D = '2024-01-31'",
+    }
+    for chosen in (texts, *[{k: texts[k]} for k in texts], {k: texts[k] for k in "CD"}, {k: texts[k] for k in "CDE"}, {}):
+        df = spark.createDataFrame(list(chosen.items()), "id STRING, code STRING")
+        want = {r[0] for r in C.scan_rules(df).select("category").distinct().collect()}
+        got = C.found_categories(df)
+        assert sorted(r[0] for r in got.collect()) == sorted(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan and "Join" not in plan
