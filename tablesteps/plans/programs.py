@@ -9,6 +9,7 @@ block. All patterns start with ``(?U)``: names like ``AÑO`` are words.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -53,18 +54,31 @@ _BLOCK_START = r"(?imU)^(?=[ \t]*(?:PROC|DATA)\b)"
 
 def _clean(code: Column) -> Column:
     """Text without byte-order mark; the cut mark is kept out of the input."""
-    return F.translate(F.coalesce(code, F.lit("")), f"﻿{_CUT}", "")
+    text = F.coalesce(code, F.lit(""))
+    return F.when(text.contains("\ufeff") | text.contains(_CUT), F.translate(text, f"\ufeff{_CUT}", "")).otherwise(text)
+
+
+def _trimmed(texts: Column) -> Column:
+    """Texts of an array without blanks at their ends; most begin and end with a plain letter or sign."""
+
+    def plain(c: Column) -> Column:
+        return F.ascii(c).between(33, 126)
+
+    inked = F.transform(texts, lambda s: F.trim(s))
+    return F.transform(inked, lambda s: F.when(plain(s) & plain(F.substring(s, -1, 1)), s).otherwise(F.btrim(s, F.lit(_BLANKS))))
 
 
 def _pieces(code: Column) -> Column:
     """Statements of a text: comments out, ``;`` inside strings and comments ignored."""
-    tokens = F.regexp_extract_all(_clean(code), F.lit(_TOKEN), F.lit(0))
+    clean = _clean(code)
+    tokens = F.regexp_extract_all(clean, F.lit(_TOKEN), F.lit(0))
     marked = F.transform(
         tokens, lambda t: F.when(t == ";", _CUT).when(F.startswith(t, F.lit("/*")), " ").otherwise(t)
     )
-    parts = F.split(F.array_join(marked, ""), _CUT)
-    bare = F.transform(parts, lambda s: F.btrim(s, F.lit(_BLANKS)))
-    return F.filter(bare, lambda s: (s != "") & ~s.rlike(r"^%?\*"))
+    # without strings and comments every ``;`` ends a statement
+    hidden = code.contains('"') | code.contains("'") | code.contains("/*")
+    parts = F.when(hidden, F.split(F.array_join(marked, ""), _CUT)).otherwise(F.split(clean, ";"))
+    return F.filter(_trimmed(parts), lambda s: (s != "") & ~s.startswith("*") & ~s.startswith("%*"))
 
 
 def statements(programs: DataFrame, keys: Sequence[str] = ("id",), code: str = "code") -> DataFrame:
@@ -119,7 +133,8 @@ def _sized(programs: DataFrame, code: str) -> DataFrame:
 
 
 def _words(text: Column) -> Column:
-    bare = F.regexp_replace(text, _STRING, " <str> ")
+    quoted = text.contains('"') | text.contains("'")
+    bare = F.when(quoted, F.regexp_replace(text, _STRING, " <str> ")).otherwise(text)
     return F.regexp_extract_all(bare, F.lit(r"(?U)<str>|[\w.&%]+"), F.lit(0))
 
 
@@ -190,8 +205,12 @@ _MARKS = "SPE"  # a PROC SQL, another PROC, RUN or QUIT; D is a DATA head
 def _heads(pieces: Column) -> Column:
     """Per statement one letter: S (PROC SQL), P (other PROC), E (RUN/QUIT), D (DATA), ``-``."""
     two = r"""^(?U)[^\w.&%"']*([\w.&%]+)(?:[^\w.&%"']+([\w.&%]+|["']))?"""
+    marks = r"""^(?iU)[^\w.&%"']*(?:proc|run|quit|data)(?![\w.&%])"""
     heads = F.transform(
-        pieces, lambda s: F.lower(F.concat_ws(" ", F.regexp_extract(s, two, 1), F.regexp_extract(s, two, 2)))
+        pieces,
+        lambda s: F.when(
+            s.rlike(marks), F.lower(F.concat_ws(" ", F.regexp_extract(s, two, 1), F.regexp_extract(s, two, 2)))
+        ).otherwise(""),
     )
     letters = F.transform(
         heads,
@@ -222,12 +241,19 @@ def _states(pieces: Column) -> Column:
     return F.regexp_extract_all(F.array_join(F.transform(parts, fill), ""), F.lit("."), F.lit(0))
 
 
+def _may_refer(stmt: Column, state: Column) -> Column:
+    """False for a statement that ``_statement_refs`` finds nothing in, told without its words."""
+    heads = r"""^(?iU)[^\w.&%"']*(?:data|set|merge|update|append)(?![\w.&%])"""
+    return F.when(state.isin("S", "P"), stmt.contains("=")).otherwise((state == "s") | stmt.rlike(heads))
+
+
 def tag_statements(
-    programs: DataFrame, keys: Sequence[str] = ("id",), code: str = "code", outer: bool = False
+    programs: DataFrame, keys: Sequence[str] = ("id",), code: str = "code", outer: bool = False, referring: bool = False
 ) -> DataFrame:
     """Statements with their words and state -> (keys..., pos, stmt, toks, head, proc, in_sql, in_data).
 
-    ``outer`` keeps a program without statements as one row of missing values.
+    ``outer`` keeps a program without statements as one row of missing values; ``referring`` leaves out
+    statements that can name no dataset.
     """
     pieces = programs.select(*keys, _pieces(F.col(code)).alias("_p"))
     both = F.arrays_zip(F.col("_p").alias("stmt"), _states(F.col("_p")).alias("state"))
@@ -235,6 +261,8 @@ def tag_statements(
     rows = pieces.select(*keys, explode(both).alias("pos", "_s")).select(
         *keys, "pos", F.col("_s.stmt").alias("stmt"), F.col("_s.state").alias("_state")
     )
+    if referring:
+        rows = rows.filter(_may_refer(F.col("stmt"), F.col("_state")))
     out = rows.withColumn("toks", _words(F.col("stmt")))  # no words: no head, and every rule below is silent
     head, second = F.lower(F.get("toks", F.lit(0))), F.lower(F.get("toks", F.lit(1)))
     return out.withColumns(
@@ -258,18 +286,21 @@ def _hits(text: Column, pattern: str, direction: str | Column, kind: str | Colum
 
 def _statement_refs() -> Column:
     stmt = F.col("stmt")
-    bare = F.regexp_replace(stmt, _OPTIONS, " ")
+    bare = F.when(stmt.contains("("), F.regexp_replace(stmt, _OPTIONS, " ")).otherwise(stmt)
     joined = F.concat(F.lit(" "), F.array_join("toks", " "))
+    low = F.lower(stmt)
+    none = F.array().cast("array<struct<direction:string,kind:string,token:string>>")
 
     def options(names: str, out: str, prefix: Column) -> Column:
         every = [
             _hits(bare, rf"(?iU)\b{n}\s*=\s*([\w&.]+)", "in" if n == "data" else "out", F.concat(prefix, F.lit(f"_{n}")))
             for n in names.split()
         ]
-        return F.concat(*every)
+        return F.when(stmt.contains("="), F.concat(*every)).otherwise(none)
 
     def after(words: str, direction: str, kind: str) -> Column:
-        return _hits(joined, rf"(?i)(?<= )(?:{words}) (?=(\S+))", direction, kind)
+        said = reduce(lambda a, b: a | b, [low.contains(w) for w in {w.split(" ")[0]: 0 for w in words.split("|")}])
+        return F.when(said, _hits(joined, rf"(?i)(?<= )(?:{words}) (?=(\S+))", direction, kind)).otherwise(none)
 
     sql = F.concat(
         after("create table|create view", "out", "sql_create"),
@@ -279,11 +310,11 @@ def _statement_refs() -> Column:
             lambda h: ~F.lower(h["token"]).isin(*SQL_STOPWORDS),
         ),
     )
-    names = F.regexp_replace(F.regexp_replace(bare, r"(?iU)^\s*\w+", ""), r"(?sU)\s(?:/|[^\s=]*+=).*$", "")
+    names = F.regexp_replace(bare, r"(?iU)^\s*\w+", "")
+    names = F.when(stmt.contains("/") | stmt.contains("="), F.regexp_replace(names, r"(?sU)\s(?:/|[^\s=]*+=).*$", "")).otherwise(names)
     listed = _hits(
         names, r"(\S+)", F.when(F.col("head") == "data", "out").otherwise("in"), F.col("head")
     )
-    none = F.array().cast("array<struct<direction:string,kind:string,token:string>>")
     return (
         F.when(F.col("proc").isNotNull(), options("data out outdata base", "out", F.concat(F.lit("proc_"), "proc")))
         .when(F.col("head").isin("quit", "run"), none)
@@ -304,7 +335,7 @@ def dataset_refs(programs: DataFrame, keys: Sequence[str] = ("id",), tagged: Dat
     """
     keys = list(keys)
     if tagged is None:
-        tagged = tag_statements(programs, keys)
+        tagged = tag_statements(programs, keys, referring=True)
     rows = tagged.select(*keys, "pos", F.posexplode(_statement_refs()).alias("_seq", "_r")).select(*keys, "pos", "_seq", "_r.*")
     rows = rows.withColumn("_name", _name_of(F.col("token"))).filter(
         (F.col("_name") != "") & ~F.col("_name").startswith("<") & (F.upper("_name") != "_NULL_")
@@ -422,7 +453,8 @@ def step_logic(programs: DataFrame, keys: Sequence[str] = ("id",), tagged: DataF
 # --- execution place -------------------------------------------------------------------------
 
 def _name_of(token: Column) -> Column:
-    return F.regexp_replace(F.trim(F.regexp_replace(token, _OPTIONS, "")), ",+$", "")
+    name = F.trim(F.when(token.contains("("), F.regexp_replace(token, _OPTIONS, "")).otherwise(token))
+    return F.when(token.contains(","), F.regexp_replace(name, ",+$", "")).otherwise(name)
 
 
 _MACRO = r"(?U)&\w+"
@@ -438,9 +470,13 @@ def _library(name: Column) -> Column:
     return F.when(F.instr(name, ".") > 0, F.upper(F.substring_index(name, ".", 1))).otherwise("WORK")
 
 
-def _io(names: Column) -> list[Column]:
-    """Full names of the datasets that a statement reads and writes; names built from parameters are left out."""
-    plain = F.filter(names, lambda n: n["name"].rlike(_IDENTIFIER) & ~n["name"].rlike(_MACRO))
+def _plain_refs(names: Column | str) -> Column:
+    """References by plain names, which hold no parameters."""
+    return F.filter(names, lambda n: n["name"].rlike(_IDENTIFIER))
+
+
+def _io(plain: Column | str) -> list[Column]:
+    """Full names of the datasets read and written, from ``_plain_refs``."""
 
     def of(direction: str) -> Column:
         some = F.filter(plain, lambda n: n["direction"] == direction)
@@ -454,9 +490,13 @@ def _folded_io() -> list[Column]:
 
 
 def program_datasets(programs: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame:
-    """Sorted names of the datasets each text reads and writes -> (keys..., inputs, outputs), folded map-side."""
-    tagged = tag_statements(programs, list(keys)).withColumn("_names", _named_refs())
-    return tagged.select(*keys, *_io(F.col("_names"))).groupBy(*keys).agg(*_folded_io())
+    """Sorted names of the datasets each text reads and writes -> (keys..., inputs, outputs), folded map-side.
+
+    A text whose statements cannot name one has no row.
+    """
+    rows = tag_statements(programs, list(keys), referring=True).select(*keys, _plain_refs(_named_refs()).alias("_plain"))
+    lists = rows.groupBy(*keys).agg(F.flatten(F.collect_set("_plain")).alias("_plain"))
+    return lists.select(*keys, *[F.sort_array(c).alias(n) for c, n in zip(_io("_plain"), ("inputs", "outputs"))])
 
 
 def place_facts(programs: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame:
@@ -471,12 +511,11 @@ def place_facts(programs: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame
     logic, procedural = _logic()
     engine = F.upper(F.get("toks", F.lit(2)))
     own = (F.col("head") == "libname") & ~F.col("in_sql") & engine.isin(*DB_ENGINES)
-    tagged = tagged.withColumn("_names", _named_refs())
-    plain = F.filter("_names", lambda n: n["name"].rlike(_IDENTIFIER))
+    tagged = tagged.withColumn("_names", _named_refs()).withColumn("_plain", _plain_refs("_names"))
     rows = tagged.select(
         *keys,
-        F.array_distinct(F.transform(plain, lambda n: _library(n["name"]))).alias("_libs"),
-        *_io(F.col("_names")),
+        F.array_distinct(F.transform("_plain", lambda n: _library(n["name"]))).alias("_libs"),
+        *_io("_plain"),
         F.exists("_names", lambda n: n["name"].rlike(_MACRO)).alias("_macro"),
         _through().alias("_through"),
         (F.size(_statement_files()) > 0).alias("_files"),

@@ -193,3 +193,16 @@ def test_places_read_texts_once(spark):
         "p3": ("ambiguous", ["NO"], True), "p4": ("hybrid", [], True), "p5": ("utility", [], False),
     }
     assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_statements_that_name_no_dataset_are_left_out_before_their_words(spark):
+    codes = [
+        *BAD, "LIBNAME GG ODBC DSN=X; DATA A(KEEP=X) GG.B; SET C; IF X; RUN;", "PROC SQL; CREATE TABLE GG.R AS SELECT * FROM A JOIN B ON 1; QUIT;",
+        "PROC SORT DATA=GG.R OUT=S; BY X; RUN;", "PROC DATASETS; APPEND BASE=GG.H DATA=D; QUIT;", "<data x; set y; data q; merge r s / z;", "append base=a data=b; x = 1;",
+    ]
+    df = programs(spark, *codes)
+    assert rows(P.dataset_refs(df)) == rows(P.dataset_refs(df, tagged=P.tag_statements(df)))
+    kept = P.tag_statements(programs(spark, *codes[-6:-2]), referring=True)
+    assert sorted(r["head"] for r in kept.collect()) == ["append", "create", "data", "proc", "set"]
+    got = {r["id"]: (r["inputs"], r["outputs"]) for r in G.program_io(programs(spark, "RUN;", codes[-6], None)).collect()}
+    assert got == {"p0": ([], []), "p1": (["WORK.C"], ["GG.B", "WORK.A"]), "p2": ([], [])}
