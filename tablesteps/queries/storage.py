@@ -46,8 +46,8 @@ def _(t):
     path = _place(t, "latin")
     latin = F.regexp_replace(F.replace("text", F.lit("\r"), F.lit(" ")), r"[^\x00-\xFF]", "?")
     rows = t.documents.select("doc_id", "lang", latin.alias("text"))
-    rows.write.option("header", True).option("encoding", "ISO-8859-1").option("escape", '"').option("quoteAll", True).csv(path)
-    back = S.read_delimited(t.spark, path, schema="doc_id BIGINT, lang STRING, text STRING", multiline=True)
+    W.export_csv(rows, path, encoding="ISO-8859-1")
+    back = S.read_delimited(t.spark, path, schema="doc_id BIGINT, lang STRING, text STRING", multiline=True, keep_empty=True)
     return back.select("doc_id", "lang", F.md5(F.col("text").cast("binary")).alias("hash"))
 
 

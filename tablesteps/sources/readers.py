@@ -16,6 +16,9 @@ TRACE_SCHEMA = (
     "cache_read_input_tokens: BIGINT, cache_creation_input_tokens: BIGINT>, cost_usd DOUBLE, _corrupt_record STRING"
 )
 
+#: What a missing cell is read as before it becomes NULL: a code point that Unicode keeps out of texts.
+_NO_CELL = "\uffff"
+
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
     """``UTF-8``, or ``ISO-8859-1`` when some line is not valid UTF-8.
@@ -34,12 +37,14 @@ def read_delimited(
     encoding: str | None = None,
     infer: bool = False,
     multiline: bool = False,
+    keep_empty: bool = False,
 ) -> DataFrame:
     """CSV/TXT with ``,`` and TSV with a tab unless ``sep`` says otherwise; header row.
 
     Without a schema every column is text (``infer`` scans for types). A byte-order mark is dropped.
     ``multiline`` keeps line breaks inside quoted cells; such files do not split over tasks. Without it a
-    line break ends the row even inside quotes.
+    line break ends the row even inside quotes. ``keep_empty`` takes a quoted cell without content for an
+    empty text; otherwise it is missing, as an empty cell without quotes always is.
     """
     if sep is None:
         sep = "\t" if path.rstrip("/").lower().endswith(".tsv") else ","
@@ -51,6 +56,8 @@ def read_delimited(
         .option("escape", '"')
         .option("multiLine", multiline)
     )
+    if keep_empty:
+        reader = reader.option("nullValue", _NO_CELL)
     if schema is not None:
         return reader.schema(schema).csv(path)
     return reader.option("inferSchema", infer).csv(path)

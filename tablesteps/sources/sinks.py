@@ -12,14 +12,16 @@ from tablesteps.session import stage
 from tablesteps.sources.rewrite import rewrite_where, rewrites_files
 
 
-def export_csv(df: DataFrame, path: str, bom: bool = False, sep: str = ",") -> None:
-    """Folder of CSV parts with a header each, utf-8, replaced on every run.
+def export_csv(df: DataFrame, path: str, bom: bool = False, sep: str = ",", encoding: str = "UTF-8") -> None:
+    """Folder of CSV parts with a header each, replaced on every run.
 
-    ``bom`` puts a byte-order mark in front of the first header name, for spreadsheet programs.
+    ``bom`` puts a byte-order mark in front of the first header name, for spreadsheet programs. Blanks at the ends
+    of a cell stay. An empty text is a pair of quotes, a missing one is nothing.
     """
     if bom:
         df = df.withColumnRenamed(df.columns[0], "﻿" + df.columns[0])
-    df.write.mode("overwrite").option("header", True).option("sep", sep).option("escape", '"').csv(path)
+    writer = df.write.mode("overwrite").option("header", True).option("sep", sep).option("encoding", encoding).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def _aligned(df: DataFrame, table: str) -> DataFrame:

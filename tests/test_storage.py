@@ -1,8 +1,10 @@
+import duckdb
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tablesteps.plans import ledger as K
+from tablesteps.queries import load
 from tablesteps.sources import readers as S
 from tablesteps.sources import sinks as W
 from tablesteps.streaming import streams as T
@@ -154,3 +156,25 @@ def test_stream_counts_rejects(spark, tmp_path):
     ).start().awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted(r["line"] for r in got) == ["plain", '{"at": "2024-01-0'] and all(r["file"].endswith("t.json") for r in got)
+
+
+def test_cells_keep_blanks_and_empty_texts(spark, tmp_path):
+    texts = ["é", " lead", "trail ", "\ttab\t", "\nline\n", " ", "", None, '"', '" ', ",", "nul\x00", "\x00", "ä\x85"]
+    given = [(k, None if k == 3 else "" if k == 4 else "es", v) for k, v in enumerate(texts)]
+    df = spark.createDataFrame(given, "id INT, lang STRING, v STRING")
+    for encoding in ("UTF-8", "ISO-8859-1"):
+        W.export_csv(df, str(tmp_path / "cells"), encoding=encoding)
+        back = S.read_delimited(spark, str(tmp_path / "cells"), schema=df.schema, multiline=True, keep_empty=True)
+        assert sorted(tuple(r) for r in back.collect()) == given
+    assert S.read_delimited(spark, str(tmp_path / "cells"), schema=df.schema, multiline=True).filter("v IS NULL").count() == 2
+
+
+def test_encoding_query_on_odd_texts(spark, tmp_path):
+    """The registered query against its SQL: blanks at the ends, empty, missing and control characters."""
+    texts = ["é", " lead", "trail ", "\nline\n", "", None, "a\rb\r", "\r", "\x00", 'say "x"', "漢😀", "\x1f"]
+    df = spark.createDataFrame([(k, v, "es" if k % 5 else None) for k, v in enumerate(texts)], "doc_id BIGINT, text STRING, lang STRING")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    q = load()["s2_detect_encoding"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert sorted(tuple(r) for r in q.run(spark, str(tmp_path)).collect()) == sorted(con.execute(q.sql).fetchall())
