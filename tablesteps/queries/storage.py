@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import io
+import struct
 import uuid
-import zipfile
+import zlib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tablesteps.plans import ledger as K
@@ -132,32 +132,47 @@ def _(t):
     return rows.groupBy("task").agg(F.count(F.lit(1)).alias("calls"), F.sum("usage.output_tokens").alias("output_tokens"))
 
 
+def _zip(entries):
+    """A zip file of stored entries, as ``zipfile`` lays it out; that module spends most of its time on one small entry."""
+    files, directory = [], []
+    at = 0
+    for name, data in entries:
+        raw = name.encode()
+        # version, UTF-8 names, stored, time, 1980-01-01, checksum, size twice, length of the name, no extra field
+        head = struct.pack("<5H3I2H", 20, 0x800, 0, 0, 33, zlib.crc32(data), len(data), len(data), len(raw), 0)
+        files += b"PK\3\4", head, raw, data
+        directory += b"PK\1\2\x14\3", head, struct.pack("<3H2I", 0, 0, 0, 0o600 << 16, at), raw
+        at += 30 + len(raw) + len(data)
+    index = b"".join(directory)
+    return b"".join(files) + index + struct.pack("<4s4H2IH", b"PK\5\6", 0, 0, len(entries), len(entries), len(index), at, 0)
+
+
 def _zip_projects(batches):
     """Project archives of up to 100 programs each, as bytes."""
     element = "<w><Element><ID>{0}</ID><Type>{1}</Type><Label>{0}</Label><Container>PFD-1</Container></Element></w>"
     for batch in batches:
-        out = []
-        for lo in range(0, len(batch), 100):
-            part = batch.iloc[lo : lo + 100]
-            xml, flow, buffer = [], [], io.BytesIO()
-            with zipfile.ZipFile(buffer, "w") as z:
-                for pid, code in zip(part["id"], part["code"], strict=True):
-                    xml += [element.format(f"{k}-{pid}", "TASK") for k in ("CodeTask", "Query", "ImportTask")]
-                    flow.append(f"<Process><Element><ID>Query-{pid}</ID></Element><Dependencies><D>CodeTask-{pid}</D></Dependencies></Process>")
-                    log = f"n note\ns  2    PROC SQL;\ns  3      SELECT '{pid}' FROM T;\ns  4    QUIT;\n"
-                    z.writestr(f"CodeTask-{pid}/code.sas", code)
-                    z.writestr(f"old/PFD-1/CodeTask-{pid}/code.sas", "old version")
-                    z.writestr(f"old/PFD-1/CodeTask-gone{pid}/code.sas", "lost")
-                    z.writestr(f"Query-{pid}/Log-1/result.log", "n short")
-                    z.writestr(f"Query-{pid}/Log-2/result.log", log)
-                flows = "<w><Element><ID>PFD-1</ID><Type>CONTAINER</Type></Element><PFD>" + "".join(flow) + "</PFD></w>"
-                z.writestr("project.xml", ("<P><Elements>" + "".join(xml) + flows + "</Elements></P>").encode("utf-16"))
-            out.append((f"{part['id'].iloc[0]}.egp", buffer.getvalue()))
-        yield pd.DataFrame(out, columns=["path", "content"])
+        ids, codes = (batch.column(c).to_pylist() for c in ("id", "code"))
+        paths, contents = [], []
+        for lo in range(0, len(ids), 100):
+            xml, flow, entries = [], [], []
+            for pid, code in zip(ids[lo : lo + 100], codes[lo : lo + 100], strict=True):
+                xml += [element.format(f"{k}-{pid}", "TASK") for k in ("CodeTask", "Query", "ImportTask")]
+                flow.append(f"<Process><Element><ID>Query-{pid}</ID></Element><Dependencies><D>CodeTask-{pid}</D></Dependencies></Process>")
+                log = f"n note\ns  2    PROC SQL;\ns  3      SELECT '{pid}' FROM T;\ns  4    QUIT;\n"
+                entries += [
+                    (f"CodeTask-{pid}/code.sas", code.encode()), (f"old/PFD-1/CodeTask-{pid}/code.sas", b"old version"),
+                    (f"old/PFD-1/CodeTask-gone{pid}/code.sas", b"lost"), (f"Query-{pid}/Log-1/result.log", b"n short"),
+                    (f"Query-{pid}/Log-2/result.log", log.encode()),
+                ]
+            flows = "<w><Element><ID>PFD-1</ID><Type>CONTAINER</Type></Element><PFD>" + "".join(flow) + "</PFD></w>"
+            entries.append(("project.xml", ("<P><Elements>" + "".join(xml) + flows + "</Elements></P>").encode("utf-16")))
+            paths.append(f"{ids[lo]}.egp")
+            contents.append(_zip(entries))
+        yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string()), "content": pa.array(contents, pa.binary())})
 
 
 def _archives(t):
-    return Z.parse_archives(t.programs.select("id", "code").mapInPandas(_zip_projects, "path STRING, content BINARY"))
+    return Z.parse_archives(t.programs.select("id", "code").mapInArrow(_zip_projects, "path STRING, content BINARY"))
 
 
 @query(

@@ -9,7 +9,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import cached_property
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -24,9 +24,8 @@ _FIELDS = [c.split()[0] for c in _ROWS.split(", ")]
 _TASK = r"(?:^|/)((?:CodeTask|Query)-[^/]*)(?:/|$)"
 
 
-def _open(archive: str, content: bytes) -> Iterator[dict]:
-    def row(kind: str, **values: str) -> dict:
-        return {"archive": archive, "kind": kind, **values}
+def _open(archive: str, content: bytes, files: bool = True) -> Iterator[tuple]:
+    """Rows of one archive in the order of ``_FIELDS``; without ``files`` only the edges of ``project.xml``."""
 
     def text(node, tag: str) -> str:
         return (node.findtext(tag) or "").strip()
@@ -34,15 +33,15 @@ def _open(archive: str, content: bytes) -> Iterator[dict]:
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             root = ElementTree.fromstring(z.read("project.xml").decode("utf-16"))
-            for wrapper in root.iterfind("Elements/*"):
+            for wrapper in root.iterfind("Elements/*") if files else ():
                 inner = wrapper.find("Element")
                 if inner is not None:
-                    yield row("element", id=text(inner, "ID"), type=text(inner, "Type"), label=text(inner, "Label"), container=text(inner, "Container"))
-                for process in wrapper.iterfind("PFD/*"):
-                    own = process.find("Element")
-                    for dep in process.iterfind("Dependencies/*") if own is not None else ():
-                        yield row("dep", id=(dep.text or "").strip(), target=text(own, "ID"))
-            for name in z.namelist():
+                    yield archive, "element", text(inner, "ID"), text(inner, "Type"), text(inner, "Label"), text(inner, "Container"), None, None, None
+            for process in root.iterfind("Elements/*/PFD/*"):
+                own = process.find("Element")
+                for dep in process.iterfind("Dependencies/*") if own is not None else ():
+                    yield archive, "dep", (dep.text or "").strip(), None, None, None, text(own, "ID"), None, None
+            for name in z.namelist() if files else ():
                 kind = "code" if name.endswith(("/code.sas", ".sql")) else "log" if name.endswith("/result.log") else None
                 if kind:
                     raw = z.read(name)
@@ -50,43 +49,100 @@ def _open(archive: str, content: bytes) -> Iterator[dict]:
                         body = raw.decode("utf-8-sig")
                     except UnicodeDecodeError:
                         body = raw.decode("latin-1")
-                    yield row(kind, entry=name, text=body)
+                    yield archive, kind, None, None, None, None, None, name, body
     except Exception as exc:  # noqa: BLE001  a broken archive is a row, not a failed job
-        yield row("error", text=f"{type(exc).__name__}: {exc}")
+        yield archive, "error", None, None, None, None, None, None, f"{type(exc).__name__}: {exc}"
 
 
 #: Characters of text that the rows of small archives may hold before they are handed on.
 _BATCH = 1 << 22
 
 
-def _open_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _open_all(batches: Iterator[pa.RecordBatch], files: bool = True) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([(name, pa.string()) for name in _FIELDS])
-    columns: list[list[str | None]] = [[] for _ in _FIELDS]
+    rows: list[tuple] = []
     held = 0
+
+    def handed() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], schema=schema)
+
     for batch in batches:
         paths, contents = batch.column("path"), batch.column("content")
         for k in range(batch.num_rows):  # one archive at a time in memory, and the rows of small ones together
-            for r in _open(paths[k].as_py(), contents[k].as_py()):
-                for column, name in zip(columns, _FIELDS):
-                    column.append(r.get(name))
-                held += 256 + len(r.get("text") or "")
+            for row in _open(paths[k].as_py(), contents[k].as_py(), files):
+                rows.append(row)
+                held += 256 + len(row[-1] or "")
             if held >= _BATCH:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], schema=schema)
-                columns, held = [[] for _ in _FIELDS], 0
+                yield handed()
+                rows, held = [], 0
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], schema=schema)
+        yield handed()
+
+
+def _open_projects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _open_all(batches, files=False)
 
 
-@dataclass(frozen=True)
 class Archives:
-    """Tables of a set of archives; every one carries the ``archive`` it came from."""
+    """Tables of a set of archives ``files(path, content)``; every one carries the ``archive`` it came from.
 
-    elements: DataFrame  # archive, id, type, label, container
-    deps: DataFrame  # archive, source, target
-    code: DataFrame  # archive, id, entry, code: the shortest path per task
-    orphans: DataFrame  # archive, id, entry, place: code of unknown owners, root or snapshot
-    logs: DataFrame  # archive, id, text: the longest log per query
-    errors: DataFrame  # archive, text
+    ``deps`` alone opens nothing but ``project.xml``. The other tables come from all files inside; these are read
+    once, when the first such table is asked for, and their rows are staged.
+    """
+
+    def __init__(self, files: DataFrame):
+        self._files = files.select("path", "content")
+
+    @cached_property
+    def _rows(self) -> DataFrame:
+        return stage(self._files.mapInArrow(_open_all, _ROWS), "archives")
+
+    @cached_property
+    def elements(self) -> DataFrame:
+        """(archive, id, type, label, container)"""
+        return self._rows.filter("kind = 'element'").select("archive", "id", "type", "label", "container").dropDuplicates(["archive", "id"])
+
+    @cached_property
+    def deps(self) -> DataFrame:
+        """(archive, source, target)"""
+        rows = self._rows if "_rows" in self.__dict__ else self._files.mapInArrow(_open_projects, _ROWS)
+        return rows.filter("kind = 'dep' AND id <> '' AND target <> ''").select("archive", F.col("id").alias("source"), "target").distinct()
+
+    @property
+    def _owned(self) -> DataFrame:
+        owned = self._rows.filter("kind = 'code'").withColumn("id", F.regexp_extract("entry", _TASK, 1)).filter("id <> ''")
+        return owned.select("archive", "id", "entry", F.col("text").alias("code"), F.size(F.split("entry", "/")).alias("_depth"))
+
+    @property
+    def _tasks(self) -> DataFrame:
+        return self.elements.filter("type = 'TASK'").select("archive", "id")
+
+    @cached_property
+    def code(self) -> DataFrame:
+        """The shortest path per task -> (archive, id, entry, code)."""
+        best = pick_best(self._owned, ["archive", "id"], "_depth", ["entry"], largest=False)
+        return best.join(self._tasks, ["archive", "id"], "left_semi").drop("_depth")
+
+    @cached_property
+    def orphans(self) -> DataFrame:
+        """Code of unknown owners, root or snapshot -> (archive, id, entry, place)."""
+        place = F.when(F.col("_depth") <= 2, "root").otherwise("snapshot")
+        lost = self._owned.join(self._tasks, ["archive", "id"], "left_anti").withColumn("place", place)
+        best = pick_best(lost, ["archive", "id", "place"], "_depth", ["entry"], largest=False)
+        return best.select("archive", "id", "entry", "place")
+
+    @cached_property
+    def logs(self) -> DataFrame:
+        """The longest log per query -> (archive, id, text)."""
+        logs = self._rows.filter("kind = 'log' AND entry LIKE '%/Log-%'").select(
+            "archive", F.substring_index("entry", "/", 1).alias("id"), "entry", "text"
+        )
+        return pick_best(logs, ["archive", "id"], F.length("text"), ["entry"]).select("archive", "id", "text")
+
+    @cached_property
+    def errors(self) -> DataFrame:
+        """Archives that could not be read to their end -> (archive, text)."""
+        return self._rows.filter("kind = 'error'").select("archive", "text")
 
     def nodes(self) -> DataFrame:
         """One row per task -> (archive, id, label, container, task_kind, code, native)."""
@@ -99,34 +155,8 @@ class Archives:
 
 
 def parse_archives(files: DataFrame) -> Archives:
-    """``files(path, content)`` -> the archive tables.
-
-    Archives are opened once; their rows are staged, since several tables come from them.
-    """
-    rows = stage(files.select("path", "content").mapInArrow(_open_all, _ROWS), "archives")
-    depth = F.size(F.split("entry", "/"))
-    elements = rows.filter("kind = 'element'").select("archive", "id", "type", "label", "container").dropDuplicates(["archive", "id"])
-    deps = rows.filter("kind = 'dep' AND id <> '' AND target <> ''").select("archive", F.col("id").alias("source"), "target").distinct()
-    owned = rows.filter("kind = 'code'").withColumn("id", F.regexp_extract("entry", _TASK, 1)).filter("id <> ''")
-    owned = owned.select("archive", "id", "entry", F.col("text").alias("code"), depth.alias("_depth"))
-    best = pick_best(owned, ["archive", "id"], "_depth", ["entry"], largest=False)
-    tasks = elements.filter("type = 'TASK'").select("archive", "id")
-    code = best.join(tasks, ["archive", "id"], "left_semi").drop("_depth")
-    place = F.when(F.col("_depth") <= 2, "root").otherwise("snapshot")
-    lost = owned.join(tasks, ["archive", "id"], "left_anti").withColumn("place", place)
-    orphans = pick_best(lost, ["archive", "id", "place"], "_depth", ["entry"], largest=False)
-    logs = rows.filter("kind = 'log' AND entry LIKE '%/Log-%'").select(
-        "archive", F.substring_index("entry", "/", 1).alias("id"), "entry", "text"
-    )
-    longest = pick_best(logs, ["archive", "id"], F.length("text"), ["entry"])
-    return Archives(
-        elements,
-        deps,
-        code,
-        orphans.select("archive", "id", "entry", "place"),
-        longest.select("archive", "id", "text"),
-        rows.filter("kind = 'error'").select("archive", "text"),
-    )
+    """``files(path, content)`` -> the archive tables."""
+    return Archives(files)
 
 
 def read_archives(spark: SparkSession, glob: str) -> Archives:
